@@ -34,31 +34,59 @@ class WordTokenizer:
     """Token ids of texts, from the ids of their space-separated runs.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its
-    runs in order; runs repeat, so most are looked up. Values are little-endian 32-bit ids."""
+    runs in order; runs repeat, so most are looked up. New plain words are encoded many at a time,
+    and cut apart after the tokens that end a word. Values are little-endian 32-bit ids."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def _plain(run: str) -> tuple[str, str]:
-        """The run as the tokenizer sees it, and a mark that ends it and is a token of its own."""
-        run = run.lower() if run.isascii() and "|>" not in run else run
-        return (run[:-1], run[-1]) if run[-1:] in (".", ",") and run[:-1].isalpha() else (run, "")
+    def _latin(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def _runs(self, text: str) -> list[str]:
+        if "|>" not in text and self._latin(text):  # lower-casing is one to one there, and special tokens aren't touched
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Enters the ids of new runs; a word with one mark after it is the word's ids and the mark's."""
+        marked = {r: (r[:-1], r[-1]) for r in new if r[-1:] in (".", ",") and r[:-1].isalpha()}
+        single = {p for pair in marked.values() for p in pair}.union(new - marked.keys()) - self.known.keys()
+        plain = [r for r in single if r.isalpha()]
+        groups = [g for i in range(0, len(plain), 500) if self._latin("".join(g := plain[i : i + 500]))]
+        rest = list(single.difference(*groups))
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            cuts, raw = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()], ids.tobytes()
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the tokenizer does not end every word with a token of its own")
+            self.known.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
+        self.known.update((r, ids.tobytes()) for r, ids in zip(rest, self._encode(rest), strict=True))
+        self.known.update((r, self.known[word] + self.known[mark]) for r, (word, mark) in marked.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
             self.known.clear()
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {r: self._plain(r) for r in set().union(*runs) - self.known.keys()}
-        todo = list({p for pair in new.values() for p in pair} - self.known.keys())
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        for r, (word, mark) in new.items():
-            self.known[r] = self.known[word] + self.known[mark]
-        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
+        runs = [self._runs(t) for t in texts]
+        found = [list(map(self.known.get, r)) for r in runs]
+        cold = [k for k, f in enumerate(found) if None in f]
+        self._learn({r for k in cold for r, f in zip(runs[k], found[k], strict=True) if f is None})
+        for k in cold:
+            found[k] = map(self.known.__getitem__, runs[k])
+        return [b"".join(f) for f in found]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
