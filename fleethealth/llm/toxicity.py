@@ -2,8 +2,8 @@
 
 Method. Grades 0 (clean) to 3 (severe) have P(grade <= k) = sigmoid(theta_k - w.x), with one weight
 vector for all ordered thresholds. Features are words and word beginnings, so that inflected words
-share weight; a feature's value is the logarithm of its rate in the document. Those that
-depend most on the label, by chi-squared, are used. Labels only say toxic or not, so the grades of
+share weight; a feature's value is the logarithm of its rate in the document. Those that lean to
+toxic rows and depend most on the label, by chi-squared, are used, so a text without any is clean. Labels only say toxic or not, so the grades of
 the training rows are derived: toxic rows are ranked by their rate of words that toxic rows use
 far more often, and cut in thirds. The model is fitted on a bounded sample of labelled rows
 (``sample``, by hash of the id) and applied to all rows.
@@ -163,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     by_feature = rows.mapInArrow(_feature_rows, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_ROWS)
     lean = F.col("b") * n0 - F.col("a") * n1
     chi = lean * lean * (n0 + n1) / (n0 * n1 * (F.col("a") + F.col("b")) * (n0 + n1 - F.col("a") - F.col("b") + 1))
-    best = by_feature.withColumn("chi", chi).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    best = by_feature.withColumn("chi", chi).filter(lean > 0).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
     features = [r.feature for r in best]
     marker = np.array([r.b / n1 > 8 * (r.a + 0.5) / n0 and not r.feature.startswith("^") for r in best])
     got = rows.mapInArrow(_sparse_rows({f: i for i, f in enumerate(features)}), "toxic int, n long, ids array<int>, tf array<int>").collect()
