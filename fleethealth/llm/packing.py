@@ -3,8 +3,8 @@
 Method. Bounded-space online best fit: a packer keeps a fixed number of open bins. A bitset whose
 bit ``f`` says that some open bin has ``f`` tokens free finds the tightest bin by one shift; if
 none fits, a bin is opened, and when too many are open the fullest closes first. Spark deals the
-pieces out by a hash, and every partition packs its own share in a fixed order, so a retried task
-repeats its result. Token ids are written once and don't travel: only lengths are shuffled.
+pieces out by a hash, and every partition packs its own share in a fixed order, a few thousand at a
+time by falling length, so a retried task repeats its result. Token ids are written once and don't travel: only lengths are shuffled.
 
 Defined results: null text is the empty text and still gives its end token; only documents longer
 than a sequence are cut; repeated rows are packed once each; an empty table gives no rows; other
@@ -26,6 +26,8 @@ from fleethealth.llm.common import batched, rows_of, written
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
+#: Pieces that are put in order of falling length before they are placed.
+LOOK_AHEAD = 4000
 #: Pieces that one packer gets; more of them leave fewer bins half full.
 PIECES_PER_TASK = 150_000
 
@@ -168,7 +170,10 @@ def _pack(size: int, open_bins: int, length_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(size, open_bins), TaskContext.get().partitionId() << 36
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(length_at).to_pylist()]
+            lengths, placed = batch.column(length_at).to_pylist(), [(0, 0)] * batch.num_rows
+            for at in range(0, len(lengths), LOOK_AHEAD):
+                for k in sorted(range(at, min(len(lengths), at + LOOK_AHEAD)), key=lambda k: -lengths[k]):
+                    placed[k] = bins.place(lengths[k])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     return run
