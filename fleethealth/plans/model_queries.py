@@ -173,6 +173,50 @@ def s12_params_store(spark, d):
     return z.agg(F.count("*").alias("n"), F.max(F.abs(health_score(f) - health_score(back))).alias("gap"))
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last FROM orders GROUP BY 1")
+def s2_read_scada(spark, d):
+    path = folder(spark, "scada")
+    x = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("time_stamp"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("wind (m/s)"), F.col("o_orderpriority").alias("état"))
+    x.write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    got = io.read_scada(spark, path, {"time_stamp": "ts", "id": "id", "wind (m/s)": "wind"}, "ts", "id")
+    j = got.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")), "id")
+    return j.groupBy("priority").agg(F.count("*").alias("n"), F.round(F.sum("wind"), 2).alias("total"), F.max(F.col("ts").cast("timestamp_ntz")).alias("last"))
+
+
+@query("SELECT n_regionkey, count(*) AS n, 'train' AS split FROM nation GROUP BY 1")
+def s4_read_runs(spark, d):
+    path = folder(spark, "runs")
+    table(spark, d, "nation").select("n_nationkey", "n_regionkey").write.option("header", True).csv(path)
+    x = io.read_runs(spark, [path], "n_nationkey int, n_regionkey int", F.lit("train"))
+    return x.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("split").alias("split"))
+
+
+@query("SELECT c_mktsegment, 2 * count(*) AS n, count(*) AS with_balance FROM customer GROUP BY 1")
+def s5_ingest_append(spark, d):
+    path, first, second = (folder(spark, k) for k in ("ingested", "first", "second"))
+    c = table(spark, d, "customer")
+    c.select("c_custkey", "c_mktsegment").write.option("header", True).csv(first)
+    c.select("c_custkey", "c_mktsegment", "c_acctbal").write.option("header", True).csv(second)
+    io.ingest_append(spark, first, path)
+    return io.ingest_append(spark, second, path).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count("c_acctbal").alias("with_balance"))
+
+
+@query("SELECT l_returnflag, count(*) AS features, count(*) AS scores FROM lineitem GROUP BY 1")
+def s7_write_features_scores(spark, d):
+    path = folder(spark, "run")
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_tax")
+    io.write_features_scores(x.drop("l_tax"), x.drop("l_quantity"), path, F.col("l_returnflag"), F.lit("2024-01-01"))
+    f, s = (spark.read.parquet(f"{path}/{k}").groupBy("l_returnflag").agg(F.count("*").alias(k)) for k in ("features", "scores"))
+    return f.join(s, "l_returnflag")
+
+
+@query("SELECT p_type AS failure_mode, CASE WHEN p_type = 'ECONOMY' THEN 5 ELSE NULL END AS severity, count(*) AS n FROM part GROUP BY 1, 2")
+def s10_overlay_policy(spark, d):
+    stored = table(spark, d, "part").select(F.col("p_type").alias("failure_mode"), F.col("p_size").alias("severity"))
+    policy = table(spark, d, "part").filter("p_type = 'ECONOMY'").select(F.col("p_type").alias("failure_mode")).distinct().withColumn("severity", F.lit(5))
+    return io.overlay_policy(stored, policy).groupBy("failure_mode", "severity").agg(F.count("*").alias("n"))
+
+
 # --- streams, over files, run to their end and compared with the batch form ---
 
 

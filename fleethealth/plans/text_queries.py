@@ -200,11 +200,16 @@ def g20_retrieval_metrics(spark, d):
     return rounded(retrieval.retrieval_metrics(top, gold(spark, d), "q", "doc_id"))
 
 
-@query("SELECT count(*) AS answers, 1.0 AS supported FROM (SELECT 1 WHERE false) HAVING count(*) < 0")
-def g21_faithfulness_gap(spark, d):
-    """Answers whose claims are not all supported: extractive answers have none."""
-    f = text.faithfulness(answers(spark, d), passages(spark, d).select(F.col("chunk_id").alias("tag"), "text"), "q", "answer")
-    return f.filter("supported < 1").groupBy("supported").agg(F.count("*").alias("answers")).select("answers", F.col("supported"))
+@query()
+def g21_faithfulness(spark, d):
+    """Claims of each extractive answer, and the share that its cited passage supports."""
+    return text.faithfulness(answers(spark, d), passages(spark, d).select(F.col("chunk_id").alias("tag"), "text"), "q", "answer")
+
+
+@query(f"WITH {BM}, gd AS (SELECT item_id AS q, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), r AS (SELECT gd.q, min(rank) AS rank FROM gd LEFT JOIN (SELECT * FROM bk WHERE rank <= 10) k ON k.q = gd.q AND k.doc_id = gd.doc_id GROUP BY 1) SELECT count(*) AS questions, round(avg(coalesce(rank <= 5, false)::INT), 6) AS hit_at_5 FROM r")
+def g24_quality_bar(spark, d):
+    top = retrieval.ranks(retrieval.top_k(bm25(spark, d), "q", "doc_id", "score", 10), "q", "doc_id")
+    return rounded(retrieval.quality_bar(retrieval.retrieval_metrics(top, gold(spark, d), "q", "doc_id"), 0.5).select("questions", "hit_at_5"))
 
 
 @query("""WITH a AS (SELECT o_orderkey % 4 > 0 AS answerable, o_orderkey % 7 = 0 AS refused, o_orderkey % 3 AS citations, (o_orderkey % 11 = 0)::INT AS invalid, o_orderkey % 2 = 0 AS gold_cited, o_totalprice / 1000 AS latency_s FROM orders)
