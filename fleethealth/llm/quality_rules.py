@@ -30,7 +30,7 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     Rule("many_symbols", "100 * n_symbols > 20 * n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule("long_words", "word_chars > 40 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("shouting", "100 * n_marks > 60 * n_words"),
@@ -75,7 +75,9 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, ``row`` (the whole input row) and the measurements, each taken once."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), text.alias("text"))
-    split = split.select("doc_id", "row", "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, SPACE)) > 0).alias("lines"))
+    parts = F.struct("text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, SPACE)) > 0).alias("lines"))
+    # one element is exploded: filters on the measurements aren't moved below it, where they would split the text anew for each word
+    split = split.select("doc_id", "row", F.explode(F.array(parts)).alias("parts")).select("doc_id", "row", "parts.*")
     n = lambda c: F.size(c).cast("long")
     return split.select(
         "doc_id",
@@ -116,4 +118,5 @@ def ablations(rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES)
 
 def kept_rows(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns."""
-    return apply_policy(ledger(docs), policy).filter("kept").select("row.*")
+    judged = apply_policy(ledger(docs), policy)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row")).otherwise(F.array().cast(f"array<{dict(judged.dtypes)['row']}>"))).alias("row")).select("row.*")

@@ -88,7 +88,7 @@ m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_marks
   FROM d LEFT JOIN v ON v.doc_id = d.doc_id),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END
-  + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+  + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
   + CASE WHEN 100 * n_marks > 60 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed,
   CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END::BIGINT AS sole_rule, 2 AS policy
