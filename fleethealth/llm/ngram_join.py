@@ -3,10 +3,10 @@
 Method. Documents are laid out in size bands; two sets can only link inside a band or across
 neighbouring ones, so each band gives one tile of the join. Inside a tile documents are blocked
 by part signatures: the shingle universe is cut into more parts than linked sets can differ in,
-so at least one non-empty part of two linked sets is equal (no link is lost). Documents that
-meet, directly or over others, form candidate groups; within a group, hashed bitmap signatures
-bound the overlap from above by bit counts, and only pairs that pass get the exact
-intersection of their sorted arrays. Groups too large for one task are cut into size-banded
+so at least one non-empty part of two linked sets is equal (no link is lost). Among documents that
+meet in a block, hashed bitmap signatures bound the overlap from above by bit counts. Documents
+that pass, directly or over others, form candidate groups; a group's texts are read again, wider
+bitmaps bound the overlap, and only pairs that pass get the exact intersection of sorted arrays. Groups too large for one task are cut into size-banded
 blocks that are compared pairwise.
 
 Defined results: null text and text without words give an empty set, linked with nothing; a
@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleethealth.llm.common import batched, connected_components, rows_of, written
@@ -154,7 +154,35 @@ def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-_DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary())])
+def bitmap(s: np.ndarray) -> bytes:
+    """A small bitmap signature: about as many bits as elements, set by half of the elements."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length()) if len(s) else 64
+    out = np.zeros(bits // 64, np.uint64)
+    at = s[(s >> np.uint64(40)) & _ONE == 0] & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), _ONE << (at & np.uint64(63)))
+    return out.tobytes()
+
+
+def _folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows, folded to the shortest of them."""
+    words = min(len(m) for m in maps) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
+
+
+def bounded_stars(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that span the groups of documents whose bitmaps don't rule a link out."""
+    root = np.arange(len(ids))
+    for i in range(1, len(ids)):
+        near = np.flatnonzero(root[:i] != root[i])
+        need = -(-percent * (sizes[near] + sizes[i]) // (100 + percent))  # overlap that a link needs
+        fits = (np.bitwise_count(maps[i] & ~maps[near]).sum(1) <= sizes[i] - need) & (np.bitwise_count(maps[near] & ~maps[i]).sum(1) <= sizes[near] - need)
+        for r in set(root[near[fits]].tolist()):
+            yield int(ids[i]), int(ids[r])
+            root[root == r] = i
+        root[root == root[i]] = i
+
+
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bitmap", pa.binary())])
 _SIGS = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -164,7 +192,7 @@ def _doc_rows(width: int):
         def each():
             for doc_id, text in rows_of(batches):
                 s = shingle_set(text, width)
-                yield doc_id, len(s), set_key(s)
+                yield doc_id, len(s), set_key(s), bitmap(s)
 
         yield from batched(each(), _DOCS, 10_000)
 
@@ -227,6 +255,29 @@ def compare(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[in
                 root[root == root[j]] = root[i]
 
 
+def _block_rows(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            key, held = None, []
+            for sig, *row in rows_of(batches):
+                if sig != key and held:
+                    yield from block(held)
+                    held = []
+                key = sig
+                held.append(row)
+            if held:
+                yield from block(held)
+
+        def block(rows):
+            if len(rows) > 1:
+                ids, sizes, maps = zip(*rows, strict=True)
+                yield from bounded_stars(np.array(ids), np.array(sizes), _folded(maps), percent)
+
+        yield from batched(each(), _EDGES, 10_000)
+
+    return run
+
+
 def _tile_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -278,12 +329,12 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(texts.mapInArrow(_doc_rows(width), "doc_id long, n_shingles long, set_hash binary"), "shingle-sets")
+    every = written(texts.mapInArrow(_doc_rows(width), "doc_id long, n_shingles long, set_hash binary, bitmap binary"), "shingle-sets")
     sigs = texts.mapInArrow(_signature_rows(width, percent), "sig long, doc_id long")
-    from pyspark.sql import Window
-
-    low = sigs.withColumn("b", F.min("doc_id").over(Window.partitionBy("sig")))
-    candidates = low.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    met = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1").select("sig", "doc_id")
+    known = every.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bitmap").distinct()
+    placed = met.join(written(known, "bitmaps"), "doc_id").select("sig", "doc_id", "n_shingles", "bitmap")
+    candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").distinct()
     groups = written(connected_components(candidates).withColumnRenamed("node", "doc_id"), "candidates")
     sizes = every.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     tiles = _tiles(groups, sizes, percent)
@@ -291,7 +342,8 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     links = placed.mapInArrow(_tile_rows(width, percent), "a long, b long")
     linked = connected_components(links)
     roots = every.join(linked.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("set_hash").agg(F.min("component").alias("root"))
+    roots = written(roots, "roots")  # apart from the join below, so that its hot keys can be split
     keyed = every.join(roots, "set_hash", "left").withColumn("g", F.coalesce(F.col("root").cast("string").cast("binary"), "set_hash"))
     least = keyed.filter("n_shingles > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    out = keyed.join(least, "g", "left")
+    out = keyed.join(written(least, "least"), "g", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
