@@ -221,3 +221,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == every and kept[1] == {i for i in every if i >= 120 or i % 6} and kept[2] == kept[1] - {500, 501}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and {r.doc_id for r in out.collect()} <= kept[2]
+
+
+def test_both_forms_of_the_bound_agree():
+    for seed in range(6):
+        rows = [r for r in near_copies(seed, 200) if 8 <= len(r[1].split()) <= 14][:12]
+        sets = [ngram_join.shingle_set(t, 2) for _, t in rows]
+        few = [(i, len(s), ngram_join.bitmap(s)) for (i, _), s in zip(rows, sets, strict=True)]
+        ids, sizes, maps = zip(*few, strict=True)
+        groups = []
+        for edges in (ngram_join.few_stars(few, 80), ngram_join.bounded_stars(np.array(ids), np.array(sizes), ngram_join._folded(maps), 80)):
+            root = {i: i for i in ids}
+            for a, b in edges:
+                root = {k: root[b] if v == root[a] else v for k, v in root.items()}
+            groups.append({frozenset(k for k in ids if root[k] == r) for r in root.values()})
+        assert groups[0] == groups[1] and len(groups[0]) > 1
