@@ -56,11 +56,11 @@ def d6_contributions(spark, d):
     return rounded(z.select("event_id", c[0].alias("c_value"), c[1].alias("c_k")))
 
 
-@query(f"""WITH {SCORED} SELECT CASE WHEN greatest(c1, 0) >= greatest(c2, 0) THEN 'z_value' ELSE 'z_k' END AS top, count(*) AS n, round(avg(coalesce(greatest(c1, c2) / nullif(greatest(c1, 0) + greatest(c2, 0), 0), 0)), 3) AS share FROM scored GROUP BY 1""")
+@query(f"""WITH {SCORED} SELECT CASE WHEN greatest(c1, 0) >= greatest(c2, 0) THEN 'z_value' ELSE 'z_k' END AS top, count(*) AS n, round(avg(round_even(coalesce(greatest(c1, c2) / nullif(greatest(c1, 0) + greatest(c2, 0), 0), 0), 3)), 5) AS share FROM scored GROUP BY 1""")
 def d7_top_sensors(spark, d):
     z = z_table(spark, d)
     top = z.select(detector.top_sensors(fitted(z), 1).alias("m")).select(F.map_keys("m")[0].alias("top"), F.map_values("m")[0].alias("share"))
-    return top.groupBy("top").agg(F.count("*").alias("n"), F.round(F.avg("share"), 3).alias("share"))
+    return top.groupBy("top").agg(F.count("*").alias("n"), F.round(F.avg("share"), 5).alias("share"))
 
 
 @query(f"WITH {SCORED} SELECT event_id, alarm, alarm_confirmed FROM scored WHERE alarm")

@@ -30,7 +30,7 @@ def con():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(SQL)[::4])
+@pytest.mark.parametrize("name", sorted(SQL)[::6])
 def test_query_matches_sql(spark, con, name):
     df = __spark_entry__.queries()[name](spark, str(DATA))
     cols = sorted(df.columns)
