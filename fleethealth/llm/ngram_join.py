@@ -35,6 +35,8 @@ _SHIFT, _ONE = np.uint64(32), np.uint64(1)
 BAND_RATIO = 1.5
 #: Documents and shingles that one comparison block may hold.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Documents of a block that are compared as integers, at most.
+FEW = 12
 
 
 #: Bytes that separate words, and powers of an odd base and of its inverse modulo 2^64.
@@ -169,6 +171,27 @@ def _folded(maps: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
 
 
+def few_stars(rows: list, percent: int) -> Iterator[tuple[int, int]]:
+    """The same as bounded_stars for a few (id, size, bitmap): whole bitmaps as integers."""
+    words = min(len(m) for _, _, m in rows)
+    maps, root = [], list(range(len(rows)))
+    for _, _, m in rows:
+        whole = 0
+        for at in range(0, len(m), words):
+            whole |= int.from_bytes(m[at : at + words], "little")
+        maps.append(whole)
+    for i in range(1, len(rows)):
+        a, n, _ = rows[i]
+        for j in range(i):
+            if root[j] != root[i]:
+                b, k, _ = rows[j]
+                need = -(-percent * (n + k) // (100 + percent))
+                if (maps[i] & ~maps[j]).bit_count() <= n - need and (maps[j] & ~maps[i]).bit_count() <= k - need:
+                    yield a, b
+                    gone = root[j]
+                    root = [root[i] if r == gone else r for r in root]
+
+
 def bounded_stars(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Edges that span the groups of documents whose bitmaps don't rule a link out."""
     root = np.arange(len(ids))
@@ -269,7 +292,9 @@ def _block_rows(percent: int):
                 yield from block(held)
 
         def block(rows):
-            if len(rows) > 1:
+            if 1 < len(rows) <= FEW:
+                yield from few_stars(rows, percent)
+            elif len(rows) > FEW:
                 ids, sizes, maps = zip(*rows, strict=True)
                 yield from bounded_stars(np.array(ids), np.array(sizes), _folded(maps), percent)
 
