@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleethealth.llm.common import written
+
 #: Target shares follow the present shares to this power, unless weights are given.
 TEMPERATURE = 0.7
 SEED = 20
+#: Sources whose rates are sent to every task, at most.
+SENT = 10_000
 #: Largest mean that one inversion takes; larger rates are sums of several.
 MEAN = 16
 
@@ -40,7 +44,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
     if weights is None:
         wanted = sizes.withColumn("w", F.round(F.pow("n", F.lit(temperature)), 6))
     else:
-        given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.lit(None)
+        given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.lit(None).cast("map<string,double>")
         wanted = sizes.withColumn("w", F.coalesce(F.try_element_at(given, F.col("source_key")), F.lit(0.0)))
     total = wanted.agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))  # one row
     return wanted.join(F.broadcast(total)).select("source_key", F.coalesce(F.try_divide(F.col("w") * F.col("sum_n"), F.col("sum_w") * F.col("n")), F.lit(0.0)).alias("rate"))
@@ -49,13 +53,16 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The copies: all columns of ``docs``, n_copies, copy (from 0) and shuffle_key, in shuffled order."""
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.withColumn("source_key", key).join(repetition_rates(docs, weights, temperature), "source_key")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN).cast("int"))
+    rates = written(repetition_rates(docs, weights, temperature).toDF("__source", "__rate"), "rates")
+    if rates.count() <= SENT:
+        rates = F.broadcast(rates)  # a few thousand pairs, counted; beyond that an equi-join whose hot keys are split
+    rows = docs.withColumn("__source", key).join(rates, "__source")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MEAN).cast("int"))
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    of_part = lambda i: poisson(F.col("rate") / parts, uniform(F.lit(str(seed)), who, i.cast("string")))
-    rows = rows.withColumn("n_copies", F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + of_part(i))).otherwise(0))
+    of_part = lambda i: poisson(F.col("__rate") / parts, uniform(F.lit(str(seed)), who, i.cast("string")))
+    rows = rows.withColumn("n_copies", F.when(F.col("__rate") > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + of_part(i))).otherwise(0))
     copies = rows.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), who, "copy"))).drop("source_key", "rate")
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), who, "copy"))).drop("__source", "__rate")
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
