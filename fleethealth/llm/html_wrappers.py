@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,43 +228,45 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, tuple[list, int, set]] = {}
+    found: dict[str, tuple[list, set]] = {}
 
     def out():
-        for host, (wrapper, n, _) in found.items():
-            yield host, json.dumps(wrapper), n
+        for host, (wrapper, _) in found.items():
+            yield host, json.dumps(wrapper), None
         found.clear()
 
     def each():
         for host, page in rows_of(batches):
             items = page_items(page)
-            shape = hash(tuple(map(json.dumps, items)))
-            wrapper, n, seen = found.get(host, (items, 0, set()))
+            shape = xxhash.xxh3_128_digest(json.dumps(items).encode("utf-8", "surrogatepass"))
+            wrapper, seen = found.get(host, (items, set()))
             if shape not in seen:
                 seen.add(shape)
-                found[host] = (align(wrapper, items), n + 1, seen)
+                found[host] = (align(wrapper, items), seen)
+                yield host, None, shape
             if len(found) > 5000 or len(seen) > 50_000:
                 yield from out()
         yield from out()
 
-    yield from batched(each(), _WRAPPERS, 1000)
+    yield from batched(each(), _PARTS, 1000)
 
 
-_WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64())])
+_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.binary())])
+_WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each():
-        host, wrapper, n = None, [], 0
-        for h, text, k in rows_of(batches):
+        host, wrapper = None, []
+        for h, text in rows_of(batches):
             if h == host:
-                wrapper, n = align(wrapper, json.loads(text)), n + k
+                wrapper = align(wrapper, json.loads(text))
             else:
                 if host is not None:
-                    yield host, json.dumps(wrapper), n
-                host, wrapper, n = h, json.loads(text), k
+                    yield host, json.dumps(wrapper)
+                host, wrapper = h, json.loads(text)
         if host is not None:
-            yield host, json.dumps(wrapper), n
+            yield host, json.dumps(wrapper)
 
     yield from batched(each(), _WRAPPERS, 1000)
 
@@ -273,11 +276,13 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages: the wrapper of every host, from all its pages."""
-    fields = "host string, wrapper string, pages long"
-    parts = _pages(pages).select("host", "html").mapInArrow(_partial, fields)
-    salted = parts.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(16))).sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
-    return salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
+    """host, wrapper (JSON), pages: the wrapper of every host, from all its pages; copies of a page count once."""
+    fields = "host string, wrapper string"
+    parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, fields + ", page binary"), "partial-wrappers")
+    salted = parts.filter("wrapper is not null").select("host", "wrapper").repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(16))).sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
+    wrappers = salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
+    counts = parts.filter("page is not null").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    return wrappers.join(counts, "host")
 
 
 def main_text(html: str, wrapper: list[list] | None, pages: int = 0) -> str:

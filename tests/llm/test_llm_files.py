@@ -195,6 +195,19 @@ def test_constants_outside_articles_are_boilerplate(spark, tmp_path):
     assert got[3] == ("Body number 3", 13) and got[50] == ("", 0) and got[51] == ("t", 1) and got[52][0] == "Welcome to us"
 
 
+def extracted(spark, rows, partitions=1):
+    """The text of each page, with the rows dealt over so many tasks."""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions, "page_id")
+    return {r.page_id: r.text for r in html_wrappers.extract_main_text(pages).collect()}
+
+
+def test_copies_of_a_page_count_once_over_all_tasks(spark):
+    page = "<div>Only page</div><p>Its text</p>"
+    scripts = [f"<script>track({i})</script>" for i in range(12)]
+    got = extracted(spark, [(i, f"http://copies/{i}", s + page) for i, s in enumerate(scripts)], 6)
+    assert set(got.values()) == {"Only page\nIts text"} and len(got) == 12
+
+
 # --- pipeline ---
 
 
