@@ -41,6 +41,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _SPACES = re.compile(r"\s+")
+#: Distinct pages of a host from which on constant texts are looked for.
+SEVERAL = 3
 #: Longest repeated unit, and longest wrapper that is kept; longer ones end in a slot.
 UNIT, LONGEST = 12, 400
 #: Wrappers that are sent to every task, at most.
@@ -127,7 +129,7 @@ def key(item: list) -> str:
     return "#" if item[0] in "=#" else json.dumps([item[0], [key(x) for x in item[1]]]) if item[0] in "?+" else item[1]
 
 
-def page_items(html: str) -> list[list]:
+def page_stream(html: str) -> list[list]:
     """A page as a wrapper without groups: block-level tags by path, and texts."""
     out, before = [], ""
     for path, _, _, text in blocks(html):
@@ -137,7 +139,12 @@ def page_items(html: str) -> list[list]:
         elif out and out[-1][0] != "t":
             out.append(["t", path])
         out.append(["=", text])
-    return fold(out)
+    return out
+
+
+def page_items(html: str) -> list[list]:
+    """The same with repeated groups."""
+    return fold(page_stream(html))
 
 
 def merge_texts(a: list, b: list) -> list:
@@ -219,9 +226,14 @@ def _reopen(items: list[list], optional: set[str]) -> list[list]:
     return items
 
 
-def constants(items: list[list]) -> set[str]:
-    """Texts that all pages of the wrapper share."""
-    return {x for i in items for x in ([i[1]] if i[0] == "=" else constants(i[1]) if i[0] in "?+" else [])}
+def constants(items: list[list], optional: bool = False) -> set[str]:
+    """Texts that all pages of the wrapper share; with ``optional``, those that some of its pages lack too."""
+    inner = "?+" if optional else "+"
+    return {x for i in items for x in ([i[1]] if i[0] == "=" else constants(i[1], optional) if i[0] in inner else [])}
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -232,18 +244,20 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         for host, (wrapper, _) in found.items():
-            yield host, json.dumps(wrapper), None
+            yield host, json.dumps(wrapper), None, None
         found.clear()
 
     def each():
         for host, page in rows_of(batches):
-            items = page_items(page)
-            shape = xxhash.xxh3_128_digest(json.dumps(items).encode("utf-8", "surrogatepass"))
-            wrapper, seen = found.get(host, (items, set()))
+            raw = page_stream(page)
+            shape = xxhash.xxh3_128_digest(json.dumps(raw).encode("utf-8", "surrogatepass"))
+            if host not in found:
+                found[host] = (fold(raw), set())
+            wrapper, seen = found[host]
             if shape not in seen:
                 seen.add(shape)
-                found[host] = (align(wrapper, items), seen)
-                yield host, None, shape
+                found[host] = (align(wrapper, fold(raw)), seen)
+                yield host, None, shape, [text_hash(t) for t in constants(raw)]
             if len(found) > 5000 or len(seen) > 50_000:
                 yield from out()
         yield from out()
@@ -251,7 +265,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(each(), _PARTS, 1000)
 
 
-_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.binary())])
+_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.binary()), ("texts", pa.list_(pa.int64()))])
 _WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
@@ -276,22 +290,26 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages: the wrapper of every host, from all its pages; copies of a page count once."""
+    """host, wrapper (JSON), pages, shared: the wrapper of every host, from all its pages; copies of a page count once.
+
+    ``shared`` has the hashes of texts that stand on more than half of the host's pages, by exact counts."""
     fields = "host string, wrapper string"
-    parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, fields + ", page binary"), "partial-wrappers")
+    parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, fields + ", page binary, texts array<long>"), "partial-wrappers")
     salted = parts.filter("wrapper is not null").select("host", "wrapper").repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(16))).sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
     wrappers = salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
-    counts = parts.filter("page is not null").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return wrappers.join(counts, "host")
+    distinct = parts.filter("page is not null").groupBy("host", "page").agg(F.first("texts").alias("texts"))
+    counts = written(distinct.groupBy("host").agg(F.count("*").alias("pages")), "page-counts")
+    met = distinct.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = met.join(counts, "host").filter(f"pages >= {SEVERAL} and 2 * n > pages").groupBy("host").agg(F.collect_list("text").alias("shared"))
+    return wrappers.join(counts, "host").join(shared, "host", "left")
 
 
-def main_text(html: str, wrapper: list[list] | None, pages: int = 0) -> str:
+def main_text(html: str, fixed: set[int] | None) -> str:
     """Blocks of the article, joined by newlines."""
     found = [(content, text) for _, content, bad, text in blocks(html) if not bad]
     if any(content for content, _ in found):
         return "\n".join(text for content, text in found if content)
-    fixed = constants(wrapper) if wrapper and pages >= 3 else set()
-    return "\n".join(text for _, text in found if text not in fixed)
+    return "\n".join(text for _, text in found if not fixed or text_hash(text) not in fixed)
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -299,11 +317,13 @@ _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each():
-        cached: tuple[str | None, list] = (None, [])
-        for page_id, url, page, text, n in rows_of(batches):
-            if text != cached[0]:
-                cached = (text, json.loads(text) if text else [])
-            yield page_id, url, main_text(page, cached[1], n or 0)
+        cached: dict[str, set[int]] = {}
+        for page_id, url, page, host, shared in rows_of(batches):
+            if host not in cached:
+                if len(cached) > 5000:
+                    cached.clear()
+                cached[host] = set(shared or ())
+            yield page_id, url, main_text(page, cached[host])
 
     yield from batched(each(), _TEXTS, 1000)
 
@@ -311,9 +331,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     wrappers = written(infer_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 100).alias("s")).first().s
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.size(F.coalesce("shared", F.array())) + 100).alias("s")).first().s
     if (size or 0) <= SENT_BYTES:
         wrappers = F.broadcast(wrappers)  # of a measured size; beyond it an equi-join whose hot hosts are split
     joined = _pages(pages).join(wrappers, "host", "left")
-    out = joined.select("page_id", "url", "html", "wrapper", "pages").mapInArrow(_extract, "page_id long, url string, text string")
+    out = joined.select("page_id", "url", "html", "host", "shared").mapInArrow(_extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

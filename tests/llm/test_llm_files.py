@@ -208,6 +208,15 @@ def test_copies_of_a_page_count_once_over_all_tasks(spark):
     assert set(got.values()) == {"Only page\nIts text"} and len(got) == 12
 
 
+def test_text_of_one_page_is_no_constant(spark):
+    rows = [(i, f"http://one/{i}", f"<div>Welcome</div><p>Body {i}</p>" + ("<blockquote>A quote</blockquote>" if i == 2 else "")) for i in range(5)]
+    rows += [(9, "http://one/9", "<div>Welcome</div><p>Body 9</p>")]
+    got = extracted(spark, rows, 2)
+    assert got[2] == "Body 2\nA quote" and got[1] == "Body 1"
+    items = [html_wrappers.page_items(h) for _, _, h in rows[1:3]]
+    assert "A quote" not in html_wrappers.constants(html_wrappers.align(*items))
+
+
 # --- pipeline ---
 
 
