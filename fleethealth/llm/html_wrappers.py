@@ -43,7 +43,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _SPACES = re.compile(r"\s+")
 #: Distinct pages of a host from which on constant texts are looked for.
 SEVERAL = 3
-#: Longest repeated unit, and longest wrapper that is kept; longer ones end in a slot.
+#: Longest repeated unit, and longest wrapper that is kept; longer ones end in a slot. Constant texts are
+#: counted apart from the wrapper, so that those beyond its bound count too.
 UNIT, LONGEST = 12, 400
 #: Wrappers that are sent to every task, at most.
 SENT_BYTES = 16 << 20

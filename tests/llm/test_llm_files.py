@@ -217,6 +217,19 @@ def test_text_of_one_page_is_no_constant(spark):
     assert "A quote" not in html_wrappers.constants(html_wrappers.align(*items))
 
 
+def varied_page(i: int) -> str:
+    """A page of parts of its own, so that the host's wrapper outgrows its bound before the notice at the end."""
+    names = ["div", "section", "blockquote", "center", "details", "fieldset", "figure", "dl", "pre"]
+    paths = [(a, b, c) for a in names for b in names for c in names]
+    part = lambda k, p: "".join(f"<{n}>" for n in p) + f"Part {i} {k}" + "".join(f"</{n}>" for n in reversed(p))
+    return "".join(part(k, p) for k, p in enumerate(paths) if random.Random(k * 100 + i).random() < 0.2) + "<p>All rights reserved</p>"
+
+
+def test_constants_of_long_hosts(spark):
+    got = extracted(spark, [(i, f"http://long/{i}", varied_page(i)) for i in range(12)])
+    assert all("rights" not in t and t.count("Part") > 50 for t in got.values())
+
+
 # --- pipeline ---
 
 
