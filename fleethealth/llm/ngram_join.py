@@ -4,7 +4,8 @@ Method. Documents are laid out in size bands; two sets can only link inside a ba
 neighbouring ones, so each band gives one tile of the join. Inside a tile documents are blocked
 by part signatures: the shingle universe is cut into more parts than linked sets can differ in,
 so at least one non-empty part of two linked sets is equal (no link is lost). Among documents that
-meet in a block, hashed bitmap signatures bound the overlap from above by bit counts. Documents
+meet in a block, hashed bitmap signatures bound the overlap from above by bit counts; a block too large
+for one task is a star around its least document, which holds all its candidates. Documents
 that pass, directly or over others, form candidate groups; a group's texts are read again, wider
 bitmaps bound the overlap, and only pairs that pass get the exact intersection of sorted arrays. Groups too large for one task are cut into size-banded
 blocks that are compared pairwise.
@@ -23,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleethealth.llm.common import batched, connected_components, rows_of, written
@@ -349,6 +350,17 @@ def _tiles(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(many)
 
 
+def signature_blocks(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, doc_id) of blocks that are compared, and edges (a, b) that span the larger ones.
+
+    Blocks are counted by a pre-aggregated group and an equi-join that adaptive execution can split."""
+    sigs = written(sigs, "signatures")
+    blocks = written(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "blocks")
+    met = sigs.join(blocks, "sig")
+    star = met.filter(F.col("n") > BLOCK_DOCS).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    return met.filter(F.col("n") <= BLOCK_DOCS).select("sig", "doc_id"), star
+
+
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text).
 
@@ -356,10 +368,10 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(texts.mapInArrow(_doc_rows(width), "doc_id long, n_shingles long, set_hash binary, bitmap binary"), "shingle-sets")
     sigs = texts.mapInArrow(_signature_rows(width, percent), "sig long, doc_id long")
-    met = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1").select("sig", "doc_id")
+    met, star = signature_blocks(sigs)
     known = every.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bitmap").distinct()
     placed = met.join(written(known, "bitmaps"), "doc_id").select("sig", "doc_id", "n_shingles", "bitmap")
-    candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").distinct()
+    candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").unionByName(star).distinct()
     groups = written(connected_components(candidates).withColumnRenamed("node", "doc_id"), "candidates")
     sizes = every.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     tiles = _tiles(groups, sizes, percent)

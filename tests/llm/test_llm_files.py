@@ -166,6 +166,21 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 200: 200, 201: 200}
 
 
+def test_no_block_outgrows_a_task(spark):
+    n = ngram_join.BLOCK_DOCS + 500
+    met, star = ngram_join.signature_blocks(spark.createDataFrame([(1, i) for i in range(n)] + [(2, 3), (2, 9), (3, 7)], "sig long, doc_id long"))
+    assert sorted(map(tuple, met.collect())) == [(2, 3), (2, 9)]
+    assert {(r.a, r.b) for r in star.collect()} == {(i, 0) for i in range(1, n)}
+
+
+def test_large_groups_of_near_copies_are_complete(spark):
+    n = ngram_join.BLOCK_DOCS + 200
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(n)] + [(n + i, " ".join(f"x{i}y{k}" for k in range(60))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < n else i for i in range(n + 20)}
+
+
 # --- pages ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
