@@ -80,3 +80,13 @@ def test_stream_carries_runs_over_batches(spark, tmp_path):
     s.writeStream.format("memory").queryName("confirmed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r.ts.minute: r.alarm_confirmed for r in spark.table("confirmed").collect()}
     assert got == {0: False, 1: False, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_gold_is_looked_for_in_all_reports(spark, tmp_path):
+    """The only report with the passage is so long that over 50 shorter ones rank before it."""
+    from fleethealth.plans.text_queries import gold
+
+    docs = [(i, "alpha bearing pump", "en", "s") for i in range(60)] + [(60, "filler words " * 3000 + "pump bearing alpha", "en", "s")] + [(i, f"other{i} text{i}", "en", "s") for i in range(100, 300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "pump bearing alpha")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in gold(spark, str(tmp_path)).collect()] == [(0, 60)]
