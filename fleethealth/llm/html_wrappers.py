@@ -6,8 +6,11 @@ groups ``( )+``. It starts as the first page; each further page is aligned with
 are resolved: text against text becomes a slot, a stretch that repeats its neighbour becomes a
 repeated group, any other stretch an optional one. Tasks infer wrappers from their own pages and
 partial wrappers are merged by the same alignment in two salted steps, so a host with very many
-pages meets no single task. Extraction walks a page with its host's wrapper: text in the content
-region is kept by blocks; boilerplate containers, and constant texts outside an article, are left out.
+pages meets no single task.
+
+Extraction doesn't align pages with the wrapper yet. Text in <article> or <main> is kept by blocks,
+containers with boilerplate tags or class words are left out; on pages without an article, so are texts
+that stand on more than half of the host's distinct pages (three at least), by exact counts.
 
 Defined results: null html is empty; a page without text gives an empty text; unclosed and stray
 tags are tolerated; a null or malformed url makes a host of its own, the empty one; repeated rows are
