@@ -90,3 +90,13 @@ def test_gold_is_looked_for_in_all_reports(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "pump bearing alpha")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [tuple(r) for r in gold(spark, str(tmp_path)).collect()] == [(0, 60)]
+
+
+def test_stream_queries_carry_state_over_batches(spark, tmp_path, monkeypatch):
+    from fleethealth.plans import model_queries
+
+    monkeypatch.setattr(model_queries, "folder", lambda spark, k: str(tmp_path / k))
+    rows = spark.range(400).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) AS ts", "'view' AS event_type", "1.0D AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in model_queries.st4_stream_service_health(spark, str(tmp_path)).collect()] == [("view", 384)]
+    assert len([p for p in (tmp_path / "marks" / "commits").iterdir() if p.name.isdigit()]) >= 4
