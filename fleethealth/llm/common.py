@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes, by a rough count from above, that close an Arrow batch.
+BATCH_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is set."""
+    Where the session names none and runs on one machine (tests), a temporary folder is set; on a cluster
+    that is an error, since its machines don't share such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -38,14 +45,20 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most ``size`` rows from an iterator of tuples."""
+def _weight(value) -> int:
+    return len(value) * (8 if isinstance(value, (list, tuple)) else 4) if hasattr(value, "__len__") else 8
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches from an iterator of tuples: of at most ``size`` rows, and closed once they hold ``most_bytes``."""
     held: list[tuple] = []
+    weight = 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        weight += sum(map(_weight, row))
+        if len(held) >= size or weight >= most_bytes:
             yield _batch(held, schema)
-            held = []
+            held, weight = [], 0
     if held:
         yield _batch(held, schema)
 
@@ -54,25 +67,25 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (a, b); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Each step is a pre-aggregated minimum and an
-    equi-join that adaptive execution can split, so a node with very many edges meets no single
-    task. Every round is written to the shared folder. Nodes without an edge are absent."""
+    Alternating large-star and small-star steps until nothing changes. A step's minima are pre-aggregated and
+    written before they are joined, so that adaptive execution splits the join of a node with very many edges;
+    every round is written to the shared folder. Nodes without an edge are absent."""
     stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars = written(stars, "cc")
-    before = None
-    for _ in range(max_rounds):
+    stars, before = written(stars, "cc"), None
+    while True:
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "cc-large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         stars = written(small, "cc")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

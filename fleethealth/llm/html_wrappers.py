@@ -1,29 +1,40 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-Method. A page is a stream of tags and text. A host's wrapper is a union-free regular expression over
-such streams: a sequence of tags, constant texts, text slots, optional groups ``( )?`` and repeated
-groups ``( )+``. It starts as the first page; each further page is aligned with it, and mismatches
-are resolved: text against text becomes a slot, a stretch that repeats its neighbour becomes a
-repeated group, any other stretch an optional one. Tasks infer wrappers from their own pages and
-partial wrappers are merged by the same alignment in two salted steps, so a host with very many
-pages meets no single task.
-
-Extraction doesn't align pages with the wrapper yet. Text in <article> or <main> is kept by blocks,
-containers with boilerplate tags or class words are left out; on pages without an article, so are texts
-that stand on more than half of the host's distinct pages (three at least), by exact counts.
+Method. A page is a token stream of block elements and texts. A host's wrapper is a union-free regular
+expression over such streams, written element by element: for every element path it has the sequence of
+what stands in it, with optional items ``( )?``, repeated groups ``( )+`` and text slots ``#``. Streams are
+folded first: what recurs becomes a repeated group. Then the streams of a path are aligned one after the
+other with the wrapper, anchored on the tokens that both have once; a stretch that one side lacks becomes
+optional, a stretch in another order a repeated group of optional items. So a path's expression never
+outgrows the different tokens that were met there, and aligning is linear but for a sort. Texts that are the
+same on most of the host's distinct pages are constants, all others fill slots.
+
+Extraction aligns a page with its host's wrapper: every text belongs to a wrapper item. From the root, the
+region goes down to the item that holds the greater part of the text that fills slots, by the means over the
+host's pages, and stays above an item that recurs. Element names and class words are hints: they weigh an item
+down (navigation, adverts, forms, ...) or let <article> and <main> pass at a smaller part, and within the
+region marked items are left out. Constant items of the region (bars and notices; not paragraphs or
+headings) are left out too; where no element is the region, all constant texts are.
+
+Scale. Distinct streams and texts are counted by pre-aggregated groups over (host, path), so that a host with
+very many pages meets no single task, and the streams of one path are aligned in rounds of 200 that a hash
+deals out: the wrapper does not depend on how rows are partitioned. Models of a measured size are sent to the
+tasks; beyond it they are joined by host.
 
 Defined results: null html is empty; a page without text gives an empty text; unclosed and stray
 tags are tolerated; a null or malformed url makes a host of its own, the empty one; repeated rows are
-extracted each time and don't change a wrapper; an empty table gives no rows; other columns are
-ignored."""
+extracted each time and count once in a wrapper; of equal weights the first in page order is the region; very
+long pages are parsed, aligned and returned whole, in linear time; an empty table gives no rows; other
+columns are ignored."""
 
 from __future__ import annotations
 
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import xxhash
@@ -32,24 +43,30 @@ from pyspark.sql import functions as F
 
 from fleethealth.llm.common import batched, rows_of, written
 
-#: Elements whose content isn't text, that end a block, that never hold content.
+#: Elements whose content isn't text, that never hold the article, that end a block, that hold prose.
 DROPPED = frozenset("script style noscript template svg math iframe object select textarea button head title".split())
+RAW = frozenset("script style noscript iframe textarea title template svg".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()) - {"html", "body"}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption legend option summary address".split())
+INLINE = frozenset("span a b i em strong small label".split())
 CONTENT = frozenset(["article", "main"])
 #: Words of class and id names that mark what isn't the article.
 MARKED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side widget comment comments reply replies respond disqus share sharing social related recommended pagination pager login search toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
-_SPACES = re.compile(r"\s+")
-#: Distinct pages of a host from which on constant texts are looked for.
+_RAW_END = {name: re.compile(rf"</{name}[\s>/]", re.I) for name in RAW}
+#: Distinct pages of a host from which on its wrapper tells constants, and the region among plain elements.
 SEVERAL = 3
-#: Longest repeated unit, and longest wrapper that is kept; longer ones end in a slot. Constant texts are
-#: counted apart from the wrapper, so that those beyond its bound count too.
-UNIT, LONGEST = 12, 400
-#: Wrappers that are sent to every task, at most.
+#: What marked items, link text and constant text weigh beside other text; part of the weight that makes an
+#: item the region, and the part that an <article> or <main> needs.
+MARKED_WEIGHT, LINK_WEIGHT, CONSTANT_WEIGHT = 0.1, 0.1, 0.05
+REGION, CONTENT_REGION = 2 / 3, 1 / 4
+#: Streams of a path that one alignment round takes together.
+ROUND = 200
+#: Bytes of models that are sent to every task, at most.
 SENT_BYTES = 16 << 20
 
 
@@ -71,220 +88,284 @@ def stream(html: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, m[3]
-        if name in ("script", "style", "noscript", "iframe", "textarea", "title", "template", "svg"):
-            end = re.compile(rf"</{name}[\s>/]", re.I).search(html, at)
+        if name in RAW:
+            end = _RAW_END[name].search(html, at)
             at = end.start() if end else size
 
 
-def _marks(rest: str) -> set[str]:
-    found = {w for groups in _MARK.findall(rest) for g in groups for w in re.split(r"[^a-z]+", g.lower())}
-    return found
+def _attribute_words(rest: str) -> tuple[set[str], list[str]]:
+    """Marking words, and the plain lower-case words of class, id and role names: generated names have digits or capitals."""
+    marks, plain = set(), set()
+    for groups in _MARK.findall(rest):
+        for name in groups:
+            marks.update(re.split(r"[^a-z]+", name.lower()))
+            plain.update(w for w in re.split(r"[\s_-]+", name) if w.isascii() and w.isalpha() and w.islower() and len(w) <= 20)
+    return marks & MARKED, sorted(plain)
 
 
-def blocks(html: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """(path, inside content, boilerplate, text) of each block, in page order; text is decoded and trimmed."""
-    stack: list[tuple[str, bool, bool]] = []  # name, content, boilerplate
-    held: list[str] = []
+def path_id(parent: int, token: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent}/{token}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def flush():
-        text = _SPACES.sub(" ", entities.unescape("".join(held))).strip()
-        held.clear()
-        if text:
-            content, bad = any(c for _, c, _ in stack), any(b for _, _, b in stack)
-            yield "/".join(n for n, _, _ in stack if n in BLOCKS), content, bad, text
-
-    for kind, name, rest in stream(html):
-        if kind == "text":
-            held.append(rest)
-            continue
-        if name == "br":
-            held.append(" ")
-        if name in BLOCKS or name in DROPPED:
-            yield from flush()
-        if kind == "open":
-            if name in VOID or rest.endswith("/") and name not in BLOCKS:
-                continue
-            if name == "p" or name in BLOCKS:  # a block ends an open paragraph
-                _close(stack, "p", until=BLOCKS)
-            if name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                _close(stack, name, until={"ul", "ol", "table", "dl", "select"})
-            inside = any(c for _, c, _ in stack)
-            bad = name in DROPPED or name in BOILERPLATE or name == "header" and not inside or bool(rest) and (name in BLOCKS or name in ("span", "a", "b", "i", "em", "strong", "small", "label")) and name not in ("body", "html", "article", "main") and (not _marks(rest).isdisjoint(MARKED) or bool(_HIDDEN.search(rest)))
-            stack.append((name, name in CONTENT, bad))
-        else:
-            _close(stack, name, until=BLOCKS - {name} if name not in BLOCKS else ())
-    yield from flush()
-
-
-def _close(stack: list[tuple[str, bool, bool]], name: str, until) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
-        if stack[k][0] in until:
-            return
-
-
-# --- wrappers: nested lists; ["t", tag], ["=", text], ["#"], ["?", items], ["+", items] ---
 
+ROOT = path_id(0, "")
 
-def key(item: list) -> str:
-    """What two items must share to be aligned: all texts are alike."""
-    return "#" if item[0] in "=#" else json.dumps([item[0], [key(x) for x in item[1]]]) if item[0] in "?+" else item[1]
 
-
-def page_stream(html: str) -> list[list]:
-    """A page as a wrapper without groups: block-level tags by path, and texts."""
-    out, before = [], ""
-    for path, _, _, text in blocks(html):
-        if path != before:
-            out.append(["t", path])
-            before = path
-        elif out and out[-1][0] != "t":
-            out.append(["t", path])
-        out.append(["=", text])
-    return out
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_items(html: str) -> list[list]:
-    """The same with repeated groups."""
-    return fold(page_stream(html))
-
-
-def merge_texts(a: list, b: list) -> list:
-    """One item for two with the same key."""
-    if a[0] in "?+":
-        return [a[0], [merge_texts(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    return a if a == b else ["#"] if a[0] in "=#" else a
-
-
-def fold(items: list[list]) -> list[list]:
-    """Runs of equal neighbours become repeated groups."""
-    keys, out, at = [key(x) for x in items], [], 0
-    while at < len(items):
-        for unit in range(1, min(UNIT, (len(items) - at) // 2) + 1):
-            n = 1
-            while keys[at + n * unit : at + (n + 1) * unit] == keys[at : at + unit] and at + (n + 1) * unit <= len(items):
-                n += 1
-            if n > 1 and any(items[at + k][0] != "t" for k in range(unit)):
-                group = items[at : at + unit]
-                for r in range(1, n):
-                    group = [merge_texts(x, y) for x, y in zip(group, items[at + r * unit : at + (r + 1) * unit], strict=True)]
-                out.append(group[0] if group[0][0] == "+" and unit == 1 else ["+", group])
-                at += n * unit
-                break
-        else:
-            out.append(items[at])
-            at += 1
+_ONE_TEXT = json.dumps([["#", False, 0, False]])
+
+
+class Page:
+    """Texts of a page by element path, and the token streams of its elements.
+
+    ``nodes``: path -> (parent path, token, marked), parents first. ``texts``: (path, characters in links,
+    text) in page order. ``streams``: path -> folded streams of its elements, as JSON."""
+
+    def __init__(self, html: str, with_streams: bool = True):
+        self.nodes: dict[int, tuple[int, str, bool]] = {ROOT: (0, "", False)}
+        self.texts: list[tuple[int, int, str]] = []
+        self.streams: dict[int, set[str]] = {}
+        self._parse(html, with_streams)
+
+    def _parse(self, html: str, with_streams: bool) -> None:
+        held: list[str] = []
+        linked = 0
+        #: name, path, inside an article, inside a link, dropped, tokens of the nearest block element
+        stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", ROOT, False, False, False, [])]
+        open_names: dict[str, int] = {}
+        tags: dict[tuple[str, str], tuple[str, bool, bool]] = {}  # name and attributes -> token, marked, hidden
+        paths: dict[tuple[int, str], int] = {}
+        plain_text = set()  # paths of elements that had nothing but one text
+
+        def flush():
+            nonlocal linked
+            text = " ".join(entities.unescape("".join(held)).split()) if held else ""
+            held.clear()
+            if text:
+                self.texts.append((stack[-1][1], min(linked, len(text)), text))
+                stack[-1][5].append("#")
+            linked = 0
+
+        def leave(down_to: int):
+            while len(stack) > down_to:
+                name, path, _, _, _, tokens = stack.pop()
+                open_names[name] -= 1
+                if with_streams and tokens is not stack[-1][5]:
+                    if tokens != ["#"]:
+                        self.streams.setdefault(path, set()).add(json.dumps(fold(tokens)))
+                    elif path not in plain_text:
+                        plain_text.add(path)
+                        self.streams.setdefault(path, set()).add(_ONE_TEXT)
+
+        def close(name: str, until) -> None:
+            if open_names.get(name):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == name:
+                        leave(k)
+                        return
+                    if stack[k][0] in until:
+                        return
+
+        for kind, name, rest in stream(html):
+            if kind == "text":
+                if not stack[-1][4]:
+                    held.append(rest)
+                    if stack[-1][3]:
+                        linked += len(rest)
+                continue
+            if name == "br":
+                held.append(" ")
+            block = name in BLOCKS
+            if block or name in DROPPED:
+                flush()
+            if kind == "close":
+                close(name, () if block else BLOCKS)
+                continue
+            if name == "body" or block:
+                close("head", BLOCKS)
+            if name in VOID or rest.endswith("/") and not block:
+                continue
+            if block:  # a block ends an open paragraph
+                close("p", BLOCKS - {"p"})
+            if name in ("li", "tr", "td", "th", "dt", "dd", "option"):
+                close(name, ("ul", "ol", "table", "dl", "select"))
+            _, path, inside, link, dropped, tokens = stack[-1]
+            if (name, rest) not in tags:
+                marks, plain = _attribute_words(rest) if rest else (set(), [])
+                tags[name, rest] = ".".join([name, *sorted(marks.union(plain))]), bool(marks), bool(rest and _HIDDEN.search(rest))
+            token, marked, hidden = tags[name, rest]
+            if block:
+                marked = name not in CONTENT and (marked or name in BOILERPLATE or name == "header" and not inside)
+                tokens.append(token)
+                parent, tokens = path, []
+                path = paths.get((parent, token))
+                if path is None:
+                    path = paths[parent, token] = path_id(parent, token)
+                    self.nodes[path] = (parent, token, marked)
+            stack.append((name, path, inside or name in CONTENT, link or name == "a", dropped or hidden or name in DROPPED or marked and name in INLINE, tokens))
+            open_names[name] = open_names.get(name, 0) + 1
+        flush()
+        leave(1)
+        if with_streams:
+            self.streams[ROOT] = {json.dumps(fold(stack[0][5]))}
+
+    def digest(self) -> bytes:
+        d = xxhash.xxh3_128()
+        for path, _, text in self.texts:
+            d.update(f"{path} {len(text)} {text}".encode("utf-8", "surrogatepass"))
+        return d.digest()
+
+
+# --- expressions: lists of [token, optional, group, recurs]; items of one group number above 0 repeat together ---
+
+
+def _grouped(tokens: list[str], optional: list[bool], recurs: list[bool], spans: list[tuple[int, int]]) -> list[list]:
+    """An expression; spans (first, last) that overlap make one repeated group, whose several items are optional."""
+    group, number, reached = [0] * len(tokens), 0, -1
+    for a, b in sorted(spans):
+        if a > reached:
+            number += 1
+        for k in range(max(a, reached + 1), b + 1):
+            group[k] = number
+        reached = max(reached, b)
+    alone = {g for g, n in Counter(group).items() if n == 1}
+    return [[t, bool(o or g and g not in alone), g, r] for t, o, g, r in zip(tokens, optional, group, recurs, strict=True)]
+
+
+def fold(tokens: list[str]) -> list[list]:
+    """The expression of one stream: each token stands once, stretches in which tokens recur are repeated groups."""
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for k, t in enumerate(tokens):
+        first.setdefault(t, k)
+        last[t] = k
+    order = list(first)
+    place = {t: k for k, t in enumerate(order)}
+    # in places of the folded list: a token that recurs spans all that first stands before its last place
+    starts = [first[t] for t in order]
+    spans = [(place[t], bisect_left(starts, last[t]) - 1 if last[t] > first[t] else -1) for t in order]
+    return _grouped(order, [False] * len(order), [last[t] > first[t] for t in order], [(a, max(a, b)) for a, b in spans if b >= 0])
+
+
+def _rising(values: list[int]) -> set[int]:
+    """Positions of a longest rising subsequence of distinct values."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for k, v in enumerate(values):
+        j = bisect_left(tails, v)
+        before[k] = at[j - 1] if j else -1
+        tails[j:], at[j:] = [v, *tails[j + 1 :]], [k, *at[j + 1 :]]
+    out, k = set(), at[-1] if at else -1
+    while k >= 0:
+        out.add(k)
+        k = before[k]
     return out
 
 
-def _absorb(items: list[list], groups: list[list]) -> list[list]:
-    """Single occurrences of another stream's repeated group, as that group."""
-    for group in groups:
-        want, out, at = [key(x) for x in group[1]], [], 0
-        keys = [key(x) for x in items]
-        while at < len(items):
-            if keys[at : at + len(want)] == want:
-                out.append(["+", items[at : at + len(want)]])
-                at += len(want)
-            else:
-                out.append(items[at])
-                at += 1
-        items = out
-    return items
-
-
-def _bare(items: list[list]) -> list[list]:
-    return [y for x in items for y in (x[1] if x[0] == "?" else [x])]
-
-
 def align(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of two wrappers."""
+    """The expression that two expressions resolve into: it accepts what either accepts."""
     if a == b:
         return a
-    a, b = _absorb(a, [x for x in b if x[0] == "+"]), _absorb(b, [x for x in a if x[0] == "+"])
-    optional = {key(["t", json.dumps([key(y) for y in x[1]])]) for s in (a, b) for x in s if x[0] == "?"}
-    fa, fb = _bare(a), _bare(b)
-    out: list[list] = []
-    for op, i, j, k, m in SequenceMatcher(None, [key(x) for x in fa], [key(x) for x in fb], autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [merge_texts(x, y) for x, y in zip(fa[i:j], fb[k:m], strict=True)]
-        else:
-            out += [["?", part] for part in (fa[i:j], fb[k:m]) if part]
-    # groups that were optional before stay so
-    out = _reopen(out, optional)
-    out = fold(out)
-    return out[:LONGEST] + [["#"]] * (len(out) > LONGEST)
-
+    at_a, at_b = {x[0]: k for k, x in enumerate(a)}, {x[0]: k for k, x in enumerate(b)}
+    common = [x[0] for x in a if x[0] in at_b]
+    kept = _rising([at_b[t] for t in common])
+    anchors = [t for k, t in enumerate(common) if k in kept]
+    crossed = set(common) - set(anchors)
+    order: list[str] = []
+    i = j = 0
+    for anchor in [*anchors, None]:
+        ia, jb = (at_a[anchor], at_b[anchor]) if anchor is not None else (len(a), len(b))
+        order += [x[0] for x in a[i:ia]]
+        order += [x[0] for x in b[j:jb] if x[0] not in at_a]
+        if anchor is not None:
+            order.append(anchor)
+        i, j = ia + 1, jb + 1
+    place = {t: k for k, t in enumerate(order)}
+    spans = []
+    for side in (a, b):
+        groups: dict[int, list[int]] = {}
+        for t, _, g, _ in side:
+            if g:
+                groups.setdefault(g, []).append(place[t])
+        spans += [(min(p), max(p)) for p in groups.values()]
+    fixed = [k for k, x in enumerate(b) if x[0] not in crossed]
+    for t in crossed:  # in b it stands elsewhere: its place and its neighbours in b repeat together
+        k = bisect_left(fixed, at_b[t])
+        near = [place[t], *(place[b[x][0]] for x in fixed[max(0, k - 1) : k + 1])]
+        spans.append((min(near), max(near)))
+    both = [[side[at[t]] for side, at in ((a, at_a), (b, at_b)) if t in at] for t in order]
+    return _grouped(order, [len(x) < 2 or x[0][1] or x[1][1] for x in both], [any(y[3] for y in x) for x in both], spans)
+
+
+def expression(items: list[list]) -> str:
+    """A path's expression as text."""
+    out, k = [], 0
+    while k < len(items):
+        g = items[k][2]
+        part = [x for x in items[k:] if x[2] == g] if g else [items[k]]
+        inner = " ".join(t + "?" * (o and (not g or len(part) > 1)) for t, o, _, _ in part)
+        out.append(f"({inner})+" + "?" * (len(part) == 1 and part[0][1] or len(part) > 1) if g else inner)
+        k += len(part)
+    return " ".join(out)
 
-def _reopen(items: list[list], optional: set[str]) -> list[list]:
-    keys = [key(x) for x in items]
-    for want in sorted(json.loads(w) for w in optional):
-        at = 0
-        while at + len(want) <= len(items):
-            if keys[at : at + len(want)] == want and items[at][0] != "?":
-                items = [*items[:at], ["?", items[at : at + len(want)]], *items[at + len(want) :]]
-                keys = [key(x) for x in items]
-            at += 1
-    return items
 
-
-def constants(items: list[list], optional: bool = False) -> set[str]:
-    """Texts that all pages of the wrapper share; with ``optional``, those that some of its pages lack too."""
-    inner = "?+" if optional else "+"
-    return {x for i in items for x in ([i[1]] if i[0] == "=" else constants(i[1], optional) if i[0] in inner else [])}
-
-
-def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+_LISTS = {"n_path": pa.int64(), "n_parent": pa.int64(), "n_chars": pa.int64(), "n_links": pa.int64(), "t_path": pa.int64(), "t_text": pa.int64(), "t_chars": pa.int64()}
+_PARTS = pa.schema([("host", pa.string()), ("path", pa.int64()), ("items", pa.string()), ("page", pa.binary()), *((k, pa.list_(t)) for k, t in _LISTS.items())])
+_PARTS_SQL = "host string, path long, items string, page binary, " + ", ".join(f"{k} array<bigint>" for k in _LISTS)
 
 
-HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+def _page_lists(page: Page) -> tuple[list[int], ...]:
+    chars, links, texts = dict.fromkeys(page.nodes, 0), dict.fromkeys(page.nodes, 0), {}
+    for path, link, text in page.texts:
+        chars[path] += len(text)
+        links[path] += link
+        key = path, text_hash(text)
+        texts[key] = texts.get(key, 0) + len(text)
+    return list(page.nodes), [p for p, _, _ in page.nodes.values()], list(chars.values()), list(links.values()), [p for p, _ in texts], [t for _, t in texts], list(texts.values())
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, tuple[list, set]] = {}
-
-    def out():
-        for host, (wrapper, _) in found.items():
-            yield host, json.dumps(wrapper), None, None
-        found.clear()
+    """Streams that a task meets first, and counts of the pages that it meets first."""
 
     def each():
-        for host, page in rows_of(batches):
-            raw = page_stream(page)
-            shape = xxhash.xxh3_128_digest(json.dumps(raw).encode("utf-8", "surrogatepass"))
-            if host not in found:
-                found[host] = (fold(raw), set())
-            wrapper, seen = found[host]
-            if shape not in seen:
-                seen.add(shape)
-                found[host] = (align(wrapper, fold(raw)), seen)
-                yield host, None, shape, [text_hash(t) for t in constants(raw)]
-            if len(found) > 5000 or len(seen) > 50_000:
-                yield from out()
-        yield from out()
+        seen: set[tuple] = set()
+        none = (None,) * len(_LISTS)
+        for host, html in rows_of(batches):
+            page = Page(html)
+            digest = page.digest()
+            if (host, digest) not in seen:
+                seen.add((host, digest))
+                yield host, None, None, digest, *_page_lists(page)
+            for path, found in page.streams.items():
+                for items in found:
+                    if (host, path, items) not in seen:
+                        seen.add((host, path, items))
+                        yield host, path, items, None, *none
+            if len(seen) > 500_000:
+                seen.clear()
 
     yield from batched(each(), _PARTS, 1000)
 
 
-_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.binary()), ("texts", pa.list_(pa.int64()))])
-_WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+_WRAPPERS = pa.schema([("host", pa.string()), ("path", pa.int64()), ("items", pa.string())])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each():
-        host, wrapper = None, []
-        for h, text in rows_of(batches):
-            if h == host:
-                wrapper = align(wrapper, json.loads(text))
+        key, items = None, []
+        for host, path, part, text in rows_of(batches):
+            if (host, path, part) == key:
+                items = align(items, json.loads(text))
             else:
-                if host is not None:
-                    yield host, json.dumps(wrapper)
-                host, wrapper = h, json.loads(text)
-        if host is not None:
-            yield host, json.dumps(wrapper)
+                if key is not None:
+                    yield *key[:2], json.dumps(items)
+                key, items = (host, path, part), json.loads(text)
+        if key is not None:
+            yield *key[:2], json.dumps(items)
 
     yield from batched(each(), _WRAPPERS, 1000)
 
@@ -293,51 +374,158 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1)).alias("host"))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages, shared: the wrapper of every host, from all its pages; copies of a page count once.
-
-    ``shared`` has the hashes of texts that stand on more than half of the host's pages, by exact counts."""
-    fields = "host string, wrapper string"
-    parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, fields + ", page binary, texts array<long>"), "partial-wrappers")
-    salted = parts.filter("wrapper is not null").select("host", "wrapper").repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(16))).sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
-    wrappers = salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, fields)
-    distinct = parts.filter("page is not null").groupBy("host", "page").agg(F.first("texts").alias("texts"))
-    counts = written(distinct.groupBy("host").agg(F.count("*").alias("pages")), "page-counts")
-    met = distinct.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = met.join(counts, "host").filter(f"pages >= {SEVERAL} and 2 * n > pages").groupBy("host").agg(F.collect_list("text").alias("shared"))
-    return wrappers.join(counts, "host").join(shared, "host", "left")
+def aligned(streams: DataFrame) -> DataFrame:
+    """host, path, items: the streams of each path aligned into one expression, ROUND at a time, in an order that a hash fixes."""
+    while True:
+        streams = written(streams.distinct(), "streams")
+        counts = written(streams.groupBy("host", "path").agg(F.count("*").alias("n")), "stream-counts")
+        most = counts.agg(F.max("n").alias("n")).first().n or 1
+        if most == 1:
+            return streams
+        order = F.xxhash64("items")
+        parts = streams.join(counts, ["host", "path"]).withColumn("part", F.pmod(order, F.ceil(F.col("n") / ROUND))).withColumn("order", order)
+        dealt = parts.repartition("host", "path", "part").sortWithinPartitions("host", "path", "part", "order", "items")
+        streams = dealt.select("host", "path", "part", "items").mapInArrow(_merge, "host string, path long, items string")
 
 
-def main_text(html: str, fixed: set[int] | None) -> str:
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, model (JSON): every host's wrapper from all its pages; copies of a page count once.
+
+    A model is a list of wrapper paths, each with its expression, the distinct pages that have it, its weight
+    (characters, less links and constants) and the hashes of its constant texts."""
+    parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, _PARTS_SQL), "page-parts")
+    wrappers = aligned(parts.filter("items is not null").select("host", "path", "items"))
+    distinct = parts.filter("page is not null").dropDuplicates(["host", "page"])
+    node = lambda x: F.struct(x["n_path"].alias("path"), F.lit(None).cast("long").alias("text"), x["n_parent"].alias("parent"), x["n_chars"].alias("chars"), x["n_links"].alias("links"))
+    text = lambda x: F.struct(x["t_path"].alias("path"), x["t_text"].alias("text"), F.lit(0).cast("long").alias("parent"), x["t_chars"].alias("chars"), F.lit(0).cast("long").alias("links"))
+    met = distinct.select("host", F.explode(F.concat(F.transform(F.arrays_zip("n_path", "n_parent", "n_chars", "n_links"), node), F.transform(F.arrays_zip("t_path", "t_text", "t_chars"), text))).alias("x")).select("host", "x.*")
+    sums = met.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    sums = written(sums.filter("text is null or n > 1"), "path-counts")
+    nodes, texts = sums.filter("text is null").drop("text"), sums.filter("text is not null")
+    size = nodes.filter(F.col("path") == ROOT).select("host", F.col("n").alias("pages"))
+    fixed = texts.join(size, "host").filter(f"pages >= {SEVERAL} and 2 * n > pages").groupBy("host", "path").agg(F.sum("chars").alias("fixed_chars"), F.array_sort(F.collect_list("text")).alias("fixed"))
+    weight = F.greatest(F.lit(0.0), F.col("chars") - (1 - LINK_WEIGHT) * F.col("links") - (1 - CONSTANT_WEIGHT) * F.coalesce("fixed_chars", F.lit(0)))
+    full = nodes.join(wrappers, ["host", "path"], "left").join(fixed, ["host", "path"], "left")
+    row = F.struct("path", "parent", "n", weight.alias("weight"), (F.col("chars") == F.coalesce("fixed_chars", F.lit(-1))).alias("constant"), F.coalesce("items", F.lit("[]")).alias("items"), F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
+    return full.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("model"))
+
+
+class Model:
+    """A host's wrapper as extraction needs it. Without pages of a host, a page is its own wrapper."""
+
+    def __init__(self, rows: list[dict]):
+        self.pages = next((r["n"] for r in rows if r["path"] == ROOT), 0)
+        self.own = {r["path"]: r["weight"] / r["n"] for r in rows}
+        self.constant = {r["path"] for r in rows if r["constant"]}
+        self.fixed = {(r["path"], t) for r in rows for t in r["fixed"]}
+        self.repeated = {path_id(r["path"], t) for r in rows for t, _, _, recurs in json.loads(r["items"]) if recurs}
+        total, below = {r["path"]: r["weight"] for r in rows}, {}
+        for r in rows:
+            below.setdefault(r["parent"], []).append(r["path"])
+        order, k = [ROOT] if ROOT in total else [], 0
+        while k < len(order):  # parents first
+            order += below.get(order[k], [])
+            k += 1
+        parent, n = {r["path"]: r["parent"] for r in rows}, {r["path"]: r["n"] for r in rows}
+        for path in reversed(order[1:]):
+            total[parent[path]] += total[path]
+        self.mean = {path: total[path] / n[path] for path in order}
+
+    @classmethod
+    def of_page(cls, page: Page) -> Model:
+        paths, parents, chars, links, *_ = _page_lists(page)
+        items = {}
+        for path, found in page.streams.items():
+            for text in sorted(found):
+                items[path] = align(items[path], json.loads(text)) if path in items else json.loads(text)
+        return cls([{"path": p, "parent": q, "n": 1, "weight": c - (1 - LINK_WEIGHT) * k, "constant": False, "items": json.dumps(items.get(p, [])), "fixed": []} for p, q, c, k in zip(paths, parents, chars, links, strict=True)])
+
+
+def region(page: Page, model: Model) -> int:
+    """The path that holds the greater part of what fills slots."""
+    below: dict[int, list[int]] = {}
+    for path, (parent, _, _) in page.nodes.items():
+        below.setdefault(parent, []).append(path)
+    at = ROOT
+    while True:
+        weights, content = {}, []
+        for path in below.get(at, []):
+            _, token, marked = page.nodes[path]
+            name = token.partition(".")[0]
+            weights[path] = model.mean.get(path, 0.0) * (MARKED_WEIGHT if marked else 1)
+            if name in CONTENT:
+                content.append(path)
+        total = model.own.get(at, 0.0) + sum(weights.values())
+        plain = [p for p in weights if model.pages >= SEVERAL and p not in model.repeated and page.nodes[p][1].partition(".")[0] not in PROSE and weights[p] > 0 and weights[p] >= REGION * total]
+        best = max(content, key=weights.__getitem__, default=None)
+        if best is not None and weights[best] >= CONTENT_REGION * total:
+            at = best
+        elif plain:
+            at = max(plain, key=weights.__getitem__)
+        else:
+            return at
+
+
+def region_name(page: Page, path: int) -> str:
+    names = []
+    while path != ROOT:
+        path, token, _ = page.nodes[path]
+        names.append(token)
+    return "/".join(reversed(names))
+
+
+def main_blocks(page: Page, model: Model | None = None) -> tuple[str, list[str]]:
+    """The region's path, and the texts that are kept, in page order."""
+    model = model or Model.of_page(page)
+    main = region(page, model)
+    inside = {main: True}
+    for path, (parent, _, marked) in page.nodes.items():
+        if path != main:
+            inside[path] = inside.get(parent, False) and not marked
+    found = [(path, text) for path, _, text in page.texts if inside[path]]
+    if main == ROOT:
+        kept = [text for path, text in found if not model.fixed or (path, text_hash(text)) not in model.fixed]
+    else:
+        kept = [text for path, text in found if path not in model.constant or path == main or page.nodes[path][1].partition(".")[0] in PROSE]
+    return region_name(page, main), kept or [text for _, text in found]
+
+
+def main_text(html: str, model: Model | None = None) -> str:
     """Blocks of the article, joined by newlines."""
-    found = [(content, text) for _, content, bad, text in blocks(html) if not bad]
-    if any(content for content, _ in found):
-        return "\n".join(text for content, text in found if content)
-    return "\n".join(text for _, text in found if not fixed or text_hash(text) not in fixed)
+    return "\n".join(main_blocks(Page(html), model)[1])
 
 
-_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("region", pa.string())])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def each():
-        cached: dict[str, set[int]] = {}
-        for page_id, url, page, host, shared in rows_of(batches):
-            if host not in cached:
-                if len(cached) > 5000:
-                    cached.clear()
-                cached[host] = set(shared or ())
-            yield page_id, url, main_text(page, cached[host])
+def _extract(models):
+    """Extraction with sent models, or with a model in each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            cached: dict[str, Model] = {}
+            for page_id, url, html, host, text in rows_of(batches):
+                if host not in cached:
+                    if len(cached) > 5000:
+                        cached.clear()
+                    text = text or models.value[host]
+                    cached[host] = Model(json.loads(text))
+                name, kept = main_blocks(Page(html, False), cached[host])
+                yield page_id, url, "\n".join(kept), name
+
+        yield from batched(each(), _TEXTS, 1000)
 
-    yield from batched(each(), _TEXTS, 1000)
+    return run
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    wrappers = written(infer_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.size(F.coalesce("shared", F.array())) + 100).alias("s")).first().s
-    if (size or 0) <= SENT_BYTES:
-        wrappers = F.broadcast(wrappers)  # of a measured size; beyond it an equi-join whose hot hosts are split
-    joined = _pages(pages).join(wrappers, "host", "left")
-    out = joined.select("page_id", "url", "html", "host", "shared").mapInArrow(_extract, "page_id long, url string, text string")
+    """page_id, url, text, region, n_chars of every page; region is the element path that the wrapper chose, empty for the whole page."""
+    models = written(infer_wrappers(pages), "wrappers")
+    size = models.agg(F.sum(F.length("model") + F.length("host") + 100).alias("s")).first().s
+    if (size or 0) <= SENT_BYTES:  # of a measured size
+        sent = pages.sparkSession.sparkContext.broadcast({r.host: r.model for r in models.collect()})
+        joined = _pages(pages).withColumn("model", F.lit(None).cast("string"))
+    else:
+        sent, joined = None, _pages(pages).join(models, "host")  # an equi-join; adaptive execution splits its hot hosts
+    out = joined.select("page_id", "url", "html", "host", "model").mapInArrow(_extract(sent), "page_id long, url string, text string, region string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
