@@ -1,19 +1,24 @@
 """N-gram Jaccard join: exact similarity self-join on word shingle sets.
 
-Method. Documents are laid out in size bands; two sets can only link inside a band or across
-neighbouring ones, so each band gives one tile of the join. Inside a tile documents are blocked
-by part signatures: the shingle universe is cut into more parts than linked sets can differ in,
-so at least one non-empty part of two linked sets is equal (no link is lost). Among documents that
-meet in a block, hashed bitmap signatures bound the overlap from above by bit counts; a block too large
-for one task is a star around its least document, which holds all its candidates. Documents
-that pass, directly or over others, form candidate groups; a group's texts are read again, wider
-bitmaps bound the overlap, and only pairs that pass get the exact intersection of sorted arrays. Groups too large for one task are cut into size-banded
-blocks that are compared pairwise.
+Method. Equal sets are one set from the start. Sets are laid out in size bands; two of them can only link
+inside a band or across neighbouring ones, so each band gives one tile of the join. Inside a tile sets are
+blocked by part signatures: the shingle universe is cut into more parts than linked sets can differ in, so at
+least one non-empty part of two linked sets is equal (no link is lost). Among sets that meet in a block,
+hashed bitmap signatures bound the overlap from above by bit counts; a block too large for one task is a star
+around its least document, which holds all its candidates. Sets that pass, directly or over others, form
+candidate groups; a group's texts are read again, wider bitmaps bound the overlap, and only pairs that pass
+get the exact intersection of sorted arrays.
+
+A group too large for one task is cut into size-banded blocks. First each block is compared within itself, then
+one document of every component found so far with the others of its group, and only documents that are still
+in different components are compared block against block, where bitmaps say beforehand which texts are needed.
+So a cluster of true near copies, whatever its size, takes work in proportion to its documents, and no link
+between documents of different components goes unlooked.
 
 Defined results: null text and text without words give an empty set, linked with nothing; a
-text with fewer words than the shingle width is one shingle; equal sets link; rows that share a
-doc_id are linked through it; rows with a null doc_id take no part and keep a null component;
-other columns are ignored, whatever their names."""
+text with fewer words than the shingle width is one shingle; very long texts are read whole; equal sets link;
+rows that share a doc_id are linked through it, repeated rows too; rows with a null doc_id take no part and
+keep a null component; an empty table gives no rows; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -40,41 +45,23 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 FEW = 12
 
 
-#: Bytes that separate words, and powers of an odd base and of its inverse modulo 2^64.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _WordHashes(dict):
+    """Hash of each word met, worked out once; forgets all when it has met very many."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers up to n; kept up to a size that covers all but the longest texts."""
-    if len(_powers[0]) >= n:
-        return _powers
-    tables = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        t = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
-        t[0] = 1
-        tables.append(np.cumprod(t, dtype=np.uint64))
-    if n <= 1 << 22:
-        _powers[:] = tables
-    return tables
 
+_known = _WordHashes()
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, lower-cased in ASCII; words are split at ASCII white space.
 
-    A word's bytes are a polynomial in the base, read off prefix sums over the whole text."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = np.concatenate(([False], ~_SPACE[b], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    if not len(edge):
-        return np.empty(0, np.uint64)
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + _ONE) * power[: len(b)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, lower-cased in ASCII; words are split at ASCII white space."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -206,47 +193,27 @@ def bounded_stars(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent:
         root[root == root[i]] = i
 
 
-_DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bitmap", pa.binary())])
-_SIGS = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bitmap", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _doc_rows(width: int):
+def _doc_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for doc_id, text in rows_of(batches):
                 s = shingle_set(text, width)
-                yield doc_id, len(s), set_key(s), bitmap(s)
+                yield doc_id, len(s), set_key(s), bitmap(s), part_signatures(s, percent).tolist() if len(s) and doc_id is not None else None
 
         yield from batched(each(), _DOCS, 10_000)
 
     return run
 
 
-def _signature_rows(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # equal sets of a partition go on once
-        for batch in batches:
-            sigs, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, width)
-                if doc_id is None or not len(s) or (key := set_key(s)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                sigs.append(part_signatures(s, percent))
-                docs.append(np.full(len(sigs[-1]), doc_id))
-            sig, doc = np.concatenate(sigs), np.concatenate(docs)
-            for i in range(0, len(sig), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + 200_000]), pa.array(doc[i : i + 200_000])], schema=_SIGS)
-
-    return run
-
-
-def compare(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> Iterator[tuple[int, int]]:
+def compare(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None, roots: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Links that span the components of these documents.
 
-    With ``sides`` (0 or 1 for each), only pairs across the two sides are looked at."""
+    With ``sides`` (0 or 1 for each), only pairs across the two sides are looked at; with ``roots``, only pairs
+    of different components."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     side = np.array([sides[i] for i in order]) if sides else None
@@ -256,7 +223,7 @@ def compare(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[in
     for row, s in zip(maps, sets, strict=True):
         at = s & np.uint64(bits - 1)
         np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    root = np.arange(len(ids))
+    root = np.unique([roots[i] for i in order], return_inverse=True)[1] if roots else np.arange(len(ids))
     for i in range(1, len(ids)):
         lo = int(np.searchsorted(sizes, -(-sizes[i] * percent // 100)))
         near = np.arange(lo, i)
@@ -279,6 +246,19 @@ def compare(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[in
                 root[root == root[j]] = root[i]
 
 
+def passing(rows: list[tuple], percent: int) -> set[int]:
+    """Positions of the rows (side, size, root, bitmap) whose bitmaps don't rule out a link across sides and components."""
+    sides, sizes, roots = (np.array([r[k] for r in rows]) for k in range(3))
+    maps, out = _folded([r[3] for r in rows]), set()
+    for i in np.flatnonzero(sides == sides.max()):
+        near = np.flatnonzero(((sides != sides[i]) if sides.max() else np.arange(len(rows)) < i) & (roots != roots[i]))
+        need = -(-percent * (sizes[near] + sizes[i]) // (100 + percent))
+        fits = near[(np.bitwise_count(maps[i] & ~maps[near]).sum(1) <= sizes[i] - need) & (np.bitwise_count(maps[near] & ~maps[i]).sum(1) <= sizes[near] - need)]
+        if len(fits):
+            out.update(fits.tolist(), (int(i),))
+    return out
+
+
 def _block_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -304,83 +284,149 @@ def _block_rows(percent: int):
     return run
 
 
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each tile, which come together and name it first."""
+    held: list[tuple] = []
+    for row in rows_of(batches):
+        if held and held[0][0] != row[0]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
 def _tile_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
-            key, ids, sets, sides = None, [], [], []
-            for tile, side, doc_id, text in rows_of(batches):
-                if tile != key and ids:
-                    yield from compare(ids, sets, percent, sides if any(sides) else None)
-                    ids, sets, sides = [], [], []
-                key = tile
-                ids.append(doc_id)
-                sets.append(shingle_set(text, width))
-                sides.append(side)
-            if ids:
-                yield from compare(ids, sets, percent, sides if any(sides) else None)
+            for rows in _by_tile(batches):
+                _, sides, roots, ids, texts = zip(*rows, strict=True)
+                yield from compare(list(ids), [shingle_set(t, width) for t in texts], percent, list(sides) if any(sides) else None, list(roots))
 
         yield from batched(each(), _EDGES, 10_000)
 
     return run
 
 
-def _tiles(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, tile, side): where each candidate document is compared.
+_NEEDED = pa.schema([("tile", pa.string()), ("side", pa.int32()), ("root", pa.int64()), ("doc_id", pa.int64())])
 
-    A small group is one tile. A large one is cut into blocks of a size band; a document goes to
-    the tiles of its own block with each block of its own and the neighbouring bands."""
-    band = F.floor(F.log(F.col("n_shingles").cast("double") + 0.5) / math.log(100 / percent))
-    docs = groups.join(sizes, "doc_id").withColumn("band", band)
-    per_band = docs.groupBy("component", "band").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
-    subs = F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES))
-    per_group = per_band.groupBy("component").agg(F.sum("c").alias("docs"), F.sum("s").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("band", subs.alias("subs")))).alias("blocks"))
-    docs = docs.join(per_group, "component")
-    small = docs.filter((F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= BLOCK_SHINGLES))
-    large = docs.filter((F.col("docs") > BLOCK_DOCS) | (F.col("shingles") > BLOCK_SHINGLES))
-    one = small.select("doc_id", F.concat_ws("/", "component").alias("tile"), F.lit(0).alias("side"))
 
-    def with_band(step: int):
-        return F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", F.col("band") + step) - 1), lambda k: F.struct((F.col("band") + step).alias("band"), k.alias("sub")))
+def _passing_rows(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for rows in _by_tile(batches):
+                for k in sorted(passing([(side, size, root, maps) for _, side, root, _, size, maps in rows], percent)):
+                    yield rows[k][:4]
+
+        yield from batched(each(), _NEEDED, 10_000)
+
+    return run
+
+
+def _blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` with the blocks (column ``subs``) that the documents of the same keys are cut into."""
+    sizes = docs.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    subs = F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES, F.lit(1)))
+    return docs.join(written(sizes.select(*keys, subs.alias("subs")), "block-counts"), keys)  # written: hot keys can be split
 
-    own = F.struct(F.col("band").alias("band"), F.col("sub").alias("sub"))
-    many = large.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.element_at("blocks", F.col("band"))))
-    many = many.withColumn("other", F.explode(F.flatten(F.filter(F.array(*(with_band(k) for k in (-1, 0, 1))), lambda x: x.isNotNull()))))
-    lo, hi = F.least(own, F.col("other")), F.greatest(own, F.col("other"))
-    many = many.select("doc_id", F.concat_ws("/", "component", lo["band"], lo["sub"], hi["band"], hi["sub"]).alias("tile"), F.when(own == F.col("other"), 0).when(own == lo, 1).otherwise(2).alias("side"))
-    return one.unionByName(many)
+
+def _band(percent: int):
+    return F.floor(F.log(F.col("n_shingles").cast("double") + 0.5) / math.log(100 / percent))
+
+
+def _cross_tiles(docs: DataFrame, percent: int) -> DataFrame:
+    """tile, side, root, doc_id, n_shingles, bitmap: where documents in different roots of a component meet.
+
+    A root with many documents of a band has blocks of its own, the others of the band share blocks. Blocks meet
+    those of their own and the neighbouring bands, but never others of the same root."""
+    docs = docs.withColumn("band", _band(percent))
+    of_root = docs.groupBy("component", "band", "root").agg(F.count("*").alias("of_root"))
+    docs = docs.join(written(of_root, "root-counts"), ["component", "band", "root"])
+    docs = docs.withColumn("kind", F.when(F.col("of_root") > BLOCK_DOCS, F.col("root").cast("string")).otherwise(""))
+    keys = ["component", "band", "kind"]
+    placed = written(_blocks(docs, keys).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs"))).select(*keys, "sub", "root", "doc_id", "n_shingles", "bitmap"), "placed")
+    kinds = placed.select(*keys).distinct()
+    side = lambda df, x: df.select("component", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "component"))
+    met = side(kinds, "a").join(side(kinds, "b"), "component").filter("abs(band_a - band_b) <= 1 and (kind_a <> kind_b or kind_a = '')")
+    met = met.filter(F.struct("band_a", "kind_a") <= F.struct("band_b", "kind_b"))
+    blocks = placed.select(*keys, "sub").distinct()
+    pairs = met.join(side(blocks, "a"), ["component", "band_a", "kind_a"]).join(side(blocks, "b"), ["component", "band_b", "kind_b"])
+    pairs = pairs.filter("(band_a, kind_a) <> (band_b, kind_b) or sub_a <= sub_b")
+    own = F.expr("(band_a, kind_a, sub_a) = (band_b, kind_b, sub_b)")
+    pairs = written(pairs.withColumn("tile", F.concat_ws("/", "component", "band_a", "kind_a", "sub_a", "band_b", "kind_b", "sub_b")).withColumn("own", own), "block-pairs")
+    first, second = (pairs.select("component", *(F.col(f"{c}_{x}").alias(c) for c in ("band", "kind", "sub")), "tile", F.when(F.col("own"), 0).otherwise(k).alias("side")) for k, x in ((1, "a"), (2, "b")))
+    ends = first.unionByName(second.filter("side = 2"))
+    return placed.join(ends, [*keys, "sub"]).select("tile", "side", "root", "doc_id", "n_shingles", "bitmap")
 
 
 def signature_blocks(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sig, doc_id) of blocks that are compared, and edges (a, b) that span the larger ones.
 
     Blocks are counted by a pre-aggregated group and an equi-join that adaptive execution can split."""
-    sigs = written(sigs, "signatures")
     blocks = written(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "blocks")
     met = sigs.join(blocks, "sig")
     star = met.filter(F.col("n") > BLOCK_DOCS).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
     return met.filter(F.col("n") <= BLOCK_DOCS).select("sig", "doc_id"), star
 
 
+def _rooted(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """``docs`` with the roots that the links give, of components that still have several."""
+    found = written(connected_components(links).select(F.col("node").alias("root"), F.col("component").alias("to")), "found")
+    docs = docs.join(found, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+    docs = written(docs, "rooted")
+    open_ones = docs.groupBy("component").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("component")
+    return docs.join(written(open_ones, "open"), "component")
+
+
+def group_links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of documents within candidate groups (doc_id, component)."""
+    docs = groups.join(nodes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
+    docs = written(docs.withColumn("root", F.col("doc_id")), "grouped")
+    sizes = docs.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    docs = docs.join(written(sizes, "group-sizes"), "component")
+    is_small = (F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= BLOCK_SHINGLES)
+
+    def links(tiles: DataFrame) -> DataFrame:
+        placed = tiles.select("tile", "side", "root", "doc_id").join(texts, "doc_id").select("tile", "side", "root", "doc_id", "text")
+        return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_rows(width, percent), "a long, b long")
+
+    def of_blocks(docs: DataFrame, keys: list[str], seed: int) -> DataFrame:
+        placed = _blocks(docs, keys).withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("subs")))
+        return written(links(placed.select(F.concat_ws("/", *keys, "sub").alias("tile"), F.lit(0).alias("side"), "root", "doc_id")), "links")
+
+    large = docs.filter(~is_small).select("component", "root", "doc_id", "n_shingles")
+    found = links(docs.filter(is_small).select(F.col("component").cast("string").alias("tile"), F.lit(0).alias("side"), "root", "doc_id"))
+    if large.isEmpty():
+        return found
+    # documents of like size first, then all sizes mixed, then whatever is still apart
+    banded = of_blocks(large.withColumn("band", _band(percent)), ["component", "band"], 1)
+    apart = _rooted(large, banded)
+    mixed = of_blocks(apart, ["component"], 2)
+    apart = _rooted(apart, mixed)
+    maps = nodes.groupBy("doc_id").agg(F.max_by("bitmap", "n_shingles").alias("bitmap"))
+    met = _cross_tiles(apart.join(maps, "doc_id"), percent)
+    needed = met.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "root", "doc_id", "n_shingles", "bitmap").mapInArrow(_passing_rows(percent), "tile string, side int, root long, doc_id long")
+    return found.unionByName(banded).unionByName(mixed).unionByName(links(written(needed, "needed")))
+
+
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text).
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(texts.mapInArrow(_doc_rows(width), "doc_id long, n_shingles long, set_hash binary, bitmap binary"), "shingle-sets")
-    sigs = texts.mapInArrow(_signature_rows(width, percent), "sig long, doc_id long")
-    met, star = signature_blocks(sigs)
-    known = every.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bitmap").distinct()
-    placed = met.join(written(known, "bitmaps"), "doc_id").select("sig", "doc_id", "n_shingles", "bitmap")
+    every = written(texts.mapInArrow(_doc_rows(width, percent), "doc_id long, n_shingles long, set_hash binary, bitmap binary, sigs array<bigint>"), "shingle-sets")
+    known = every.filter("doc_id is not null and n_shingles > 0")
+    # of equal sets, the least document goes on; all else depends on the set alone
+    nodes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bitmap", "sigs"))), "sets")
+    met, star = signature_blocks(nodes.select(F.explode("sigs").alias("sig"), "doc_id"))
+    placed = met.join(nodes.select("doc_id", "n_shingles", "bitmap"), "doc_id").select("sig", "doc_id", "n_shingles", "bitmap")
     candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").unionByName(star).distinct()
-    groups = written(connected_components(candidates).withColumnRenamed("node", "doc_id"), "candidates")
-    sizes = every.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    tiles = _tiles(groups, sizes, percent)
-    placed = tiles.join(texts, "doc_id").select("tile", "side", "doc_id", "text").repartition("tile").sortWithinPartitions("tile")
-    links = placed.mapInArrow(_tile_rows(width, percent), "a long, b long")
-    linked = connected_components(links)
-    roots = every.join(linked.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("set_hash").agg(F.min("component").alias("root"))
-    roots = written(roots, "roots")  # apart from the join below, so that its hot keys can be split
-    keyed = every.join(roots, "set_hash", "left").withColumn("g", F.coalesce(F.col("root").cast("string").cast("binary"), "set_hash"))
-    least = keyed.filter("n_shingles > 0 and doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    out = keyed.join(written(least, "least"), "g", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    groups = connected_components(candidates).withColumnRenamed("node", "doc_id")
+    links = group_links(groups, nodes, texts, width, percent)
+    # a document with several texts links their sets
+    several = known.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi").select("doc_id")
+    shared = known.select("doc_id", "set_hash").join(written(several, "several"), "doc_id").join(nodes.select("set_hash", F.col("doc_id").alias("b")), "set_hash").select(F.col("doc_id").alias("a"), "b")
+    linked = connected_components(links.unionByName(shared)).withColumnRenamed("node", "doc_id")
+    least = nodes.select("set_hash", "doc_id").join(linked, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("least"))
+    out = every.select("doc_id", "n_shingles", "set_hash").join(written(least, "least"), "set_hash", "left")  # written: a hot set can be split
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))

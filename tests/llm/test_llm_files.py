@@ -146,6 +146,44 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 80)
 
 
+def chained_groups(seed):
+    """Clusters of near copies of all sizes, joined to each other by a passage that makes them candidates but not links."""
+    rng = random.Random(seed)
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for c in range(6):
+        base = [f"c{c}w{k}" for k in range(rng.choice([4, 6, 9, 12]))]
+        for _ in range(rng.choice([1, 2, 15, 30])):
+            w = passage + base + [f"t{rng.randrange(50)}" for _ in range(rng.randrange(4))]
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_over_many_blocks_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 6)
+    rows = chained_groups(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    want = brute_components(rows, 2, 80)
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_documents_with_several_texts_link_them(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (3, b), (9, c), (9, c), (None, a), (12, "a" * 3_000_000 + " " + c)]
+    got = sorted((str(r.doc_id), r.component_id) for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == sorted([("1", 1), ("5", 1), ("5", 1), ("3", 1), ("9", 9), ("9", 9), ("None", None), ("12", 9)])
+
+
+def test_different_words_have_different_hashes():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    x = ngram_join.word_hashes(f"{a} {b} Word word\x0bw\u00a0x É é")
+    assert x[0] != x[1] and x[2] == x[3] and len(x) == 7 and x[5] != x[6]
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, None)], "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(df, 3, 90).collect()} == {(None, 1, None), (1, 0, 1)}
