@@ -6,8 +6,9 @@ uniform number that a hash of the document and a seed gives, so a rerun repeats
 are exploded by their counts, and the copies are shuffled by a hash of document and copy number.
 
 Defined results: a null source is a source of its own; rows that share id, source and text get
-the same count; a source with target weight 0 is left out; an empty table gives no rows; all other
-columns are passed on, and a clashing name is overwritten by the operator's own column."""
+the same count; a source with target weight 0 is left out; very long texts are passed on whole; an empty table
+gives no rows; all other columns are passed on, whatever their names, but for input columns named n_copies, copy
+or shuffle_key, which the operator's own replace."""
 
 from __future__ import annotations
 
@@ -53,17 +54,19 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The copies: all columns of ``docs``, n_copies, copy (from 0) and shuffle_key, in shuffled order."""
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rates = written(repetition_rates(docs, weights, temperature).toDF("__source", "__rate"), "rates")
+    rates = written(repetition_rates(docs, weights, temperature), "rates")
     if rates.count() <= SENT:
         rates = F.broadcast(rates)  # a few thousand pairs, counted; beyond that an equi-join whose hot keys are split
-    rows = docs.withColumn("__source", key).join(rates, "__source")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MEAN).cast("int"))
+    # the documents' own columns travel in one struct, so that no name can clash
+    passed = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    of_part = lambda i: poisson(F.col("__rate") / parts, uniform(F.lit(str(seed)), who, i.cast("string")))
-    rows = rows.withColumn("n_copies", F.when(F.col("__rate") > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + of_part(i))).otherwise(0))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in passed)).alias("row"), key.alias("source_key"), who.alias("who")).join(rates, "source_key")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN).cast("int"))
+    of_part = lambda i: poisson(F.col("rate") / parts, uniform(F.lit(str(seed)), F.col("who"), i.cast("string")))
+    rows = rows.withColumn("n_copies", F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + of_part(i))).otherwise(0))
     copies = rows.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), who, "copy"))).drop("__source", "__rate")
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = copies.select("row", "n_copies", "copy", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), "who", "copy")).alias("shuffle_key"))
+    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", "n_copies", "copy", "shuffle_key")
 
 
 SQL = f"""

@@ -2,12 +2,14 @@
 
 Method. Bounded-space online best fit: a packer keeps a fixed number of open bins. A bitset whose
 bit ``f`` says that some open bin has ``f`` tokens free finds the tightest bin by one shift; if
-none fits, a bin is opened, and when too many are open the fullest closes first. Spark deals the
-pieces out by a hash, and every partition packs its own share in a fixed order, a few thousand at a
-time by falling length, so a retried task repeats its result. Token ids are written once and don't travel: only lengths are shuffled.
+none fits, a bin is opened, and when too many are open the fullest closes first. The packer is online: it
+places each piece as it comes and never moves it. Spark settles in which order pieces come: it deals them out
+by a hash, and sorts a partition by windows of about WINDOW pieces (by hash) and falling length within a
+window. The order depends on the pieces alone, so a retried task repeats its result, whatever the size of its
+Arrow batches. Token ids are written once and don't travel: only lengths are shuffled.
 
 Defined results: null text is the empty text and still gives its end token; only documents longer
-than a sequence are cut; repeated rows are packed once each; an empty table gives no rows; other
+than a sequence are cut, and very long ones give as many pieces as they take; repeated rows are packed once each; an empty table gives no rows; other
 columns are ignored, whatever their names."""
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from fleethealth.llm.common import batched, rows_of, written
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
-#: Pieces that are put in order of falling length before they are placed.
-LOOK_AHEAD = 4000
+#: Pieces of a window, about; they come by falling length.
+WINDOW = 4000
 #: Pieces that one packer gets; more of them leave fewer bins half full.
 PIECES_PER_TASK = 150_000
 
@@ -170,20 +172,19 @@ def _pack(size: int, open_bins: int, length_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(size, open_bins), TaskContext.get().partitionId() << 36
         for batch in batches:
-            lengths, placed = batch.column(length_at).to_pylist(), [(0, 0)] * batch.num_rows
-            for at in range(0, len(lengths), LOOK_AHEAD):
-                for k in sorted(range(at, min(len(lengths), at + LOOK_AHEAD)), key=lambda k: -lengths[k]):
-                    placed[k] = bins.place(lengths[k])
+            placed = [bins.place(n) for n in batch.column(length_at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     return run
 
 
-def best_fit(pieces: DataFrame, keys: list[str], size: int = SEQUENCE, open_bins: int = OPEN_BINS, tasks: int = 1) -> DataFrame:
+def best_fit(pieces: DataFrame, keys: list[str], size: int = SEQUENCE, open_bins: int = OPEN_BINS, tasks: int = 1, windows: int = 1) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``length`` is from 1 to ``size``.
 
-    ``keys`` names columns that fix the order; ``tasks`` is the number of packers."""
-    shuffled = pieces.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(F.xxhash64(*keys, F.lit(7)), *keys)
+    ``keys`` names columns that fix the order; ``tasks`` is the number of packers, each of which gets its pieces
+    in so many ``windows`` of falling length."""
+    window = F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(windows))
+    shuffled = pieces.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(window, F.desc("length"), F.xxhash64(*keys, F.lit(9)), *keys)
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return shuffled.mapInArrow(_pack(size, open_bins, pieces.columns.index("length")), f"{fields}, sequence_id long, offset long")
 
@@ -191,8 +192,9 @@ def best_fit(pieces: DataFrame, keys: list[str], size: int = SEQUENCE, open_bins
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     pieces = written(token_pieces(docs, tokenizer_path, size, with_ids=False).drop("ids"), "pieces")
-    tasks = max(1, math.ceil(pieces.count() / PIECES_PER_TASK))
-    return best_fit(pieces, ["doc_id", "piece", "ids_crc32"], size, tasks=tasks)
+    n = pieces.count()
+    tasks = max(1, math.ceil(n / PIECES_PER_TASK))
+    return best_fit(pieces, ["doc_id", "piece", "ids_crc32"], size, tasks=tasks, windows=max(1, math.ceil(n / tasks / WINDOW)))
 
 
 def sequences(pieces_with_ids: DataFrame, placed: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Method. Grades 0 (clean) to 3 (severe) have P(grade <= k) = sigmoid(theta_k - w.x), with one weight
 vector for all ordered thresholds. Features are words and word beginnings, so that inflected words
-share weight; a feature's value is the logarithm of its rate in the document. Those that lean to
-toxic rows and depend most on the label, by chi-squared, are used, so a text without any is clean. Labels only say toxic or not, so the grades of
-the training rows are derived: toxic rows are ranked by their rate of words that toxic rows use
-far more often, and cut in thirds. The model is fitted on a bounded sample of labelled rows
-(``sample``, by hash of the id) and applied to all rows.
+share weight; a feature's value is the logarithm of its rate in the document. Every feature that leans to
+toxic rows and depends on the label, by a chi-squared test at SIGNIFICANT, is used, so a text without any is
+clean. Labels only say toxic or not, so the grades of the training rows are derived: toxic rows are ranked by
+their rate of words that toxic rows use far more often, and cut in thirds. The model is fitted on a bounded
+sample of labelled rows (``sample``, by hash of the id), which bounds its features too, and applied to all rows.
 
 Defined results: null or wordless text has no features and gets the model's base severity; a label
-row without its document, or with a null label, is not used; without labels of both kinds every
-document gets severity 0; rows are kept as they come, repeated ones too; other columns are ignored."""
+row without its document, or with a null label, is not used; of documents with one id, one text (the least) is
+fitted on, and repeated label rows count once; without labels of both kinds every
+document gets severity 0; very long texts are read whole; rows are kept as they come, repeated ones too; an
+empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from fleethealth.llm.common import batched, rows_of, written
 
-#: Labelled rows that the model is fitted on, and features that it weighs, at most.
-SAMPLE, FEATURES = 8000, 3000
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE = 8000
+#: Chi-squared with one degree of freedom from which on a feature is used: one in a thousand by chance.
+SIGNIFICANT = 10.83
 #: Rows of the sample that have a feature, at least. Lengths of word beginnings.
 LEAST_ROWS, PREFIXES = 4, range(4, 10)
 GRADES = 4
@@ -153,9 +157,10 @@ def _sparse_rows(index: dict[str, int]):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """The model, fitted on at most ``sample`` labelled rows."""
-    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "labelled")  # at most `sample` ids are sent
+    met = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids are sent
+    rows = written(met.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "text"), "labelled")
     kinds = rows.agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).first()
     if not kinds.clean or not kinds.toxic:
         return OrdinalModel([], [], [])
@@ -163,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     by_feature = rows.mapInArrow(_feature_rows, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_ROWS)
     lean = F.col("b") * n0 - F.col("a") * n1
     chi = lean * lean * (n0 + n1) / (n0 * n1 * (F.col("a") + F.col("b")) * (n0 + n1 - F.col("a") - F.col("b") + 1))
-    best = by_feature.withColumn("chi", chi).filter(lean > 0).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    best = by_feature.withColumn("chi", chi).filter((lean > 0) & (F.col("chi") >= SIGNIFICANT)).orderBy(F.desc("chi"), "feature").collect()  # of the sample alone
     features = [r.feature for r in best]
     marker = np.array([r.b / n1 > 8 * (r.a + 0.5) / n0 and not r.feature.startswith("^") for r in best])
     got = rows.mapInArrow(_sparse_rows({f: i for i, f in enumerate(features)}), "toxic int, n long, ids array<int>, tf array<int>").collect()
@@ -181,7 +186,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_tox
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, severity, p_toxic, grade, toxic of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample bounds its weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()

@@ -6,13 +6,14 @@ what it inflates to starts with a WARC header, and owns the records whose member
 range, reading past the range's end to finish the last one.
 
 Which record keeps a payload is settled before writing by a pre-aggregated maximum over the payload
-digest and an equi-join, so a payload with very many copies meets no single task. Archives go to
+digest, written before an equi-join that adaptive execution splits, so a payload with very many copies meets
+no single task. Archives go to
 the shared folder; a task writes under a name of its own attempt, and only names that finished
 tasks returned are read.
 
 Defined results: null html is an empty payload; null ids are written as such, count as the smallest,
-and come back null; repeated rows of the largest id are all responses; an empty table gives no rows;
-other columns are ignored."""
+and come back null; repeated rows of the largest id are all responses; a very long payload is one record,
+which one task inflates and holds whole; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -41,6 +42,7 @@ def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     long = F.octet_length("html") >= least
     groups = rows.filter(long).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     refers = F.when(long & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    groups = written(groups, "payload-keepers")  # apart from the join, so that a digest with very many rows can be split
     return rows.join(groups, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
@@ -116,10 +118,10 @@ class Range:
     """Bytes of an archive from ``start`` on, fetched as needed."""
 
     def __init__(self, source, start: int):
-        self.source, self.start, self.data = source, start, b""
+        self.source, self.start, self.data = source, start, bytearray()
         source.seek(start)
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """The bytes from start; at least as far as the place ``end``, if the archive has them."""
         while self.start + len(self.data) < end and (more := self.source.read(max(_CHUNK, end - self.start - len(self.data)))):
             self.data += more
@@ -147,10 +149,10 @@ def read_range(source, start: int, end: int) -> Iterator[tuple[dict[str, str], b
     held, at = Range(source, start), start
     while at < end:
         data = held.upto(min(end, at + _CHUNK) + len(MAGIC) - 1)
-        found = data.find(MAGIC, at - start)
+        found, size = data.find(MAGIC, at - start), len(data)
         if found < 0:
-            at = max(at, start + len(data) - len(MAGIC) + 1)
-            if at >= end or len(held.upto(at + len(MAGIC) + 1)) == len(data):
+            at = max(at, start + size - len(MAGIC) + 1)
+            if at >= end or len(held.upto(at + len(MAGIC) + 1)) == size:
                 return
             continue
         at = start + found

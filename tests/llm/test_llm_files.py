@@ -9,6 +9,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -419,6 +420,49 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and {r.doc_id for r in out.collect()} <= kept[2]
 
 
+def test_stages_with_nulls_repeats_and_other_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k} lake" for k in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (1, long + " more", "b"), (2, long, None), (None, long, "a"), (None, None, None), (3, None, "a"), (4, "", "a"), (4, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("rate", "row", "who", "component", "copy")})
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, str(tmp_path))
+            got = out.collect()
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            if name == "ngram_jaccard_join" and df is docs:
+                assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, [(1, long), (None, long), (None, None), (3, None), (4, "")]))
+            if name == "quality_rules" and df is docs:
+                assert len(got) == 5
+
+
+def test_hot_payloads_are_split(spark):
+    """Half of all rows share a payload: with the keeper table written first, the join's skewed side is one that adaptive execution can deal out."""
+    pages = spark.createDataFrame([(i, None, "x" * 2000 if i % 2 else f"{i} " * 600) for i in range(400)], "page_id long, url string, html string")
+    plan = warc.decide(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and plan.count("Join") == 1
+    assert {r.refers_to for r in warc.decide(pages).collect() if r.page_id % 2} == {399, None}
+
+
+@pytest.mark.parametrize("split", [1 << 16, 1 << 22])
+def test_long_payloads_come_back(spark, split):
+    rng = random.Random(4)
+    rows = [(i, "u", "".join(chr(rng.randrange(32, 500)) for _ in range(n))) for i, n in enumerate([3_000_000, 10, 1_200_000])]
+    made = warc.write_archives(warc.decide(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)))
+    got = {r.record_id: bytes(r.payload).decode() for r in warc.read_archives(made, split).collect()}
+    assert got == {f"<urn:page:{i}>": html for i, _, html in rows}
+
+
+def test_batches_are_bounded_by_bytes():
+    from fleethealth.llm.common import batched
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.binary())])
+    got = list(batched(((i, b"x" * 400) for i in range(100)), schema, 50, 8000))
+    assert sum(b.num_rows for b in got) == 100 and max(b.num_rows for b in got) <= 8
+
+
 def test_both_forms_of_the_bound_agree():
     for seed in range(6):
         rows = [r for r in near_copies(seed, 200) if 8 <= len(r[1].split()) <= 14][:12]

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleethealth.llm import chat_format, license_scan, mixing, packing, quality_rules, toxicity
@@ -162,6 +164,31 @@ def test_thresholds_are_ordered_and_held_out_rows_are_found(spark):
     assert toxicity.fit_toxicity(df, lab).weights == model.weights
 
 
+def brute_scores(texts, model):
+    """Severity and probability from the model's weights, by plain loops over prefixes and words."""
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\W\d_]+", (t or "").lower())
+        x = 0.0
+        for f, weight in zip(model.features, model.weights, strict=True):
+            n = sum(f == y or f[0] == "^" and 4 <= len(f) - 1 <= 9 and len(y) >= len(f) - 1 and y.startswith(f[1:]) for y in w)
+            x += weight * np.log1p(200 * n / (len(w) + 10))
+        above = [1 - 1 / (1 + np.exp(-(b - x))) for b in model.thresholds]
+        out.append((sum(above), above[0]))
+    return out
+
+
+def test_scores_against_brute_force_and_repeats_fit_once(spark, docs):
+    lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit_toxicity(docs, lab)
+    assert toxicity.fit_toxicity(docs.unionByName(docs), lab.unionByName(lab)) == model
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    rows = spark.createDataFrame([*rows, (-1, "x " * 200_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.severity, r.p_toxic) for r in toxicity.score_toxicity(rows, model).collect()}
+    for r, (severity, p) in zip(rows.collect(), brute_scores([r.text for r in rows.collect()], model), strict=True):
+        assert abs(got[r.doc_id][0] - severity) < 1e-6 and abs(got[r.doc_id][1] - p) < 1e-6
+
+
 def test_no_labels_means_no_severity(spark, docs):
     lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, lab)
@@ -210,6 +237,57 @@ def test_regions_of_templates():
         license_scan.compile_template("[[all]]", "x")
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_texts_match_and_altered_ones_are_refused():
+    scanner = license_scan.Scanner(license_scan.BASE_PHRASES, license_scan.TEMPLATES)
+    labels = lambda t: {x[2] for x in scanner.scan(t)[1]}
+    assert labels("Copyright 2020 X\n" + MIT) == {"mit-text"} and labels(MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME, INC.")) == {"mit-text"}
+    assert not labels(MIT.replace("subject to the following conditions", "provided you pay a fee")) and not labels(MIT[:-20])
+    bsd2, bsd3 = (next(t for t, x in license_scan.LICENSES.items() if x == f"bsd-{k}-clause-text") for k in (2, 3))
+    fill = lambda t: re.sub(r"<<\d+>>", "the regents", re.sub(r"\[\[.*?\]\]", "", t))
+    assert labels(fill(bsd2)) == {"bsd-2-clause-text"} and labels(fill(bsd3)) == {"bsd-3-clause-text"}
+    for template, label in license_scan.LICENSES.items():
+        w = fill(template).split()
+        assert label in labels(" ".join(w)) and label not in labels(" ".join([*w[:9], "not", *w[9:]])) and label not in labels(" ".join(w[:-1]))
+
+
+def read_out(parts, most=4):
+    """All token patterns of a template given as parts: a word, ("?", parts) or ("*", n)."""
+    if not parts:
+        return {()}
+    head, rest = parts[0], read_out(parts[1:], most)
+    if isinstance(head, str):
+        first = {(head,)}
+    elif head[0] == "?":
+        first = {(), *read_out(head[1], most)}
+    else:
+        first = {(None,) * k for k in range(head[1] + 1)}
+    return {a + b for a in first for b in rest}
+
+
+def marked_up(parts):
+    return " ".join(p if isinstance(p, str) else f"[[ {marked_up(p[1])} ]]" if p[0] == "?" else f"<<{p[1]}>>" for p in parts)
+
+
+TEMPLATE = st.lists(st.one_of(st.sampled_from("abc"), st.tuples(st.just("*"), st.integers(1, 2)), st.tuples(st.just("?"), st.lists(st.one_of(st.sampled_from("abc"), st.tuples(st.just("*"), st.integers(1, 2))), min_size=1, max_size=3))), max_size=5)
+
+
+@given(TEMPLATE, st.lists(st.sampled_from("abcd"), max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_automata_against_brute_force(parts, tokens):
+    parts = ["a", *parts]
+    patterns, tokens = read_out(parts), ["a", *tokens]
+    fits = [len(p) for p in patterns if len(p) <= len(tokens) and all(x is None or x == t for x, t in zip(p, tokens, strict=False))]
+    got = license_scan.compile_template(marked_up(parts), "x").match([t.encode() for t in tokens], 0)
+    assert got == max(fits, default=-1)
+
+
 def test_method_adds_labels(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under CC BY-NC 4.0."), (4, "This work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
