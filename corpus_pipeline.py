@@ -13,30 +13,38 @@ from fleethealth.llm import mixing, ngram_join, packing, quality_rules, toxicity
 from fleethealth.llm.common import table, written
 from fleethealth.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.kept_rows(docs).select(COLUMNS)
+    """Documents that break no rule stay; null and empty texts go, repeated rows fare alike, very long texts are read whole."""
+    return quality_rules.kept_rows(docs).select(docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on labelled rows of the documents that are left."""
-    return toxicity.clean_rows(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))).select(COLUMNS)
+    """Clean documents stay, by a model fitted on labelled rows of the documents that are left. Null texts are clean;
+    without labels of both kinds all stay; repeated rows fare alike."""
+    return toxicity.clean_rows(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; rows without an id stay too."""
+    """One document of each group stays: that with the smallest id, and of several rows with that id the least.
+
+    Rows without an id stay; a document without words is linked with no other id."""
     found = ngram_join.ngram_jaccard_components(docs, width=5, percent=80)
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    others = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    several = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    if several.isEmpty():
+        return kept
+    least = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(least)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.poisson_mix(docs).select(COLUMNS)
+    """Copies of documents by their sources' rates; a null source is a source of its own."""
+    return mixing.poisson_mix(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy's token pieces with their places; null texts give their end token alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -46,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*(F.col(c) for c in COLUMNS))
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
