@@ -67,25 +67,59 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+#: Edges that a task unites at once before components are looked for.
+UNITED = 500_000
+_STARS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every node of some edges, the smallest node that these edges lead to."""
+
+    def stars(edges: list[tuple]) -> Iterator[tuple]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        yield from ((x, top) for x in root if (top := find(x)) != x)
+
+    def each():
+        held = []
+        for edge in rows_of(batches):
+            held.append(edge)
+            if len(held) >= UNITED:
+                yield from stars(held)
+                held = []
+        yield from stars(held)
+
+    yield from batched(each(), _STARS, 20_000)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (a, b); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps until nothing changes. A step's minima are pre-aggregated and
-    written before they are joined, so that adaptive execution splits the join of a node with very many edges;
-    every round is written to the shared folder. Nodes without an edge are absent."""
-    stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars, before = written(stars, "cc"), None
+    Tasks unite their own edges first. Then each round gives a node the least label among its neighbours, and
+    the label of its label, until nothing changes. Labels are written before they are joined, a row per node, so
+    that adaptive execution splits the join of a node with very many edges; minima are pre-aggregated. Nodes
+    without an edge to another are absent."""
+    pairs = edges.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
+    pairs = written(pairs.mapInArrow(_united, "u long, v long"), "edges")
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    before = None
     while True:
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
+        beside = both.unionByName(labels.select("u", F.col("u").alias("v"))).join(labels.select(F.col("u").alias("v"), "label"), "v")
+        labels = written(beside.groupBy("u").agg(F.min("label").alias("label")), "labels")
+        labels = written(labels.join(labels.select(F.col("u").alias("label"), F.col("label").alias("next")), "label").select("u", F.col("next").alias("label")), "labels")
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("u", "label").cast("decimal(38,0)"))).first()
+        if now == before:
+            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
         before = now
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "cc-large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        stars = written(small, "cc")
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

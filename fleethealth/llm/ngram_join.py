@@ -9,10 +9,9 @@ around its least document, which holds all its candidates. Sets that pass, direc
 candidate groups; a group's texts are read again, wider bitmaps bound the overlap, and only pairs that pass
 get the exact intersection of sorted arrays.
 
-A group too large for one task is cut into size-banded blocks. First each block is compared within itself, then
-one document of every component found so far with the others of its group, and only documents that are still
-in different components are compared block against block, where bitmaps say beforehand which texts are needed.
-So a cluster of true near copies, whatever its size, takes work in proportion to its documents, and no link
+A group too large for one task is cut into size-banded blocks, and a few documents of every band are added to
+each block of their group. First each block is compared within itself; only documents that are still in different
+components are then compared block against block, where bitmaps say beforehand which texts are needed. So a cluster of true near copies, whatever its size, takes work in proportion to its documents, and no link
 between documents of different components goes unlooked.
 
 Defined results: null text and text without words give an empty set, linked with nothing; a
@@ -29,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleethealth.llm.common import batched, connected_components, rows_of, written
@@ -43,6 +42,8 @@ BAND_RATIO = 1.5
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Documents of a block that are compared as integers, at most.
 FEW = 12
+#: Documents of each band of a large group that all its blocks share.
+SHARED = 16
 
 
 class _WordHashes(dict):
@@ -365,7 +366,7 @@ def signature_blocks(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Blocks are counted by a pre-aggregated group and an equi-join that adaptive execution can split."""
     blocks = written(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "blocks")
     met = sigs.join(blocks, "sig")
-    star = met.filter(F.col("n") > BLOCK_DOCS).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    star = met.filter(F.col("n") > BLOCK_DOCS).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b")
     return met.filter(F.col("n") <= BLOCK_DOCS).select("sig", "doc_id"), star
 
 
@@ -390,23 +391,24 @@ def group_links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, width: in
         placed = tiles.select("tile", "side", "root", "doc_id").join(texts, "doc_id").select("tile", "side", "root", "doc_id", "text")
         return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_rows(width, percent), "a long, b long")
 
-    def of_blocks(docs: DataFrame, keys: list[str], seed: int) -> DataFrame:
-        placed = _blocks(docs, keys).withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("subs")))
-        return written(links(placed.select(F.concat_ws("/", *keys, "sub").alias("tile"), F.lit(0).alias("side"), "root", "doc_id")), "links")
-
-    large = docs.filter(~is_small).select("component", "root", "doc_id", "n_shingles")
     found = links(docs.filter(is_small).select(F.col("component").cast("string").alias("tile"), F.lit(0).alias("side"), "root", "doc_id"))
+    large = docs.filter(~is_small).select("component", "root", "doc_id", "n_shingles")
     if large.isEmpty():
         return found
-    # documents of like size first, then all sizes mixed, then whatever is still apart
-    banded = of_blocks(large.withColumn("band", _band(percent)), ["component", "band"], 1)
-    apart = _rooted(large, banded)
-    mixed = of_blocks(apart, ["component"], 2)
-    apart = _rooted(apart, mixed)
+    placed = _blocks(large.withColumn("band", _band(percent)), ["component", "band"])
+    placed = written(placed.withColumn("tile", F.concat_ws("/", "component", "band", F.pmod(F.xxhash64("doc_id"), F.col("subs")))), "placed")
+    # the same few documents in all blocks of a group: near copies in different blocks meet through them
+    order = F.row_number().over(Window.partitionBy("component", "band").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    shared = placed.withColumn("_rn", order).filter(F.col("_rn") <= SHARED).select("component", "root", "doc_id")
+    tiles = placed.select("tile", "root", "doc_id").unionByName(placed.select("component", "tile").distinct().join(written(shared, "shared"), "component").select("tile", "root", "doc_id")).distinct()
+    within = written(links(tiles.withColumn("side", F.lit(0))), "links")
+    apart = written(_rooted(large, within), "apart")
+    if apart.isEmpty():
+        return found.unionByName(within)
     maps = nodes.groupBy("doc_id").agg(F.max_by("bitmap", "n_shingles").alias("bitmap"))
     met = _cross_tiles(apart.join(maps, "doc_id"), percent)
     needed = met.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "root", "doc_id", "n_shingles", "bitmap").mapInArrow(_passing_rows(percent), "tile string, side int, root long, doc_id long")
-    return found.unionByName(banded).unionByName(mixed).unionByName(links(written(needed, "needed")))
+    return found.unionByName(within).unionByName(links(written(needed, "needed")))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -420,7 +422,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     nodes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bitmap", "sigs"))), "sets")
     met, star = signature_blocks(nodes.select(F.explode("sigs").alias("sig"), "doc_id"))
     placed = met.join(nodes.select("doc_id", "n_shingles", "bitmap"), "doc_id").select("sig", "doc_id", "n_shingles", "bitmap")
-    candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").unionByName(star).distinct()
+    candidates = placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_block_rows(percent), "a long, b long").unionByName(star)
     groups = connected_components(candidates).withColumnRenamed("node", "doc_id")
     links = group_links(groups, nodes, texts, width, percent)
     # a document with several texts links their sets
