@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleethealth.functions.quantiles import exact_quantiles
+from fleethealth.sources.scratch import written
+
 
 def _one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats))  # a single row of statistics
@@ -45,17 +48,16 @@ def univariate_limits(healthy: DataFrame, sensors: list[str], target: float = 0.
 
     Every quantile of a grid is judged in one pass, and the bracketing cell is refined; joint alarms
     grow with q, so this equals a bisection without its many passes."""
+    healthy = written(healthy.select(*sensors), "healthy")
     lo, hi = 0.0, target
     for _ in range(rounds):
         grid = [lo + (hi - lo) * k / cells for k in range(cells + 1)]
-        both = F.array(*(F.lit(q) for q in grid), *(F.lit(1 - q) for q in grid))
-        edges = healthy.agg(*(F.percentile(s, both).alias(f"_e_{s}") for s in sensors))
-        rows = _one_row(healthy.select(*sensors), edges)
-        out = lambda k: reduce(Column.__or__, ((F.col(s) < F.col(f"_e_{s}")[k]) | (F.col(s) > F.col(f"_e_{s}")[k + cells + 1]) for s in sensors))
-        rates = rows.agg(*(F.avg(out(k).cast("int")).alias(f"r{k}") for k in range(cells + 1))).first()
+        edges = {s: [0.0 if e is None else e for e in q] for s, q in exact_quantiles(healthy, sensors, grid + [1 - q for q in grid]).items()}
+        out = lambda k: reduce(Column.__or__, ((F.col(s) < edges[s][k]) | (F.col(s) > edges[s][k + cells + 1]) for s in sensors))
+        rates = healthy.agg(*(F.avg(out(k).cast("int")).alias(f"r{k}") for k in range(cells + 1))).first()
         best = max((k for k in range(cells + 1) if (rates[f"r{k}"] or 0.0) <= target), default=0)
         lo, hi = grid[best], grid[min(cells, best + 1)]
         if lo == hi:
             break
-    limits = healthy.agg(*(F.percentile(s, F.array(F.lit(lo), F.lit(1 - lo))).alias(f"l{i}") for i, s in enumerate(sensors)))
-    return limits.select(F.explode(F.array(*(F.struct(F.lit(s).alias("sensor"), F.col(f"l{i}")[0].alias("low"), F.col(f"l{i}")[1].alias("high")) for i, s in enumerate(sensors)))).alias("r")).select("r.*")
+    limits = [(s, a, b) for s, (a, b) in exact_quantiles(healthy, sensors, [lo, 1 - lo]).items()]
+    return healthy.sparkSession.createDataFrame(limits, "sensor string, low double, high double")  # a row per sensor

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleethealth.functions.columns import trailing
+from fleethealth.functions.quantiles import exact_quantiles
+from fleethealth.sources.scratch import written
 
 #: From this many sensors on the score is an array expression: a generated sum would be too long a method.
 GENERATED_MOST = 30
@@ -100,12 +102,15 @@ def top_sensors(d: Detector, n: int = 3, parts: Column | None = None) -> Column:
 
 
 def quantile_threshold(scored: DataFrame, quantile: float, column: str = "health_score") -> float:
-    return scored.agg(F.percentile(column, F.lit(quantile)).alias("t")).first().t
+    return exact_quantiles(scored, [column], [quantile])[column][0]
 
 
 def calibrate_random(healthy: DataFrame, columns: list[str], keys: list[str], quantile: float = 0.99, share: float = 0.3, seed: int = 0) -> Detector:
     """Fit on rows whose hash falls outside the held-out share, threshold from those inside."""
-    held = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    held = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000)) < int(share * 1000)
+    healthy = written(healthy.select(*columns, held.alias("_held")), "healthy")
+    held = F.col("_held")
     d = fit_detector(healthy.filter(~held), columns)
     return replace(d, threshold=quantile_threshold(healthy.filter(held).select(health_score(d).alias("health_score")), quantile))
 
@@ -116,7 +121,8 @@ def calibrate_blocked(healthy: DataFrame, columns: list[str], time: str, quantil
     Moments add up over blocks, so the leave-one-out fits come from one pass. Blocks are cut at
     quantiles of time, which needs no global sort of all rows."""
     t = F.col(time).cast("double")
-    edges = healthy.agg(F.percentile(t, F.array(*(F.lit(k / blocks) for k in range(1, blocks)))).alias("e")).first().e
+    healthy = written(healthy.select(time, *columns), "healthy")  # read for edges, centres, moments and scores
+    edges = exact_quantiles(healthy, [time], [k / blocks for k in range(1, blocks)])[time]
     block = sum((t > e).cast("int") for e in edges)
     centre, p = _centre(healthy, columns), len(columns)
     rows = {r["block"]: _arrays(r, p) for r in moments(healthy, columns, centre, block)}
@@ -182,7 +188,7 @@ def _depths(tree: list, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarr
     _depths(tree[3], x, at[~left], depth + 1, out)
 
 
-def fit_isolation_forest(healthy: DataFrame, columns: list[str], keys: list[str], trees: int = 100, rows: int = 256, seed: int = 0) -> list:
+def fit_isolation_forest(healthy: DataFrame, columns: list[str], keys: list[str], trees: int = 300, rows: int = 256, seed: int = 0) -> list:
     """Trees as nested lists; each is grown by its own task on a hash subsample of ``rows`` rows."""
     import json
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleethealth.functions.quantiles import exact_quantiles
+from fleethealth.sources.scratch import written
+
 #: Bins, least share, and limits of the retrain flag.
 BINS, FLOOR, PSI_LIMIT, ENVELOPE_LIMIT, LEAST_ROWS = 10, 1e-4, 0.25, 0.05, 50
 
 
 def quantile_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     """column, edges: inner quantile edges, each once; the outer ends are open."""
-    q = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    wide = df.agg(*(F.array_distinct(F.percentile(c, q)).alias(f"e{i}") for i, c in enumerate(columns)))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"e{i}").alias("edges")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
+    found = exact_quantiles(df, columns, [k / bins for k in range(1, bins)])
+    rows = [(c, sorted({float(e) for e in edges if e is not None})) for c, edges in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, edges array<double>")  # a row per column
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -37,8 +40,8 @@ def psi(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 def envelope(df: DataFrame, regime: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """column, low, high of each regime feature."""
-    wide = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"e{i}") for i, c in enumerate(regime)))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"e{i}")[0].alias("low"), F.col(f"e{i}")[1].alias("high")) for i, c in enumerate(regime)))).alias("r")).select("r.*")
+    rows = [(c, a, b) for c, (a, b) in exact_quantiles(df, regime, [low, high]).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, low double, high double")  # a row per column
 
 
 def outside_share(df: DataFrame, bounds: DataFrame, regime: list[str]) -> DataFrame:
@@ -48,6 +51,7 @@ def outside_share(df: DataFrame, bounds: DataFrame, regime: list[str]) -> DataFr
 
 
 def drift_reference(healthy: DataFrame, columns: list[str], regime: list[str]) -> dict[str, DataFrame]:
+    healthy = written(healthy.select(*dict.fromkeys([*columns, *regime])), "reference")
     edges = quantile_edges(healthy, columns)
     return {"edges": edges, "shares": shares(healthy, columns, edges), "envelope": envelope(healthy, regime)}
 

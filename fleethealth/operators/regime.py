@@ -19,8 +19,10 @@ def regime_mode(healthy: DataFrame, regime: list[str]) -> str:
 
 
 def asset_baseline(df: DataFrame, columns: list[str], asset: str, time: str, rows: int) -> DataFrame:
-    """Columns less the mean of the machine's first rows; one window sort, no self-join."""
-    w = Window.partitionBy(asset).orderBy(time)
+    """Columns less the mean of the machine's first rows; one window sort, no self-join.
+
+    Rows of one time are ordered by their values, so a rerun picks the same ones."""
+    w = Window.partitionBy(asset).orderBy(time, *columns)
     ranked = df.withColumn("_rn", F.row_number().over(w))
     base = {c: F.col(c) - F.coalesce(F.avg(F.when(F.col("_rn") <= rows, F.col(c))).over(Window.partitionBy(asset)), F.lit(0.0)) for c in columns}
     return ranked.withColumns(base).drop("_rn")
@@ -116,18 +118,19 @@ def rul_features(df: DataFrame, sensors: list[str], time: str) -> DataFrame:
     return df.select("*", F.log1p(F.greatest(F.col("health_score"), F.lit(0.0))).alias("log_health"), F.col(time).cast("double").alias("time_feature"))
 
 
-def fit_continuous(healthy: DataFrame, sensors: list[str], regime: list[str], degree: int = 2) -> dict:
-    """A polynomial regression of each sensor on the regime columns, as MLlib pipelines."""
+def fit_continuous(healthy: DataFrame, sensors: list[str], regime: list[str], trees: int = 40) -> dict:
+    """Boosted trees of each sensor on the regime columns, as MLlib pipelines."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
 
-    stages = [VectorAssembler(inputCols=regime, outputCol="_raw"), PolynomialExpansion(degree=degree, inputCol="_raw", outputCol="_poly")]
-    return {s: Pipeline(stages=[*stages, LinearRegression(featuresCol="_poly", labelCol=s, predictionCol=f"_mean_{s}")]).fit(healthy.select(*regime, s).dropna()) for s in sensors}
+    assembler = VectorAssembler(inputCols=regime, outputCol="_raw")
+    grown = lambda s: GBTRegressor(featuresCol="_raw", labelCol=s, predictionCol=f"_mean_{s}", maxIter=trees, maxDepth=4, stepSize=0.1, seed=0)
+    return {s: Pipeline(stages=[assembler, grown(s)]).fit(healthy.select(*regime, s).dropna()) for s in sensors}
 
 
 def continuous_residuals(df: DataFrame, models: dict, sensors: list[str]) -> DataFrame:
     out = df
     for s in sensors:
-        out = models[s].transform(out).withColumn(f"r_{s}", F.col(s) - F.col(f"_mean_{s}")).drop("_raw", "_poly", f"_mean_{s}")
+        out = models[s].transform(out).withColumn(f"r_{s}", F.col(s) - F.col(f"_mean_{s}")).drop("_raw", f"_mean_{s}")
     return out

@@ -39,7 +39,7 @@ def sensors(spark: SparkSession, d: str) -> DataFrame:
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return sensors(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy("t")))
+    return sensors(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy("t", "event_id")))
 
 
 def r6(c, n: int = 6):
@@ -53,7 +53,7 @@ def rounded(df: DataFrame, n: int = 6) -> DataFrame:
 
 #: Shared SQL: the sensor table, healthy rows, residuals, scores, confirmed alarms.
 EV = """ev AS (SELECT event_id, user_id AS asset, epoch_us(ts) / 1e6 AS t, ts, event_type AS regime, value, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS DOUBLE) AS k,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events)"""
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
 Z = (
     EV
     + """, h AS (SELECT * FROM ev WHERE rn <= 20), gm AS (SELECT avg(value) AS g1, avg(k) AS g2 FROM h), rm AS (SELECT regime, avg(value) AS m1, avg(k) AS m2 FROM h GROUP BY regime),
@@ -86,12 +86,16 @@ scored AS (SELECT *, min(alarm::INT) OVER w = 1 AND count(*) OVER w = 2 AS alarm
 
 
 def z_table(spark: SparkSession, d: str) -> DataFrame:
-    """z_value and z_k of every row, by regime and against each machine's first rows."""
+    """z_value and z_k of every row, by regime and against each machine's first rows.
+
+    A table in the shared folder: fits and scores read it several times. The regime parameters are tables too, of a
+    row per regime, so that they aren't fitted again for each use."""
     from fleethealth.operators.regime import fit_regime, transform_regime
+    from fleethealth.sources.scratch import written
 
-    rows = ranked(spark, d)
+    rows = written(ranked(spark, d), "ranked")
     means, spreads = fit_regime(rows.filter(F.col("rn") <= HEALTHY), SENSORS, REGIME, "asset", "t", HEALTHY)
-    return transform_regime(rows, means, spreads, SENSORS, REGIME, "asset", "t", HEALTHY)
+    return written(transform_regime(rows, means, written(spreads, "spreads"), SENSORS, REGIME, "asset", "t", HEALTHY), "residuals")
 
 
 def fitted(z: DataFrame):
