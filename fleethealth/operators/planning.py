@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleethealth.functions.quantiles import exact_quantiles
 from fleethealth.operators.risk import p_fail
 
 AT_RISK = 0.01
@@ -51,30 +52,46 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def _solve(pdf: pd.DataFrame, asset: str, capacity: dict[int, int]) -> pd.DataFrame:
-    """A day or none for each machine of one group."""
-    pdf = pdf.sort_values([asset, "day"])
-    wide = pdf.pivot(index=asset, columns="day", values="cost")
-    skip = pdf.groupby(asset)["skip_cost"].first().to_numpy()
-    slots = [d for d in wide.columns for _ in range(capacity.get(int(d), 0))]
-    big = 1e9
-    cost = np.hstack([wide[slots].fillna(big).to_numpy(float).reshape(len(wide), len(slots)), np.where(np.eye(len(wide), dtype=bool), skip[:, None], 2 * big)])
+def _solve(pdf: pd.DataFrame, asset: str) -> pd.DataFrame:
+    """The days that save most, one for a machine and ``slots`` machines for a day; rows are (asset, day, saving, slots)."""
+    pdf = pdf.sort_values(["day", asset])
+    machines, column = np.unique(pdf[asset].to_numpy(), return_inverse=True)
+    days, row = np.unique(pdf["day"].to_numpy(), return_inverse=True)
+    places = np.repeat(np.arange(len(days)), pdf.groupby("day")["slots"].first().to_numpy())
+    saving = np.full((len(days), len(machines)), -np.inf)
+    saving[row, column] = pdf["saving"]
+    cost = np.hstack([np.where(np.isfinite(saving), -saving, 1e12)[places], np.zeros((len(places), len(places)))])  # a slot may stay empty
     chosen = assign(cost)
-    days = [int(slots[c]) if c < len(slots) and cost[i, c] < big else None for i, c in enumerate(chosen)]
-    return pd.DataFrame({asset: wide.index, "service_day": pd.array(days, "Int64")})
+    served = [(machines[c], int(days[places[k]])) for k, c in enumerate(chosen) if c < len(machines) and cost[k, c] < 0]
+    return pd.DataFrame(served, columns=[asset, "service_day"])
 
 
-def plan_service(matrix: DataFrame, group: str, asset: str, horizon: int, capacity: int) -> DataFrame:
-    """group, asset, service_day (null: not scheduled): the cheapest plan with ``capacity`` services a day.
+def _plan(options: DataFrame, group: str, asset: str) -> DataFrame:
+    """group, asset, service_day from options (group, asset, day, cost, skip_cost, slots), exact within each group.
 
-    Exact within each planning group; groups are solved in parallel, one group in one task."""
-    days = {d: capacity for d in range(1, horizon + 1)}
-    kinds = dict(matrix.dtypes)
+    With K slots in a group, a machine is only worth looking at on days on which it is among the K that save most:
+    if it were served on another day, one of the K better ones would be idle and could take its place. So a group's
+    task gets at most K machines a day, however many machines the group has; the ranking keeps K per task before its
+    shuffle."""
+    kinds = dict(options.dtypes)
+    useful = options.withColumn("saving", F.col("skip_cost") - F.col("cost")).filter("saving > 0 and slots > 0")
+    slots = useful.select(group, "day", "slots").distinct().groupBy(group).agg(F.sum("slots").alias("_k"))
+    best = F.row_number().over(Window.partitionBy(group, "day").orderBy(F.desc("saving"), asset))
+    most = slots.agg(F.max("_k")).first()[0] or 0
+    near = useful.withColumn("_rn", best).filter(F.col("_rn") <= most).join(slots, group).filter("_rn <= _k").select(group, asset, "day", "saving", "slots")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _solve(pdf, asset, days).assign(**{group: pdf[group].iloc[0]})[[group, asset, "service_day"]]
+        return _solve(pdf, asset).assign(**{group: pdf[group].iloc[0]})[[group, asset, "service_day"]]
+
+    return near.groupBy(group).applyInPandas(solve, f"`{group}` {kinds[group]}, `{asset}` {kinds[asset]}, service_day long")
 
-    return matrix.groupBy(group).applyInPandas(solve, f"`{group}` {kinds[group]}, `{asset}` {kinds[asset]}, service_day long")
+
+def plan_service(matrix: DataFrame, group: str, asset: str, horizon: int, capacity: int) -> DataFrame:
+    """group, asset, service_day (null: not scheduled) of every machine: the cheapest plan with ``capacity`` services a day.
+
+    Exact within each planning group; groups are solved in parallel."""
+    plan = _plan(matrix.filter(F.col("day") <= horizon).withColumn("slots", F.lit(capacity)), group, asset)
+    return matrix.select(group, asset).distinct().join(plan, [group, asset], "left")
 
 
 def service_slots(calendar: DataFrame, capacity: int, installed: int, at_sea: bool = True) -> DataFrame:
@@ -84,28 +101,19 @@ def service_slots(calendar: DataFrame, capacity: int, installed: int, at_sea: bo
 
 
 def plan_service_itinerary(matrix: DataFrame, slots: DataFrame, group: str, asset: str, max_risk: float | None = None) -> DataFrame:
-    """group, asset, service_day, at_sea: the cheapest plan within each day's slots.
+    """group, asset, service_day, at_sea of every machine: the cheapest plan within each day's slots.
 
     Days on which a machine's risk is over ``max_risk`` are removed; if none with a slot is left, its
-    first slot is forced; machines over the limit at the end of the horizon may not be skipped."""
+    first slot is forced; machines over the limit at the end of the horizon may not be skipped. A machine whose
+    group has no slot is not scheduled."""
     j = matrix.join(slots.select(group, "day", "slots", "port"), [group, "day"]).filter("slots > 0")
-    kinds = dict(matrix.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = pdf[group].iloc[0]
-        pdf = pdf.sort_values([asset, "day"]).copy()
-        if max_risk is not None:
-            keep = pdf["p_day"] <= max_risk
-            first = pdf.groupby(asset)["day"].transform("min") == pdf["day"]
-            pdf = pdf[keep | ~keep.groupby(pdf[asset]).transform("any") & first].copy()
-            pdf.loc[pdf["p_end"] > max_risk, "skip_cost"] = 1e6
-        capacity = {int(d): int(s) for d, s in pdf.groupby("day")["slots"].first().items()}
-        port = {int(d): bool(s) for d, s in pdf.groupby("day")["port"].first().items()}
-        out = _solve(pdf, asset, capacity)
-        out["at_sea"] = [None if pd.isna(d) else not port[int(d)] for d in out["service_day"]]
-        return out.assign(**{group: number})[[group, asset, "service_day", "at_sea"]]
-
-    return j.groupBy(group).applyInPandas(solve, f"`{group}` {kinds[group]}, `{asset}` {kinds[asset]}, service_day long, at_sea boolean")
+    if max_risk is not None:
+        own = Window.partitionBy(group, asset)
+        calm = F.col("p_day") <= max_risk
+        forced = ~F.max(calm).over(own) & (F.col("day") == F.min("day").over(own))
+        j = j.withColumn("_open", calm | forced).filter("_open").withColumn("skip_cost", F.when(F.col("p_end") > max_risk, 1e6).otherwise(F.col("skip_cost")))
+    plan = _plan(j, group, asset).join(slots.select(group, F.col("day").alias("service_day"), (~F.col("port")).alias("at_sea")), [group, "service_day"])
+    return matrix.select(group, asset).distinct().join(plan, [group, asset], "left").select(group, asset, "service_day", "at_sea")
 
 
 def plan_costs(plan: DataFrame, rul_true: str, horizon: int, preventive: float = 20.0, failure: float = 200.0, waste: float = 0.5) -> DataFrame:
@@ -123,10 +131,10 @@ def evaluate_plan(costs: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def age_based_plan(units: DataFrame, lives: DataFrame, ports: DataFrame, group: str, age: str, horizon: int, quantile: float = 0.1) -> DataFrame:
     """Service at the group's first port day once age plus horizon reaches a quantile of lives."""
-    limit = lives.agg(F.percentile("life", F.lit(quantile)).alias("age_limit"))
+    limit = exact_quantiles(lives, ["life"], [quantile])["life"][0]
     first = ports.groupBy(group).agg(F.min("day").alias("first_port"))
-    due = F.col(age) + horizon >= F.col("age_limit")
-    return units.join(F.broadcast(limit)).join(first, group, "left").withColumn("service_day", F.when(due, F.coalesce("first_port", F.lit(1)))).drop("age_limit", "first_port")
+    due = F.col(age) + horizon >= F.lit(limit).cast("double")
+    return units.join(first, group, "left").withColumn("service_day", F.when(due, F.coalesce("first_port", F.lit(1)))).drop("first_port")
 
 
 def availability_ledger(units: DataFrame, demand: DataFrame, group: str, asset: str, horizon: int, service_days: int = 1, repair_days: int = 5) -> DataFrame:

@@ -157,14 +157,14 @@ def p8_age_based_plan(spark, d):
     return planning.age_based_plan(units, fleet(spark, d).select(F.col("rul").alias("life")), calendar(spark, d).filter("port"), "p_brand", "age", 3).select("p_partkey", "service_day")
 
 
-LEDGER = f"""{CAL}, un AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 1 + p_partkey % 20 END AS sd, CASE WHEN p_size <= 30 THEN p_size END AS fd FROM part WHERE p_partkey % 7 < 2),
+LEDGER = f"""{CAL}, un AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 1 + p_partkey % 20 END AS sd, CASE WHEN p_size <= 30 THEN p_size END AS fd FROM part),
 iv AS (SELECT *, CASE WHEN sd IS NOT NULL AND (fd IS NULL OR sd <= fd) THEN sd ELSE fd END AS a, CASE WHEN sd IS NOT NULL AND (fd IS NULL OR sd <= fd) THEN 1 ELSE 5 END AS l FROM un),
 dn AS (SELECT p_brand, g.day, count(DISTINCT p_partkey) AS down FROM iv, generate_series(1, 30) AS g(day) WHERE g.day BETWEEN a AND least(30, a + l - 1) GROUP BY 1, 2), ins AS (SELECT p_brand, count(*) AS n FROM un GROUP BY 1),
 lg AS (SELECT p_brand, cal.day, n - coalesce(down, 0) AS available, required FROM cal JOIN ins USING (p_brand) LEFT JOIN dn ON dn.p_brand = cal.p_brand AND dn.day = cal.day)"""
 
 
 def ledger(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 7 < 2")
+    p = table(spark, d, "part")
     units = p.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 == 0, 1 + F.col("p_partkey") % 20).alias("service_day"), F.when(F.col("p_size") <= 30, F.col("p_size")).alias("fail_day"))
     return planning.availability_ledger(units, calendar(spark, d), "p_brand", "p_partkey", H)
 
@@ -248,7 +248,7 @@ def w6_drift_by_asset(spark, d):
 # --- monitoring ---
 
 CALLS = "ca AS (SELECT event_id, epoch_us(ts) / 1e6 AS ts, event_type AS endpoint, value AS latency_ms, CASE WHEN event_id % 2 = 0 THEN value / 1000 ELSE value * 3 / 3.6e6 * 0.05 END AS cost_usd, event_id % 50 AS tokens FROM events)"
-AL = """al AS (SELECT o_orderkey AS alert_id, epoch(o_orderdate)::DOUBLE AS ts, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS slice FROM orders WHERE o_orderkey % 5 = 0),
+AL = """al AS (SELECT o_orderkey AS alert_id, epoch(o_orderdate)::DOUBLE AS ts, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS slice FROM orders),
 ak AS (SELECT alert_id, ts + 3600 * (1 + alert_id % 9) AS ats, CASE alert_id % 6 WHEN 0 THEN 'inspected' WHEN 1 THEN 'work_order' WHEN 2 THEN 'deferred' WHEN 3 THEN 'false_alarm' ELSE 'nonsense' END AS action FROM al WHERE alert_id % 3 <> 0),
 lb AS (SELECT alert_id, CASE WHEN (alert_id // 5) % 4 = 0 OR slice = '1-URGENT' THEN 'no_fault_found' ELSE 'fault_confirmed' END AS outcome FROM al WHERE alert_id % 2 = 0),
 ac AS (SELECT al.*, ats AS acked_ts, action FROM al LEFT JOIN (SELECT * FROM ak WHERE action <> 'nonsense') USING (alert_id))"""
@@ -262,7 +262,7 @@ def calls(spark, d):
 
 def alerts(spark, d):
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)") / 1e6
-    return table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("alert_id"), t.alias("ts"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("slice"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("alert_id"), t.alias("ts"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("slice"))
 
 
 def acks(spark, d):
