@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleethealth.operators.metrics import classification_scores
+from fleethealth.sources.scratch import written
 
-CLASSIFIERS = ("forest", "logistic")
+CLASSIFIERS = ("forest", "boosted", "logistic")
 REGRESSORS = ("boosted", "ridge")
 
 
@@ -24,11 +25,16 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "forest", seed: int = 0) -> PipelineModel:
-    """String labels, balanced classes; gives ``predicted`` index, probabilities and label names."""
+    """String labels, balanced classes; gives ``predicted`` index, probabilities and label names.
+
+    Boosted trees are binary, so each class is held against the rest; the margins become probabilities by softmax."""
     stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")]
     common = {"labelCol": "_label", "weightCol": "weight", "predictionCol": "_predicted", "probabilityCol": "_probability", "rawPredictionCol": "_raw"}
     if kind == "logistic":
         stages += [StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True), LogisticRegression(featuresCol="_scaled", regParam=0.003, maxIter=100, **common)]
+    elif kind == "boosted":
+        tree = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=20, maxDepth=4, stepSize=0.2, seed=seed).setRawPredictionCol("_raw")
+        stages.append(OneVsRest(classifier=tree, featuresCol="_x", labelCol="_label", weightCol="weight", predictionCol="_predicted", rawPredictionCol="_raw", parallelism=2))
     else:
         stages.append(RandomForestClassifier(featuresCol="_x", numTrees=60, maxDepth=8, seed=seed, **common))
     return Pipeline(stages=stages).fit(balanced_weights(df, label))
@@ -51,10 +57,18 @@ def diagnose(df: DataFrame, model: PipelineModel) -> DataFrame:
     """diagnosis and diagnosis_confidence (three decimals)."""
     names = F.array(*(F.lit(x) for x in labels_of(model)))
     out = model.transform(_with_label(df, model))
-    p = vector_to_array("_probability")
+    p = _probabilities(out)
     return out.withColumn("diagnosis", F.element_at(names, F.col("_predicted").cast("int") + 1)).withColumn("diagnosis_confidence", F.bround(F.array_max(p), 3)).drop("_label", "_x", "_scaled", "_raw", "_probability", "_predicted")
 
 
+def _probabilities(out: DataFrame) -> Column:
+    """The model's own, or the softmax of its margins."""
+    if "_probability" in out.columns:
+        return vector_to_array("_probability")
+    weights = F.transform(vector_to_array("_raw"), lambda m: F.exp(2 * m))
+    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, v: a + v))
+
+
 def _with_label(df: DataFrame, model: PipelineModel) -> DataFrame:
     name = model.stages[0].getInputCol()
     if name not in df.columns:
@@ -69,7 +83,7 @@ def grade_components(df: DataFrame, models: dict[str, PipelineModel], critical:
     for c, model in models.items():
         names = labels_of(model)
         out = model.transform(_with_label(out, model))
-        p = vector_to_array("_probability")
+        p = _probabilities(out)
         worst = sum((p[k] for k, n in enumerate(names) if n in critical[c]), F.lit(0.0))
         out = out.withColumn(f"condition_{c}", F.element_at(F.array(*(F.lit(n) for n in names)), F.col("_predicted").cast("int") + 1)).withColumn(f"p_critical_{c}", F.bround(worst, 3)).drop("_label", "_x", "_scaled", "_raw", "_probability", "_predicted")
     return out
@@ -88,7 +102,7 @@ def severity_regressors(df: DataFrame, features: list[str], targets: list[str],
 def group_kfold(df: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
     """fold: whole groups, dealt by falling size in a snake, so folds have balanced sizes."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    rn = F.row_number().over(Window.orderBy(F.desc("_n"), F.xxhash64(group, F.lit(seed)), group)) - 1  # a row per group
+    rn = F.row_number().over(Window.orderBy(F.desc("_n"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))), group)) - 1  # a row per group
     lap = F.floor(rn / folds)
     fold = F.when(lap % 2 == 0, rn % folds).otherwise(folds - 1 - rn % folds)
     return df.join(sizes.select(group, fold.cast("int").alias("fold")), group)
@@ -153,16 +167,23 @@ def linear_attribution(df: DataFrame, model: PipelineModel, features: list[str])
     return wide.unpivot([], features, "feature", "importance").orderBy(F.desc("importance"), "feature")
 
 
-def permutation_importance(df: DataFrame, predict, features: list[str], keys: list[str], error: Column, rows: int = 2000, seed: int = 0) -> DataFrame:
-    """feature, importance: how much the mean error grows when a column is dealt to other rows.
+#: Rows of a bucket within which values are dealt to other rows.
+BUCKET = 10_000
+
+
+def permutation_importance(df: DataFrame, predict, features: list[str], keys: list[str], error: Column, seed: int = 0) -> DataFrame:
+    """feature, importance: how much the mean error grows when a column is dealt to other rows, over all rows.
 
-    Works on a hash sample of at most ``rows`` rows, a stated size."""
-    sample = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(rows).withColumn("_rn", F.row_number().over(Window.orderBy("_h", *keys)))
-    base = predict(sample).agg(F.avg(error).alias("e")).first().e
+    Values change places within hash buckets of about BUCKET rows, so no task ranks all rows."""
+    buckets = max(1, df.count() // BUCKET)
+    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets))
+    place = lambda f: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(f), F.lit(seed)), *keys))
+    rows = written(df.withColumn("_b", bucket).withColumn("_rn", place("")), "rows")
+    base = predict(rows).agg(F.avg(error).alias("e")).first().e
     out = None
     for f in features:
-        other = sample.select(F.col(f).alias("_other"), F.row_number().over(Window.orderBy(F.xxhash64(*keys, F.lit(f), F.lit(seed)))).alias("_rn"))
-        moved = sample.drop(f).join(other, "_rn").withColumnRenamed("_other", f)
+        other = rows.select("_b", F.col(f).alias("_other"), place(f).alias("_rn"))
+        moved = rows.drop(f).join(other, ["_b", "_rn"]).withColumnRenamed("_other", f)
         row = predict(moved).agg(F.lit(f).alias("feature"), (F.avg(error) - base).alias("importance"))
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("importance"), "feature")

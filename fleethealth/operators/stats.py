@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleethealth.functions.columns import binomial_two_sided, normal_cdf, normal_quantile, wilson
+from fleethealth.sources.scratch import written
 
 DRAWS = 2000
 
@@ -20,34 +21,46 @@ def uniform(*parts: Column) -> Column:
 # --- resampling ---
 
 
+def _digest(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+
+
 def bootstrap_ci(df: DataFrame, cluster: str, value: str, draws: int = DRAWS, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """estimate, low, high of a mean, resampling whole clusters with replacement.
+    """estimate, clusters, low, high of a mean, resampling whole clusters with replacement.
 
-    Clusters are reduced to sums and counts first. In a replicate a cluster is drawn a Poisson(1)
-    number of times by a hash, the large-sample form of drawing as many clusters as there are, so
-    replicates are independent sums and need no join on positions."""
+    Clusters are reduced to sums and counts first. A replicate draws as many clusters as there are, each by a hash
+    of the replicate and the draw; draws of a cluster are counted before its sums are joined."""
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     sums = clean.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
-    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = uniform(F.col(cluster), F.col("draw"), F.lit(seed))
-    cdf, k, p = 0.0, F.lit(0), math.exp(-1)
-    for i in range(12):
-        cdf += p
-        k = k + (u > cdf).cast("int")
-        p /= i + 1
-    rep = each.withColumn("k", k).filter("k > 0").groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
-    ci = rep.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-    point = sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("estimate"), F.count("*").alias("clusters"))
+    numbered = written(running(sums, [cluster], F.lit(1)).withColumn("_at", F.col("_before")).drop("_before"), "clusters")
+    point = numbered.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("estimate"), F.count("*").alias("clusters"))
+    total = numbered.count()
+    each = numbered.select(F.col("_at").alias("_slot")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.conv(F.substring(_digest(F.lit(seed), F.col("draw"), F.col("_slot")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    picks = each.select("draw", F.floor(u * total).alias("_at")).groupBy("draw", "_at").agg(F.count("*").alias("k"))
+    rep = picks.join(numbered, "_at").groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
+    ci = rep.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))  # a row per draw
     return point.join(F.broadcast(ci))  # one row each
 
 
+#: Draws that one digest gives signs for: its bits.
+SIGNS = 128
+
+
 def paired_permutation(diffs: DataFrame, diff: str, key: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """mean, p: sign-flip test of paired differences, (1 + extreme) / (draws + 1)."""
-    d = diffs.filter(F.col(diff).isNotNull())
-    flips = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sign = F.when(uniform(F.col(key), F.col("draw"), F.lit(seed)) < 0.5, -1.0).otherwise(1.0)
-    means = flips.groupBy("draw").agg(F.avg(sign * F.col(diff)).alias("m"))
-    seen = d.agg(F.avg(diff).alias("mean"))
+    """mean, p: sign-flip test of paired differences, (1 + extreme) / (draws + 1).
+
+    A digest of the key and a block number gives the signs of 128 draws, which are summed side by side: a row is
+    repeated once a block, not once a draw."""
+    d = diffs.filter(F.col(diff).isNotNull()).select(F.col(diff).cast("double").alias("x"), F.col(key).alias("k"))
+    blocks = -(-draws // SIGNS)
+    flips = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    flips = flips.withColumn("h", _digest(F.lit(seed), F.col("k"), F.col("block")))
+    words = [F.conv(F.substring("h", 8 * w + 1, 8), 16, 10).cast("long") for w in range(4)]
+    flips = flips.select("x", "block", *(w.alias(f"w{i}") for i, w in enumerate(words)))
+    sums = flips.groupBy("block").agg(F.count("*").alias("n"), *(F.sum(F.when(F.shiftright(F.col(f"w{b // 32}"), b % 32).bitwiseAND(1) == 1, F.col("x")).otherwise(-F.col("x"))).alias(f"s{b}") for b in range(SIGNS)))
+    means = sums.select("block", F.posexplode(F.array(*(F.col(f"s{b}") / F.col("n") for b in range(SIGNS)))).alias("b", "m")).filter(F.col("block") * SIGNS + F.col("b") < draws)
+    seen = d.agg(F.avg("x").alias("mean"))
     j = means.join(F.broadcast(seen))  # one row
     return j.groupBy("mean").agg(((1 + F.sum((F.abs("m") >= F.abs("mean") - 1e-12).cast("int"))) / (draws + 1)).alias("p"))
 
@@ -59,7 +72,7 @@ def randomization_inference(panel: DataFrame, unit: str, period: str, outcome: s
     starts = panel.select(unit, start).distinct()
     slots = starts.withColumn("_slot", F.row_number().over(Window.orderBy(unit))).select("_slot", F.col(start).alias("_start"))  # a row per unit
     dealt = starts.select(unit).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    dealt = dealt.withColumn("_slot", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(unit, "draw", F.lit(seed)), unit)))
+    dealt = dealt.withColumn("_slot", F.row_number().over(Window.partitionBy("draw").orderBy(_digest(F.lit(seed), F.col(unit), F.col("draw")), unit)))
     dealt = dealt.join(slots, "_slot").drop("_slot")
     drawn = panel.select(unit, period, outcome).join(dealt, unit).withColumn("_d", F.coalesce(F.col(period) >= F.col("_start"), F.lit(False)).cast("double"))
     null = _twfe_slope(drawn, unit, period, outcome, "_d", ["draw"])
@@ -83,11 +96,22 @@ def mcnemar_exact(df: DataFrame, a: str, b: str) -> DataFrame:
     return g.withColumn("p", binomial_two_sided(F.col("a_only"), F.col("a_only") + F.col("b_only")))
 
 
+def running(df: DataFrame, order: list[str], amount: Column) -> DataFrame:
+    """``df`` with ``_before``: the sum of ``amount`` over all rows that come earlier in the order.
+
+    Rows are dealt out by ranges of the order; a window runs within each range, and the ranges' totals, one number a
+    task, are added up before it. No task sees all rows."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumn("_amount", amount), "ranges")
+    totals = ranged.groupBy("_range").agg(F.sum("_amount").alias("_t"))
+    first = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_base")  # a row per task
+    inner = F.sum("_amount").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(first), "_range").withColumn("_before", F.col("_base") + F.coalesce(inner, F.lit(0))).drop("_range", "_base", "_amount")
+
+
 def _mid_ranks(df: DataFrame, value: str, weights: dict[str, Column]) -> DataFrame:
     """A row per distinct value: its mid-rank, its count and the named sums."""
     g = df.groupBy(value).agg(F.count("*").alias("t"), *(F.sum(c).alias(k) for k, c in weights.items()))
-    before = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))  # distinct values only
-    return g.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2)
+    return running(g, [value], F.col("t")).withColumn("rank", F.col("_before") + (F.col("t") + 1) / 2)
 
 
 def wilcoxon_paired(df: DataFrame, diff: str) -> DataFrame:
@@ -141,10 +165,11 @@ def cuped(df: DataFrame, y: str, pre: str, by: list[str] = ()) -> DataFrame:
     return j.withColumn("y_adjusted", F.col(y) - F.col("_theta") * (F.col(pre) - F.col("_mean"))).drop("_theta", "_mean")
 
 
-def _demeaned(df: DataFrame, unit: str, period: str, columns: list[str], by: list[str]) -> DataFrame:
+def _demeaned(df: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
     """Columns less unit and period means plus the grand mean; exact for balanced panels."""
-    u, t, a = (Window.partitionBy(*by, k) for k in (unit, period, F.lit(0)))
-    return df.withColumns({f"_{c}": F.col(c) - F.avg(c).over(u) - F.avg(c).over(t) + F.avg(c).over(a) for c in columns})
+    means = lambda keys, name: df.groupBy(*keys).agg(*(F.avg(c).alias(f"_{c}_{name}") for c in columns))
+    j = df.join(means([unit], "u"), unit).join(means([period], "t"), period).join(F.broadcast(means([], "a")))  # one row
+    return j.select(unit, period, *columns, *((F.col(c) - F.col(f"_{c}_u") - F.col(f"_{c}_t") + F.col(f"_{c}_a")).alias(f"_{c}") for c in columns))
 
 
 def _twfe_slope(df: DataFrame, unit: str, period: str, outcome: str, treated: str, by: list[str]) -> DataFrame:
@@ -166,7 +191,8 @@ def did_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: st
     """effect, se, ci_low, ci_high, p, units: two-way fixed effects, errors clustered by unit.
 
     Small-sample factor G / (G - 1); reference distribution normal. Exact for balanced panels."""
-    d = _demeaned(panel.select(unit, period, F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d")), unit, period, ["y", "d"], [])
+    cells = written(panel.select(unit, period, F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d")), "panel")
+    d = written(_demeaned(cells, unit, period, ["y", "d"]), "demeaned")
     beta = d.agg(F.try_divide(F.sum(F.col("_y") * F.col("_d")), F.sum(F.col("_d") * F.col("_d"))).alias("effect"), F.sum(F.col("_d") * F.col("_d")).alias("dd"))
     scores = d.join(F.broadcast(beta)).groupBy(unit).agg(F.sum(F.col("_d") * (F.col("_y") - F.col("effect") * F.col("_d"))).alias("g"))  # one row
     meat = scores.agg(F.sum(F.col("g") * F.col("g")).alias("meat"), F.count("*").alias("units"))
@@ -179,32 +205,34 @@ def did_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: st
 def poisson_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: str) -> DataFrame:
     """rate_ratio, ci_low, ci_high, p of event counts with unit and period effects; all-zero units are left out.
 
-    A generalised linear model with one-hot effects; null with p = 1 if it doesn't converge."""
+    A generalised linear model with one-hot effects; null with p = 1 if no unit has events or the treatment doesn't
+    vary beside the effects. Any other failure is raised."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
+    spark = panel.sparkSession
+    none = spark.createDataFrame([(None, None, None, 1.0)], "rate_ratio double, ci_low double, ci_high double, p double")
     live = panel.groupBy(unit).agg(F.sum(outcome).alias("_s")).filter("_s > 0").select(unit)
-    rows = panel.join(live, unit).select(F.col(unit).cast("string").alias("u"), F.col(period).cast("string").alias("t"), F.col(treated).cast("double").alias("d"), F.col(outcome).cast("double").alias("y"))
+    rows = written(panel.join(live, unit).select(F.col(unit).cast("string").alias("u"), F.col(period).cast("string").alias("t"), F.col(treated).cast("double").alias("d"), F.col(outcome).cast("double").alias("y")), "counts")
+    kinds = rows.agg(F.countDistinct("u"), F.countDistinct("t"), F.countDistinct("d")).first()
+    if min(kinds) < 2 or (_demeaned(rows, "u", "t", ["d"]).agg(F.sum(F.col("_d") * F.col("_d"))).first()[0] or 0) < 1e-9:
+        return none
     stages = [StringIndexer(inputCols=["u", "t"], outputCols=["ui", "ti"]), OneHotEncoder(inputCols=["ui", "ti"], outputCols=["uv", "tv"]), VectorAssembler(inputCols=["d", "uv", "tv"], outputCol="x")]
     glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="y", maxIter=50, regParam=1e-8)
-    spark = panel.sparkSession
-    try:
-        prepared = Pipeline(stages=stages).fit(rows).transform(rows)
-        model = glm.fit(prepared)
-        b = float(model.coefficients[0])
-        fitted = model.transform(prepared).withColumn("_r", F.col("y") - F.col("prediction"))
-        # sandwich for the treatment: its weighted residual on the effects, by unit
-        w = lambda k: Window.partitionBy(k)
-        mu = F.col("prediction")
-        part = fitted.withColumn("_dr", F.col("d") - F.sum(mu * F.col("d")).over(w("u")) / F.sum(mu).over(w("u")) - F.sum(mu * F.col("d")).over(w("t")) / F.sum(mu).over(w("t")) + F.sum(mu * F.col("d")).over(w(F.lit(0))) / F.sum(mu).over(w(F.lit(0))))
-        bread = part.agg(F.sum(mu * F.col("_dr") * F.col("d")).alias("b")).first().b
-        meat = part.groupBy("u").agg(F.sum(F.col("_dr") * F.col("_r")).alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("m")).first().m
-        se = math.sqrt(meat) / abs(bread)
-        p = math.erfc(abs(b / se) / math.sqrt(2)) if se else 1.0
-        return spark.createDataFrame([(math.exp(b), math.exp(b - 1.959964 * se), math.exp(b + 1.959964 * se), p)], "rate_ratio double, ci_low double, ci_high double, p double")
-    except Exception:  # noqa: BLE001  a degenerate design has no estimate
-        return spark.sql("SELECT CAST(NULL AS DOUBLE) AS rate_ratio, CAST(NULL AS DOUBLE) AS ci_low, CAST(NULL AS DOUBLE) AS ci_high, CAST(1 AS DOUBLE) AS p")
+    prepared = Pipeline(stages=stages).fit(rows).transform(rows)
+    model = glm.fit(prepared)
+    b = float(model.coefficients[0])
+    fitted = written(model.transform(prepared).select("u", "t", "d", "y", F.col("prediction").alias("mu")), "fitted")
+    # sandwich for the treatment: its weighted residual on the effects, by unit
+    share = lambda keys, name: fitted.groupBy(*keys).agg((F.sum(F.col("mu") * F.col("d")) / F.sum("mu")).alias(name))
+    part = fitted.join(share(["u"], "du"), "u").join(share(["t"], "dt"), "t").join(F.broadcast(share([], "da")))  # one row
+    part = part.withColumn("dr", F.col("d") - F.col("du") - F.col("dt") + F.col("da"))
+    sums = part.groupBy("u").agg(F.sum(F.col("dr") * (F.col("y") - F.col("mu"))).alias("g"), F.sum(F.col("mu") * F.col("dr") * F.col("d")).alias("b")).agg(F.sum("b").alias("bread"), F.sum(F.col("g") * F.col("g")).alias("meat")).first()
+    if not sums.bread or not sums.meat:
+        return none
+    se = math.sqrt(sums.meat) / abs(sums.bread)
+    return spark.createDataFrame([(math.exp(b), math.exp(b - 1.959964 * se), math.exp(b + 1.959964 * se), math.erfc(abs(b / se) / math.sqrt(2)))], none.schema)
 
 
 def parallel_ab(panel: DataFrame, unit: str, arm: str, outcome: str, post: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from fleethealth.operators import learn
 from fleethealth.plans.registry import PERSISTENCE, SCORED, query, rounded, scored, sensors, table, z_table
 from fleethealth.sources import io
+from fleethealth.sources.scratch import folder
 from fleethealth.streaming import streams
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -20,14 +19,6 @@ def labelled(spark, d):
     return table(spark, d, "lineitem").withColumn("y", c).withColumn("rul", 100 - F.col("l_quantity") * 1.5 - 100 * F.col("l_tax"))
 
 
-def folder(spark, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def m1_fit_classifier(spark, d):
     x = labelled(spark, d)
@@ -35,6 +26,27 @@ def m1_fit_classifier(spark, d):
     return out.groupBy("y", "diagnosis").agg(F.count("*").alias("n"))
 
 
+@query()
+def m1_boosted_classifier(spark, d):
+    """The same classes by boosted trees, one against the rest."""
+    x = labelled(spark, d)
+    return learn.diagnose(x, learn.fit_classifier(x, FEATURES, "y", "boosted")).groupBy("y", "diagnosis").agg(F.count("*").alias("n"))
+
+
+@query()
+def m11_diagnose(spark, d):
+    """Each row's diagnosis and how sure it is, where the true class isn't given."""
+    x = labelled(spark, d)
+    return learn.diagnose(x.select("l_orderkey", "l_linenumber", "l_partkey", *FEATURES), learn.fit_classifier(x, FEATURES, "y", "logistic")).select("l_orderkey", "l_linenumber", "l_partkey", "diagnosis", "diagnosis_confidence")
+
+
+@query()
+def m14_predict_rul(spark, d):
+    """Each row's remaining life by boosted trees, capped."""
+    x = labelled(spark, d)
+    return learn.predict_rul(x, learn.fit_regressor(x, FEATURES, "rul", "boosted"), 60.0).select("l_orderkey", "l_linenumber", "l_partkey", "rul", "rul_pred")
+
+
 @query()
 def m2_fit_regressor(spark, d):
     x = labelled(spark, d)
@@ -48,10 +60,11 @@ def m3_balanced_weights(spark, d):
     return rounded(x.groupBy("y").agg(F.max("weight").alias("weight")))
 
 
-@query("SELECT count(DISTINCT l_suppkey) AS suppliers, 5 AS folds, true AS whole FROM lineitem")
+@query("""WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5('0|' || l_suppkey), l_suppkey) - 1 AS rn FROM g)
+SELECT (CASE WHEN rn // 5 % 2 = 0 THEN rn % 5 ELSE 4 - rn % 5 END)::INTEGER AS fold, count(*) AS suppliers, sum(n)::BIGINT AS rows FROM r GROUP BY 1""")
 def m4_group_kfold(spark, d):
-    x = learn.group_kfold(table(spark, d, "lineitem").select("l_suppkey"), "l_suppkey", 5).select("l_suppkey", "fold").distinct()
-    return x.agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("fold").cast("int").alias("folds"), (F.count("*") == F.countDistinct("l_suppkey")).alias("whole"))
+    x = learn.group_kfold(table(spark, d, "lineitem").select("l_suppkey"), "l_suppkey", 5)
+    return x.groupBy("fold").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.count("*").alias("rows"))
 
 
 @query("WITH g AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem) SELECT 'test' AS split, ceil(n * 0.3)::BIGINT AS suppliers FROM g UNION ALL SELECT 'train', n - ceil(n * 0.3)::BIGINT FROM g")
@@ -161,7 +174,7 @@ def s11_flatten_metrics(spark, d):
     return io.flatten_metrics(g, "run", ["p_brand", "p_type"]).select(F.regexp_replace("key", "_", "#").alias("key"), "value")
 
 
-@query()
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS gap FROM events")
 def s12_params_store(spark, d):
     from fleethealth.operators.detector import health_score
     from fleethealth.plans.registry import fitted

@@ -25,9 +25,27 @@ def outcomes(spark, d):
     return table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"), (F.col("doc_id") % 37).alias("m"))
 
 
-@query()
+def boot_sql(p: str, rows: str, draws: int) -> str:
+    """Cluster bootstrap of a table (c, v): {p} has estimate, clusters, low, high."""
+    return f"""{p}s AS (SELECT c, sum(v)::DOUBLE AS s, count(*) AS n FROM {rows} WHERE v IS NOT NULL GROUP BY 1), {p}i AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS pos, count(*) OVER () AS g FROM {p}s),
+{p}p AS (SELECT draw, floor(('0x' || substr(md5('0|' || draw || '|' || pos), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * g)::BIGINT AS pos, count(*) AS k FROM {p}i, generate_series(1, {draws}) AS t(draw) GROUP BY ALL),
+{p}r AS (SELECT draw, sum(k * s) / sum(k * n) AS m FROM {p}p JOIN {p}i USING (pos) GROUP BY 1),
+{p} AS (SELECT (SELECT sum(s) / sum(n) FROM {p}s) AS estimate, (SELECT count(*) FROM {p}s) AS clusters, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {p}r)"""
+
+
+def sign_sql(p: str, rows: str, draws: int) -> str:
+    """Sign-flip test of a table (k, x): {p} has mean and p."""
+    bit = "(('0x' || substr(md5('0|' || k || '|' || (draw // 128)), 8 * (draw % 128 // 32) + 1, 8))::BIGINT >> (draw % 32)) & 1"
+    return f"""{p}m AS (SELECT avg(x) AS mean FROM {rows} WHERE x IS NOT NULL), {p}d AS (SELECT draw, sum(CASE WHEN {bit} = 1 THEN x ELSE -x END) / count(*) AS m FROM {rows}, generate_series(0, {draws - 1}) AS t(draw) WHERE x IS NOT NULL GROUP BY 1),
+{p} AS (SELECT mean, (1 + sum((abs(m) >= abs(mean) - 1e-12)::INT)) / {draws + 1} AS p FROM {p}d, {p}m GROUP BY 1)"""
+
+
+OUTCOMES = "oc AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b, doc_id % 37 AS m FROM labels)"
+
+
+@query(f"WITH {OUTCOMES}, av AS (SELECT m AS c, a::INT AS v FROM oc), {boot_sql('bt', 'av', 2000)} SELECT round(estimate, 6) AS estimate, clusters, round(low, 6) AS low, round(high, 6) AS high FROM bt")
 def t1_bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(outcomes(spark, d).withColumn("v", F.col("a").cast("double")), "m", "v")
+    return rounded(stats.bootstrap_ci(outcomes(spark, d).withColumn("v", F.col("a").cast("double")), "m", "v"))
 
 
 WL, WH = wilson_sql("k", "n")
@@ -39,17 +57,17 @@ def t2_wilson_ci(spark, d):
     return rounded(stats.wilson_ci(g, "k", "n"))
 
 
-@query("""WITH g AS (SELECT sum((quality = 1 AND toxic = 1 AND doc_id % 5 = 0)::INT)::BIGINT AS a, sum((quality = 0 AND toxic = 0 AND doc_id % 5 = 0)::INT)::BIGINT AS b FROM labels),
-s AS (SELECT a, b, sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) AS p FROM g, generate_series(0, 10000) AS t(i) WHERE i <= least(a, b) GROUP BY 1, 2)
+@query("""WITH g AS (SELECT sum((quality = 1 AND toxic = 1)::INT)::BIGINT AS a, sum((quality = 0 AND toxic = 0)::INT)::BIGINT AS b FROM labels),
+s AS (SELECT a, b, sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) AS p FROM (SELECT a, b, unnest(generate_series(0, least(a, b))) AS i FROM g) GROUP BY 1, 2)
 SELECT a AS a_only, b AS b_only, round(least(1, 2 * p), 6) AS p FROM s""")
 def t3_mcnemar_exact(spark, d):
-    return rounded(stats.mcnemar_exact(outcomes(spark, d).filter("doc_id % 5 = 0"), "a", "b"))
+    return rounded(stats.mcnemar_exact(outcomes(spark, d), "a", "b"))
 
 
-@query()
+@query(f"WITH {OUTCOMES}, df AS (SELECT m AS k, avg(a::INT - b::INT) AS x FROM oc GROUP BY 1), {sign_sql('sg', 'df', 1000)} SELECT round(mean, 6) AS mean, round(p, 6) AS p FROM sg")
 def t4_paired_permutation(spark, d):
     x = outcomes(spark, d).groupBy("m").agg(F.avg(F.col("a").cast("double") - F.col("b").cast("double")).alias("diff"))
-    return stats.paired_permutation(x, "diff", "m", 1000)
+    return rounded(stats.paired_permutation(x, "diff", "m", 1000))
 
 
 Z2 = normal_cdf_sql("abs(z)")
@@ -122,7 +140,11 @@ def t11_parallel_ab(spark, d):
     return rounded(stats.parallel_ab(x, "unit", "arm", "y", "post"))
 
 
-@query()
+@query(f"""WITH {PANEL}, su AS (SELECT unit, start, row_number() OVER (ORDER BY unit) AS slot FROM (SELECT DISTINCT unit, start FROM gr)),
+dl AS (SELECT unit, draw, row_number() OVER (PARTITION BY draw ORDER BY md5('0|' || unit || '|' || draw), unit) AS slot FROM su, generate_series(1, 100) AS t(draw)),
+dn AS (SELECT draw, gr.unit, period, y, (period >= su.start)::INT AS d FROM gr JOIN dl USING (unit) JOIN su USING (slot) UNION ALL SELECT 0, unit, period, y, d FROM tr),
+dm AS (SELECT draw, y - avg(y) OVER (PARTITION BY draw, unit) - avg(y) OVER (PARTITION BY draw, period) + avg(y) OVER (PARTITION BY draw) AS y, d - avg(d) OVER (PARTITION BY draw, unit) - avg(d) OVER (PARTITION BY draw, period) + avg(d) OVER (PARTITION BY draw) AS d FROM dn),
+be AS (SELECT draw, sum(y * d) / sum(d * d) AS beta FROM dm GROUP BY 1), e AS (SELECT beta AS effect FROM be WHERE draw = 0) SELECT round(effect, 6) AS effect, round((1 + sum((abs(beta) >= abs(effect))::INT)) / 101, 6) AS p FROM be, e WHERE draw > 0 GROUP BY effect""")
 def t12_randomization_inference(spark, d):
     return rounded(stats.randomization_inference(panel(spark, d), "unit", "period", "y", "start", 100))
 
@@ -132,13 +154,27 @@ def t13_wave_assignment(spark, d):
     return stats.wave_assignment(table(spark, d, "supplier"), "s_suppkey", 3, 3, 9).groupBy("wave", "start").agg(F.count("*").alias("n"))
 
 
-@query()
+def _compare_sql() -> str:
+    parts, rows = ["li AS (SELECT l_suppkey AS m, l_returnflag = 'R' AS fault, l_discount > 0.05 AS x, l_tax > 0.05 AS y FROM lineitem)"], []
+    for k in "xy":
+        parts += [f"f{k} AS (SELECT m AS c, {k}::INT AS v FROM li WHERE fault)", f"h{k} AS (SELECT m AS c, {k}::INT AS v FROM li WHERE NOT fault)", f"w{k} AS (SELECT m AS k, avg({k}::INT - x::INT) AS x FROM li WHERE fault GROUP BY 1)"]
+        parts += [boot_sql(f"bf{k}", f"f{k}", 200), boot_sql(f"bh{k}", f"h{k}", 200), sign_sql(f"sg{k}", f"w{k}", 200)]
+        rows.append(f"SELECT '{k}' AS method, " + ", ".join(f"round({a}.{c}, 6) AS {n}" for a, c, n in ((f"bf{k}", "estimate", "detection"), (f"bf{k}", "low", "detection_low"), (f"bf{k}", "high", "detection_high"), (f"bh{k}", "estimate", "false_alarm"), (f"bh{k}", "low", "false_alarm_low"), (f"bh{k}", "high", "false_alarm_high"), (f"sg{k}", "p", "p"))) + f" FROM bf{k}, bh{k}, sg{k}")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query(_compare_sql())
 def t14_compare_alarms(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("m"), (F.col("l_returnflag") == "R").alias("fault"), (F.col("l_discount") > 0.05).alias("x"), (F.col("l_tax") > 0.05).alias("y"))
     return rounded(stats.compare_alarms(x, ["x", "y"], "x", "fault", "m", 200))
 
 
-@query()
+@query(f"""WITH pt AS (SELECT p_partkey AS c, (p_size > 10)::INT AS v, p_size > 10 AS wa, p_size > 25 AS wb, p_size - (p_size - p_partkey % 9) AS diff FROM part), {boot_sql('bt', 'pt', 200)},
+mc AS (SELECT sum((wa AND NOT wb)::INT)::BIGINT AS a, sum((NOT wa AND wb)::INT)::BIGINT AS b FROM pt), ms AS (SELECT sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) AS p FROM (SELECT a, b, unnest(generate_series(0, least(a, b))) AS i FROM mc)),
+ra AS (SELECT abs(diff) AS a, count(*) AS t, sum(CASE WHEN diff > 0 THEN 1.0 WHEN diff = 0 THEN 0.5 ELSE 0 END) AS plus FROM pt GROUP BY 1), rk AS (SELECT *, coalesce(sum(t) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM ra),
+rg AS (SELECT sum(t)::DOUBLE AS n, sum(plus * rk) AS w, sum(CASE WHEN a = 0 THEN t ELSE 0 END)::DOUBLE AS z0, sum(CASE WHEN a <> 0 THEN t ** 3 - t ELSE 0 END)::DOUBLE AS ties FROM rk),
+rz AS (SELECT (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - z0 * (z0 + 1) * (2 * z0 + 1) / 24 - ties / 48) AS z FROM rg)
+SELECT round(estimate, 6) AS warned, round(low, 6) AS low, round(high, 6) AS high, round(least(1, 2 * ms.p), 6) AS p_warned, round(least(1, 2 * (1 - {Z2})), 6) AS p_lead FROM bt, ms, rz""")
 def t15_warning_uncertainty(spark, d):
     x = table(spark, d, "part").select("p_partkey", (F.col("p_size") > 10).alias("wa"), (F.col("p_size") > 25).alias("wb"), F.col("p_size").alias("la"), (F.col("p_size") - F.col("p_partkey") % 9).alias("lb"))
     return rounded(stats.warning_uncertainty(x, "p_partkey", "wa", "wb", "la", "lb", 200))

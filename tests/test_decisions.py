@@ -143,3 +143,81 @@ def test_string_classifier(spark):
     folds = learn.group_kfold(df, "g", 3)
     oof = learn.out_of_fold(folds, list("abcd"), "y", "forest")
     assert oof.agg(F.avg((F.col("oof") == F.col("y")).cast("int"))).first()[0] > 0.85
+
+
+def best_saving(saving, slots):
+    """Largest total saving of serving machines on days with slots, by trying everything."""
+    def go(i, left):
+        if i == len(saving):
+            return 0.0
+        most = go(i + 1, left)
+        for day, gain in saving[i].items():
+            if left.get(day, 0):
+                most = max(most, gain + go(i + 1, left | {day: left[day] - 1}))
+        return most
+
+    return go(0, dict(slots))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plans_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, days = [], {"g": {1: 1, 2: 0, 3: 1}, "h": {1: 1, 2: 1, 3: 0}, "none": {1: 0, 2: 0, 3: 0}}
+    for g in days:
+        for a in range(7):
+            skip = float(rng.integers(20, 200))
+            rows += [(g, a, day, float(rng.integers(1, 160)), skip, float(rng.random()), float(rng.random())) for day in (1, 2, 3)]
+    m = spark.createDataFrame(rows, "g string, a int, day int, cost double, skip_cost double, p_day double, p_end double")
+    slots = spark.createDataFrame([(g, day, n, day == 1) for g, x in days.items() for day, n in x.items()], "g string, day int, slots int, port boolean")
+    cost = {r[:3]: r[3] for r in rows}
+    skip = {r[:2]: r[4] for r in rows}
+    for plan, places in ((planning.plan_service_itinerary(m, slots, "g", "a"), days), (planning.plan_service(m, "g", "a", 3, 1), {g: {1: 1, 2: 1, 3: 1} for g in days})):
+        got = plan.collect()
+        assert sorted((r.g, r.a) for r in got) == sorted(skip)
+        for g in days:
+            served = [r for r in got if r.g == g and r.service_day]
+            assert all(sum(r.service_day == d for r in served) <= places[g][d] for d in (1, 2, 3))
+            saving = [{d: skip[g, a] - cost[g, a, d] for d in (1, 2, 3)} for a in range(7)]
+            assert sum(skip[g, r.a] - cost[g, r.a, r.service_day] for r in served) == pytest.approx(best_saving(saving, places[g]))
+    risky = planning.plan_service_itinerary(m, slots, "g", "a", 0.5).collect()
+    assert len(risky) == 21 and all(r.service_day is None for r in risky if r.g == "none")
+
+
+def test_quantiles_of_both_ways_agree(spark, monkeypatch):
+    from fleethealth.functions import quantiles
+
+    df = spark.range(40_000).select(F.pow(F.col("id") % 9973, F.lit(1.3)).alias("a"), F.when(F.col("id") % 7 > 0, F.rand(3)).alias("b"), F.lit(None).cast("double").alias("c"))
+    shares = [0.0, 0.001, 0.37, 0.5, 0.99, 1.0]
+    few = quantiles.exact_quantiles(df, ["a", "b", "c"], shares)
+    monkeypatch.setattr(quantiles, "DIRECT", 100)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    many = quantiles.exact_quantiles(df, ["a", "b", "c"], shares)
+    x = df.select("a", "b").toPandas()
+    for c in "ab":
+        assert few[c] == pytest.approx(many[c]) and few[c] == pytest.approx(np.nanquantile(x[c], shares))
+    assert few["c"] == many["c"] == [None] * 6
+
+
+def test_running_sums_need_no_single_task(spark):
+    df = spark.range(5000).select(((F.col("id") * 37) % 1009).alias("v"), "id").repartition(7)
+    got = {r.id: r._before for r in stats.running(df, ["v", "id"], F.col("v")).collect()}
+    total = 0
+    for v, i in sorted((r.v, r.id) for r in df.collect()):
+        assert got[i] == total
+        total += v
+
+
+def test_degenerate_counts_have_no_ratio(spark):
+    flat = spark.createDataFrame([(u, t, 0, 1) for u in range(4) for t in range(4)], "u int, t int, d int, y int")
+    assert one(stats.poisson_twfe(flat, "y", "d", "u", "t")).p == 1.0 and one(stats.poisson_twfe(flat.withColumn("y", F.lit(0)), "y", "d", "u", "t")).rate_ratio is None
+
+
+def test_importance_over_all_rows_and_boosted_classes(spark, monkeypatch):
+    monkeypatch.setattr(learn, "BUCKET", 100)
+    df = spark.range(600).select("id", (F.rand(1)).alias("a"), F.rand(2).alias("b")).withColumn("y", F.when(F.col("a") > 0.6, "pump").when(F.col("b") > 0.5, "valve").otherwise("healthy")).withColumn("r", 3 * F.col("a"))
+    df = spark.createDataFrame(df.toPandas())
+    model = learn.fit_regressor(df, ["a", "b"], "r", "ridge")
+    found = {r.feature: r.importance for r in learn.permutation_importance(df, model.transform, ["a", "b"], ["id"], F.abs(F.col("predicted") - F.col("r"))).collect()}
+    assert found["a"] > 0.5 and abs(found["b"]) < 0.05
+    out = learn.diagnose(df, learn.fit_classifier(df, ["a", "b"], "y", "boosted"))
+    assert out.filter("diagnosis = y").count() > 570 and out.filter("diagnosis_confidence > 1 or diagnosis_confidence < 0.33").count() == 0
