@@ -76,7 +76,7 @@ def g6_bm25_search(spark, d):
 
 @query()
 def g7_lsa_embed(spark, d):
-    e, _, _ = retrieval.lsa_embed(passages(spark, d), "text", 16, 5000)
+    e, _, _ = retrieval.lsa_embed(passages(spark, d), "text")
     return e.select("doc_id", F.round(F.aggregate("lsa", F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"))
 
 
@@ -153,7 +153,18 @@ def answers(spark, d):
     return text.extractive_answer(hits, "q", "question", "chunk_id", "text")
 
 
-@query()
+def words4_sql(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}'))"
+
+
+ANSWERS = rf"""{BM}, ht AS (SELECT bk.q, 'DOC-' || d.doc_id || '#000' AS tag, d.text, b.text AS question FROM bk JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bk.q WHERE rank <= 5),
+sp AS (SELECT q, tag, question, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM ht), se AS (SELECT q, tag, question, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM sp),
+sc AS (SELECT *, len(list_intersect({words4_sql('question')}, {words4_sql('s')})) AS score FROM se WHERE length(s) > 60 AND length(s) < 400),
+be AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q, tag ORDER BY score DESC, pos) = 1), to4 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, tag) AS rk FROM be),
+an AS (SELECT q, string_agg('- ' || trim(s, ' ') || ' [' || tag || ']', chr(10) ORDER BY rk) AS answer FROM to4 WHERE rk <= 4 GROUP BY 1)"""
+
+
+@query(f"WITH {ANSWERS} SELECT q, answer FROM an")
 def g16_extractive_answer(spark, d):
     return answers(spark, d)
 
@@ -186,28 +197,32 @@ def g19_knn_triage(spark, d):
 GOLD = "gd AS (SELECT item_id AS q, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-#: Questions that are sent to every task, at most.
-SENT_BYTES = 16 << 20
-
-
 def gold(spark, d):
-    """Reports that hold a question's passage, among all reports."""
-    q = questions(spark, d)
-    size = q.agg(F.sum(F.length("question") + 100).alias("s")).first().s
-    q = F.broadcast(q) if (size or 0) <= SENT_BYTES else q  # of a measured size; beyond it a partitioned product
-    return passages(spark, d).select("doc_id", "text").join(q, F.contains("text", "question")).select("q", "doc_id")
+    """Reports that hold a question's passage, among all reports: questions are sent in slices of a measured size."""
+    out = None
+    for part in retrieval.slices(questions(spark, d), "q", F.length("question")):
+        found = passages(spark, d).select("doc_id", "text").join(F.broadcast(part), F.contains("text", "question")).select("q", "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query()
+@query(f"""WITH {BM}, {GOLD}, r AS (SELECT gd.q, min(rank) AS rank FROM gd LEFT JOIN (SELECT * FROM bk WHERE rank <= 10) k ON k.q = gd.q AND k.doc_id = gd.doc_id GROUP BY 1)
+SELECT count(*) AS questions, {", ".join(f"round(avg(coalesce(rank <= {k}, false)::INT), 6) AS hit_at_{k}" for k in (1, 3, 5))}, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr_at_10 FROM r""")
 def g20_retrieval_metrics(spark, d):
     top = retrieval.ranks(retrieval.top_k(bm25(spark, d), "q", "doc_id", "score", 10), "q", "doc_id")
     return rounded(retrieval.retrieval_metrics(top, gold(spark, d), "q", "doc_id"))
 
 
-@query()
+TAG_SQL = text.TAG.replace("\\w.\\-", "a-zA-Z0-9_.-").replace("\\d", "[0-9]")
+
+
+@query(rf"""WITH {ANSWERS}, cl AS (SELECT q, string_split(regexp_replace(regexp_replace(answer, '\]\s+([A-Z0-9-])', ']' || chr(1) || '\1', 'g'), '\n', chr(1), 'g'), chr(1)) AS cs FROM an), ce AS (SELECT q, unnest(cs) AS s, generate_subscripts(cs, 1) AS pos FROM cl),
+ct AS (SELECT q, pos, s, regexp_extract_all(s, '{TAG_SQL}', 1) AS tags FROM ce WHERE length(s) > 30), ck AS (SELECT *, list_distinct({tokens_sql(f"regexp_replace(s, '{TAG_SQL}', '', 'g')")}) AS terms FROM ct WHERE len(tags) > 0 OR len(regexp_split_to_array(s, '\s+')) >= 8),
+cx AS (SELECT q, pos, terms, unnest(CASE WHEN len(tags) = 0 THEN [NULL] ELSE tags END) AS tag FROM ck), cb AS (SELECT q, pos, max(coalesce(len(list_intersect(terms, tk.w)) / nullif(len(terms), 0), 0)) AS best FROM cx LEFT JOIN tk ON 'DOC-' || tk.doc_id || '#000' = cx.tag GROUP BY 1, 2)
+SELECT q, count(*) AS claims, round(avg((best >= 0.6)::INT), 6) AS supported FROM cb GROUP BY 1""")
 def g21_faithfulness(spark, d):
     """Claims of each extractive answer, and the share that its cited passage supports."""
-    return text.faithfulness(answers(spark, d), passages(spark, d).select(F.col("chunk_id").alias("tag"), "text"), "q", "answer")
+    return rounded(text.faithfulness(answers(spark, d), passages(spark, d).select(F.col("chunk_id").alias("tag"), "text"), "q", "answer"))
 
 
 @query(f"WITH {BM}, gd AS (SELECT item_id AS q, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), r AS (SELECT gd.q, min(rank) AS rank FROM gd LEFT JOIN (SELECT * FROM bk WHERE rank <= 10) k ON k.q = gd.q AND k.doc_id = gd.doc_id GROUP BY 1) SELECT count(*) AS questions, round(avg(coalesce(rank <= 5, false)::INT), 6) AS hit_at_5 FROM r")

@@ -1,5 +1,6 @@
 """Text, retrieval, sources, sinks and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,60 @@ def test_stream_queries_carry_state_over_batches(spark, tmp_path, monkeypatch):
     rows.write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in model_queries.st4_stream_service_health(spark, str(tmp_path)).collect()] == [("view", 384)]
     assert len([p for p in (tmp_path / "marks" / "commits").iterdir() if p.name.isdigit()]) >= 4
+
+
+def slow_chunks(lines, size, overlap):
+    """Chunks of one section, character by character: a chunk ends with the line that fills it."""
+    done, rest = [], ""
+    for line in lines:
+        rest += ("" if rest[-1:] in ("-", " ") and rest else " ") + line
+        if len(rest) >= size:
+            body = " ".join(rest.replace("\t", " ").split(" ")).strip()
+            while "  " in body:
+                body = body.replace("  ", " ")
+            done.append(body)
+            rest = body[len(body) - overlap :] if len(body) > overlap else ""
+    body = rest.strip()
+    while "  " in body:
+        body = body.replace("  ", " ")
+    return [b for b in [*done, body] if len(b) > 200]
+
+
+def test_chunks_against_a_slow_form(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "w" * rng.randint(1, 9) + rng.choice(["", "", "-", "  x"])
+    sections = {name: [" ".join(word() for _ in range(rng.randint(1, 30))).strip() for _ in range(rng.randint(0, 60))] for name in ("Summary", "Background", "Analysis", "Findings")}
+    body = "\n".join(x for name, lines in sections.items() for x in ([] if name == "Summary" else [f"1.{len(name)} {name}"]) + lines)
+    df = spark.createDataFrame([("d", body, "")], "doc_id string, text string, title string")
+    got = {}
+    for r in sorted(text.chunk_documents(df, 300, 60).collect(), key=lambda r: r.chunk_id):
+        got.setdefault(r.section, []).append(r.text)
+    assert got == {k: v for k, v in ((name, slow_chunks([x for x in lines if x], 300, 60)) for name, lines in sections.items()) if v}
+
+
+def test_page_furniture_goes(spark):
+    line = "The crew lost propulsion at night and drifted for three hours before tugs came to help them. " * 3
+    page = f"12\nPage 3\n3 of 40\nMIR-20/15\nLoss of power aboard Star\nStar fire NTSB/MIR-20/15 glued {line}\nseen in MIR-21/07 too {line}\n"
+    df = spark.createDataFrame([("d", page, "Star fire"), ("e", page, None), ("f", None, None)], "doc_id string, text string, title string")
+    got = {(r.doc_id, r.chunk_id): r.text for r in text.chunk_documents(df, 5000, 50, "title").collect()}
+    assert len(got) == 2 and "MIR" not in got["d", "d#000"] and "Star fire" not in got["d", "d#000"] and "glued" in got["d", "d#000"]
+    assert "3 of 40" not in got["e", "e#000"] and "Star fire NTSB/MIR-20/15" in got["e", "e#000"]
+
+
+def test_embeddings_of_like_passages_are_close(spark):
+    rows = [(i, " ".join(f"{'fire' if i % 2 else 'flood'}{(i * 7 + k) % 12}" for k in range(30))) for i in range(40)] + [(99, None)]
+    e, _, _ = retrieval.lsa_embed(spark.createDataFrame(rows, "i int, t string"), "t", 8)
+    v = {r.i: np.array(r.lsa) for r in e.collect()}
+    assert v[0] @ v[2] > 0.3 and abs(v[0] @ v[1]) < 0.1 and abs(v[0] @ v[0] - 1) < 1e-9 and not v[99].any()
+
+
+def test_slices_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    q = df.select(F.col("i").alias("q"), F.col("v").alias("w"))
+    whole = sorted(map(tuple, retrieval.dense_search(q, "q", "w", df, "i", "v", 3).collect()))
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 1000)
+    assert len(retrieval.slices(q, "q", 8 * F.size("w"))) > 3
+    assert sorted(map(tuple, retrieval.dense_search(q, "q", "w", df, "i", "v", 3).collect())) == whole
