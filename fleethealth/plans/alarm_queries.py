@@ -14,21 +14,23 @@ ZS = [f"z_{s}" for s in SENSORS]
 def d1_fit_detector(spark, d):
     f = fitted(z_table(spark, d))
     rows = [(c, float(m), float(p[0]), float(p[1])) for c, m, p in zip(f.columns, f.mean, f.precision, strict=True)]
-    return rounded(table(spark, d, "region").limit(1).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(m).alias("mean"), F.lit(a).alias("p_first"), F.lit(b).alias("p_second")) for c, m, a, b in rows))).alias("r")).select("r.*"))
+    return rounded(spark.createDataFrame(rows, "column string, mean double, p_first double, p_second double"))
 
 
 @query()
 def d2_isolation_forest(spark, d):
     z = z_table(spark, d)
-    trees = detector.fit_isolation_forest(z.filter(F.col("rn") <= HEALTHY), ZS, ["event_id"], trees=50)
+    trees = detector.fit_isolation_forest(z.filter(F.col("rn") <= HEALTHY), ZS, ["event_id"])
     return detector.score_isolation_forest(z, ZS, trees).select("event_id", "isolation_score")
 
 
-@query()
+@query(f"""WITH {Z}, hz AS (SELECT *, ('0x' || substr(md5('0|' || event_id), 1, 8))::BIGINT % 1000 < 300 AS held FROM z WHERE rn <= 20), ft AS (SELECT * FROM hz WHERE NOT held), {fit_sql("ft", "fit")},
+sc AS (SELECT held, (z1 - m1) ** 2 * p11 + 2 * (z1 - m1) * (z2 - m2) * p12 + (z2 - m2) ** 2 * p22 AS s FROM hz, fit), th AS (SELECT quantile_cont(s, 0.99) AS threshold FROM sc WHERE held)
+SELECT round(threshold, 6) AS threshold, round(avg((s > threshold)::INT), 6) AS healthy_rate FROM sc, th GROUP BY threshold""")
 def d3_calibrate_random(spark, d):
     z = z_table(spark, d).filter(F.col("rn") <= HEALTHY)
     f = detector.calibrate_random(z, ZS, ["event_id"])
-    return z.agg(F.lit(f.threshold).alias("threshold"), F.avg((detector.health_score(f) > f.threshold).cast("int")).alias("healthy_rate"))
+    return rounded(z.agg(F.lit(f.threshold).alias("threshold"), F.avg((detector.health_score(f) > f.threshold).cast("int")).alias("healthy_rate")))
 
 
 def _blocked_sql() -> str:
@@ -40,7 +42,7 @@ def _blocked_sql() -> str:
 @query(_blocked_sql())
 def d4_calibrate_blocked(spark, d):
     z = z_table(spark, d).filter(F.col("rn") <= HEALTHY)
-    return rounded(table(spark, d, "region").limit(1).select(F.lit(detector.calibrate_blocked(z, ZS, "t", 0.99, 3).threshold).alias("threshold")))
+    return rounded(spark.createDataFrame([(detector.calibrate_blocked(z, ZS, "t", 0.99, 3).threshold,)], "threshold double"))
 
 
 @query(f"WITH {SCORED} SELECT event_id, round(health_score, 6) AS health_score FROM scored")
@@ -63,6 +65,11 @@ def d7_top_sensors(spark, d):
     return top.groupBy("top").agg(F.count("*").alias("n"), F.round(F.avg("share"), 5).alias("share"))
 
 
+@query(f"WITH {SCORED} SELECT event_id, alarm FROM scored")
+def d8_alarm_flag(spark, d):
+    return scored(spark, d).select("event_id", "alarm")
+
+
 @query(f"WITH {SCORED} SELECT event_id, alarm, alarm_confirmed FROM scored WHERE alarm")
 def d9_confirm_alarm(spark, d):
     return scored(spark, d).filter("alarm").select("event_id", "alarm", "alarm_confirmed")

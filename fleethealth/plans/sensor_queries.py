@@ -93,6 +93,12 @@ def l1_rul_label(spark, d):
     return labels.rul_label(ranked(spark, d), "asset", "rn", 40).select("event_id", F.col("life").cast("long").alias("life"), F.col("rul").cast("long").alias("rul"))
 
 
+@query(f"WITH {EV} SELECT least(max_rn - rn, 25) AS rul, count(*) AS n FROM (SELECT rn, max(rn) OVER (PARTITION BY asset) AS max_rn FROM ev) GROUP BY 1")
+def l3_rul_cap(spark, d):
+    """How many rows each capped remaining life has."""
+    return labels.rul_label(ranked(spark, d), "asset", "rn", 25).groupBy(F.col("rul").cast("long").alias("rul")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {EV} SELECT event_id, (asset % 7) + max(rn) OVER (PARTITION BY asset) - rn AS rul FROM ev")
 def l2_true_rul_truncated(spark, d):
     x = ranked(spark, d)
@@ -204,6 +210,23 @@ def f8_residual_z(spark, d):
     return rounded(z_table(spark, d).select("event_id", "z_value", "z_k"))
 
 
+@query(f"WITH {Z} SELECT event_id, round(value - r1, 6) AS value, round(k - r2, 6) AS k FROM r")
+def f5_expected(spark, d):
+    """What a row's regime leads to expect of each sensor."""
+    x = ranked(spark, d)
+    r = regime.residuals(x, regime.regime_means(x.filter(F.col("rn") <= HEALTHY), SENSORS, REGIME), SENSORS, REGIME)
+    return rounded(r.select("event_id", *((F.col(s) - F.col(f"r_{s}")).alias(s) for s in SENSORS)))
+
+
+@query(f"WITH {Z} SELECT event_id, round(coalesce(s1, g1), 6) AS value, round(coalesce(s2, g2), 6) AS k FROM rb LEFT JOIN rs ON rs.regime = rb.regime, gs")
+def f6_spread(spark, d):
+    """The deviation of each sensor in a row's regime."""
+    x = ranked(spark, d)
+    _, spreads = regime.fit_regime(x.filter(F.col("rn") <= HEALTHY), SENSORS, REGIME, "asset", "t", HEALTHY)
+    ones = x.select("event_id", *REGIME, *(F.lit(1.0).alias(f"r_{s}") for s in SENSORS))
+    return rounded(regime.residual_z(ones, spreads, SENSORS, REGIME).select("event_id", *((1 / F.col(f"z_{s}")).alias(s) for s in SENSORS)))
+
+
 @query(f"WITH {EV} SELECT event_id, round(value - avg(CASE WHEN rn <= 20 THEN value END) OVER (PARTITION BY asset), 6) AS value FROM ev")
 def f7_asset_baseline(spark, d):
     return rounded(regime.asset_baseline(sensors(spark, d), ["value"], "asset", "t", HEALTHY).select("event_id", "value"))
@@ -255,16 +278,33 @@ def f15_vibration_time_features(spark, d):
     return rounded(vibration.vibration_time_features(x, "asset", "i", "value", 16))
 
 
-@query()
+#: Windows of 32 samples, their means, and a discrete Fourier transform written out.
+WINDOWS = f"""{EV}, sm AS (SELECT asset, (rn - 1) // 32 AS wn, (rn - 1) % 32 AS j, value AS x FROM ev QUALIFY count(*) OVER (PARTITION BY asset, (rn - 1) // 32) = 32),
+ce AS (SELECT asset, wn, j, x - avg(x) OVER (PARTITION BY asset, wn) AS x FROM sm)"""
+WIDTHS = [(0, 0), (0, 2), (2, 5), (5, 10), (10, 17)]
+
+
+@query(f"""WITH {WINDOWS}, hn AS (SELECT asset, wn, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 31)) AS x FROM ce), pw AS (SELECT asset, wn, f, sum(x * cos(2 * pi() * f * j / 32)) ** 2 + sum(x * sin(2 * pi() * f * j / 32)) ** 2 AS p FROM hn, generate_series(0, 16) AS t(f) GROUP BY ALL)
+SELECT asset, wn AS "window", {", ".join(f"round(ln(coalesce(sum(CASE WHEN f >= {a} AND f < {b} THEN p END), 0) / coalesce(nullif(sum(p), 0), 1) + 1e-12), 6) AS band{k}" for k, (a, b) in enumerate(WIDTHS))} FROM pw GROUP BY 1, 2""")
 def f16_band_energy(spark, d):
     w = vibration.windows_of(ranked(spark, d).withColumn("i", F.col("rn") - 1), "asset", "i", "value", 32)
-    return w.select("asset", "window", vibration.band_energy("signal").alias("bands"))
+    w = w.select("asset", "window", vibration.band_energy("signal").alias("bands"))
+    return rounded(w.select("asset", "window", *(F.col("bands")[k].alias(f"band{k}") for k in range(5))))
 
 
-@query()
+def _peak_sql(hz: float) -> str:
+    near = ", ".join(f"coalesce(max(CASE WHEN abs(f * 31.25 - {k * hz}) <= 62.5 THEN l END), 0)" for k in (1, 2))
+    return f"ln(greatest({near}) / (median(CASE WHEN f * 31.25 BETWEEN 10 AND 500 THEN l END) + 1e-12) + 1e-12)"
+
+
+@query(f"""WITH {WINDOWS}, sp AS (SELECT asset, wn, f, sum(x * cos(2 * pi() * f * j / 32)) AS re, -sum(x * sin(2 * pi() * f * j / 32)) AS im FROM ce, generate_series(4, 12) AS t(f) GROUP BY ALL),
+en AS (SELECT asset, wn, j, sqrt(sum(re * cos(2 * pi() * f * j / 32) - im * sin(2 * pi() * f * j / 32)) ** 2 + sum(re * sin(2 * pi() * f * j / 32) + im * cos(2 * pi() * f * j / 32)) ** 2) / 16 AS e FROM sp, generate_series(0, 31) AS t(j) GROUP BY ALL),
+ec AS (SELECT asset, wn, j, e - avg(e) OVER (PARTITION BY asset, wn) AS e FROM en), li AS (SELECT asset, wn, f, sqrt(sum(e * cos(2 * pi() * f * j / 32)) ** 2 + sum(e * sin(2 * pi() * f * j / 32)) ** 2) AS l FROM ec, generate_series(0, 16) AS t(f) GROUP BY ALL)
+SELECT asset, wn AS "window", round({_peak_sql(108.0)}, 5) AS outer_race, round({_peak_sql(162.0)}, 5) AS inner_race FROM li GROUP BY 1, 2""")
 def f17_envelope_peaks(spark, d):
     w = vibration.windows_of(ranked(spark, d).withColumn("i", F.col("rn") - 1), "asset", "i", "value", 32)
-    return vibration.envelope_peaks(w, "signal", 1000.0, 30.0, [3.6, 5.4], (100.0, 400.0)).select("asset", "window", "peaks")
+    p = vibration.envelope_peaks(w, "signal", 1000.0, 30.0, [3.6, 5.4], (100.0, 400.0))
+    return rounded(p.select("asset", "window", F.col("peaks")[0].alias("outer_race"), F.col("peaks")[1].alias("inner_race")), 5)
 
 
 @query()

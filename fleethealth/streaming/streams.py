@@ -19,13 +19,17 @@ def stream_score(rows: DataFrame, detector: Detector, means: DataFrame | None =
     return z.withColumn("health_score", health_score(detector)).withColumn("threshold", F.lit(detector.threshold)).withColumn("alarm", F.col("health_score") > F.col("threshold"))
 
 
-def stream_confirm(scored: DataFrame, asset: str, time: str, persistence: int, delay: str = "10 minutes") -> DataFrame:
+def stream_confirm(scored: DataFrame, asset: str, time: str, persistence: int, delay: str = "10 minutes", idle_days: int = 90) -> DataFrame:
     """asset, time, run, alarm_confirmed: the run of alarms of a machine carries over from batch to batch.
 
-    A row older than the newest one seen of its machine is left out, as its place in the run is gone."""
+    A row older than the newest one seen of its machine is left out, as its place in the run is gone. A machine
+    that has been silent for ``idle_days`` of event time is forgotten, and its run begins anew."""
     kind = dict(scored.dtypes)[asset]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run, last = state.get if state.exists else (0, None)
         rows = pd.concat(list(frames)).sort_values("_t")
         out = []
@@ -36,10 +40,11 @@ def stream_confirm(scored: DataFrame, asset: str, time: str, persistence: int, d
             out.append((key[0], stamp, run, run >= persistence))
         if last is not None:
             state.update((run, last))
+            state.setTimeoutTimestamp(max(last // 1000 + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[asset, time, "run", "alarm_confirmed"])
 
     rows = scored.withWatermark(time, delay).select(asset, F.col(time).alias("_time"), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.coalesce("alarm", F.lit(False)).alias("_alarm"))
-    return rows.groupBy(asset).applyInPandasWithState(update, f"`{asset}` {kind}, `{time}` timestamp, run int, alarm_confirmed boolean", "run int, last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(asset).applyInPandasWithState(update, f"`{asset}` {kind}, `{time}` timestamp, run int, alarm_confirmed boolean", "run int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_alert_log(alerts: DataFrame, acks: DataFrame | None = None, delay: str = "1 hour", wait: str = "7 days") -> DataFrame:
