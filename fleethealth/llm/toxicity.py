@@ -62,15 +62,14 @@ class Counts:
         self.of_word: dict[str, tuple[int, ...]] = {}
 
     def of(self, tokens: list[str]) -> Counter:
+        known = self.of_word
+        if len(known) > 500_000:
+            known.clear()
+        for w in set(tokens).difference(known):
+            known[w] = tuple(self.index[f] for f in features_of(w) if f in self.index)
         found: Counter = Counter()
-        for w in tokens:
-            ids = self.of_word.get(w)
-            if ids is None:
-                if len(self.of_word) > 500_000:
-                    self.of_word.clear()
-                ids = self.of_word[w] = tuple(self.index[f] for f in features_of(w) if f in self.index)
-            if ids:
-                found.update(ids)
+        for ids in filter(None, map(known.__getitem__, tokens)):
+            found.update(ids)
         return found
 
 
