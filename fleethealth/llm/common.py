@@ -68,7 +68,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 #: Edges that a task unites at once before components are looked for.
-UNITED = 500_000
+UNITED = 100_000
 _STARS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 

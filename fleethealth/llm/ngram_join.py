@@ -50,7 +50,7 @@ class _WordHashes(dict):
     """Hash of each word met, worked out once; forgets all when it has met very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -205,7 +205,7 @@ def _doc_rows(width: int, percent: int):
                 s = shingle_set(text, width)
                 yield doc_id, len(s), set_key(s), bitmap(s), part_signatures(s, percent).tolist() if len(s) and doc_id is not None else None
 
-        yield from batched(each(), _DOCS, 10_000)
+        yield from batched(each(), _DOCS, 2000, 8 << 20)
 
     return run
 
