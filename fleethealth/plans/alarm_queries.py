@@ -65,6 +65,17 @@ def d7_top_sensors(spark, d):
     return top.groupBy("top").agg(F.count("*").alias("n"), F.round(F.avg("share"), 5).alias("share"))
 
 
+@query(f"""WITH {SCORED} SELECT event_id, 'unit ' || asset || ': abnormal ' || CASE WHEN greatest(c1, 0) >= greatest(c2, 0) THEN 'reading, z k' ELSE 'z k, reading' END || '; risk of ' || lower(regime) || '. What caused similar failures, what should be checked, and which barriers failed?' AS question FROM scored WHERE alarm""")
+def g15_alarm_questions(spark, d):
+    """The question behind every alarm, from its sensors and its regime."""
+    from fleethealth.operators.text import alert_to_question
+
+    s = scored(spark, d).filter("alarm")
+    terms = F.create_map(F.lit("z_value"), F.lit("reading"))
+    q = alert_to_question(F.concat(F.lit("unit "), F.col("asset").cast("string")), F.lit(None).cast("string"), F.col("top_sensors"), F.col("regime"), F.lit(""), terms)
+    return s.select("event_id", q.alias("question"))
+
+
 @query(f"WITH {SCORED} SELECT event_id, alarm FROM scored")
 def d8_alarm_flag(spark, d):
     return scored(spark, d).select("event_id", "alarm")

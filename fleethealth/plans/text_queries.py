@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleethealth.operators import retrieval, text
 from fleethealth.plans.registry import query, rounded, table
 
+TAG_SQL = text.TAG.replace("\\w.\\-", "a-zA-Z0-9_.-").replace("\\d", "[0-9]")
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
 
@@ -176,6 +177,15 @@ def g17_validate_citations(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", F.array_join("v.cited", ",").alias("cited"), F.array_join("v.invalid", ",").alias("invalid"))
 
 
+@query(rf"""WITH {ANSWERS}, rt AS (SELECT q, list('DOC-' || doc_id || '#000') AS tags FROM bk WHERE rank <= 3 GROUP BY 1), ca AS (SELECT q, list_distinct(regexp_extract_all(answer, '{TAG_SQL}', 1)) AS used FROM an)
+SELECT q, array_to_string(list_sort(list_filter(used, lambda t: list_contains(tags, t))), ',') AS cited, array_to_string(list_sort(list_filter(used, lambda t: NOT list_contains(tags, t))), ',') AS invalid FROM ca JOIN rt USING (q)""")
+def g17_answer_citations(spark, d):
+    """Which citations of the extractive answers are among the best three passages, and which aren't."""
+    best = retrieval.top_k(bm25(spark, d), "q", "doc_id", "score", 3).groupBy("q").agg(F.collect_list(F.concat(F.lit("DOC-"), F.col("doc_id").cast("string"), F.lit("#000"))).alias("tags"))
+    v = answers(spark, d).join(best, "q").select("q", text.validate_citations(F.col("answer"), F.col("tags")).alias("v"))
+    return v.select("q", F.array_join(F.array_sort("v.cited"), ",").alias("cited"), F.array_join(F.array_sort("v.invalid"), ",").alias("invalid"))
+
+
 CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(c), '{p}') THEN '{n}'" for n, p in text.EVENT_CLASSES) + " ELSE 'other' END"
 KINDS = ["Fire/Explosion", "Machinery Damage", "Hull failure", "Stranding", "Allision", "Capsizing", "Personnel"]
 
@@ -213,9 +223,6 @@ def g20_retrieval_metrics(spark, d):
     return rounded(retrieval.retrieval_metrics(top, gold(spark, d), "q", "doc_id"))
 
 
-TAG_SQL = text.TAG.replace("\\w.\\-", "a-zA-Z0-9_.-").replace("\\d", "[0-9]")
-
-
 @query(rf"""WITH {ANSWERS}, cl AS (SELECT q, string_split(regexp_replace(regexp_replace(answer, '\]\s+([A-Z0-9-])', ']' || chr(1) || '\1', 'g'), '\n', chr(1), 'g'), chr(1)) AS cs FROM an), ce AS (SELECT q, unnest(cs) AS s, generate_subscripts(cs, 1) AS pos FROM cl),
 ct AS (SELECT q, pos, s, regexp_extract_all(s, '{TAG_SQL}', 1) AS tags FROM ce WHERE length(s) > 30), ck AS (SELECT *, list_distinct({tokens_sql(f"regexp_replace(s, '{TAG_SQL}', '', 'g')")}) AS terms FROM ct WHERE len(tags) > 0 OR len(regexp_split_to_array(s, '\s+')) >= 8),
 cx AS (SELECT q, pos, terms, unnest(CASE WHEN len(tags) = 0 THEN [NULL] ELSE tags END) AS tag FROM ck), cb AS (SELECT q, pos, max(coalesce(len(list_intersect(terms, tk.w)) / nullif(len(terms), 0), 0)) AS best FROM cx LEFT JOIN tk ON 'DOC-' || tk.doc_id || '#000' = cx.tag GROUP BY 1, 2)
