@@ -6,7 +6,8 @@ the character spans that are trained on: assistant turns with their end mark.
 
 Defined results: a null role or text counts as empty; turns with the same number are ordered by
 role and text, and repeated turns stay; a missing side is an empty conversation; a null pair key is
-a pair of its own; an empty table gives no rows; other columns are ignored."""
+a pair of its own, and rows with a null conversation id are one conversation; a conversation is one row, so very
+long texts and conversations are kept whole in it; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 

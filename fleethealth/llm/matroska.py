@@ -7,7 +7,8 @@ and gives one row per frame with track, timestamp and byte range. The writer sto
 
 Defined results: null text is empty and stored as one frame of padding; bytes that aren't a whole
 file raise ValueError naming the place (``packet_table`` gives no rows for a null); repeated rows
-give repeated results; an empty table gives no rows; other columns are ignored."""
+give repeated results; a very long text is one file of as many clusters as it takes, and closes its Arrow batch;
+an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 

@@ -50,7 +50,7 @@ class _WordHashes(dict):
     """Hash of each word met, worked out once; forgets all when it has met very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

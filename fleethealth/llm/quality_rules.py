@@ -5,7 +5,8 @@ for each failed rule; a policy is a versioned set of rules, so its verdict is a
 ledger, and leaving a rule out (ablation) is another bit test, counted over the distinct bit sets.
 
 Defined results: null text counts as empty, has no words and fails; a repeated row is judged each
-time; an empty table gives an empty ledger; other columns are passed on by ``kept_rows`` only."""
+time; very long texts are measured whole; a measurement equal to a rule's limit passes; an empty table gives an
+empty ledger; other columns are passed on by ``kept_rows`` only, whatever their names."""
 
 from __future__ import annotations
 

@@ -57,6 +57,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "sole_rule", "policy")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of op9: documents that fail it, and documents that the newest policy would keep without it."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES[-1])
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_html_extraction)
+    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -96,5 +101,10 @@ FROM f
 """
 
 
+_RULES = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality_rules.RULES))
+ABLATIONS_SQL = f"""WITH f AS ({OP9_SQL}), r(rule, bit) AS (VALUES {_RULES})
+SELECT rule, sum((failed & bit <> 0)::INT)::BIGINT AS failed, sum((failed & (127 - bit) = 0)::INT)::BIGINT AS kept_without, bit_or(failed)::BIGINT AS seen_bits FROM f, r GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL}
+    return {"rule_ablations": ABLATIONS_SQL, "op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL}

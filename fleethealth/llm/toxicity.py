@@ -63,7 +63,7 @@ class Counts:
 
     def of(self, tokens: list[str]) -> Counter:
         known = self.of_word
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(tokens).difference(known):
             known[w] = tuple(self.index[f] for f in features_of(w) if f in self.index)
