@@ -111,7 +111,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that adaptive execution splits the join of a node with very many edges; minima are pre-aggregated. Nodes
     without an edge to another are absent."""
     pairs = edges.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
-    pairs = written(pairs.mapInArrow(_united, "u long, v long").distinct(), "edges")  # tasks that saw the same nodes found the same stars
+    stars = pairs.mapInArrow(_united, "u long, v long").repartition("u")  # a node has one edge for each task that met it
+    pairs = written(stars.mapInArrow(_united, "u long, v long").distinct(), "edges")  # most tasks find the same centres
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     before = None
