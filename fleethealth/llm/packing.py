@@ -41,7 +41,7 @@ class WordTokenizer:
     runs in order; runs repeat, so most are looked up. New plain words are encoded many at a time,
     and cut apart after the tokens that end a word. Values are little-endian 32-bit ids."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -49,6 +49,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before ``known`` was begun anew
 
     @staticmethod
     def _latin(text: str) -> bool:
@@ -66,10 +67,18 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _recall(self, runs: set[str]) -> set[str]:
+        """Runs that weren't known before either; the others are taken over."""
+        found = runs & self.older.keys()
+        self.known.update((r, self.older[r]) for r in found)
+        return runs - found
+
     def _learn(self, new: set[str]) -> None:
         """Enters the ids of new runs; a word with one mark after it is the word's ids and the mark's."""
+        new = self._recall(new)
         marked = {r: (r[:-1], r[-1]) for r in new if r[-1:] in (".", ",") and r[:-1].isalpha()}
         single = {p for pair in marked.values() for p in pair}.union(new - marked.keys()) - self.known.keys()
+        single = self._recall(single)
         plain = [r for r in single if r.isalpha()]
         groups = [g for i in range(0, len(plain), 500) if self._latin("".join(g := plain[i : i + 500]))]
         rest = list(single.difference(*groups))
@@ -83,7 +92,7 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         runs = [self._runs(t) for t in texts]
         found = [list(map(self.known.get, r)) for r in runs]
         cold = [k for k, f in enumerate(found) if None in f]

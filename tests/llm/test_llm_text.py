@@ -132,6 +132,8 @@ def test_run_wise_ids_are_the_tokenizers():
 
     texts = ["", "\n", "ΣΑΣ Σ. İstanbul éa É", "<|endoftext|> Hello<|startoftext|>WORLD.", "don't I'LL 's ''", "1234 a1b2 12.5,", "日本語 ﬁ", "..., . ,", "tab\tx\r\ny\x1cz\x85w", "A.B. c.,", "😀😀.", "ß ẞ µ ª"]
     tok = Tokenizer.from_file(tokenizer_path())
+    small = packing.WordTokenizer(tokenizer_path(), keep=3)
+    assert [small.ids([t])[0] for t in texts * 2] == packing.WordTokenizer(tokenizer_path()).ids(texts * 2) and len(small.older) > 0
     got = packing.WordTokenizer(tokenizer_path()).ids(texts)
     assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
