@@ -41,7 +41,7 @@ class WordTokenizer:
     runs in order; runs repeat, so most are looked up. New plain words are encoded many at a time,
     and cut apart after the tokens that end a word. Values are little-endian 32-bit ids."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
