@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleethealth.llm import chat_format, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, toxicity, warc
+from fleethealth.llm import chat_format, filter_audit, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, toxicity, warc
 from fleethealth.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,10 +66,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.with_labels(filter_audit.failure_masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction)
+    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction, op11_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -107,4 +111,4 @@ SELECT rule, sum((failed & bit <> 0)::INT)::BIGINT AS failed, sum((failed & (127
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"rule_ablations": ABLATIONS_SQL, "op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL}
+    return {"rule_ablations": ABLATIONS_SQL, "op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": filter_audit.SQL}
