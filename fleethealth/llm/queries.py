@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleethealth.llm import chat_format, filter_audit, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, toxicity, warc
+from fleethealth.llm import byte_language, chat_format, filter_audit, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, toxicity, warc
 from fleethealth.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,10 +70,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.with_labels(filter_audit.failure_masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
 
+def op12_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_language.predict_language(docs, byte_language.fit_language(docs))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction, op11_filter_audit)
+    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction, op11_filter_audit, op12_byte_language)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
