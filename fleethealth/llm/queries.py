@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleethealth.llm import byte_language, chat_format, filter_audit, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, toxicity, warc
+from fleethealth.llm import byte_language, chat_format, filter_audit, html_wrappers, license_scan, matroska, mixing, ngram_join, packing, quality_rules, ranked_search, toxicity, warc
 from fleethealth.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,10 +75,14 @@ def op12_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_language.predict_language(docs, byte_language.fit_language(docs))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction, op11_filter_audit, op12_byte_language)
+    own = (op1_chat_formatting, op2_best_fit_packing, op3_toxicity, op4_media_columns, op5_license_scans, op6_warc, op7_source_mixing, op8_ngram_jaccard_join, op9_quality_rules, rule_ablations, op10_html_extraction, op11_filter_audit, op12_byte_language, op13_ranked_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -116,4 +120,4 @@ SELECT rule, sum((failed & bit <> 0)::INT)::BIGINT AS failed, sum((failed & (127
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"rule_ablations": ABLATIONS_SQL, "op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": filter_audit.SQL}
+    return {"rule_ablations": ABLATIONS_SQL, "op1_chat_formatting": chat_format.SQL, "op6_warc": OP6_SQL, "op7_source_mixing": mixing.SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": filter_audit.SQL, "op13_ranked_search": ranked_search.SQL}
