@@ -5,6 +5,10 @@ ranges, one task each; a task looks for the gzip magic number in its range, acce
 what it inflates to starts with a WARC header, and owns the records whose member starts inside its
 range, reading past the range's end to finish the last one.
 
+Damage is an error, not a missing row. Once a member's content has begun with a WARC header, a member that is cut or doesn't
+inflate, and a record whose header or length is wrong, raise DamagedArchive; so do bytes after a record that are
+no gzip member, as archives are members end to end. What precedes the first record and isn't one is passed over.
+
 Which record keeps a payload is settled before writing by a pre-aggregated maximum over the payload
 digest, written before an equi-join that adaptive execution splits, so a payload with very many copies meets
 no single task. Archives go to
@@ -32,6 +36,8 @@ from fleethealth.llm.common import batched, rows_of, scratch, written
 #: Payloads from this size on are stored once; bytes that a reading task scans.
 LEAST_REVISIT, SPLIT_BYTES = 1000, 16 << 20
 MAGIC = b"\x1f\x8b\x08"
+_VERSION = b"WARC/1."
+_GZIP_HEAD = 10
 _CHUNK = 1 << 20
 
 
@@ -99,7 +105,7 @@ def write_archives(decided: DataFrame) -> DataFrame:
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """Headers (lower-case names) and block of a record, or None if it isn't one."""
-    if not data.startswith(b"WARC/1."):
+    if not data.startswith(_VERSION):
         return None
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap:
@@ -114,6 +120,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return (fields, rest[: int(length)]) if length.isdigit() and len(rest) >= int(length) else None
 
 
+class DamagedArchive(ValueError):
+    """A record begins, and can't be read whole."""
+
+
 class Range:
     """Bytes of an archive from ``start`` on, fetched as needed."""
 
@@ -127,26 +137,35 @@ class Range:
             self.data += more
         return self.data
 
-    def inflate(self, at: int) -> tuple[bytes, int] | None:
-        """Content of the member at a place, and the place after it, or None if none is there."""
-        d, out, pos = zlib.decompressobj(31), [], at
+    def inflate(self, at: int, follows: bool = False, begin_only: bool = False) -> tuple[bytes, int] | None:
+        """Content of the member at a place, and the place after it, or None if no record's member is there.
+
+        A member that ``follows`` a record has to inflate, whatever it holds; ``begin_only`` looks at its first bytes."""
+        d, out, pos, accepted = zlib.decompressobj(31), [], at, False
         while not d.eof:
             data = self.upto(pos + 1)[pos - self.start : pos - self.start + _CHUNK]
-            if not data:
-                return None
             try:
+                if not data:
+                    raise zlib.error("the archive ends in it")
                 out.append(d.decompress(data))
-            except zlib.error:
+            except zlib.error as e:
+                if accepted or follows and len(self.upto(at + _GZIP_HEAD)) >= at + _GZIP_HEAD - self.start:
+                    raise DamagedArchive(f"the member at byte {at}: {e}") from e
                 return None
-            if not out[-1].startswith(b"WARC/1."[: len(out[-1])]) and len(out) == 1:
-                return None  # settled by the first bytes
+            if not accepted:
+                begun = b"".join(out)
+                accepted = begun.startswith(_VERSION)
+                if not begun.startswith(_VERSION[: len(begun)]):
+                    return None  # settled by the first bytes
+                if accepted and begin_only:
+                    break
             pos += len(data) - len(d.unused_data)
-        return b"".join(out), pos
+        return (b"".join(out), pos) if accepted else None
 
 
 def read_range(source, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records whose members start in [start, end)."""
-    held, at = Range(source, start), start
+    held, at, follows = Range(source, start), start, False
     while at < end:
         data = held.upto(min(end, at + _CHUNK) + len(MAGIC) - 1)
         found, size = data.find(MAGIC, at - start), len(data)
@@ -158,13 +177,21 @@ def read_range(source, start: int, end: int) -> Iterator[tuple[dict[str, str], b
         at = start + found
         if at >= end:
             return
-        got = held.inflate(at)
-        rec = parse(got[0]) if got else None
-        if rec:
-            yield rec
-            at = got[1]
-        else:
+        got, follows = held.inflate(at, follows), False
+        if not got:
             at += 1
+            continue
+        rec = parse(got[0])
+        if not rec:
+            raise DamagedArchive(f"the member at byte {at} has no whole record")
+        yield rec
+        at = got[1]
+        after = held.upto(at + len(MAGIC))[at - start : at - start + len(MAGIC)]
+        if after and after != MAGIC:
+            raise DamagedArchive(f"no member begins at byte {at}, after a record")
+        follows = bool(after)
+    if follows:  # the next range takes it for whatever it finds
+        held.inflate(at, follows, begin_only=True)
 
 
 def splits(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -476,3 +476,50 @@ def test_both_forms_of_the_bound_agree():
                 root = {k: root[b] if v == root[a] else v for k, v in root.items()}
             groups.append({frozenset(k for k in ids if root[k] == r) for r in root.values()})
         assert groups[0] == groups[1] and len(groups[0]) > 1
+
+
+def test_damage_is_an_error():
+    members = [warc.member(warc.record(i, "u", f"payload {i} ".encode() * 200, None)) for i in range(5)]
+    data = b"".join(members)
+    read = lambda d: list(warc.read_range(io.BytesIO(d), 0, len(d)))
+    assert len(read(data)) == 5 and len(read(data + data)) == 10
+    ends = [sum(map(len, members[: k + 1])) for k in range(5)]
+    for cut in range(ends[3] + 40, len(data)):
+        with pytest.raises(warc.DamagedArchive):
+            read(data[:cut])
+    for at in [ends[1], ends[1] + 1, *range(ends[1] + 60, ends[2], 7), *range(ends[2] - 8, ends[2])]:
+        with pytest.raises(warc.DamagedArchive):
+            read(data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :])
+    short = warc.member(warc.record(1, "u", b"p", None)[:-20])
+    with pytest.raises(warc.DamagedArchive):
+        read(short)
+
+
+def test_stages_with_odd_names_and_maps(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k} lake" for k in range(60))
+    docs = spark.createDataFrame([(1, long, "a", {"k": "1"}), (1, long, "a", {"k": "2"}), (2, long + " more", "b", None)], "doc_id long, text string, source string, `a``b` map<string,string>")
+    docs = docs.withColumn("meta.lang", F.lit("x")).withColumn("meta", F.struct(F.lit(1).alias("lang")))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        if name == "ngram_jaccard_join":
+            assert [(r.doc_id, r["a`b"]) for r in got] == [(1, {"k": "1"})]
+    assert stage_rows(corpus_pipeline.pack(spark, docs, str(tmp_path))) == 3
+
+
+def stage_rows(df):
+    return len({(r.doc_id, r.sequence_id, r.offset) for r in df.collect()})
+
+
+@pytest.mark.parametrize("step", [150, 700])
+def test_damage_is_an_error_wherever_ranges_end(step):
+    members = [warc.member(warc.record(i, "u", f"payload {i} ".encode() * 200, None)) for i in range(5)]
+    data, a, b = b"".join(members), len(members[0]), len(members[0] + members[1])
+    for at in range(a + 10, b):
+        bad = data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :]
+        with pytest.raises(warc.DamagedArchive):
+            [list(warc.read_range(io.BytesIO(bad), k, min(len(bad), k + step))) for k in range(0, len(bad), step)]
