@@ -30,6 +30,8 @@ SEQUENCE = 2048
 OPEN_BINS = 1024
 #: Pieces of a window, about; they come by falling length.
 WINDOW = 4000
+#: Characters of texts that are tokenized at once, or one text.
+HELD_CHARS = 4 << 20
 #: Pieces that one packer gets; more of them leave fewer bins half full.
 PIECES_PER_TASK = 150_000
 
@@ -114,23 +116,25 @@ def tokenizer(path: str) -> WordTokenizer:
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def _cut(path: str, size: int, with_ids: bool):
+def _cut(path: str, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             held: list[tuple] = []
+            size = 0
             for row in rows_of(batches):
                 held.append(row)
-                if len(held) == 500:
+                size += len(row[1] or "")
+                if len(held) == 500 or size >= HELD_CHARS:
                     yield from pieces(held)
-                    held = []
+                    held, size = [], 0
             yield from pieces(held)
 
         def pieces(rows):
             found = tokenizer(path).ids([t or "" for _, t in rows])
             for (doc_id, _), ids in zip(rows, found, strict=True):
                 ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
+                for k, at in enumerate(range(0, len(ids), 4 * longest)):
+                    part = ids[at : at + 4 * longest]
                     yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None
 
         yield from batched(each(), _PIECES, 5000)

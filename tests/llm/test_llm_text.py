@@ -370,3 +370,22 @@ def test_ablations_equal_recounts(spark, docs):
     kept = quality_rules.kept_rows(docs)
     assert kept.columns == docs.columns and kept.count() == sum(b & (policy.rules | 3) == 0 for b in bits)
     assert quality_rules.ledger(docs.limit(0)).count() == 0
+
+
+def test_texts_are_tokenized_in_bounded_lots(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+
+    class Recorder:
+        def ids(self, texts):
+            seen.append(sum(map(len, texts)))
+            return [b"\1\0\0\0" * len(t) for t in texts]
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: Recorder())
+    monkeypatch.setattr(packing, "HELD_CHARS", 1000)
+    texts = ["x" * n for n in [10] * 300 + [5000, 0, 700, 700, 1]]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(packing._cut("", 2048, False)(iter([rows])))
+    assert max(x for x in seen if x < 5000) < 1700 and max(seen) <= 6000
+    assert sum(got.column("length").to_pylist()) == sum(map(len, texts)) + len(texts)
