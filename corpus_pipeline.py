@@ -10,37 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleethealth.llm import mixing, ngram_join, packing, quality_rules, toxicity
-from fleethealth.llm.common import table, written
+from fleethealth.llm.common import own_columns, table, written
 from fleethealth.llm.queries import tokenizer_path
 
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule stay; null and empty texts go, repeated rows fare alike, very long texts are read whole."""
-    return quality_rules.kept_rows(docs).select(docs.columns)
+    return quality_rules.kept_rows(docs).select(own_columns(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Clean documents stay, by a model fitted on labelled rows of the documents that are left. Null texts are clean;
     without labels of both kinds all stay; repeated rows fare alike."""
-    return toxicity.clean_rows(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))).select(docs.columns)
+    return toxicity.clean_rows(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))).select(own_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id, and of several rows with that id the least.
+    """One document of each group stays: that with the smallest id, and of several rows with that id the least by text, then by its JSON form.
 
     Rows without an id stay; a document without words is linked with no other id."""
     found = ngram_join.ngram_jaccard_components(docs, width=5, percent=80)
     others = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(own_columns(docs))
     several = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
     if several.isEmpty():
         return kept
-    least = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(least)
+    row = F.struct(*own_columns(docs))
+    least = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return kept.join(several, "doc_id", "left_anti").select(own_columns(docs)).unionByName(least)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents by their sources' rates; a null source is a source of its own."""
-    return mixing.poisson_mix(docs).select(docs.columns)
+    return mixing.poisson_mix(docs).select(own_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleethealth.llm.common import written
+from fleethealth.llm.common import own_columns, written
 
 #: Target shares follow the present shares to this power, unless weights are given.
 TEMPERATURE = 0.7
@@ -58,9 +58,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     if rates.count() <= SENT:
         rates = F.broadcast(rates)  # a few thousand pairs, counted; beyond that an equi-join whose hot keys are split
     # the documents' own columns travel in one struct, so that no name can clash
-    passed = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
+    passed = [x for c, x in zip(docs.columns, own_columns(docs), strict=True) if c not in ("n_copies", "copy", "shuffle_key")]
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in passed)).alias("row"), key.alias("source_key"), who.alias("who")).join(rates, "source_key")
+    rows = docs.select(F.struct(*passed).alias("row"), key.alias("source_key"), who.alias("who")).join(rates, "source_key")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN).cast("int"))
     of_part = lambda i: poisson(F.col("rate") / parts, uniform(F.lit(str(seed)), F.col("who"), i.cast("string")))
     rows = rows.withColumn("n_copies", F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + of_part(i))).otherwise(0))

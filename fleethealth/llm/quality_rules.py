@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleethealth.llm.common import own_columns
+
 #: Word separators, symbols that are counted, words in a repeated window.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -75,7 +77,7 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, ``row`` (the whole input row) and the measurements, each taken once."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), text.alias("text"))
+    split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*own_columns(docs)).alias("row"), text.alias("text"))
     parts = F.struct("text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, SPACE)) > 0).alias("lines"))
     # one element is exploded: filters on the measurements aren't moved below it, where they would split the text anew for each word
     split = split.select("doc_id", "row", F.explode(F.array(parts)).alias("parts")).select("doc_id", "row", "parts.*")
@@ -120,4 +122,5 @@ def ablations(rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES)
 def kept_rows(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns."""
     judged = apply_policy(ledger(docs), policy)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("row")).otherwise(F.array().cast(f"array<{dict(judged.dtypes)['row']}>"))).alias("row")).select("row.*")
+    own = F.array("row")
+    return judged.select(F.explode(F.when(F.col("kept"), own).otherwise(F.slice(own, 1, 0))).alias("row")).select("row.*")
