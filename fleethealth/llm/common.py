@@ -50,6 +50,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_remembered: dict[str, object] = {}
+
+
+def remembered(name: str, make):
+    """What a Python worker keeps from task to task, for one operator at a time: what another operator left is let go.
+
+    Workers outlive stages, and the word caches of several operators together would outgrow an executor's memory."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleethealth.llm.common import batched, connected_components, rows_of, written
+from fleethealth.llm.common import batched, connected_components, remembered, rows_of, written
 
 _MULT = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -56,13 +56,10 @@ class _WordHashes(dict):
         return found
 
 
-_known = _WordHashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word's bytes, lower-cased in ASCII; words are split at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(remembered("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

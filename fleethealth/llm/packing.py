@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleethealth.llm.common import batched, rows_of, written
+from fleethealth.llm.common import batched, remembered, rows_of, written
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
@@ -104,13 +104,8 @@ class WordTokenizer:
         return [b"".join(f) for f in found]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return remembered(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleethealth.llm.common import batched, rows_of, written
+from fleethealth.llm.common import batched, remembered, rows_of, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8000
@@ -60,6 +60,7 @@ class Counts:
     def __init__(self, index: dict[str, int]):
         self.index = index
         self.of_word: dict[str, tuple[int, ...]] = {}
+        remembered("features of words", dict)  # lets other operators' memory go; this one's ends with the task
 
     def of(self, tokens: list[str]) -> Counter:
         known = self.of_word
