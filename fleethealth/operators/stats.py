@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleethealth.functions.columns import binomial_two_sided, normal_cdf, normal_quantile, wilson
+from fleethealth.functions.columns import Z95, binomial_two_sided, normal_cdf, normal_quantile, wilson
 from fleethealth.sources.scratch import written
 
 DRAWS = 2000
@@ -68,15 +69,18 @@ def paired_permutation(diffs: DataFrame, diff: str, key: str, draws: int = DRAWS
 def randomization_inference(panel: DataFrame, unit: str, period: str, outcome: str, start: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """effect, p: the two-way effect under start periods dealt to units anew.
 
-    A draw permutes starts over units by hash order, so each draw keeps the waves' sizes."""
+    A draw permutes starts over units by hash order, so each draw keeps the waves' sizes. Panels may have holes; a draw in
+    which the treatment doesn't vary beside the effects counts as not extreme."""
     starts = panel.select(unit, start).distinct()
     slots = starts.withColumn("_slot", F.row_number().over(Window.orderBy(unit))).select("_slot", F.col(start).alias("_start"))  # a row per unit
     dealt = starts.select(unit).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     dealt = dealt.withColumn("_slot", F.row_number().over(Window.partitionBy("draw").orderBy(_digest(F.lit(seed), F.col(unit), F.col("draw")), unit)))
     dealt = dealt.join(slots, "_slot").drop("_slot")
     drawn = panel.select(unit, period, outcome).join(dealt, unit).withColumn("_d", F.coalesce(F.col(period) >= F.col("_start"), F.lit(False)).cast("double"))
-    null = _twfe_slope(drawn, unit, period, outcome, "_d", ["draw"])
-    own = _twfe_slope(panel.withColumn("_d", F.coalesce(F.col(period) >= F.col(start), F.lit(False)).cast("double")).withColumn("draw", F.lit(0)), unit, period, outcome, "_d", ["draw"]).select(F.col("beta").alias("effect"))
+    both = drawn.unionByName(panel.select(unit, period, outcome, F.lit(0).alias("draw"), F.col(start).alias("_start"), F.coalesce(F.col(period) >= F.col(start), F.lit(False)).cast("double").alias("_d")))
+    cells, keys = _cells(both, unit, period, {"y": F.col(outcome), "d": F.col("_d")}, ["draw"])
+    slopes = written(_twfe_slopes(cells, len(keys), ["draw"]), "slopes")
+    null, own = slopes.filter("draw > 0"), slopes.filter("draw = 0").select(F.col("beta").alias("effect"))
     j = null.join(F.broadcast(own))
     return j.groupBy("effect").agg(((1 + F.sum((F.abs("beta") >= F.abs("effect")).cast("int"))) / (draws + 1)).alias("p"))
 
@@ -152,10 +156,11 @@ def n_per_arm_proportions(df: DataFrame, p1: str, p2: str, alpha: float = 0.05,
 
 
 def exposure_poisson(df: DataFrame, rate1: str, rate2: str, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
-    """exposure per arm to tell two event rates apart."""
+    """exposure per arm to tell two event rates apart, by a Wald test of the logarithm of their ratio."""
     a, b = F.col(rate1), F.col(rate2)
     z = normal_quantile(F.lit(1 - alpha / 2)) + normal_quantile(F.lit(power))
-    return df.withColumn("exposure", F.try_divide(z * z * (a + b), (a - b) * (a - b)))
+    gap = F.ln(F.try_divide(b, a))
+    return df.withColumn("exposure", F.try_divide(z * z * (F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b)), gap * gap))
 
 
 def cuped(df: DataFrame, y: str, pre: str, by: list[str] = ()) -> DataFrame:
@@ -165,74 +170,155 @@ def cuped(df: DataFrame, y: str, pre: str, by: list[str] = ()) -> DataFrame:
     return j.withColumn("y_adjusted", F.col(y) - F.col("_theta") * (F.col(pre) - F.col("_mean"))).drop("_theta", "_mean")
 
 
-def _demeaned(df: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
-    """Columns less unit and period means plus the grand mean; exact for balanced panels."""
-    means = lambda keys, name: df.groupBy(*keys).agg(*(F.avg(c).alias(f"_{c}_{name}") for c in columns))
-    j = df.join(means([unit], "u"), unit).join(means([period], "t"), period).join(F.broadcast(means([], "a")))  # one row
-    return j.select(unit, period, *columns, *((F.col(c) - F.col(f"_{c}_u") - F.col(f"_{c}_t") + F.col(f"_{c}_a")).alias(f"_{c}") for c in columns))
+#: Rounds of a fit of effects, at most; one that hasn't settled by then is an error.
+MOST_ROUNDS = 400
+#: Periods of a panel, at most: a fit keeps a number or two for each on the driver.
+MOST_PERIODS = 100_000
 
 
-def _twfe_slope(df: DataFrame, unit: str, period: str, outcome: str, treated: str, by: list[str]) -> DataFrame:
-    """beta of each ``by`` group from sums of cell, unit and period totals: no wide windows."""
-    x = df.select(*by, unit, period, F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d"))
+class NotSettledError(ArithmeticError):
+    """Effects that still move after MOST_ROUNDS rounds, or run away."""
 
-    def products(keys: list[str], name: str) -> DataFrame:
-        g = x.groupBy(*by, *keys).agg(F.sum("y").alias("y"), F.sum("d").alias("d"), F.count("*").alias("n"))
-        return g.groupBy(*by).agg(F.sum(F.col("y") * F.col("d") / F.col("n")).alias(f"yd_{name}"), F.sum(F.col("d") * F.col("d") / F.col("n")).alias(f"dd_{name}"))
 
-    cells = x.groupBy(*by).agg(F.sum(F.col("y") * F.col("d")).alias("yd"), F.sum(F.col("d") * F.col("d")).alias("dd"))
-    for keys, name in (([unit], "u"), ([period], "t"), ([], "a")):
-        cells = cells.join(products(keys, name), by)
-    top, low = (F.col(k) - F.col(f"{k}_u") - F.col(f"{k}_t") + F.col(f"{k}_a") for k in ("yd", "dd"))
-    return cells.select(*by, F.try_divide(top, low).alias("beta"))
+def _settled(step, start: np.ndarray, tolerance: float = 1e-11, memory: int = 8) -> np.ndarray:
+    """The fixed point of ``step``, with the last few moves mixed so that the next is least (Anderson's scheme)."""
+    x, held = start, []
+    for _ in range(MOST_ROUNDS):
+        to = step(x)
+        move = to - x
+        if not np.isfinite(to).all() or np.abs(to).max(initial=0) > 1e12:
+            raise NotSettledError("the effects run away")
+        if np.abs(move).max(initial=0) <= tolerance * max(1.0, np.abs(to).max(initial=0)):
+            return to
+        held = [*held, (to, move)][-memory:]
+        if len(held) > 1:
+            tos, moves = (np.stack([h[k] for h in held]) for k in (0, 1))
+            mix = np.linalg.lstsq(np.diff(moves, axis=0).T, move, rcond=1e-12)[0]
+            to = to - np.diff(tos, axis=0).T @ mix
+        x = to
+    raise NotSettledError(f"the effects still move after {MOST_ROUNDS} rounds")
 
 
-def did_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: str) -> DataFrame:
+def _cells(df: DataFrame, unit: str, period: str, columns: dict[str, Column], by: list[str] = ()) -> tuple[DataFrame, list]:
+    """(by, u, p, columns) as a written table, without rows that lack a value; and the (by, period) that each p numbers."""
+    rows = df.select(*by, F.col(unit).alias("u"), F.col(period).alias("_t"), *(c.cast("double").alias(k) for k, c in columns.items())).dropna(subset=["u", "_t", *columns])
+    keys = sorted(map(tuple, rows.select(*by, "_t").distinct().limit(MOST_PERIODS + 1).collect()))
+    if len(keys) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods")
+    kinds = dict(rows.dtypes)
+    numbers = df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(keys)], ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, "_t")), "p int"]))
+    return written(rows.join(F.broadcast(numbers), [*by, "_t"]).drop("_t"), "panel"), keys  # a row per period
+
+
+def _by_period(cells: DataFrame, values: np.ndarray, names: list[str]) -> DataFrame:
+    """``cells`` with named values of their periods."""
+    numbers = cells.sparkSession.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], ", ".join(["p int", *(f"{n} double" for n in names)]))
+    return cells.join(F.broadcast(numbers), "p")  # a row per period
+
+
+def _of_units(rows: DataFrame, unit: list[str], aggregates: list[Column]) -> DataFrame:
+    """``rows`` with aggregates of their unit. The aggregates are written first, so that a unit with very many rows can be split."""
+    return rows.join(written(rows.groupBy(*unit).agg(*aggregates), "units"), unit)
+
+
+def _projected(cells: DataFrame, columns: list[str], periods: int, by: list[str] = (), weight: Column | None = None) -> DataFrame:
+    """``cells`` with ``_c`` for each column c: what is left of it when unit and period effects are taken out, by weighted least squares.
+
+    Period effects are the fixed point of taking out unit means, then period means; a round is two pre-aggregated sums, and only
+    a number per period and column comes to the driver. Exact for panels with holes and repeated cells."""
+    w = F.lit(1.0) if weight is None else weight
+    unit, held = [*by, "u"], [f"_p_{c}" for c in columns]
+    scale = cells.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))) for c in columns)).first()
+    scale = np.array([s or 1.0 for s in scale])
+
+    def without_units(values: np.ndarray) -> DataFrame:
+        rows = _by_period(cells, values.reshape(periods, -1) * scale, held)
+        return _of_units(rows, unit, [(F.sum(w * (F.col(c) - F.col(h))) / F.sum(w)).alias(f"_u_{c}") for c, h in zip(columns, held, strict=True)])
+
+    def step(values: np.ndarray) -> np.ndarray:
+        sums = without_units(values).groupBy("p").agg(*(F.sum(w * (F.col(c) - F.col(f"_u_{c}"))) / F.sum(w) for c in columns)).collect()  # a row per period
+        out = np.zeros((periods, len(columns)))
+        for r in sums:
+            out[r[0]] = np.array(r[1:], float) / scale
+        return out.ravel()
+
+    rows = without_units(_settled(step, np.zeros(periods * len(columns))))
+    return rows.select(*cells.columns, *((F.col(c) - F.col(h) - F.col(f"_u_{c}")).alias(f"_{c}") for c, h in zip(columns, held, strict=True)))
+
+
+def _twfe_slopes(cells: DataFrame, periods: int, by: list[str]) -> DataFrame:
+    """by, beta: least squares of y on d with unit and period effects, for each ``by`` group."""
+    sums = _projected(cells, ["y", "d"], periods, by).groupBy(*by).agg(F.sum(F.col("_y") * F.col("_d")).alias("top"), F.sum(F.col("_d") * F.col("_d")).alias("low"))
+    return sums.select(*by, F.when(F.col("low") > 1e-9, F.col("top") / F.col("low")).alias("beta"))
+
+
+def did_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: str, dof: bool = False) -> DataFrame:
     """effect, se, ci_low, ci_high, p, units: two-way fixed effects, errors clustered by unit.
 
-    Small-sample factor G / (G - 1); reference distribution normal. Exact for balanced panels."""
-    cells = written(panel.select(unit, period, F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d")), "panel")
-    d = written(_demeaned(cells, unit, period, ["y", "d"]), "demeaned")
-    beta = d.agg(F.try_divide(F.sum(F.col("_y") * F.col("_d")), F.sum(F.col("_d") * F.col("_d"))).alias("effect"), F.sum(F.col("_d") * F.col("_d")).alias("dd"))
-    scores = d.join(F.broadcast(beta)).groupBy(unit).agg(F.sum(F.col("_d") * (F.col("_y") - F.col("effect") * F.col("_d"))).alias("g"))  # one row
+    Panels may have holes: effects are projected out by rounds until they settle, which equals least squares with a dummy
+    for each unit and period. Rows without an outcome or treatment are left out. Small-sample factor G / (G - 1), with
+    ``dof`` also (n - 1) / (n - k) for k effects; reference distribution normal. Null where the treatment doesn't vary beside the effects."""
+    cells, keys = _cells(panel, unit, period, {"y": F.col(outcome), "d": F.col(treated)})
+    d = written(_projected(cells, ["y", "d"], len(keys)), "demeaned")
+    beta = d.agg(F.sum(F.col("_d") * F.col("_d")).alias("dd"), F.sum(F.col("_y") * F.col("_d")).alias("yd"), F.count("*").alias("n")).filter("dd > 1e-9").select((F.col("yd") / F.col("dd")).alias("effect"), "dd", "n")
+    scores = d.join(F.broadcast(beta)).groupBy("u").agg(F.sum(F.col("_d") * (F.col("_y") - F.col("effect") * F.col("_d"))).alias("g"))  # one row
     meat = scores.agg(F.sum(F.col("g") * F.col("g")).alias("meat"), F.count("*").alias("units"))
-    j = beta.join(F.broadcast(meat))
-    se = F.sqrt(F.col("meat") * F.col("units") / (F.col("units") - 1)) / F.col("dd")
-    out = j.select("effect", se.alias("se"), "units")
-    return out.select("effect", "se", (F.col("effect") - 1.959964 * F.col("se")).alias("ci_low"), (F.col("effect") + 1.959964 * F.col("se")).alias("ci_high"), (2 * (1 - normal_cdf(F.abs(F.try_divide(F.col("effect"), F.col("se")))))).alias("p"), "units")
+    j = meat.join(F.broadcast(beta), how="left")
+    factor = F.col("units") / (F.col("units") - 1) * (((F.col("n") - 1) / (F.col("n") - F.col("units") - len(keys))) if dof else 1)
+    out = j.select("effect", (F.sqrt(F.col("meat") * factor) / F.col("dd")).alias("se"), "units")
+    return out.select("effect", "se", (F.col("effect") - Z95 * F.col("se")).alias("ci_low"), (F.col("effect") + Z95 * F.col("se")).alias("ci_high"), (2 * (1 - normal_cdf(F.abs(F.try_divide(F.col("effect"), F.col("se")))))).alias("p"), "units")
 
 
-def poisson_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: str) -> DataFrame:
-    """rate_ratio, ci_low, ci_high, p of event counts with unit and period effects; all-zero units are left out.
-
-    A generalised linear model with one-hot effects; null with p = 1 if no unit has events or the treatment doesn't
-    vary beside the effects. Any other failure is raised."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def poisson_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period: str, dof: bool = False) -> DataFrame:
+    """rate_ratio, ci_low, ci_high, p of event counts with unit and period effects, errors clustered by unit.
 
+    Unit effects are concentrated out of the likelihood: given period effects and the treatment's, a unit's is its events over
+    its expected ones. Period effects follow from the periods' events in the same way, and the treatment's from its score; rounds
+    go on until all stand still, each of two pre-aggregated sums, so units may be any number. The error comes from the
+    treatment less its projection on the effects, weighted by expected counts, which takes rounds of its own. Units and periods
+    without events tell nothing and are left out. Null with p = 1 if no unit has events, if the treatment doesn't vary beside the effects, or if
+    its effect has no bound (all events on one side)."""
     spark = panel.sparkSession
     none = spark.createDataFrame([(None, None, None, 1.0)], "rate_ratio double, ci_low double, ci_high double, p double")
-    live = panel.groupBy(unit).agg(F.sum(outcome).alias("_s")).filter("_s > 0").select(unit)
-    rows = written(panel.join(live, unit).select(F.col(unit).cast("string").alias("u"), F.col(period).cast("string").alias("t"), F.col(treated).cast("double").alias("d"), F.col(outcome).cast("double").alias("y")), "counts")
-    kinds = rows.agg(F.countDistinct("u"), F.countDistinct("t"), F.countDistinct("d")).first()
-    if min(kinds) < 2 or (_demeaned(rows, "u", "t", ["d"]).agg(F.sum(F.col("_d") * F.col("_d"))).first()[0] or 0) < 1e-9:
+    rows = panel.select(F.col(unit).alias("u"), F.col(period).alias("t"), F.col(outcome).cast("double").alias("y"), F.col(treated).cast("double").alias("d")).dropna()
+    for key in ("u", "t"):
+        rows = rows.join(written(rows.groupBy(key).agg(F.sum("y").alias("_s")).filter("_s > 0").select(key), "live"), key, "left_semi")
+    cells, keys = _cells(rows, "u", "t", {"y": F.col("y"), "d": F.col("d")})
+    if not keys or (_projected(cells, ["d"], len(keys)).agg(F.sum(F.col("_d") * F.col("_d"))).first()[0] or 0) < 1e-9:
+        return none
+    events = {r.p: r.y for r in cells.groupBy("p").agg(F.sum("y").alias("y")).collect()}  # a row per period
+    events = np.array([events[i] for i in range(len(keys))])
+
+    def expected(x: np.ndarray) -> DataFrame:
+        """Cells with their expected counts ``mu``, and the mean of d in their unit, ``_du``."""
+        m = F.exp(F.col("_b") + F.lit(float(x[-1])) * F.col("d"))
+        each = _by_period(cells, x[:-1, None], ["_b"]).withColumn("_m", m)
+        known = _of_units(each, ["u"], [F.sum("_m").alias("_s"), F.sum("y").alias("_y"), (F.sum(F.col("_m") * F.col("d")) / F.sum("_m")).alias("_du")])
+        return known.withColumn("mu", F.col("_m") * F.col("_y") / F.col("_s"))
+
+    def step(x: np.ndarray) -> np.ndarray:
+        if abs(x[-1]) > 25:
+            raise NotSettledError("the treatment's effect has no bound")
+        d, mu = F.col("d"), F.col("mu")
+        sums = expected(x).groupBy("p").agg(F.sum(mu), F.sum(d * (F.col("y") - mu)), F.sum(mu * d * (d - F.col("_du")))).collect()  # a row per period
+        got = np.array([r[1:] for r in sorted(sums)], float)
+        b = x[:-1] + np.log(events / got[:, 0])
+        return np.append(b - b.mean(), x[-1] + np.clip(got[:, 1].sum() / max(got[:, 2].sum(), 1e-12), -1, 1))
+
+    try:
+        x = _settled(step, np.zeros(len(keys) + 1), 1e-10)
+    except NotSettledError:
         return none
-    stages = [StringIndexer(inputCols=["u", "t"], outputCols=["ui", "ti"]), OneHotEncoder(inputCols=["ui", "ti"], outputCols=["uv", "tv"]), VectorAssembler(inputCols=["d", "uv", "tv"], outputCol="x")]
-    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="y", maxIter=50, regParam=1e-8)
-    prepared = Pipeline(stages=stages).fit(rows).transform(rows)
-    model = glm.fit(prepared)
-    b = float(model.coefficients[0])
-    fitted = written(model.transform(prepared).select("u", "t", "d", "y", F.col("prediction").alias("mu")), "fitted")
-    # sandwich for the treatment: its weighted residual on the effects, by unit
-    share = lambda keys, name: fitted.groupBy(*keys).agg((F.sum(F.col("mu") * F.col("d")) / F.sum("mu")).alias(name))
-    part = fitted.join(share(["u"], "du"), "u").join(share(["t"], "dt"), "t").join(F.broadcast(share([], "da")))  # one row
-    part = part.withColumn("dr", F.col("d") - F.col("du") - F.col("dt") + F.col("da"))
-    sums = part.groupBy("u").agg(F.sum(F.col("dr") * (F.col("y") - F.col("mu"))).alias("g"), F.sum(F.col("mu") * F.col("dr") * F.col("d")).alias("b")).agg(F.sum("b").alias("bread"), F.sum(F.col("g") * F.col("g")).alias("meat")).first()
+    fitted = written(expected(x).select("u", "p", "y", "d", "mu"), "fitted")
+    part = _projected(fitted, ["d"], len(keys), weight=F.col("mu"))
+    by_unit = part.groupBy("u").agg(F.sum(F.col("_d") * (F.col("y") - F.col("mu"))).alias("g"), F.sum(F.col("mu") * F.col("_d") * F.col("_d")).alias("b"), F.count("*").alias("n"))
+    sums = by_unit.agg(F.sum("b").alias("bread"), F.sum(F.col("g") * F.col("g")).alias("meat"), F.count("*").alias("units"), F.sum("n").alias("n")).first()
     if not sums.bread or not sums.meat:
         return none
-    se = math.sqrt(sums.meat) / abs(sums.bread)
-    return spark.createDataFrame([(math.exp(b), math.exp(b - 1.959964 * se), math.exp(b + 1.959964 * se), math.erfc(abs(b / se) / math.sqrt(2)))], none.schema)
+    factor = sums.units / (sums.units - 1) * (sums.n - 1) / (sums.n - sums.units - len(keys)) if dof else 1.0
+    b, se = F.col("b"), F.col("se")
+    one = spark.createDataFrame([(float(x[-1]), math.sqrt(sums.meat * factor) / sums.bread)], "b double, se double")
+    return one.select(F.exp(b).alias("rate_ratio"), F.exp(b - Z95 * se).alias("ci_low"), F.exp(b + Z95 * se).alias("ci_high"), (2 * (1 - normal_cdf(F.abs(b / se)))).alias("p"))
 
 
 def parallel_ab(panel: DataFrame, unit: str, arm: str, outcome: str, post: str) -> DataFrame:

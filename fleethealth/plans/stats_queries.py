@@ -102,7 +102,7 @@ def t7_n_per_arm(spark, d):
     return stats.n_per_arm_proportions(x, "a", "b").select("p_partkey", "n_per_arm")
 
 
-@query("WITH s AS (SELECT p_partkey, p_size / 10.0 AS a, p_size / 20.0 AS b FROM part) SELECT p_partkey, round((1.959963984540054 + 0.8416212335729143) ** 2 * (a + b) / (a - b) ** 2, 4) AS exposure FROM s")
+@query("WITH s AS (SELECT p_partkey, p_size / 10.0 AS a, p_size / 20.0 AS b FROM part) SELECT p_partkey, round((1.959963984540054 + 0.8416212335729143) ** 2 * (1 / a + 1 / b) / ln(b / a) ** 2, 4) AS exposure FROM s")
 def t7_exposure_poisson(spark, d):
     x = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 10).alias("a"), (F.col("p_size") / 20).alias("b"))
     return rounded(stats.exposure_poisson(x, "a", "b").select("p_partkey", "exposure"), 4)
@@ -124,11 +124,54 @@ def t9_did_twfe(spark, d):
     return rounded(stats.did_twfe(panel(spark, d), "y", "d", "unit", "period"))
 
 
-@query()
+#: A panel with holes: every third cell or so is missing.
+HOLES = "ho AS (SELECT * FROM tr WHERE (unit * 7 + period * 11 + unit * period) % 10 < 7)"
+
+
+def with_holes(spark, d):
+    return panel(spark, d).filter((F.col("unit") * 7 + F.col("period") * 11 + F.col("unit") * F.col("period")) % 10 < 7)
+
+
+def out_of_means(name: str, rows: str, columns: list[str], group: str = "", weight: str = "1", rounds: int = 400) -> str:
+    """SQL: ``columns`` of ``rows`` less unit and period effects, by so many rounds of weighted means."""
+    g = f"{group}, " if group else ""
+    mean = lambda key, table: ", ".join(f"{c} - sum({weight} * {c}) OVER (PARTITION BY {g}{key}) / sum({weight}) OVER (PARTITION BY {g}{key}) AS {c}" for c in columns)
+    return f"""{name}_i AS (SELECT 0 AS round, * FROM {rows} UNION ALL SELECT * REPLACE (round + 1 AS round, {mean("period", "b")}) FROM (SELECT * REPLACE ({mean("unit", "a")}) FROM {name}_i WHERE round < {rounds})),
+{name} AS (SELECT * FROM {name}_i WHERE round = {rounds})"""
+
+
+DID_SQL = f"""b AS (SELECT sum(y * d) / sum(d * d) AS effect, sum(d * d) AS dd FROM dm), sc AS (SELECT unit, sum(d * (y - effect * d)) AS g FROM dm, b GROUP BY 1), mt AS (SELECT sum(g * g) AS m, count(*) AS u FROM sc), r AS (SELECT effect, sqrt(m * u / (u - 1)) / dd AS se, u FROM b, mt)
+SELECT round(effect, 6) AS effect, round(se, 6) AS se, round(effect - 1.959964 * se, 6) AS ci_low, round(effect + 1.959964 * se, 6) AS ci_high, round(2 * (1 - {PT}), 6) AS p, u AS units FROM r"""
+
+
+@query(f"WITH RECURSIVE {PANEL}, {HOLES}, hd AS (SELECT unit, period, y::DOUBLE AS y, d::DOUBLE AS d FROM ho), {out_of_means('dm', 'hd', ['y', 'd'], rounds=60)}, {DID_SQL}")
+def t9_did_twfe_holes(spark, d):
+    return rounded(stats.did_twfe(with_holes(spark, d), "y", "d", "unit", "period"))
+
+
+def _poisson_sql(rows: str) -> str:
+    """Expected counts by iterative proportional fitting: to the units', the periods' and the treated cells' events in turn."""
+    return f"""lv AS (SELECT unit, period, n::DOUBLE AS y, d::DOUBLE AS d FROM {rows} WHERE unit IN (SELECT unit FROM {rows} GROUP BY 1 HAVING sum(n) > 0)),
+lw AS (SELECT * FROM lv WHERE period IN (SELECT period FROM lv GROUP BY 1 HAVING sum(y) > 0)),
+fi AS (SELECT 0 AS round, *, 1.0::DOUBLE AS mu, 0.0::DOUBLE AS beta FROM lw UNION ALL
+  SELECT * EXCLUDE (f) REPLACE (round + 1 AS round, CASE WHEN d = 1 THEN mu * f ELSE mu END AS mu, beta + ln(f) AS beta) FROM (SELECT *, sum(y * d) OVER () / sum(mu * d) OVER () AS f FROM (
+    SELECT * REPLACE (mu * sum(y) OVER (PARTITION BY period) / sum(mu) OVER (PARTITION BY period) AS mu) FROM (
+      SELECT * REPLACE (mu * sum(y) OVER (PARTITION BY unit) / sum(mu) OVER (PARTITION BY unit) AS mu) FROM fi WHERE round < 400)))),
+fd AS (SELECT unit, period, y, d, d AS x, mu, beta FROM fi WHERE round = 400), {out_of_means("pr", "fd", ["x"], weight="mu", rounds=100)},
+sc AS (SELECT unit, sum(x * (y - mu)) AS g, sum(mu * x * x) AS b FROM pr GROUP BY 1), z AS (SELECT (SELECT any_value(beta) FROM fd) AS beta, sqrt(sum(g * g)) / sum(b) AS se FROM sc)
+SELECT round(exp(beta), 6) AS rate_ratio, round(exp(beta - 1.959964 * se), 6) AS ci_low, round(exp(beta + 1.959964 * se), 6) AS ci_high, round(2 * (1 - {normal_cdf_sql("abs(beta / se)")}), 6) AS p FROM z"""
+
+
+@query(f"WITH RECURSIVE {PANEL}, {_poisson_sql('tr')}")
 def t10_poisson_twfe(spark, d):
     return rounded(stats.poisson_twfe(panel(spark, d), "n", "d", "unit", "period"))
 
 
+@query(f"WITH RECURSIVE {PANEL}, {HOLES}, {_poisson_sql('ho')}")
+def t10_poisson_twfe_holes(spark, d):
+    return rounded(stats.poisson_twfe(with_holes(spark, d), "n", "d", "unit", "period"))
+
+
 PZ = normal_cdf_sql("abs(z)")
 
 
@@ -149,6 +192,14 @@ def t12_randomization_inference(spark, d):
     return rounded(stats.randomization_inference(panel(spark, d), "unit", "period", "y", "start", 100))
 
 
+@query(f"""WITH RECURSIVE {PANEL}, {HOLES}, su AS (SELECT unit, start, row_number() OVER (ORDER BY unit) AS slot FROM (SELECT DISTINCT unit, start FROM ho)),
+dl AS (SELECT unit, draw, row_number() OVER (PARTITION BY draw ORDER BY md5('0|' || unit || '|' || draw), unit) AS slot FROM su, generate_series(1, 20) AS t(draw)),
+dn AS (SELECT draw, ho.unit, period, y::DOUBLE AS y, (period >= su.start)::INT::DOUBLE AS d FROM ho JOIN dl USING (unit) JOIN su USING (slot) UNION ALL SELECT 0, unit, period, y, d FROM ho), {out_of_means('dm', 'dn', ['y', 'd'], 'draw', rounds=60)},
+be AS (SELECT draw, sum(y * d) / sum(d * d) AS beta FROM dm GROUP BY 1), e AS (SELECT beta AS effect FROM be WHERE draw = 0) SELECT round(effect, 6) AS effect, round((1 + sum((abs(beta) >= abs(effect))::INT)) / 21, 6) AS p FROM be, e WHERE draw > 0 GROUP BY effect""")
+def t12_randomization_holes(spark, d):
+    return rounded(stats.randomization_inference(with_holes(spark, d), "unit", "period", "y", "start", 20))
+
+
 @query("SELECT 0 AS wave, 3 AS start, count(*) // 3 + (count(*) % 3 > 0)::INT AS n FROM supplier UNION ALL SELECT 1, 6, count(*) // 3 + (count(*) % 3 > 1)::INT FROM supplier UNION ALL SELECT 2, 9, count(*) // 3 FROM supplier")
 def t13_wave_assignment(spark, d):
     return stats.wave_assignment(table(spark, d, "supplier"), "s_suppkey", 3, 3, 9).groupBy("wave", "start").agg(F.count("*").alias("n"))

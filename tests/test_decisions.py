@@ -221,3 +221,63 @@ def test_importance_over_all_rows_and_boosted_classes(spark, monkeypatch):
     assert found["a"] > 0.5 and abs(found["b"]) < 0.05
     out = learn.diagnose(df, learn.fit_classifier(df, ["a", "b"], "y", "boosted"))
     assert out.filter("diagnosis = y").count() > 570 and out.filter("diagnosis_confidence > 1 or diagnosis_confidence < 0.33").count() == 0
+
+
+def dense_twfe(pdf, y, d, weights=None):
+    """Least squares with dummies: effect and error clustered by unit."""
+    u, t = pd.get_dummies(pdf["u"]).to_numpy(float), pd.get_dummies(pdf["t"]).to_numpy(float)[:, 1:]
+    x, w = np.column_stack([pdf[d], u, t]), np.ones(len(pdf)) if weights is None else weights
+    bread = np.linalg.pinv(x.T @ (w[:, None] * x))
+    beta = bread @ x.T @ (w * pdf[y])
+    return x, bread, beta
+
+
+def test_two_way_effect_on_a_panel_with_holes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(u, t, int(t >= 3 + u % 5), u * 0.4 - t * 0.2 - 2 * (t >= 3 + u % 5) + rng.normal() * 0.3) for u in range(12) for t in range(10) if rng.random() > 0.3]
+    pdf = pd.DataFrame([*rows, rows[0], rows[5]], columns=["u", "t", "d", "y"])
+    x, bread, beta = dense_twfe(pdf, "y", "d")
+    score = x * (pdf["y"] - x @ beta).to_numpy()[:, None]
+    by_unit = pd.DataFrame(score).groupby(pdf["u"].to_numpy()).sum().to_numpy()
+    var = (bread @ by_unit.T @ by_unit @ bread)[0, 0] * 12 / 11
+    holed = pd.concat([pdf, pd.DataFrame({"u": [0, 1], "t": [0, 1], "d": [np.nan, 1], "y": [1.0, np.nan]})])
+    df = spark.createDataFrame(holed, "u int, t int, d double, y double").na.replace(float("nan"), None)
+    r = one(stats.did_twfe(df, "y", "d", "u", "t"))
+    assert (r.effect, r.se, r.units) == (pytest.approx(beta[0], abs=1e-8), pytest.approx(np.sqrt(var), abs=1e-8), 12)
+    full = one(stats.did_twfe(df, "y", "d", "u", "t", dof=True))
+    n, k = len(pdf), 1 + 12 + 9
+    assert full.se == pytest.approx(np.sqrt(var * (n - 1) / (n - k)))
+    same = one(stats.did_twfe(df.withColumn("d", F.lit(1)), "y", "d", "u", "t"))
+    assert same.effect is None and same.p is None
+
+
+def test_poisson_effect_equals_dense_fit(spark):
+    rng = np.random.default_rng(9)
+    rows = [(u, t, int(t >= 3 + u % 5), int(rng.poisson(np.exp(0.1 * u + 0.05 * t - 0.5 * (t >= 3 + u % 5))))) for u in range(12) for t in range(10) if rng.random() > 0.2]
+    rows += [(90, t, 0, 0) for t in range(10)]
+    pdf = pd.DataFrame([r for r in rows if r[0] != 90], columns=["u", "t", "d", "y"])
+    mu = pdf["y"].to_numpy() + 0.5
+    for _ in range(60):
+        pdf["z"] = np.log(mu) + (pdf["y"] - mu) / mu
+        x, bread, beta = dense_twfe(pdf, "z", "d", mu)
+        mu = np.exp(x @ beta)
+    by_unit = pd.DataFrame(x * (pdf["y"] - mu).to_numpy()[:, None]).groupby(pdf["u"].to_numpy()).sum().to_numpy()
+    se = np.sqrt((bread @ by_unit.T @ by_unit @ bread)[0, 0])
+    df = spark.createDataFrame(rows, "u int, t int, d int, y int")
+    r = one(stats.poisson_twfe(df, "y", "d", "u", "t"))
+    assert r.rate_ratio == pytest.approx(np.exp(beta[0]), rel=1e-7)
+    assert np.log(r.ci_high / r.ci_low) / (2 * 1.959964) == pytest.approx(se, rel=1e-6)
+    split = df.withColumn("y", F.when(F.col("d") == 1, 0).otherwise(F.col("y")))
+    assert one(stats.poisson_twfe(split, "y", "d", "u", "t")).p == 1.0  # no bound
+
+
+def test_poisson_effect_over_very_many_units(spark):
+    panel = spark.range(30_000).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t")).withColumn("d", ((F.col("t") >= 2) & (F.col("u") % 2 == 0)).cast("int"))
+    panel = panel.withColumn("y", (1 + F.pmod(F.xxhash64("u", "t"), F.lit(4)) * F.when(F.col("d") == 1, 1).otherwise(2)).cast("int"))
+    r = one(stats.poisson_twfe(panel, "y", "d", "u", "t"))
+    assert r.ci_low < 2.5 / 4 < r.ci_high and r.ci_high / r.ci_low < 1.05
+
+
+def test_exposure_follows_the_log_ratio(spark):
+    r = one(stats.exposure_poisson(spark.createDataFrame([(2.0, 1.0)], "a double, b double"), "a", "b"))
+    assert r.exposure == pytest.approx((1.959964 + 0.841621) ** 2 * 1.5 / np.log(2) ** 2, rel=1e-5)
