@@ -242,13 +242,14 @@ def streamed(spark, df, stream, mode: str = "append", files: int = 4):
     return spark.read.schema(s.schema).parquet(out)
 
 
-def streamed_in_order(spark, df, stream, time: str, slices: int = 4):
-    """The same with the rows arriving in time order: a slice of time after the other, each a batch of many files.
+def streamed_in_order(spark, df, stream, time: str, slices: int = 4, arrival=None):
+    """The same with the rows arriving in time order, or in that of ``arrival``: a slice of time after the other, each a batch of many files.
 
     State and watermark pass from batch to batch by the checkpoint."""
     src, out, mark = (folder(spark, k) for k in ("source", "sink", "marks"))
-    at = F.coalesce(F.unix_micros(time), F.lit(-(1 << 63)))
-    cuts = df.agg(F.percentile_approx(F.unix_micros(time), [k / slices for k in range(1, slices)]).alias("c")).first().c or []
+    when = F.unix_micros(time) if arrival is None else arrival
+    at = F.coalesce(when, F.lit(-(1 << 63)))
+    cuts = df.agg(F.percentile_approx(when, [k / slices for k in range(1, slices)]).alias("c")).first().c or []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if lo is None else df.filter(at > lo)
         (part if hi is None else part.filter(at <= hi)).write.mode("append").parquet(src)
@@ -272,6 +273,22 @@ def st2_stream_confirm(spark, d):
     return streamed_in_order(spark, x, lambda s: streams.stream_confirm(s, "asset", "ts", PERSISTENCE), "ts").groupBy("asset").agg(F.sum(F.col("alarm_confirmed").cast("int")).alias("confirmed"))
 
 
+@query(f"""WITH {SCORED}, hr AS (SELECT *, date_trunc('hour', ts) AS h FROM scored),
+cf AS (SELECT asset, h, min(alarm::INT) OVER w = 1 AND count(*) OVER w = {PERSISTENCE} AS confirmed FROM hr WINDOW w AS (PARTITION BY asset ORDER BY h, event_id ROWS BETWEEN {PERSISTENCE - 1} PRECEDING AND CURRENT ROW))
+SELECT asset, count(*) AS n, sum(confirmed::INT)::BIGINT AS confirmed FROM cf WHERE h <= (SELECT max(h) - INTERVAL 2 DAY FROM cf) GROUP BY 1""")
+def st2_stream_confirm_ordered(spark, d):
+    """Times are cut to hours, so many tie, and rows arrive up to a day late; what the watermark has passed equals the batch form."""
+    x = scored(spark, d).select("asset", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "event_id", "alarm")
+    late = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
+    before = spark.conf.get(streams.STATE_STORE, None)
+    spark.conf.set(streams.STATE_STORE, streams.ROCKS_DB)
+    try:
+        out = streamed_in_order(spark, x, lambda s: streams.stream_confirm_ordered(s, "asset", "ts", "event_id", PERSISTENCE, "2 days"), "ts", arrival=late)
+    finally:
+        spark.conf.unset(streams.STATE_STORE) if before is None else spark.conf.set(streams.STATE_STORE, before)
+    return out.groupBy("asset").agg(F.count("*").alias("n"), F.sum(F.col("alarm_confirmed").cast("int")).alias("confirmed"))
+
+
 @query("SELECT event_type AS slice, count(*) AS n FROM events WHERE value > 200 GROUP BY 1")
 def st3_stream_alert_log(spark, d):
     a = sensors(spark, d).filter("value > 200").select(F.col("event_id").cast("string").alias("alert_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("regime").alias("slice"))

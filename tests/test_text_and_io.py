@@ -159,3 +159,40 @@ def test_slices_of_queries_give_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SENT_BYTES", 1000)
     assert len(retrieval.slices(q, "q", 8 * F.size("w"))) > 3
     assert sorted(map(tuple, retrieval.dense_search(q, "q", "w", df, "i", "v", 3).collect())) == whole
+
+
+def _all_batches(stream, name, path):
+    stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_ties_in_time_count_at_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, f"2024-01-01 00:0{k // 2}:00", True) for k in range(8)], "m int, s string, alarm boolean").select("m", F.to_timestamp("s").alias("ts"), "alarm")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    _all_batches(streams.stream_confirm(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "m", "ts", 2), "ties", str(tmp_path / "cp"))
+    assert [r.alarm_confirmed for r in spark.table("ties").collect()].count(True) == 7 and spark.table("ties").count() == 8
+
+
+def test_late_rows_find_their_place(spark, tmp_path, monkeypatch):
+    """Shuffled rows with ties, in six batches, give what the batch form gives; rows beyond the delay are dropped."""
+    import random
+
+    from fleethealth.operators.detector import confirm_alarm
+
+    rng = random.Random(2)
+    rows = [(m, i, i // 3, rng.random() < 0.7) for m in range(5) for i in range(120)]
+    every = spark.createDataFrame(rows, "m long, i long, minute int, alarm boolean").withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, minute)"))
+    every = every.select("m", "i", "ts", "alarm")
+    for k in range(6):  # up to six minutes late
+        every.filter(F.floor((F.minute("ts") + F.pmod(F.xxhash64("m", "i"), F.lit(6))) / 8) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(0, 999, "2023-12-31 00:00:00", True), (9, 0, "2024-01-01 05:00:00", True)], "m long, i long, s string, alarm boolean").select("m", "i", F.to_timestamp("s").alias("ts"), "alarm").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="providerClass"):
+        streams.stream_confirm_ordered(source, "m", "ts", "i", 3, "10 minutes")
+    spark.conf.set(streams.STATE_STORE, streams.ROCKS_DB)
+    try:
+        _all_batches(streams.stream_confirm_ordered(source, "m", "ts", "i", 3, "10 minutes"), "ordered", str(tmp_path / "cp"))
+    finally:
+        spark.conf.unset(streams.STATE_STORE)
+    got = {(r.m, r.i): r.alarm_confirmed for r in spark.table("ordered").collect()}
+    batch = confirm_alarm(every.withColumn("at", F.struct("ts", "i")), "alarm", "m", "at", 3)
+    assert got == {(r.m, r.i): r.alarm_confirmed for r in batch.collect()}
