@@ -188,15 +188,23 @@ def _depths(tree: list, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarr
     _depths(tree[3], x, at[~left], depth + 1, out)
 
 
+def forest_samples(complete: DataFrame, columns: list[str], keys: list[str], trees: int, rows: int, seed: int = 0) -> DataFrame:
+    """columns, tree, _h: for each tree the rows with the least hashes, about twice ``rows`` of them, so that the least ``rows`` are among them.
+
+    A row is repeated only for the trees that it enters, so what leaves the scan is bounded by trees times rows, however many rows there are."""
+    total = max(1, complete.count())
+    share = min(1.0, (2.0 * rows + 100) / total)
+    most = F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))
+    hashed = complete.select(*columns, F.xxhash64(*keys, F.lit(seed)).alias("_h"))
+    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("_h", t) <= most)
+    return hashed.select(*columns, "_h", F.explode(entered).alias("tree")).withColumn("_h", F.xxhash64("_h", "tree"))
+
+
 def fit_isolation_forest(healthy: DataFrame, columns: list[str], keys: list[str], trees: int = 300, rows: int = 256, seed: int = 0) -> list:
     """Trees as nested lists; each is grown by its own task on a hash subsample of ``rows`` rows."""
     import json
 
-    complete = healthy.dropna(subset=columns)
-    total = max(1, complete.count())
-    share = min(1.0, 2.0 * rows / total)
-    picks = complete.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.xxhash64(*keys, F.lit(seed)).alias("_h"))
-    picks = picks.withColumn("_h", F.xxhash64("_h", "tree")).filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000)
+    picks = forest_samples(healthy.dropna(subset=columns), columns, keys, trees, rows, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_h").head(rows)[columns].to_numpy(float)

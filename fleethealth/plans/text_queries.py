@@ -70,11 +70,23 @@ def bm25(spark, d):
     return s.withColumn("score", F.round("score", 6))
 
 
+def best_by_blocks(spark, d, choose, k):
+    """What ``choose`` picks, from an index of the questions' terms in blocks."""
+    asked = questions(spark, d)
+    index = retrieval.block_index(passages(spark, d), "doc_id", F.col("text"), asked.select(F.explode(text.tokenize(F.col("question"))).alias("term")))
+    return retrieval.BlockSearch(index, asked, "q", "question", choose, k, 6).best
+
+
 @query(f"WITH {BM} SELECT q, doc_id, round(score, 6) AS score FROM bk WHERE rank <= 10")
 def g6_bm25_search(spark, d):
     return retrieval.top_k(bm25(spark, d), "q", "doc_id", "score", 10)
 
 
+@query(f"WITH {BM} SELECT q, doc_id, round(score, 6) AS score FROM bk WHERE rank <= 10")
+def g6_block_search(spark, d):
+    return best_by_blocks(spark, d, lambda s: retrieval.top_k(s, "q", "doc_id", "score", 10), 10)
+
+
 @query()
 def g7_lsa_embed(spark, d):
     e, _, _ = retrieval.lsa_embed(passages(spark, d), "text")
@@ -115,6 +127,14 @@ def g10_search(spark, d):
     return retrieval.search(bm25(spark, d), meta, "q", "doc_id", "source", 8, 2, exclude).select("q", "doc_id", "source", "lang", "rank")
 
 
+@query(f"""WITH {BM}, j AS (SELECT bm.q, doc_id, round(score, 6) AS score, source, lang FROM bm JOIN documents USING (doc_id) WHERE NOT (bm.q % 5 = 0 AND source = 'src0')), p AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY q, source ORDER BY score DESC, doc_id) <= 2)
+SELECT q, doc_id, source, lang, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 8""")
+def g10_block_search(spark, d):
+    exclude = questions(spark, d).filter("q % 5 = 0").select("q", F.lit("src0").alias("source"))
+    meta = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return best_by_blocks(spark, d, lambda s: retrieval.search(s, meta, "q", "doc_id", "source", 8, 2, exclude), 8).select("q", "doc_id", "source", "lang", "rank")
+
+
 @query(f"""WITH {BM}, j AS (SELECT bm.q, doc_id, round(score, 6) AS score, source FROM bm JOIN documents USING (doc_id)), p AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY q, source ORDER BY score DESC, doc_id) <= 1)
 SELECT q, source, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 10""")
 def g11_top_docs(spark, d):
@@ -208,12 +228,8 @@ GOLD = "gd AS (SELECT item_id AS q, doc_id FROM benchmark b JOIN documents d ON
 
 
 def gold(spark, d):
-    """Reports that hold a question's passage, among all reports: questions are sent in slices of a measured size."""
-    out = None
-    for part in retrieval.slices(questions(spark, d), "q", F.length("question")):
-        found = passages(spark, d).select("doc_id", "text").join(F.broadcast(part), F.contains("text", "question")).select("q", "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Reports that hold a question's passage, among all reports."""
+    return retrieval.anchored(questions(spark, d), "q", "question", passages(spark, d), "doc_id", "text")
 
 
 @query(f"""WITH {BM}, {GOLD}, r AS (SELECT gd.q, min(rank) AS rank FROM gd LEFT JOIN (SELECT * FROM bk WHERE rank <= 10) k ON k.q = gd.q AND k.doc_id = gd.doc_id GROUP BY 1)

@@ -281,3 +281,18 @@ def test_poisson_effect_over_very_many_units(spark):
 def test_exposure_follows_the_log_ratio(spark):
     r = one(stats.exposure_poisson(spark.createDataFrame([(2.0, 1.0)], "a double, b double"), "a", "b"))
     assert r.exposure == pytest.approx((1.959964 + 0.841621) ** 2 * 1.5 / np.log(2) ** 2, rel=1e-5)
+
+
+def test_forest_samples_are_the_least_hashes(spark):
+    from fleethealth.operators import detector
+
+    df = spark.range(20_000).select("id", (F.col("id") % 97).cast("double").alias("x")).repartition(5)
+    got = detector.forest_samples(df, ["x"], ["id"], 12, 64)
+    assert "Generate" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() < 12 * 400
+    hashed = df.select(F.xxhash64("id", F.lit(0)).alias("h")).toPandas()["h"].tolist()
+    sample = got.toPandas()
+    for tree in (0, 7):
+        want = spark.createDataFrame([(h, tree) for h in hashed], "h long, t int").select(F.xxhash64("h", "t").alias("x")).toPandas()["x"].nsmallest(64)
+        assert sorted(sample[sample["tree"] == tree]["_h"].nsmallest(64)) == sorted(want)
+    few = detector.forest_samples(df.limit(10), ["x"], ["id"], 3, 64)
+    assert few.count() == 30

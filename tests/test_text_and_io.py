@@ -196,3 +196,37 @@ def test_late_rows_find_their_place(spark, tmp_path, monkeypatch):
     got = {(r.m, r.i): r.alarm_confirmed for r in spark.table("ordered").collect()}
     batch = confirm_alarm(every.withColumn("at", F.struct("ts", "i")), "alarm", "m", "at", 3)
     assert got == {(r.m, r.i): r.alarm_confirmed for r in batch.collect()}
+
+
+def test_blocks_give_the_best_passages_with_fewer_postings(spark):
+    import random
+
+    rng = random.Random(6)
+    common, rare = [f"common{chr(97 + i)}" for i in range(12)], [f"rare{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    text_of = lambda n: " ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(rare) for _ in range(n))
+    rows = [(i, text_of(rng.randint(3, 60)), f"s{i % 7}") for i in range(1500)] + [(5000 + i, "raree rareaa rarebb commona", "s1") for i in range(40)] + [(9000, None, "s2"), (9001, "", "s2")]
+    asked = [(0, "rareaa rarebb commona commonb"), (1, "commona commonb commonc commona"), (2, "raretk rarest rareah"), (3, "unknown words only"), (4, None), (5, rows[3][1])]
+    c = spark.createDataFrame(rows, "c long, text string, source string")
+    q = spark.createDataFrame(asked, "q int, question string")
+    every = retrieval.bm25_search(q, "q", "question", c, "c", F.col("text")).withColumn("score", F.round("score", 6))
+    index = retrieval.block_index(c, "c", F.col("text"), size=8)
+    pick = lambda s: retrieval.top_k(s, "q", "c", "score", 10)
+    found = retrieval.BlockSearch(index, q, "q", "question", pick, 10, 6)
+    assert sorted(map(tuple, found.best.collect())) == sorted(map(tuple, pick(every).collect()))
+    asked_for = found.times.join(index.postings, "term").count()
+    assert found.postings_read() < 0.6 * asked_for
+    meta, gone = c.select("c", "source"), spark.createDataFrame([(0, "s1")], "q int, source string")
+    by_source = lambda s: retrieval.search(s, meta, "q", "c", "source", 4, 1, gone)
+    some = retrieval.BlockSearch(index, q, "q", "question", by_source, 4, 6).best
+    assert sorted(map(tuple, some.select("q", "c", "rank").collect())) == sorted(map(tuple, by_source(every).select("q", "c", "rank").collect()))
+
+
+def test_gold_needs_no_nested_loop(spark):
+    texts = ["a b c d e f", "x b c d e y", "b c d", "abc", "", None, "zz b c d ezz", "b  c d e", "pre a b c d e f post a b c d e f"]
+    asked = ["b c d e", "b c", "a", "", None, "c d", "b  c d e", "e f", "zz b c d ezz q", "bc"]
+    c, q = spark.createDataFrame(list(enumerate(texts)), "c int, text string"), spark.createDataFrame(list(enumerate(asked)), "q int, question string")
+    want = sorted((i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a is not None and t is not None and a in t)
+    assert sorted(map(tuple, retrieval.anchored(q, "q", "question", c, "c", "text").collect())) == want
+    plan = retrieval.anchored(q.filter("q in (0, 6, 8)"), "q", "question", c, "c", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert retrieval.anchored(q.limit(0), "q", "question", c, "c", "text").count() == 0
