@@ -1,31 +1,33 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-Method. A page is a token stream of block elements and texts. A host's wrapper is a union-free regular
-expression over such streams, written element by element: for every element path it has the sequence of
-what stands in it, with optional items ``( )?``, repeated groups ``( )+`` and text slots ``#``. Streams are
-folded first: what recurs becomes a repeated group. Then the streams of a path are aligned one after the
-other with the wrapper, anchored on the tokens that both have once; a stretch that one side lacks becomes
-optional, a stretch in another order a repeated group of optional items. So a path's expression never
-outgrows the different tokens that were met there, and aligning is linear but for a sort. Texts that are the
-same on most of the host's distinct pages are constants, all others fill slots.
-
-Extraction aligns a page with its host's wrapper: every text belongs to a wrapper item. From the root, the
-region goes down to the item that holds the greater part of the text that fills slots, by the means over the
-host's pages, and stays above an item that recurs. Element names and class words are hints: they weigh an item
-down (navigation, adverts, forms, ...) or let <article> and <main> pass at a smaller part, and within the
-region marked items are left out. Constant items of the region (bars and notices; not paragraphs or
-headings) are left out too; where no element is the region, all constant texts are.
-
-Scale. Distinct streams and texts are counted by pre-aggregated groups over (host, path), so that a host with
-very many pages meets no single task, and the streams of one path are aligned in rounds of 200 that a hash
-deals out: the wrapper does not depend on how rows are partitioned. Models of a measured size are sent to the
-tasks; beyond it they are joined by host.
+Method. A page is a tree of block elements and texts. A token is an element's name, its plain class words, and, for
+plain containers, what it holds: links (``~a``), only text (``~#``) or other blocks (``~+``). A host's wrapper is a
+union-free regular expression over token streams, written element by element: every element path has the sequence of
+what stands in it, with optional items, repeated items ``(x)+``, repeated groups ``(x? y?)+`` and text slots ``#``.
+Streams are folded first: neighbours that are alike become a repeated item, and a token that stands in more than three
+places binds all from its first to its last place into a repeated group. Then the streams of a path are aligned one after
+the other with the wrapper: common ends, then tokens that both sides have once, then the gaps between them. What one side
+lacks becomes optional; what then stands in more places becomes a group. So a token has at most three places in an
+expression, or stands in one group: expressions never outgrow the different tokens that were met there.
+
+Every child of an element so has a place in the wrapper: the third of four like ``div`` elements is another item than
+the first. Places have weights, the mean characters that they hold over the host's distinct pages: link characters count
+a tenth, and a text that several pages share counts once among them. Extraction aligns the page with the wrapper. From
+the root, the region goes down to the item that holds the greater part of the weight, and never into a place that the
+wrapper repeats. Element names and class words are hints: they weigh an item down (navigation, adverts, forms, ...) or
+let <article> and <main> pass at a smaller part, and within the region marked items are left out. Constants, texts on
+most pages of the host and on two at least, are left out of the region too where all of an element that isn't a paragraph
+or heading is constant; where no element is the region, all constants are. A host of one page is its own wrapper.
+
+Scale. Distinct streams, texts and weights are sums of pre-aggregated groups over (host, path), so that a host with very
+many pages meets no single task, and the streams of one path are aligned in rounds of 200 that a hash deals out: the
+wrapper does not depend on how rows are partitioned. Models of a measured size are sent to the tasks; beyond it they are
+joined by host.
 
 Defined results: null html is empty; a page without text gives an empty text; unclosed and stray
 tags are tolerated; a null or malformed url makes a host of its own, the empty one; repeated rows are
 extracted each time and count once in a wrapper; of equal weights the first in page order is the region; very
-long pages are parsed, aligned and returned whole, in linear time; an empty table gives no rows; other
-columns are ignored."""
+long pages are parsed, aligned and returned whole; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -33,7 +35,6 @@ import html as entities
 import json
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,12 +59,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _RAW_END = {name: re.compile(rf"</{name}[\s>/]", re.I) for name in RAW}
-#: Distinct pages of a host from which on its wrapper tells constants, and the region among plain elements.
-SEVERAL = 3
-#: What marked items, link text and constant text weigh beside other text; part of the weight that makes an
-#: item the region, and the part that an <article> or <main> needs.
-MARKED_WEIGHT, LINK_WEIGHT, CONSTANT_WEIGHT = 0.1, 0.1, 0.05
+#: What a marked item weighs beside others; part of the weight that makes an item the region, and the part that an
+#: <article> or <main> needs.
+MARKED_WEIGHT = 0.1
 REGION, CONTENT_REGION = 2 / 3, 1 / 4
+#: Places of a token in an expression, at most, before it becomes a repeated group with all between them.
+PLACES = 3
 #: Streams of a path that one alignment round takes together.
 ROUND = 200
 #: Bytes of models that are sent to every task, at most.
@@ -114,50 +115,55 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_ONE_TEXT = json.dumps([["#", False, 0, False]])
+def weight_of(chars: int, links: int) -> int:
+    """Tenths of a character: a character in a link counts a tenth."""
+    return 10 * chars - 9 * links
 
 
 class Page:
-    """Texts of a page by element path, and the token streams of its elements.
+    """Elements of a page, their texts and streams.
 
-    ``nodes``: path -> (parent path, token, marked), parents first. ``texts``: (path, characters in links,
-    text) in page order. ``streams``: path -> folded streams of its elements, as JSON."""
+    Elements are numbers, parents first; 0 is the root. ``children``: elements within each element in page order, -1 for
+    a text. ``paths``, ``weights`` (with all that is within), ``names`` and ``marks``: of each element. ``nodes``: path ->
+    (parent path, token, marked), parents first. ``texts``: (path, characters in links, text) in page order, ``within``:
+    their elements. ``streams``: path -> folded streams of its elements, as JSON, each with
+    (item, child path) -> [weight, streams]."""
 
     def __init__(self, html: str, with_streams: bool = True):
-        self.nodes: dict[int, tuple[int, str, bool]] = {ROOT: (0, "", False)}
-        self.texts: list[tuple[int, int, str]] = []
-        self.streams: dict[int, set[str]] = {}
-        self._parse(html, with_streams)
+        self.parents, self.names, self.tokens, self.marks = [0], [""], [""], [False]
+        self.children: list[list[int]] = [[]]
+        self.within: list[int] = []
+        found = self._parse(html)
+        self._place(found)
+        self.texts = [(self.paths[e], link, text) for e, (link, text) in zip(self.within, found, strict=True)]
+        self.streams: dict[int, dict[str, dict[tuple[int, int], list[int]]]] = {}
+        if with_streams:
+            self._fold_all()
 
-    def _parse(self, html: str, with_streams: bool) -> None:
+    def _parse(self, html: str) -> list[tuple[int, str]]:
         held: list[str] = []
+        found: list[tuple[int, str]] = []
         linked = 0
-        #: name, path, inside an article, inside a link, dropped, tokens of the nearest block element
-        stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", ROOT, False, False, False, [])]
+        #: name, nearest block element, inside an article, inside a link, dropped
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         open_names: dict[str, int] = {}
         tags: dict[tuple[str, str], tuple[str, bool, bool]] = {}  # name and attributes -> token, marked, hidden
-        paths: dict[tuple[int, str], int] = {}
-        plain_text = set()  # paths of elements that had nothing but one text
 
         def flush():
             nonlocal linked
             text = " ".join(entities.unescape("".join(held)).split()) if held else ""
             held.clear()
             if text:
-                self.texts.append((stack[-1][1], min(linked, len(text)), text))
-                stack[-1][5].append("#")
+                element = stack[-1][1]
+                found.append((min(linked, len(text)), text))
+                self.within.append(element)
+                self.children[element].append(-1)
             linked = 0
 
         def leave(down_to: int):
-            while len(stack) > down_to:
-                name, path, _, _, _, tokens = stack.pop()
+            for name, *_ in stack[down_to:]:
                 open_names[name] -= 1
-                if with_streams and tokens is not stack[-1][5]:
-                    if tokens != ["#"]:
-                        self.streams.setdefault(path, set()).add(json.dumps(fold(tokens)))
-                    elif path not in plain_text:
-                        plain_text.add(path)
-                        self.streams.setdefault(path, set()).add(_ONE_TEXT)
+            del stack[down_to:]
 
         def close(name: str, until) -> None:
             if open_names.get(name):
@@ -191,25 +197,75 @@ class Page:
                 close("p", BLOCKS - {"p"})
             if name in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 close(name, ("ul", "ol", "table", "dl", "select"))
-            _, path, inside, link, dropped, tokens = stack[-1]
+            _, element, inside, link, dropped = stack[-1]
             if (name, rest) not in tags:
                 marks, plain = _attribute_words(rest) if rest else (set(), [])
                 tags[name, rest] = ".".join([name, *sorted(marks.union(plain))]), bool(marks), bool(rest and _HIDDEN.search(rest))
             token, marked, hidden = tags[name, rest]
             if block:
-                marked = name not in CONTENT and (marked or name in BOILERPLATE or name == "header" and not inside)
-                tokens.append(token)
-                parent, tokens = path, []
-                path = paths.get((parent, token))
-                if path is None:
-                    path = paths[parent, token] = path_id(parent, token)
-                    self.nodes[path] = (parent, token, marked)
-            stack.append((name, path, inside or name in CONTENT, link or name == "a", dropped or hidden or name in DROPPED or marked and name in INLINE, tokens))
+                self.children[element].append(len(self.parents))
+                element, parent = len(self.parents), element
+                self.parents.append(parent)
+                self.names.append(name)
+                self.tokens.append(token)
+                self.marks.append(name not in CONTENT and (marked or name in BOILERPLATE or name == "header" and not inside))
+                self.children.append([])
+            stack.append((name, element, inside or name in CONTENT, link or name == "a", dropped or hidden or name in DROPPED or marked and name in INLINE))
             open_names[name] = open_names.get(name, 0) + 1
         flush()
-        leave(1)
-        if with_streams:
-            self.streams[ROOT] = {json.dumps(fold(stack[0][5]))}
+        return found
+
+    def _place(self, found: list[tuple[int, str]]) -> None:
+        """Weights and what containers hold, from the leaves up; then paths, from the root down."""
+        size = len(self.parents)
+        chars, links, boxes = [0] * size, [0] * size, [False] * size
+        for e, (link, text) in zip(self.within, found, strict=True):
+            chars[e] += len(text)
+            links[e] += link
+        for e in range(size - 1, 0, -1):
+            if chars[e]:
+                above = self.parents[e]
+                chars[above] += chars[e]
+                links[above] += links[e]
+                boxes[above] = True
+        self.weights = [weight_of(c, k) for c, k in zip(chars, links, strict=True)]
+        self.paths = [ROOT]
+        self.nodes: dict[int, tuple[int, str, bool]] = {ROOT: (0, "", False)}
+        known: dict[tuple[int, str], int] = {}
+        for e in range(1, size):
+            if chars[e] and self.names[e] not in CONTENT and self.names[e] not in PROSE:
+                self.tokens[e] += "~a" if 2 * links[e] >= chars[e] else "~+" if boxes[e] else "~#"
+            above = self.paths[self.parents[e]]
+            path = known.get((above, self.tokens[e]))
+            if path is None:
+                path = known[above, self.tokens[e]] = path_id(above, self.tokens[e])
+                self.nodes[path] = above, self.tokens[e], self.marks[e]
+            self.paths.append(path)
+
+    def tokens_in(self, element: int) -> list[str]:
+        return ["#" if c < 0 else self.tokens[c] for c in self.children[element]]
+
+    def _fold_all(self) -> None:
+        own: dict[int, int] = {}
+        for e, (_, link, text) in zip(self.within, self.texts, strict=True):
+            own[e] = own.get(e, 0) + weight_of(len(text), link)
+        for e, children in enumerate(self.children):
+            at = self.streams.setdefault(self.paths[e], {})
+            if children == [-1] or not children:
+                at.setdefault(_ONE_TEXT if children else "[]", {})
+                continue
+            items, spans = fold(self.tokens_in(e))
+            held = at.setdefault(json.dumps(items), {})
+            texts = sum(c < 0 for c in children)
+            here: dict[tuple[int, int], int] = {}
+            for k, (first, last) in enumerate(spans):
+                for c in children[first : last + 1]:  # an element's texts share its own weight evenly
+                    key, w = (k, 0) if c < 0 else (k, self.paths[c]), own[e] // texts if c < 0 else self.weights[c]
+                    here[key] = here.get(key, 0) + w
+            for key, w in here.items():
+                sums = held.setdefault(key, [0, 0])
+                sums[0] += w
+                sums[1] += 1
 
     def digest(self) -> bytes:
         d = xxhash.xxh3_128()
@@ -218,46 +274,87 @@ class Page:
         return d.digest()
 
 
-# --- expressions: lists of [token, optional, group, recurs]; items of one group number above 0 repeat together ---
+# --- expressions: lists of items [tokens, optional, repeated]; several tokens in an item are a repeated group ---
 
 
-def _grouped(tokens: list[str], optional: list[bool], recurs: list[bool], spans: list[tuple[int, int]]) -> list[list]:
-    """An expression; spans (first, last) that overlap make one repeated group, whose several items are optional."""
-    group, number, reached = [0] * len(tokens), 0, -1
-    for a, b in sorted(spans):
-        if a > reached:
-            number += 1
-        for k in range(max(a, reached + 1), b + 1):
-            group[k] = number
-        reached = max(reached, b)
-    alone = {g for g, n in Counter(group).items() if n == 1}
-    return [[t, bool(o or g and g not in alone), g, r] for t, o, g, r in zip(tokens, optional, group, recurs, strict=True)]
-
-
-def fold(tokens: list[str]) -> list[list]:
-    """The expression of one stream: each token stands once, stretches in which tokens recur are repeated groups."""
+def _bound(items: list[list]) -> list[tuple[int, int]]:
+    """Stretches (first, last) of items that become one: a token in more than PLACES places, or in a group and elsewhere, binds
+    all from its first to its last place, and so does every token within. All other items stand alone."""
     first: dict[str, int] = {}
     last: dict[str, int] = {}
-    for k, t in enumerate(tokens):
-        first.setdefault(t, k)
-        last[t] = k
-    order = list(first)
-    place = {t: k for k, t in enumerate(order)}
-    # in places of the folded list: a token that recurs spans all that first stands before its last place
-    starts = [first[t] for t in order]
-    spans = [(place[t], bisect_left(starts, last[t]) - 1 if last[t] > first[t] else -1) for t in order]
-    return _grouped(order, [False] * len(order), [last[t] > first[t] for t in order], [(a, max(a, b)) for a, b in spans if b >= 0])
+    places: dict[str, int] = {}
+    grouped = set()
+    for k, (tokens, _, _) in enumerate(items):
+        for t in tokens:
+            first.setdefault(t, k)
+            last[t] = k
+            places[t] = places.get(t, 0) + 1
+        if len(tokens) > 1:
+            grouped.update(tokens)
+    closed: list[tuple[int, int]] = []
+    for t in first:  # by first place
+        if places[t] < 2 or places[t] <= PLACES and t not in grouped or closed and closed[-1][1] >= first[t]:
+            continue
+        low, high, start, end = first[t], last[t], first[t], first[t] - 1
+        while start > low or end < high:
+            if end < high:
+                end += 1
+                k = end
+            else:
+                start -= 1
+                k = start
+                if closed and closed[-1][1] == k:  # a stretch that is closed already goes in whole
+                    start = closed.pop()[0]
+                    low = min(low, start)
+                    continue
+            low = min(low, min(first[x] for x in items[k][0]))
+            high = max(high, max(last[x] for x in items[k][0]))
+        closed.append((low, high))
+    out, k = [], 0
+    for low, high in [*closed, (len(items), len(items) - 1)]:
+        out += [(j, j) for j in range(k, low)]
+        if low <= high:
+            out.append((low, high))
+        k = high + 1
+    return out
+
+
+def _settled(items: list[list], spans: list[tuple[int, int]]) -> tuple[list[list], list[tuple[int, int]]]:
+    """Neighbours that are alike become one repeated item, and bound stretches a group; spans follow their items."""
+    runs: list[list] = []
+    at: list[tuple[int, int]] = []
+    for (tokens, optional, repeated), (low, high) in zip(items, spans, strict=True):
+        if runs and runs[-1][0] == tokens:
+            runs[-1] = [tokens, runs[-1][1] and optional, True]
+            at[-1] = at[-1][0], high
+        else:
+            runs.append([tokens, optional, repeated])
+            at.append((low, high))
+    out, where = [], []
+    for low, high in _bound(runs):
+        part = runs[low : high + 1]
+        out.append(part[0] if low == high else [sorted({t for x in part for t in x[0]}), all(x[1] for x in part), True])
+        where.append((at[low][0], at[high][1]))
+    return out, where
+
+
+def fold(tokens: list[str]) -> tuple[list[list], list[tuple[int, int]]]:
+    """The expression of one stream, and the stretch (first, last) of the stream that each item stands for."""
+    return _settled([[[t], False, False] for t in tokens], [(k, k) for k in range(len(tokens))])
+
+
+_ONE_TEXT = json.dumps([[["#"], False, False]])
 
 
 def _rising(values: list[int]) -> set[int]:
-    """Positions of a longest rising subsequence of distinct values."""
+    """Positions of a longest strictly rising subsequence."""
     tails: list[int] = []
     at: list[int] = []
     before = [-1] * len(values)
     for k, v in enumerate(values):
         j = bisect_left(tails, v)
         before[k] = at[j - 1] if j else -1
-        tails[j:], at[j:] = [v, *tails[j + 1 :]], [k, *at[j + 1 :]]
+        tails[j : j + 1], at[j : j + 1] = [v], [k]
     out, k = set(), at[-1] if at else -1
     while k >= 0:
         out.add(k)
@@ -265,55 +362,64 @@ def _rising(values: list[int]) -> set[int]:
     return out
 
 
+def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """Places of both expressions that stand for each other, in order: items that share a token. Common ends match first,
+    then tokens that both sides have in one place, longest rising sequence, then the gaps between those likewise."""
+    out = []
+    gaps = [(0, len(a), 0, len(b))]
+    like = lambda i, j: a[i][0] == b[j][0] or not set(a[i][0]).isdisjoint(b[j][0])
+    while gaps:
+        i, k, j, m = gaps.pop()
+        while i < k and j < m and like(i, j):
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and like(k - 1, m - 1):
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        sides = []
+        for items, low, high in ((a, i, k), (b, j, m)):
+            place: dict[str, int] = {}
+            for x in range(low, high):
+                for t in items[x][0]:
+                    place[t] = -1 if t in place else x
+            sides.append(place)
+        pairs = sorted({(x, sides[1][t]) for t, x in sides[0].items() if x >= 0 and sides[1].get(t, -1) >= 0}, key=lambda p: (p[0], -p[1]))
+        kept = _rising([y for _, y in pairs])
+        anchors = [p for n, p in enumerate(pairs) if n in kept]
+        out += anchors
+        for x, y in anchors:
+            gaps.append((i, x, j, y))
+            i, j = x + 1, y + 1
+        if anchors:
+            gaps.append((i, k, j, m))
+    return sorted(out)
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """The expression that two expressions resolve into: it accepts what either accepts."""
     if a == b:
         return a
-    at_a, at_b = {x[0]: k for k, x in enumerate(a)}, {x[0]: k for k, x in enumerate(b)}
-    common = [x[0] for x in a if x[0] in at_b]
-    kept = _rising([at_b[t] for t in common])
-    anchors = [t for k, t in enumerate(common) if k in kept]
-    crossed = set(common) - set(anchors)
-    order: list[str] = []
+    out: list[list] = []
     i = j = 0
-    for anchor in [*anchors, None]:
-        ia, jb = (at_a[anchor], at_b[anchor]) if anchor is not None else (len(a), len(b))
-        order += [x[0] for x in a[i:ia]]
-        order += [x[0] for x in b[j:jb] if x[0] not in at_a]
-        if anchor is not None:
-            order.append(anchor)
-        i, j = ia + 1, jb + 1
-    place = {t: k for k, t in enumerate(order)}
-    spans = []
-    for side in (a, b):
-        groups: dict[int, list[int]] = {}
-        for t, _, g, _ in side:
-            if g:
-                groups.setdefault(g, []).append(place[t])
-        spans += [(min(p), max(p)) for p in groups.values()]
-    fixed = [k for k, x in enumerate(b) if x[0] not in crossed]
-    for t in crossed:  # in b it stands elsewhere: its place and its neighbours in b repeat together
-        k = bisect_left(fixed, at_b[t])
-        near = [place[t], *(place[b[x][0]] for x in fixed[max(0, k - 1) : k + 1])]
-        spans.append((min(near), max(near)))
-    both = [[side[at[t]] for side, at in ((a, at_a), (b, at_b)) if t in at] for t in order]
-    return _grouped(order, [len(x) < 2 or x[0][1] or x[1][1] for x in both], [any(y[3] for y in x) for x in both], spans)
+    for x, y in [*matches(a, b), (len(a), len(b))]:
+        out += [[t, True, r] for t, _, r in [*a[i:x], *b[j:y]]]
+        if x < len(a):
+            tokens = a[x][0] if a[x][0] == b[y][0] else sorted({*a[x][0], *b[y][0]})
+            out.append([tokens, a[x][1] or b[y][1], a[x][2] or b[y][2] or len(tokens) > 1])
+        i, j = x + 1, y + 1
+    return _settled(out, [(0, 0)] * len(out))[0]
 
 
 def expression(items: list[list]) -> str:
     """A path's expression as text."""
-    out, k = [], 0
-    while k < len(items):
-        g = items[k][2]
-        part = [x for x in items[k:] if x[2] == g] if g else [items[k]]
-        inner = " ".join(t + "?" * (o and (not g or len(part) > 1)) for t, o, _, _ in part)
-        out.append(f"({inner})+" + "?" * (len(part) == 1 and part[0][1] or len(part) > 1) if g else inner)
-        k += len(part)
-    return " ".join(out)
+    inner = lambda tokens: tokens[0] if len(tokens) == 1 else " ".join(f"{t}?" for t in tokens)
+    return " ".join((f"({inner(tokens)})" + "*+"[not optional] if repeated else tokens[0] + "?" * optional) for tokens, optional, repeated in items)
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
-_LISTS = {"n_path": pa.int64(), "n_parent": pa.int64(), "n_chars": pa.int64(), "n_links": pa.int64(), "t_path": pa.int64(), "t_text": pa.int64(), "t_chars": pa.int64()}
+_LISTS = dict.fromkeys(["n_path", "n_parent", "n_chars", "n_links", "t_path", "t_text", "t_chars", "i_path", "i_stream", "i_item", "i_child", "i_weight", "i_n"], pa.int64())
 _PARTS = pa.schema([("host", pa.string()), ("path", pa.int64()), ("items", pa.string()), ("page", pa.binary()), *((k, pa.list_(t)) for k, t in _LISTS.items())])
 _PARTS_SQL = "host string, path long, items string, page binary, " + ", ".join(f"{k} array<bigint>" for k in _LISTS)
 
@@ -325,7 +431,9 @@ def _page_lists(page: Page) -> tuple[list[int], ...]:
         links[path] += link
         key = path, text_hash(text)
         texts[key] = texts.get(key, 0) + len(text)
-    return list(page.nodes), [p for p, _, _ in page.nodes.values()], list(chars.values()), list(links.values()), [p for p, _ in texts], [t for _, t in texts], list(texts.values())
+    placed = [(path, stream_id, item, child, w, n) for path, found in page.streams.items() for items, held in found.items() if held for stream_id in [text_hash(items)] for (item, child), (w, n) in held.items()]
+    places = [list(x) for x in zip(*placed, strict=True)] if placed else [[] for _ in range(6)]
+    return list(page.nodes), [p for p, _, _ in page.nodes.values()], list(chars.values()), list(links.values()), [p for p, _ in texts], [t for _, t in texts], list(texts.values()), *places
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,14 +496,30 @@ def aligned(streams: DataFrame) -> DataFrame:
         streams = dealt.select("host", "path", "part", "items").mapInArrow(_merge, "host string, path long, items string")
 
 
+_PLACES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("stream", pa.int64()), ("item", pa.int64()), ("place", pa.int64())])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper's place of every item of every distinct stream."""
+
+    def each():
+        for host, path, stream_items, items in rows_of(batches):
+            for place, item in matches(json.loads(items), json.loads(stream_items)):
+                yield host, path, text_hash(stream_items), item, place
+
+    yield from batched(each(), _PLACES, 10_000)
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, model (JSON): every host's wrapper from all its pages; copies of a page count once.
 
-    A model is a list of wrapper paths, each with its expression, the distinct pages that have it, its weight
-    (characters, less links and constants) and the hashes of its constant texts."""
+    A model is a list of wrapper paths, each with its expression, the distinct pages that have it, its own texts'
+    weight in full (raw) and with shared texts counted once (weight), the hashes of its constant texts, and the
+    weights of the expression's places, by the path of what stands there (0: text)."""
     parts = written(_pages(pages).select("host", "html").mapInArrow(_partial, _PARTS_SQL), "page-parts")
-    wrappers = aligned(parts.filter("items is not null").select("host", "path", "items"))
-    distinct = parts.filter("page is not null").dropDuplicates(["host", "page"])
+    streams = parts.filter("items is not null").select("host", "path", "items")
+    wrappers = written(aligned(streams), "wrapper-items")
+    distinct = written(parts.filter("page is not null").dropDuplicates(["host", "page"]), "distinct-pages")
     node = lambda x: F.struct(x["n_path"].alias("path"), F.lit(None).cast("long").alias("text"), x["n_parent"].alias("parent"), x["n_chars"].alias("chars"), x["n_links"].alias("links"))
     text = lambda x: F.struct(x["t_path"].alias("path"), x["t_text"].alias("text"), F.lit(0).cast("long").alias("parent"), x["t_chars"].alias("chars"), F.lit(0).cast("long").alias("links"))
     met = distinct.select("host", F.explode(F.concat(F.transform(F.arrays_zip("n_path", "n_parent", "n_chars", "n_links"), node), F.transform(F.arrays_zip("t_path", "t_text", "t_chars"), text))).alias("x")).select("host", "x.*")
@@ -403,10 +527,21 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     sums = written(sums.filter("text is null or n > 1"), "path-counts")
     nodes, texts = sums.filter("text is null").drop("text"), sums.filter("text is not null")
     size = nodes.filter(F.col("path") == ROOT).select("host", F.col("n").alias("pages"))
-    fixed = texts.join(size, "host").filter(f"pages >= {SEVERAL} and 2 * n > pages").groupBy("host", "path").agg(F.sum("chars").alias("fixed_chars"), F.array_sort(F.collect_list("text")).alias("fixed"))
-    weight = F.greatest(F.lit(0.0), F.col("chars") - (1 - LINK_WEIGHT) * F.col("links") - (1 - CONSTANT_WEIGHT) * F.coalesce("fixed_chars", F.lit(0)))
-    full = nodes.join(wrappers, ["host", "path"], "left").join(fixed, ["host", "path"], "left")
-    row = F.struct("path", "parent", "n", weight.alias("weight"), (F.col("chars") == F.coalesce("fixed_chars", F.lit(-1))).alias("constant"), F.coalesce("items", F.lit("[]")).alias("items"), F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
+    most = F.col("n") * 2 > F.col("pages")
+    shared = texts.join(size, "host").groupBy("host", "path").agg(
+        F.sum(F.expr("chars - chars div n")).alias("again"),
+        F.sum(F.when(most, F.col("chars"))).alias("fixed_chars"),
+        F.array_sort(F.collect_list(F.when(most, F.col("text")))).alias("fixed"),
+    )
+    placed = distinct.select("host", F.explode(F.arrays_zip("i_path", "i_stream", "i_item", "i_child", "i_weight", "i_n")).alias("x")).groupBy("host", F.col("x.i_path").alias("path"), F.col("x.i_stream").alias("stream"), F.col("x.i_item").alias("item"), F.col("x.i_child").alias("child"))
+    placed = written(placed.agg(F.sum("x.i_weight").alias("weight"), F.sum("x.i_n").alias("n")), "item-weights")
+    found = streams.distinct().join(wrappers.withColumnRenamed("items", "wrapper"), ["host", "path"]).select("host", "path", "items", "wrapper").mapInArrow(_places, "host string, path long, stream long, item long, place long")
+    places = placed.join(found, ["host", "path", "stream", "item"]).groupBy("host", "path", "place", "child").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    places = places.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("place", "child", "weight", "n"))).alias("places"))
+    raw = 10 * F.col("chars") - 9 * F.col("links")
+    weight = F.greatest(F.lit(0), raw - 10 * F.coalesce("again", F.lit(0)))
+    full = nodes.join(wrappers, ["host", "path"], "left").join(shared, ["host", "path"], "left").join(places, ["host", "path"], "left")
+    row = F.struct("path", "parent", "n", raw.alias("raw"), weight.alias("weight"), (F.col("chars") == F.coalesce("fixed_chars", F.lit(-1))).alias("constant"), F.coalesce("items", F.lit("[]")).alias("items"), F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"), F.coalesce("places", F.array().cast("array<struct<place:bigint,child:bigint,weight:bigint,n:bigint>>")).alias("places"))
     return full.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("model"))
 
 
@@ -414,63 +549,87 @@ class Model:
     """A host's wrapper as extraction needs it. Without pages of a host, a page is its own wrapper."""
 
     def __init__(self, rows: list[dict]):
-        self.pages = next((r["n"] for r in rows if r["path"] == ROOT), 0)
-        self.own = {r["path"]: r["weight"] / r["n"] for r in rows}
         self.constant = {r["path"] for r in rows if r["constant"]}
         self.fixed = {(r["path"], t) for r in rows for t in r["fixed"]}
-        self.repeated = {path_id(r["path"], t) for r in rows for t, _, _, recurs in json.loads(r["items"]) if recurs}
-        total, below = {r["path"]: r["weight"] for r in rows}, {}
+        self.items = {r["path"]: json.loads(r["items"]) for r in rows}
+        #: path, place, child path -> mean weight, less what pages share
+        self.mean: dict[tuple[int, int, int], float] = {}
+        raw, weight, below = {r["path"]: r["raw"] for r in rows}, {r["path"]: r["weight"] for r in rows}, {}
+        own = {path: weight[path] / raw[path] for path in raw if raw[path]}
         for r in rows:
             below.setdefault(r["parent"], []).append(r["path"])
-        order, k = [ROOT] if ROOT in total else [], 0
+        order, k = [ROOT] if ROOT in raw else [], 0
         while k < len(order):  # parents first
             order += below.get(order[k], [])
             k += 1
-        parent, n = {r["path"]: r["parent"] for r in rows}, {r["path"]: r["n"] for r in rows}
+        parent = {r["path"]: r["parent"] for r in rows}
         for path in reversed(order[1:]):
-            total[parent[path]] += total[path]
-        self.mean = {path: total[path] / n[path] for path in order}
+            raw[parent[path]] += raw[path]
+            weight[parent[path]] += weight[path]
+        for r in rows:
+            for p in r["places"]:
+                child = p["child"]
+                part = own.get(r["path"], 0.0) if not child else weight[child] / raw[child] if raw.get(child) else 0.0
+                self.mean[r["path"], p["place"], child] = part * p["weight"] / p["n"]
 
     @classmethod
     def of_page(cls, page: Page) -> Model:
         paths, parents, chars, links, *_ = _page_lists(page)
-        items = {}
-        for path, found in page.streams.items():
-            for text in sorted(found):
-                items[path] = align(items[path], json.loads(text)) if path in items else json.loads(text)
-        return cls([{"path": p, "parent": q, "n": 1, "weight": c - (1 - LINK_WEIGHT) * k, "constant": False, "items": json.dumps(items.get(p, [])), "fixed": []} for p, q, c, k in zip(paths, parents, chars, links, strict=True)])
-
-
-def region(page: Page, model: Model) -> int:
-    """The path that holds the greater part of what fills slots."""
-    below: dict[int, list[int]] = {}
-    for path, (parent, _, _) in page.nodes.items():
-        below.setdefault(parent, []).append(path)
-    at = ROOT
-    while True:
-        weights, content = {}, []
-        for path in below.get(at, []):
-            _, token, marked = page.nodes[path]
-            name = token.partition(".")[0]
-            weights[path] = model.mean.get(path, 0.0) * (MARKED_WEIGHT if marked else 1)
-            if name in CONTENT:
-                content.append(path)
-        total = model.own.get(at, 0.0) + sum(weights.values())
-        plain = [p for p in weights if model.pages >= SEVERAL and p not in model.repeated and page.nodes[p][1].partition(".")[0] not in PROSE and weights[p] > 0 and weights[p] >= REGION * total]
-        best = max(content, key=weights.__getitem__, default=None)
-        if best is not None and weights[best] >= CONTENT_REGION * total:
-            at = best
-        elif plain:
-            at = max(plain, key=weights.__getitem__)
-        else:
-            return at
-
-
-def region_name(page: Page, path: int) -> str:
+        rows = []
+        for p, q, c, k in zip(paths, parents, chars, links, strict=True):
+            items = None
+            for text in sorted(page.streams[p]):
+                items = align(items, json.loads(text)) if items is not None else json.loads(text)
+            sums: dict[tuple[int, int], list[int]] = {}
+            for text, held in page.streams[p].items():
+                place = {b: a for a, b in matches(items, json.loads(text))}
+                for (item, child), (w, n) in held.items():
+                    if item in place:
+                        s = sums.setdefault((place[item], child), [0, 0])
+                        s[0], s[1] = s[0] + w, s[1] + n
+            rows.append({"path": p, "parent": q, "raw": weight_of(c, k), "weight": weight_of(c, k), "constant": False, "items": json.dumps(items), "fixed": [], "places": [{"place": a, "child": b, "weight": w, "n": n} for (a, b), (w, n) in sums.items()]})
+        return cls(rows)
+
+
+def region(page: Page, model: Model) -> list[int]:
+    """The elements that hold the greater part of what fills slots: one, or several that are all <article> or <main>."""
+    at = [0]
+    while len(at) == 1 and any(c >= 0 for c in page.children[at[0]]):
+        path, children = page.paths[at[0]], page.children[at[0]]
+        folded, spans = fold(page.tokens_in(at[0]))
+        wrapper = model.items.get(path, [])
+        place = {b: a for a, b in matches(wrapper, folded)}
+        total, plain, content = 0.0, [], []
+        for k, (first, last) in enumerate(spans):
+            like: dict[int, list[int]] = {}  # children of this item by path
+            for c in children[first : last + 1]:
+                like.setdefault(page.paths[c] if c >= 0 else 0, []).append(c)
+            for child, elements in like.items():
+                weight = model.mean.get((path, place.get(k, -1), child), 0.0)
+                e = elements[0]
+                if e >= 0 and page.marks[e]:
+                    weight *= MARKED_WEIGHT
+                total += weight
+                if e < 0 or weight <= 0:
+                    continue
+                if page.names[e] in CONTENT:
+                    content.append((weight, elements))
+                elif first == last and page.names[e] not in PROSE and not (k in place and wrapper[place[k]][2]):
+                    plain.append((weight, elements))
+        best = max(content, key=lambda x: x[0], default=(0.0, []))
+        if not best[1] or best[0] < CONTENT_REGION * total:
+            best = max(plain, key=lambda x: x[0], default=(0.0, []))
+            if not best[1] or best[0] < REGION * total:
+                return at
+        at = best[1]
+    return at
+
+
+def region_name(page: Page, element: int) -> str:
     names = []
-    while path != ROOT:
-        path, token, _ = page.nodes[path]
-        names.append(token)
+    while element:
+        names.append(page.tokens[element])
+        element = page.parents[element]
     return "/".join(reversed(names))
 
 
@@ -478,16 +637,16 @@ def main_blocks(page: Page, model: Model | None = None) -> tuple[str, list[str]]
     """The region's path, and the texts that are kept, in page order."""
     model = model or Model.of_page(page)
     main = region(page, model)
-    inside = {main: True}
-    for path, (parent, _, marked) in page.nodes.items():
-        if path != main:
-            inside[path] = inside.get(parent, False) and not marked
-    found = [(path, text) for path, _, text in page.texts if inside[path]]
-    if main == ROOT:
-        kept = [text for path, text in found if not model.fixed or (path, text_hash(text)) not in model.fixed]
+    top = set(main)
+    inside = [0 in top]
+    for e in range(1, len(page.parents)):
+        inside.append(e in top or inside[page.parents[e]] and not page.marks[e])
+    found = [(e, path, text) for e, (path, _, text) in zip(page.within, page.texts, strict=True) if inside[e]]
+    if main == [0]:
+        kept = [text for _, path, text in found if not model.fixed or (path, text_hash(text)) not in model.fixed]
     else:
-        kept = [text for path, text in found if path not in model.constant or path == main or page.nodes[path][1].partition(".")[0] in PROSE]
-    return region_name(page, main), kept or [text for _, text in found]
+        kept = [text for e, path, text in found if path not in model.constant or e in top or page.names[e] in PROSE]
+    return region_name(page, main[0]), kept or [text for *_, text in found]
 
 
 def main_text(html: str, model: Model | None = None) -> str:

@@ -242,32 +242,37 @@ def test_wrappers_resolve_mismatches():
     items = lambda html: json.loads(next(iter(html_wrappers.Page(html).streams[html_wrappers.ROOT])))
     a, b = items("<h1>A</h1><p>x</p><p>y</p><p>z</p><ul><li>same</li></ul>"), items("<h1>B</h1><p>q</p><blockquote>new</blockquote><ul><li>same</li></ul>")
     w = html_wrappers.align(a, b)
-    assert html_wrappers.expression(a) == "h1 (p)+ ul" and html_wrappers.expression(w) == "h1 (p)+ blockquote? ul"
+    assert html_wrappers.expression(a) == "h1 (p)+ ul~+" and html_wrappers.expression(w) == "h1 (p)+ blockquote? ul~+"
     assert html_wrappers.align(w, w) == w and html_wrappers.align(w, a) == w
     crossed = html_wrappers.align(items("<h1>A</h1><p>x</p><ul></ul><h2>c</h2>"), items("<h1>A</h1><ul></ul><p>x</p><h2>c</h2>"))
-    assert html_wrappers.expression(crossed).startswith("h1 (") or html_wrappers.expression(crossed).startswith("(h1")
+    assert html_wrappers.expression(crossed) in ("h1 ul? p ul? h2", "h1 p? ul p? h2")
+    apart = html_wrappers.align(items("<div>ad</div><div><p>x</p></div><div>foot</div>"), items("<div><p>y</p></div><div>foot</div>"))
+    assert html_wrappers.expression(apart) == "div~#? div~+ div~#"  # like elements have places of their own
+    assert html_wrappers.expression(items("<h1>A</h1>" + "<p>x</p><h2>b</h2>" * 4 + "<p>z</p><ul></ul>")) == "h1 (h2? p?)+ ul"
 
 
 def accepted(items, tokens):
     """By a plain regular expression that is written out from the wrapper's expression."""
-    out, k = "", 0
-    while k < len(items):
-        g = items[k][2]
-        part = [x for x in items[k:] if g and x[2] == g] or [items[k]]
-        inner = "".join(f"(?:{re.escape(t)};)" + "?" * bool(o) for t, o, *_ in part)
-        out += f"(?:{inner})" + ("*" if len(part) > 1 or part[0][1] else "+") if g else inner
-        k += len(part)
+    out = "".join(f"(?:{'|'.join(re.escape(t) + ';' for t in names)})" + ("*" if optional and repeated else "?" if optional else "+" if repeated else "") for names, optional, repeated in items)
     return re.fullmatch(out, "".join(f"{t};" for t in tokens)) is not None
 
 
 @given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=8), min_size=1, max_size=5))
 @settings(max_examples=300, deadline=None)
 def test_a_wrapper_accepts_every_stream_it_was_aligned_with(streams):
-    items = html_wrappers.fold(streams[0])
+    items = html_wrappers.fold(streams[0])[0]
     for s in streams[1:]:
-        items = html_wrappers.align(items, html_wrappers.fold(s))
+        items = html_wrappers.align(items, html_wrappers.fold(s)[0])
     assert all(accepted(items, s) for s in streams)
-    assert len({x[0] for x in items}) == len(items)
+    places = Counter(t for names, _, _ in items for t in names)
+    grouped = {t for names, _, _ in items if len(names) > 1 for t in names}
+    assert all(n <= (1 if t in grouped else html_wrappers.PLACES) for t, n in places.items())
+    for s in streams:
+        folded, spans = html_wrappers.fold(s)
+        assert [k for low, high in spans for k in range(low, high + 1)] == list(range(len(s)))
+        assert all(set(s[low : high + 1]) == set(x[0]) for x, (low, high) in zip(folded, spans, strict=True))
+        met = html_wrappers.matches(items, folded)
+        assert all(x < y and v < w for (x, v), (y, w) in zip(met, met[1:])) and all(set(items[x][0]) & set(folded[v][0]) for x, v in met)
 
 
 def host_pages(n, seed=0):
@@ -290,6 +295,50 @@ def test_only_the_wrapper_can_tell(spark, partitions):
     assert got == {r[0]: r[3] for r in rows} | {100: rows[3][3]}
 
 
+def plain_pages(n, host="boxes"):
+    """Nothing but plain ``div`` elements: menu, an advert on some pages, the article, a box of the same kind, a footer."""
+    rng = random.Random(n)
+    text = lambda k: " ".join(f"w{rng.randrange(400)}" for _ in range(k))
+    rows = []
+    for i in range(n):
+        body = [text(rng.randint(20, 60)) for _ in range(rng.randint(3, 6))] if i else [text(8), text(8)]
+        beside = [text(5)] if i else [text(60), text(60)]  # the first page has more beside its article than in it
+        menu = "".join(f"<div><a href='/{k}'>{text(2)}</a></div>" for k in range(4))
+        div = lambda parts: "<div>" + "".join(f"<div>{x}</div>" for x in parts) + "</div>"
+        html = f"<div>{menu}</div>" + f"<div>{text(6)}</div>" * (i % 2) + div(body) + f"<div>{text(4)}</div>" + div([*beside, text(3)]) + "<div>End</div>"
+        rows.append((i, f"http://{host}/{i}", html, "\n".join(body)))
+    return rows
+
+
+def test_places_of_the_wrapper_tell_like_elements_apart(spark):
+    rows = plain_pages(20)
+    assert extracted(spark, [r[:3] for r in rows], 3) == {r[0]: r[3] for r in rows}
+
+
+def test_order_groups_and_optional_items_decide(spark):
+    rows = plain_pages(20)
+    cards = [(i, "", f"<div>Top {i}</div>" + "".join(f"<div><div>Card {i} {k} {'x ' * 20}</div><div>more {k} {i}</div></div>" for k in range(1 + i % 3)), None) for i in range(9)]
+    pages = spark.createDataFrame([r[:3] for r in rows] + [(100 + i, f"http://cards/{i}", html) for i, _, html, _ in cards], "page_id long, url string, html string")
+    models = {r.host: json.loads(r.model) for r in html_wrappers.infer_wrappers(pages).collect()}
+
+    def texts(found, model, change):
+        changed = html_wrappers.Model([r | {"items": json.dumps(change(json.loads(r["items"])))} for r in model])
+        return [html_wrappers.main_blocks(html_wrappers.Page(r[2]), changed)[1] for r in found]
+
+    same = lambda items: items
+    assert texts(rows, models["boxes"], same) == [r[3].split("\n") for r in rows]
+    assert texts(rows, models["boxes"], lambda items: items[::-1]) != texts(rows, models["boxes"], same)
+    assert texts(rows, models["boxes"], lambda items: [x for x in items if not x[1]]) != texts(rows, models["boxes"], same)
+    flat = texts(cards, models["cards"], lambda items: [[t, o, False] for t, o, _ in items])
+    assert flat != texts(cards, models["cards"], same) and flat[0] == [f"Card 0 0 {'x ' * 20}".strip(), "more 0 0"]  # a page of one card is still a page of cards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_hosts_of_any_size_have_regions(spark, n):
+    rows = plain_pages(n + 1, f"few{n}")[1:]
+    assert extracted(spark, [r[:3] for r in rows]) == {r[0]: r[3] for r in rows}
+
+
 def test_marked_enclosure_of_the_article_is_kept(spark):
     rows = [(i, f"http://m/{i}", f"<div class='header-top'>Top</div><div class='has-sidebar'><p>Article {i} {'text ' * 30}</p><div class='sidebar'>Side {i}</div></div><div>Foot</div>") for i in range(5)]
     assert extracted(spark, rows, 2) == {i: f"Article {i} " + " ".join(["text"] * 30) for i in range(5)}
@@ -301,20 +350,20 @@ def brute_model(rows):
     for html in rows:
         p = html_wrappers.Page(html)
         pages.setdefault(tuple((a, t) for a, _, t in p.texts), p)
-    n, chars, links, met = Counter(), Counter(), Counter(), Counter()
+    n, chars, links, met, held = (Counter() for _ in range(5))
     for p in pages.values():
         n.update(p.nodes.keys())
         for path, link, t in p.texts:
             chars[path] += len(t)
             links[path] += link
+            held[path, t] += len(t)
         met.update({(path, t) for path, _, t in p.texts})
-    fixed = {k for k, m in met.items() if m > 1 and len(pages) >= 3 and 2 * m > len(pages)}
-    held = Counter()
-    for p in pages.values():
-        for path, _, t in p.texts:
-            held[path] += len(t) * ((path, t) in fixed)
-    weight = {k: max(0.0, chars[k] - 0.9 * links[k] - 0.95 * held[k]) for k in n}
-    return n, weight, {(k, html_wrappers.text_hash(t)) for k, t in fixed}
+    fixed = {k for k, m in met.items() if m > 1 and 2 * m > len(pages)}
+    again = Counter()
+    for (path, t), m in met.items():
+        again[path] += held[path, t] - held[path, t] // m
+    weight = {k: max(0, 10 * chars[k] - 9 * links[k] - 10 * again[k]) for k in n}
+    return n, weight, {(k, html_wrappers.text_hash(t)) for k, t in fixed}, pages.values()
 
 
 @pytest.mark.parametrize("partitions", [1, 5])
@@ -324,15 +373,27 @@ def test_models_against_brute_force(spark, partitions):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions, "page_id")
     models = {r.host: json.loads(r.model) for r in html_wrappers.infer_wrappers(pages).collect()}
     for host in ("plain", "long"):
-        n, weight, fixed = brute_model([r[2] for r in rows if f"//{host}/" in r[1]])
+        n, weight, fixed, distinct = brute_model([r[2] for r in rows if f"//{host}/" in r[1]])
         got = models[host]
-        assert {r["path"]: r["n"] for r in got} == dict(n) and all(abs(r["weight"] - weight[r["path"]]) < 1e-6 for r in got)
+        assert {r["path"]: r["n"] for r in got} == dict(n) and all(r["weight"] == weight[r["path"]] for r in got)
         assert {(r["path"], t) for r in got for t in r["fixed"]} == fixed
         for _, url, html in rows:
             if f"//{host}/" in url:
                 for path, found in html_wrappers.Page(html).streams.items():
                     items = json.loads(next(r["items"] for r in got if r["path"] == path))
-                    assert all({x[0] for x in json.loads(f)} <= {x[0] for x in items} for f in found)
+                    assert all({t for x in json.loads(f) for t in x[0]} <= {t for x in items for t in x[0]} for f in found)
+        sums = Counter()
+        for p in distinct:
+            for e, children in enumerate(p.children):
+                if children == [-1] or not children:
+                    continue
+                items = json.loads(next(r["items"] for r in got if r["path"] == p.paths[e]))
+                folded, spans = html_wrappers.fold(p.tokens_in(e))
+                for place, k in html_wrappers.matches(items, folded):
+                    for c in children[spans[k][0] : spans[k][1] + 1]:
+                        if c >= 0:
+                            sums[p.paths[e], place, p.paths[c]] += p.weights[c]
+        assert {(r["path"], x["place"], x["child"]): x["weight"] for r in got for x in r["places"] if x["child"]} == dict(sums)
 
 
 def test_sent_and_joined_models_agree(spark, monkeypatch):
