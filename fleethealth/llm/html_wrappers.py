@@ -13,8 +13,9 @@ expression, or stands in one group: expressions never outgrow the different toke
 Every child of an element so has a place in the wrapper: the third of four like ``div`` elements is another item than
 the first. Places have weights, the mean characters that they hold over the host's distinct pages: link characters count
 a tenth, and a text that several pages share counts once among them. Extraction aligns the page with the wrapper. From
-the root, the region goes down to the item that holds the greater part of the weight, and never into a place that the
-wrapper repeats. Element names and class words are hints: they weigh an item down (navigation, adverts, forms, ...) or
+the root, the region goes down to the item that holds the greater part of the weight, but never into a place that the
+wrapper repeats, and only where something that is left out shows to be furniture: marked, mostly links, or mostly text
+that pages share. Element names and class words are hints: they weigh an item down (navigation, adverts, forms, ...) or
 let <article> and <main> pass at a smaller part, and within the region marked items are left out. Constants, texts on
 most pages of the host and on two at least, are left out of the region too where all of an element that isn't a paragraph
 or heading is constant; where no element is the region, all constants are. A host of one page is its own wrapper.
@@ -566,6 +567,8 @@ class Model:
         for path in reversed(order[1:]):
             raw[parent[path]] += raw[path]
             weight[parent[path]] += weight[path]
+        #: paths whose greater part several pages share
+        self.shared = {path for path in order if raw[path] > 2 * weight[path]}
         for r in rows:
             for p in r["places"]:
                 child = p["child"]
@@ -599,7 +602,7 @@ def region(page: Page, model: Model) -> list[int]:
         folded, spans = fold(page.tokens_in(at[0]))
         wrapper = model.items.get(path, [])
         place = {b: a for a, b in matches(wrapper, folded)}
-        total, plain, content = 0.0, [], []
+        total, plain, content, furniture = 0.0, [], [], 0
         for k, (first, last) in enumerate(spans):
             like: dict[int, list[int]] = {}  # children of this item by path
             for c in children[first : last + 1]:
@@ -610,16 +613,18 @@ def region(page: Page, model: Model) -> list[int]:
                 if e >= 0 and page.marks[e]:
                     weight *= MARKED_WEIGHT
                 total += weight
+                sign = e >= 0 and (page.marks[e] or page.tokens[e].endswith("~a") or child in model.shared)
+                furniture += sign
                 if e < 0 or weight <= 0:
                     continue
                 if page.names[e] in CONTENT:
                     content.append((weight, elements))
                 elif first == last and page.names[e] not in PROSE and not (k in place and wrapper[place[k]][2]):
-                    plain.append((weight, elements))
+                    plain.append((weight, elements, sign))
         best = max(content, key=lambda x: x[0], default=(0.0, []))
         if not best[1] or best[0] < CONTENT_REGION * total:
-            best = max(plain, key=lambda x: x[0], default=(0.0, []))
-            if not best[1] or best[0] < REGION * total:
+            best = max(plain, key=lambda x: x[0], default=(0.0, [], False))
+            if not best[1] or best[0] < REGION * total or furniture <= best[2]:
                 return at
         at = best[1]
     return at

@@ -317,7 +317,7 @@ def test_places_of_the_wrapper_tell_like_elements_apart(spark):
 
 def test_order_groups_and_optional_items_decide(spark):
     rows = plain_pages(20)
-    cards = [(i, "", f"<div>Top {i}</div>" + "".join(f"<div><div>Card {i} {k} {'x ' * 20}</div><div>more {k} {i}</div></div>" for k in range(1 + i % 3)), None) for i in range(9)]
+    cards = [(i, "", f"<div><a href='/'>Top {i}</a></div>" + "".join(f"<div><div>Card {i} {k} {'x ' * 20}</div><div>more {k} {i}</div></div>" for k in range(1 + i % 3)), None) for i in range(9)]
     pages = spark.createDataFrame([r[:3] for r in rows] + [(100 + i, f"http://cards/{i}", html) for i, _, html, _ in cards], "page_id long, url string, html string")
     models = {r.host: json.loads(r.model) for r in html_wrappers.infer_wrappers(pages).collect()}
 
@@ -333,6 +333,10 @@ def test_order_groups_and_optional_items_decide(spark):
     assert flat != texts(cards, models["cards"], same) and flat[0] == [f"Card 0 0 {'x ' * 20}".strip(), "more 0 0"]  # a page of one card is still a page of cards
 
 
+def test_a_title_beside_its_text_is_no_furniture():
+    assert html_wrappers.main_text("<div><div>Title</div><div><div>" + "text " * 50 + "</div><div>more</div></div></div>").startswith("Title\n")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_hosts_of_any_size_have_regions(spark, n):
     rows = plain_pages(n + 1, f"few{n}")[1:]
