@@ -198,6 +198,36 @@ def test_quantiles_of_both_ways_agree(spark, monkeypatch):
     assert few["c"] == many["c"] == [None] * 6
 
 
+def test_quantiles_by_selection_list_no_more_as_rows_grow(spark, monkeypatch):
+    from fleethealth.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "DIRECT", 100)
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    monkeypatch.setattr(quantiles, "LISTED", 60)
+    listed = quantiles._listed
+    largest = {}
+    for rows in (5_000, 50_000):
+        sizes = []
+        monkeypatch.setattr(quantiles, "_listed", lambda df, x, gaps: sizes.extend(g.size for g in gaps) or listed(df, x, gaps))
+        # half of the column is one value, a tenth is infinite or no number, the rest differs
+        v = F.when(F.col("id") % 2 == 0, 7.0).when(F.col("id") % 10 == 1, F.lit(float("inf"))).when(F.col("id") % 10 == 3, F.lit(float("nan"))).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 2.0**36)
+        df = spark.range(rows).select(v.alias("odd name.x"), F.lit(3.0).alias("flat"))
+        shares = [0.0, 0.1, 0.25, 0.5, 0.73, 0.86, 0.95, 1.0]
+        got = quantiles.exact_quantiles(df, ["odd name.x", "flat"], shares)
+        x = np.sort([r[0] for r in df.collect() if r[0] == r[0]])
+        at = [q * (len(x) - 1) for q in shares]
+        assert got["odd name.x"] == pytest.approx([x[int(p)] if x[int(p)] == x[int(np.ceil(p))] else x[int(p)] + (x[int(np.ceil(p))] - x[int(p)]) * (p % 1) for p in at])
+        assert got["flat"] == [3.0] * 8
+        largest[rows] = max(sizes)
+    assert max(largest.values()) <= 60
+
+
+def test_quantiles_of_an_empty_table(spark):
+    from fleethealth.functions import quantiles
+
+    assert quantiles.exact_quantiles(spark.createDataFrame([], "a double"), ["a"], [0.5]) == {"a": [None]}
+
+
 def test_running_sums_need_no_single_task(spark):
     df = spark.range(5000).select(((F.col("id") * 37) % 1009).alias("v"), "id").repartition(7)
     got = {r.id: r._before for r in stats.running(df, ["v", "id"], F.col("v")).collect()}
