@@ -89,8 +89,10 @@ def g6_block_search(spark, d):
 
 @query()
 def g7_lsa_embed(spark, d):
-    e, _, _ = retrieval.lsa_embed(passages(spark, d), "text")
-    return e.select("doc_id", F.round(F.aggregate("lsa", F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"))
+    e, model = retrieval.lsa_embed(passages(spark, d), "text")
+    asked = model.embed(questions(spark, d), "question").select("q", F.col("lsa").alias("qv"))
+    near = retrieval.dense_search(asked, "q", "qv", e, "doc_id", "lsa", 10)
+    return retrieval.ranks(near, "q", "doc_id").join(near, ["q", "doc_id"]).select("q", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 UNIT = "list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))))"

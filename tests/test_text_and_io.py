@@ -1,5 +1,8 @@
 """Text, retrieval, sources, sinks and streams."""
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,10 +148,40 @@ def test_page_furniture_goes(spark):
 
 
 def test_embeddings_of_like_passages_are_close(spark):
-    rows = [(i, " ".join(f"{'fire' if i % 2 else 'flood'}{(i * 7 + k) % 12}" for k in range(30))) for i in range(40)] + [(99, None)]
-    e, _, _ = retrieval.lsa_embed(spark.createDataFrame(rows, "i int, t string"), "t", 8)
+    rows = [(i, " ".join(f"{'fire' if i % 2 else 'flood'}{(i * 7 + k) % 12}" for k in range(30))) for i in range(40)] + [(99, None), (98, "once and onlyhere"), (97, "")]
+    e, model = retrieval.lsa_embed(spark.createDataFrame(rows, "i int, t string"), "t", 8)
     v = {r.i: np.array(r.lsa) for r in e.collect()}
-    assert v[0] @ v[2] > 0.3 and abs(v[0] @ v[1]) < 0.1 and abs(v[0] @ v[0] - 1) < 1e-9 and not v[99].any()
+    assert len(v) == 43 and v[0] @ v[2] > 0.3 and abs(v[0] @ v[1]) < 0.1 and abs(v[0] @ v[0] - 1) < 1e-9 and not v[99].any() and not v[98].any() and not v[97].any()
+    new = model.embed(spark.createDataFrame([(1, rows[0][1]), (2, "unknown words")], "n int, t string"), "t")
+    got = {r.n: np.array(r.lsa) for r in new.collect()}
+    assert got[1] == pytest.approx(v[0]) and not got[2].any()
+    assert {r.term for r in model.vocabulary.collect()} >= {"fire0", "fire0 fire1"} and not model.vocabulary.filter("df < 2").count()
+
+
+def test_embeddings_find_the_neighbours_of_a_dense_decomposition(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(600)]
+    shares = rng.dirichlet(np.full(600, 0.03), 25)
+    texts = [" ".join(rng.choice(words, 60, p=0.7 * shares[i % 25] + 0.3 * shares[rng.integers(25)])) for i in range(400)]
+    e, _ = retrieval.lsa_embed(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", 40)
+    ours = np.array([r.lsa for r in sorted(e.collect())])
+
+    terms = [[*t.split(), *(" ".join(p) for p in itertools.pairwise(t.split()))] for t in texts]
+    df = Counter(x for t in terms for x in set(t))
+    at = {x: i for i, x in enumerate(sorted(x for x, k in df.items() if k >= 2))}
+    full = np.zeros((len(texts), len(at)))
+    for i, t in enumerate(terms):
+        for x, k in Counter(t).items():
+            if x in at:
+                full[i, at[x]] = (1 + np.log(k)) * (1 + np.log((1 + len(texts)) / (1 + df[x])))
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    u, s, _ = np.linalg.svd(full, full_matrices=False)
+    dense = u[:, :40] * s[:40]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    near = lambda v: [set(np.argsort(-(v @ v[i]), kind="stable")[:11]) - {i} for i in range(len(v))]
+    overlap = np.mean([len(a & b) / 10 for a, b in zip(near(ours), near(dense), strict=True)])
+    print("overlap", overlap)
+    assert overlap > 0.7
 
 
 def test_slices_of_queries_give_the_same_neighbours(spark, monkeypatch):
