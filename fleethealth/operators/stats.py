@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,54 @@ def bootstrap_ci(df: DataFrame, cluster: str, value: str, draws: int = DRAWS, al
     return point.join(F.broadcast(ci))  # one row each
 
 
+#: Clusters whose draws are counted at once.
+SPLIT = 1024
+
+
+def _block_draws(total: int, block: int, split: int, draws: int, seed: int) -> np.ndarray:
+    """draws x clusters of a block: how often each is drawn when ``total`` clusters are drawn with replacement from all.
+
+    The number of draws that fall on a range of blocks is split between its halves by binomials, each from a generator
+    of the range's own, down to the block, and dealt out evenly there: a task works out its own blocks and no others."""
+    low, high = 0, -(-total // split)
+    end = lambda b: min(b * split, total)
+    count = np.full(draws, total)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = np.random.default_rng([seed, 0, low, high]).binomial(count, (end(mid) - end(low)) / (end(high) - end(low)))
+        low, high, count = (low, mid, left) if block < mid else (mid, high, count - left)
+    size = end(high) - end(low)
+    at = np.random.default_rng([seed, 1, block]).integers(0, size, count.sum())
+    return np.bincount(np.repeat(np.arange(draws) * size, count) + at, minlength=draws * size).reshape(draws, size)
+
+
+def bootstrap_split(df: DataFrame, cluster: str, value: str, draws: int = DRAWS, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """As ``bootstrap_ci``, for very many clusters: no row per cluster and draw is ever made.
+
+    Clusters are numbered. A task counts the draws of its clusters block by block (``_block_draws``) and gives two sums
+    a draw, so that tasks x draws numbers are shuffled. Counts depend on the seed and a cluster's number alone, not on
+    how rows are dealt to tasks. Without clusters the estimate and its limits are null."""
+    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sums = clean.groupBy(F.col(cluster).alias("c")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
+    numbered = written(running(sums, ["c"], F.lit(1)).select(F.col("_before").cast("long").alias("at"), "s", F.col("n").cast("double").alias("n")), "clusters")
+    point = numbered.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("estimate"), F.count("*").alias("clusters"))
+    total, split = numbered.count(), SPLIT
+
+    def part(batches):
+        out, known, counts = np.zeros((2, draws)), None, None
+        for pdf in batches:
+            for block, rows in pdf.groupby(pdf["at"] // split):
+                if block != known:
+                    known, counts = block, _block_draws(total, int(block), split, draws, seed)
+                out += (counts[:, (rows["at"] - block * split).to_numpy()] @ rows[["s", "n"]].to_numpy()).T
+        if known is not None:
+            yield pd.DataFrame({"draw": np.arange(1, draws + 1), "s": out[0], "n": out[1]})
+
+    rep = numbered.mapInPandas(part, "draw long, s double, n double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    ci = rep.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))  # a row per draw
+    return point.join(F.broadcast(ci))  # one row each
+
+
 #: Draws that one digest gives signs for: its bits.
 SIGNS = 128
 
@@ -342,13 +391,15 @@ def wave_assignment(units: DataFrame, unit: str, waves: int, first: int, last: i
     return units.withColumn("wave", rn % waves).withColumn("start", F.bround(first + F.col("wave") * step).cast("int"))
 
 
-def compare_alarms(df: DataFrame, methods: list[str], reference: str, positive: str, cluster: str, draws: int = 500, seed: int = 0) -> DataFrame:
-    """method, detection, false alarms with cluster intervals, and p of the paired test with the reference."""
+def compare_alarms(df: DataFrame, methods: list[str], reference: str, positive: str, cluster: str, draws: int = 500, seed: int = 0, resample=bootstrap_ci) -> DataFrame:
+    """method, detection, false alarms with cluster intervals, and p of the paired test with the reference.
+
+    ``resample`` is ``bootstrap_split`` where clusters are very many."""
     out = None
     for m in methods:
         hit = df.withColumn("_v", F.col(m).cast("double"))
-        det = bootstrap_ci(hit.filter(F.col(positive)), cluster, "_v", draws, seed=seed).select(F.col("estimate").alias("detection"), F.col("low").alias("detection_low"), F.col("high").alias("detection_high"))
-        fa = bootstrap_ci(hit.filter(~F.col(positive)), cluster, "_v", draws, seed=seed).select(F.col("estimate").alias("false_alarm"), F.col("low").alias("false_alarm_low"), F.col("high").alias("false_alarm_high"))
+        det = resample(hit.filter(F.col(positive)), cluster, "_v", draws, seed=seed).select(F.col("estimate").alias("detection"), F.col("low").alias("detection_low"), F.col("high").alias("detection_high"))
+        fa = resample(hit.filter(~F.col(positive)), cluster, "_v", draws, seed=seed).select(F.col("estimate").alias("false_alarm"), F.col("low").alias("false_alarm_low"), F.col("high").alias("false_alarm_high"))
         diffs = df.filter(F.col(positive)).groupBy(cluster).agg(F.avg(F.col(m).cast("double") - F.col(reference).cast("double")).alias("_d"))
         p = paired_permutation(diffs, "_d", cluster, draws, seed).select("p")
         row = det.join(fa).join(p).select(F.lit(m).alias("method"), "*")  # one row each
@@ -356,9 +407,9 @@ def compare_alarms(df: DataFrame, methods: list[str], reference: str, positive:
     return out
 
 
-def warning_uncertainty(table: DataFrame, asset: str, warned_a: str, warned_b: str, lead_a: str, lead_b: str, draws: int = 500) -> DataFrame:
+def warning_uncertainty(table: DataFrame, asset: str, warned_a: str, warned_b: str, lead_a: str, lead_b: str, draws: int = 500, resample=bootstrap_ci) -> DataFrame:
     """warned share with interval, and p of McNemar's and Wilcoxon's tests against another method."""
-    ci = bootstrap_ci(table.withColumn("_v", F.col(warned_a).cast("double")), asset, "_v", draws).select(F.col("estimate").alias("warned"), "low", "high")
+    ci = resample(table.withColumn("_v", F.col(warned_a).cast("double")), asset, "_v", draws).select(F.col("estimate").alias("warned"), "low", "high")
     mc = mcnemar_exact(table, warned_a, warned_b).select(F.col("p").alias("p_warned"))
     wx = wilcoxon_paired(table.withColumn("_d", F.coalesce(F.col(lead_a).cast("double"), F.lit(0.0)) - F.coalesce(F.col(lead_b).cast("double"), F.lit(0.0))), "_d").select(F.col("p").alias("p_lead"))
     return ci.join(mc).join(wx)  # one row each

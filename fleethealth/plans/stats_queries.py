@@ -48,6 +48,12 @@ def t1_bootstrap_ci(spark, d):
     return rounded(stats.bootstrap_ci(outcomes(spark, d).withColumn("v", F.col("a").cast("double")), "m", "v"))
 
 
+@query()
+def t1_bootstrap_split(spark, d):
+    """Mean order value, resampling customers."""
+    return rounded(stats.bootstrap_split(table(spark, d, "orders"), "o_custkey", "o_totalprice"))
+
+
 WL, WH = wilson_sql("k", "n")
 
 

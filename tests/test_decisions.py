@@ -87,6 +87,33 @@ def test_cluster_interval_is_wider(spark):
     assert a.high - a.low > 3 * (b.high - b.low)
 
 
+def test_split_draws_are_whole_and_like_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SPLIT", 16)
+    counts = np.concatenate([stats._block_draws(150, b, 16, 3000, 4) for b in range(10)], axis=1)
+    assert counts.shape == (3000, 150) and (counts.sum(axis=1) == 150).all()
+    # means, variances and covariances of a multinomial distribution
+    assert counts.mean(axis=0) == pytest.approx(np.ones(150), abs=0.1) and counts.var(axis=0) == pytest.approx(np.full(150, 149 / 150), abs=0.2)
+    between = np.cov(counts.T)[np.triu_indices(150, 1)]
+    assert between.mean() == pytest.approx(-1 / 150, abs=1e-3) and abs(between).max() < 0.1
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"m": rng.integers(0, 150, 4000), "x": rng.gamma(2.0, 3.0, 4000)})
+    pdf["x"] += pdf["m"] % 7
+    pdf.loc[:20, "x"] = None
+    df = spark.createDataFrame(pdf)
+    got = one(stats.bootstrap_split(df, "m", "x", 1500, seed=4))
+    used = pdf.dropna().groupby("m")["x"].agg(["sum", "count"])
+    counts = np.concatenate([stats._block_draws(150, b, 16, 1500, 4) for b in range(10)], axis=1)
+    means = counts @ used["sum"].to_numpy() / (counts @ used["count"].to_numpy())
+    assert (got.estimate, got.clusters) == (pytest.approx(used["sum"].sum() / used["count"].sum()), 150)
+    assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert tuple(one(stats.bootstrap_split(df.repartition(7), "m", "x", 1500, seed=4))) == pytest.approx(tuple(got))
+    other = one(stats.bootstrap_ci(df, "m", "x", 1500))
+    assert other.high - other.low == pytest.approx(got.high - got.low, rel=0.15)
+    none = one(stats.bootstrap_split(df.filter("m < 0"), "m", "x", 50))
+    assert tuple(none) == (None, 0, None, None)
+
+
 def test_designs_and_cuped(spark):
     r = one(stats.n_per_arm_proportions(spark.createDataFrame([(0.10, 0.05)], "a double, b double"), "a", "b"))
     assert 400 < r.n_per_arm < 500
