@@ -120,7 +120,25 @@ def b2_load_aware_limit(spark, d):
     return z_table(spark, d).groupBy(alarms.load_aware_limit(F.col("z_value")).alias("alarm")).agg(F.count("*").alias("n"))
 
 
-@query()
+def quantile_sql(values: str, q: str) -> str:
+    """Interpolated quantile of a sorted list at a share that isn't constant."""
+    p = f"(({q}) * (len({values}) - 1))"
+    low, high = f"{values}[floor({p})::BIGINT + 1]", f"{values}[ceil({p})::BIGINT + 1]"
+    return f"(CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({p} - floor({p})) END)"
+
+
+def grid_sql(p: str, ends: str) -> str:
+    """One round over 64 cells of a table (lo, hi): {p} has the ends of the cell in which joint alarms pass 5 %."""
+    limits = ", ".join(f"{quantile_sql(c + 's', share)} AS {c}_{end}" for c in ("v", "w") for end, share in (("low", "q"), ("high", "1 - q")))
+    return f"""{p}g AS (SELECT i, lo + (hi - lo) * i / 64 AS q, lo + (hi - lo) * least(64, i + 1) / 64 AS nx FROM {ends}, generate_series(0, 64) AS t(i)), {p}e AS (SELECT i, q, nx, {limits} FROM {p}g, ls),
+{p}r AS (SELECT i, q, nx, avg((coalesce(value < v_low OR value > v_high, false) OR coalesce(k < w_low OR k > w_high, false))::INT) AS rate FROM {p}e, hl GROUP BY 1, 2, 3), {p} AS (SELECT q AS lo, nx AS hi FROM {p}r WHERE rate <= 0.05 ORDER BY i DESC LIMIT 1)"""
+
+
+ENDS = ", ".join(f"({sensor!r}, {quantile_sql(c + 's', 'lo')}, {quantile_sql(c + 's', '1 - lo')})" for sensor, c in (("value", "v"), ("k", "w")))
+
+
+@query(f"""WITH {EV}, hl AS (SELECT value, k FROM ev WHERE rn <= 20), ls AS (SELECT list_sort(list(value) FILTER (value IS NOT NULL)) AS vs, list_sort(list(k) FILTER (k IS NOT NULL)) AS ws FROM hl), r0 AS (SELECT 0.0::DOUBLE AS lo, 0.05::DOUBLE AS hi),
+{grid_sql('r1', 'r0')}, {grid_sql('r2', 'r1')}, fn AS (SELECT unnest([{ENDS}]) AS x FROM r2, ls) SELECT x[1] AS sensor, round(x[2], 6) AS low, round(x[3], 6) AS high FROM fn""")
 def b3_univariate_limits(spark, d):
     return rounded(alarms.univariate_limits(ranked(spark, d).filter("rn <= 20"), SENSORS, 0.05))
 
