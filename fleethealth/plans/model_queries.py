@@ -47,7 +47,28 @@ def m14_predict_rul(spark, d):
     return learn.predict_rul(x, learn.fit_regressor(x, FEATURES, "rul", "boosted"), 60.0).select("l_orderkey", "l_linenumber", "l_partkey", "rul", "rul_pred")
 
 
-@query()
+LABELLED = "lb AS (SELECT l_suppkey, l_quantity::DOUBLE AS x1, l_extendedprice::DOUBLE AS x2, l_discount::DOUBLE AS x3, l_tax::DOUBLE AS x4, 100 - l_quantity::DOUBLE * 1.5 - 100 * l_tax::DOUBLE AS y FROM lineitem)"
+
+
+def ridge_sql(p: str, rows: str) -> str:
+    """Ridge regression of y on x1 to x4 by group g of a table, penalty 0.01 in units of standard deviations: {p} has means, deviations and coefficients b1 to b4.
+
+    The normal equations are solved by elimination, one step a common table."""
+    at = range(1, 5)
+    scaled = lambda i: f"stddev_samp(x{i})"
+    cells = [f"covar_pop(x{i}, x{j}) / ({scaled(i)} * {scaled(j)}){' + 0.01 / stddev_samp(y)' if i == j else ''} AS m{i}{j}" for i in at for j in at]
+    cells += [f"covar_pop(x{i}, y) / {scaled(i)} AS m{i}5" for i in at] + [f"avg(x{i}) AS a{i}, {scaled(i)} AS s{i}" for i in at]
+    steps = [f"{p}0 AS (SELECT g, avg(y) AS ay, {', '.join(cells)} FROM {rows} GROUP BY g)"]
+    for k in at:
+        less = [f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}" for i in at for j in range(1, 6) if i != k]
+        steps.append(f"{p}{k} AS (SELECT * REPLACE ({', '.join(less)}) FROM {p}{k - 1})")
+    return ", ".join(steps) + f", {p} AS (SELECT *, {', '.join(f'm{i}5 / m{i}{i} AS b{i}' for i in at)} FROM {p}4)"
+
+
+PREDICTED = "ay + " + " + ".join(f"b{i} * (x{i} - a{i}) / s{i}" for i in range(1, 5))
+
+
+@query(f"WITH {LABELLED}, al AS (SELECT 0 AS g, * FROM lb), {ridge_sql('rg', 'al')} SELECT round(avg(abs(round_even(least(greatest({PREDICTED}, 0), 120), 1) - y)), 3) AS mae FROM lb, rg")
 def m2_fit_regressor(spark, d):
     x = labelled(spark, d)
     p = learn.predict_rul(x, learn.fit_regressor(x, FEATURES, "rul", "ridge"), 120.0)
@@ -87,7 +108,9 @@ def m7_compare_models(spark, d):
     return rounded(learn.compare_models(x, FEATURES, "y", ["forest", "logistic"]), 3)
 
 
-@query()
+@query(f"""WITH {LABELLED}, gr AS (SELECT l_suppkey, count(*) AS n FROM lb GROUP BY 1), nb AS (SELECT l_suppkey, row_number() OVER (ORDER BY n DESC, md5('0|' || l_suppkey), l_suppkey) - 1 AS rn FROM gr),
+fd AS (SELECT lb.*, (CASE WHEN rn // 2 % 2 = 0 THEN rn % 2 ELSE 1 - rn % 2 END)::INTEGER AS fold FROM lb JOIN nb USING (l_suppkey)), al AS (SELECT 1 - fold AS g, * FROM fd), {ridge_sql('rg', 'al')}
+SELECT fold, round(sqrt(avg(({PREDICTED} - y) ** 2)), 3) AS rmse, count(*) AS n FROM fd JOIN rg ON g = fold GROUP BY 1""")
 def m9_out_of_fold(spark, d):
     x = learn.group_kfold(labelled(spark, d).select("l_suppkey", *FEATURES, "rul"), "l_suppkey", 2)
     o = learn.out_of_fold(x, FEATURES, "rul", "ridge", classify=False)
@@ -101,7 +124,7 @@ def m10_leakage_probe(spark, d):
     return learn.out_of_fold(rows, FEATURES, "y", "logistic").agg(F.round(F.avg((F.col("oof") == F.col("y")).cast("int")), 3).alias("accuracy"))
 
 
-@query()
+@query(f"WITH {LABELLED}, al AS (SELECT 0 AS g, * FROM lb), {ridge_sql('rg', 'al')} SELECT round(avg(abs({PREDICTED} - y)), 3) AS mae FROM lb, rg")
 def m12_severity_regressors(spark, d):
     x = labelled(spark, d)
     models = learn.severity_regressors(x, FEATURES, ["rul"])
