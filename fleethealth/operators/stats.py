@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleethealth.functions.columns import Z95, binomial_two_sided, normal_cdf, normal_quantile, wilson
+from fleethealth.functions.columns import Z95, binomial_two_sided, normal_cdf, normal_quantile, t_two_sided, wilson
 from fleethealth.sources.scratch import written
 
 DRAWS = 2000
@@ -371,17 +371,21 @@ def poisson_twfe(panel: DataFrame, outcome: str, treated: str, unit: str, period
 
 
 def parallel_ab(panel: DataFrame, unit: str, arm: str, outcome: str, post: str) -> DataFrame:
-    """difference, ratio, z, p: unit means after the start, adjusted by those before, compared by Welch's statistic.
+    """difference, ratio, z, p: unit means after the start, adjusted by those before, compared by Welch's test.
 
-    The reference distribution is normal (many units)."""
+    The reference is Student's t with Welch's degrees of freedom, so few units are right too; p is null where an arm
+    has less than two units or neither arm varies."""
     means = panel.groupBy(unit, arm).agg(F.avg(F.when(F.col(post), F.col(outcome))).alias("y"), F.avg(F.when(~F.col(post), F.col(outcome))).alias("pre"))
     adj = cuped(means.dropna(subset=["y", "pre"]), "y", "pre")
     on = F.col(arm).cast("boolean")
     v = F.col("y_adjusted")
     pick = lambda f, c: f(F.when(c, v))
     g = adj.agg(pick(F.avg, on).alias("m1"), pick(F.avg, ~on).alias("m0"), pick(F.var_samp, on).alias("v1"), pick(F.var_samp, ~on).alias("v0"), F.sum(on.cast("int")).alias("n1"), F.sum((~on).cast("int")).alias("n0"))
-    z = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0")))
-    return g.select((F.col("m1") - F.col("m0")).alias("difference"), F.try_divide(F.col("m1"), F.col("m0")).alias("ratio"), z.alias("z"), (2 * (1 - normal_cdf(F.abs(z)))).alias("p"))
+    z = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(F.try_divide("v1", "n1") + F.try_divide("v0", "n0")))
+    e1, e0 = F.try_divide("v1", "n1"), F.try_divide("v0", "n0")
+    dof = F.try_divide((e1 + e0) * (e1 + e0), F.try_divide(e1 * e1, F.col("n1") - 1) + F.try_divide(e0 * e0, F.col("n0") - 1))
+    g = g.select("*", z.alias("z"), dof.alias("dof"))
+    return g.select((F.col("m1") - F.col("m0")).alias("difference"), F.try_divide(F.col("m1"), F.col("m0")).alias("ratio"), "z", t_two_sided(F.col("z"), F.col("dof")).alias("p"))
 
 
 def wave_assignment(units: DataFrame, unit: str, waves: int, first: int, last: int, seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleethealth.functions.columns import normal_cdf_sql, wilson_sql
+from fleethealth.functions.columns import normal_cdf_sql, t_two_sided_sql, wilson_sql
 from fleethealth.operators import stats
 from fleethealth.plans.registry import query, rounded, table
 
@@ -178,12 +178,12 @@ def t10_poisson_twfe_holes(spark, d):
     return rounded(stats.poisson_twfe(with_holes(spark, d), "n", "d", "unit", "period"))
 
 
-PZ = normal_cdf_sql("abs(z)")
+PW = t_two_sided_sql("z", "dof")
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT unit, unit % 2 = 0 AS arm, avg(CASE WHEN period >= 12 THEN y END) AS y, avg(CASE WHEN period < 12 THEN y END) AS pre FROM tr GROUP BY 1, 2), s AS (SELECT covar_samp(y, pre) / var_samp(pre) AS th, avg(pre) AS mp FROM m),
 a AS (SELECT arm, y - th * (pre - mp) AS v FROM m, s), g AS (SELECT avg(CASE WHEN arm THEN v END) AS m1, avg(CASE WHEN NOT arm THEN v END) AS m0, var_samp(CASE WHEN arm THEN v END) AS v1, var_samp(CASE WHEN NOT arm THEN v END) AS v0, sum(arm::INT) AS n1, sum((NOT arm)::INT) AS n0 FROM a),
-z AS (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS z FROM g) SELECT round(m1 - m0, 6) AS difference, round(m1 / m0, 6) AS ratio, round(z, 6) AS z, round(2 * (1 - {PZ}), 6) AS p FROM z""")
+z AS (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS z, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) AS dof FROM g) SELECT round(m1 - m0, 6) AS difference, round(m1 / m0, 6) AS ratio, round(z, 6) AS z, round({PW}, 6) AS p FROM z""")
 def t11_parallel_ab(spark, d):
     x = panel(spark, d).withColumn("arm", F.col("unit") % 2 == 0).withColumn("post", F.col("period") >= 12)
     return rounded(stats.parallel_ab(x, "unit", "arm", "y", "post"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleethealth.functions.columns import normal_cdf, normal_quantile
+from fleethealth.functions.columns import normal_cdf, normal_quantile, t_two_sided
 from fleethealth.operators import drift, learn, monitor, planning, risk, stats
 
 
@@ -114,6 +114,26 @@ def test_split_draws_are_whole_and_like_drawn_one_by_one(spark, monkeypatch):
     assert tuple(none) == (None, 0, None, None)
 
 
+def test_students_t_and_arms_of_few_units(spark):
+    # tabulated points of Student's t: 5 % and 1 % two-sided; with one degree of freedom a closed form; with many, normal
+    known = [(2.228139, 10.0, 0.05), (12.706205, 1.0, 0.05), (-3.169273, 10.0, 0.01), (4.302653, 2.0, 0.05), (0.0, 3.0, 1.0), (1.5, 1.0, float(1 - 2 / np.pi * np.arctan(1.5))), (1.959964, 1e9, 0.05)]
+    got = spark.createDataFrame(known, "t double, v double, p double").select("p", t_two_sided(F.col("t"), F.col("v")).alias("q")).collect()
+    assert [r.q for r in got] == pytest.approx([r.p for r in got], abs=2e-7)
+    assert one(spark.range(1).select(t_two_sided(F.lit(None).cast("double"), F.lit(3.0)).alias("q"))).q is None
+    # no unit's earlier mean varies with the later one, so adjustment is zero: Welch's test of 1, 2, 3, 4 and 5, 7, 9, 11
+    y = {0: [1.0, 2.0, 3.0, 4.0], 1: [5.0, 7.0, 9.0, 11.0]}
+    pre = [1.0, -1.0, -1.0, 1.0]
+    rows = [(10 * a + i, bool(a), v, p) for a in y for i in range(4) for v, p in ((pre[i], False), (y[a][i], True))]
+    r = one(stats.parallel_ab(spark.createDataFrame(rows, "u int, arm boolean, y double, post boolean"), "u", "arm", "y", "post"))
+    assert (r.difference, r.z) == (pytest.approx(5.5), pytest.approx(5.5 / np.sqrt(5 / 12 + 5 / 3)))
+    dof = (5 / 12 + 5 / 3) ** 2 / ((5 / 12) ** 2 / 3 + (5 / 3) ** 2 / 3)
+    angle = np.linspace(0, np.pi / 2, 400_001)
+    density = np.cos(angle) ** (dof - 1)
+    assert r.p == pytest.approx(density[angle >= np.arctan(r.z / np.sqrt(dof))].sum() / density.sum(), rel=1e-4)
+    lone = one(stats.parallel_ab(spark.createDataFrame([x for x in rows if x[0] in (0, 10, 11)], "u int, arm boolean, y double, post boolean"), "u", "arm", "y", "post"))
+    assert lone.p is None
+
+
 def test_designs_and_cuped(spark):
     r = one(stats.n_per_arm_proportions(spark.createDataFrame([(0.10, 0.05)], "a double, b double"), "a", "b"))
     assert 400 < r.n_per_arm < 500
