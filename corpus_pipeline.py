@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy's token pieces with their places; null texts give their end token alone."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Every copy's token pieces with their places; null texts give their end token alone. Workers outlive the stage, so they don't keep its words."""
+    return packing.pack_documents(docs, tokenizer_path(), keep_words=False)
 
 
 STAGES = [("quality_rules", quality), ("toxicity", toxic), ("ngram_jaccard_join", near_copies), ("source_mixing", mix), ("best_fit_packing", pack)]

@@ -92,6 +92,9 @@ class WordTokenizer:
         self.known.update((r, ids.tobytes()) for r, ids in zip(rest, self._encode(rest), strict=True))
         self.known.update((r, self.known[word] + self.known[mark]) for r, (word, mark) in marked.items())
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
@@ -111,7 +114,7 @@ def tokenizer(path: str) -> WordTokenizer:
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def _cut(path: str, longest: int, with_ids: bool):
+def _cut(path: str, longest: int, with_ids: bool, keep_words: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             held: list[tuple] = []
@@ -132,14 +135,20 @@ def _cut(path: str, longest: int, with_ids: bool):
                     part = ids[at : at + 4 * longest]
                     yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None
 
-        yield from batched(each(), _PIECES, 5000)
+        try:
+            yield from batched(each(), _PIECES, 5000)
+        finally:
+            if not keep_words:
+                tokenizer(path).forget()
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, null unless asked for)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(tokenizer_path, size, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids: bool = True, keep_words: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, null unless asked for).
+
+    Workers keep the words that they know from task to task, if ``keep_words``: faster, but their memory isn't there for other stages."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(tokenizer_path, size, with_ids, keep_words), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class OpenBins:
@@ -197,9 +206,9 @@ def best_fit(pieces: DataFrame, keys: list[str], size: int = SEQUENCE, open_bins
     return shuffled.mapInArrow(_pack(size, open_bins, pieces.columns.index("length")), f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, keep_words: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = written(token_pieces(docs, tokenizer_path, size, with_ids=False).drop("ids"), "pieces")
+    pieces = written(token_pieces(docs, tokenizer_path, size, with_ids=False, keep_words=keep_words).drop("ids"), "pieces")
     n = pieces.count()
     tasks = max(1, math.ceil(n / PIECES_PER_TASK))
     return best_fit(pieces, ["doc_id", "piece", "ids_crc32"], size, tasks=tasks, windows=max(1, math.ceil(n / tasks / WINDOW)))

@@ -131,6 +131,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each kind that have a feature, counted within the task."""
+    remembered("features of words", dict)  # lets other operators' memory go
     rows: tuple[Counter, Counter] = (Counter(), Counter())
     for toxic, text in rows_of(batches):
         rows[toxic].update({f for w in set(words(text)) for f in features_of(w)})

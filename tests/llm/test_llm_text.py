@@ -389,3 +389,25 @@ def test_texts_are_tokenized_in_bounded_lots(monkeypatch):
     got = pa.Table.from_batches(packing._cut("", 2048, False)(iter([rows])))
     assert max(x for x in seen if x < 5000) < 1700 and max(seen) <= 6000
     assert sum(got.column("length").to_pylist()) == sum(map(len, texts)) + len(texts)
+
+
+def test_features_let_other_operators_memory_go():
+    from fleethealth.llm import common, toxicity
+
+    common.remembered("another operator", dict)
+    list(toxicity._feature_rows(iter([])))
+    assert list(common._remembered) == ["features of words"]
+
+
+def test_packing_of_the_pipeline_keeps_no_words():
+    import pyarrow as pa
+
+    from fleethealth.llm import packing
+    from fleethealth.llm.queries import tokenizer_path
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words to cut"]})
+    kept = [b.to_pydict() for b in packing._cut(tokenizer_path(), 2048, False)(iter([batch]))]
+    assert packing.tokenizer(tokenizer_path()).known
+    assert [b.to_pydict() for b in packing._cut(tokenizer_path(), 2048, False, False)(iter([batch]))] == kept
+    words = packing.tokenizer(tokenizer_path())
+    assert not words.known and not words.older
