@@ -263,3 +263,35 @@ def test_gold_needs_no_nested_loop(spark):
     plan = retrieval.anchored(q.filter("q in (0, 6, 8)"), "q", "question", c, "c", "text")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert retrieval.anchored(q.limit(0), "q", "question", c, "c", "text").count() == 0
+
+
+def test_dense_ties_follow_rounded_scores(spark):
+    near = [(2, [1.0, 1e-9]), (1, [1.0, 1e-4]), (3, [0.0, 1.0]), (4, [1.0]), (5, None)]
+    c = spark.createDataFrame(near, "i int, v array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "q int, w array<double>")
+    got = [(r.i, r.score) for r in retrieval.dense_search(q, "q", "w", c, "i", "v", 2, 6).orderBy("score", "i").collect()]
+    assert got == [(1, 1.0), (2, 1.0)]
+    every = {r.i: r.score for r in retrieval.dense_search(q, "q", "w", c, "i", "v", 9, 6).collect()}
+    assert every == {1: 1.0, 2: 1.0, 3: 0.0, 4: None, 5: None}
+
+
+def test_a_batch_gives_only_passages_that_may_be_best(spark):
+    rows = [(i, ("engine " * (1 + i % 9) + "pump " + f"word{i} " * (i % 5)).strip(), f"s{i % 3}") for i in range(400)] + [(900, None, None), (901, "", "s1")]
+    c = spark.createDataFrame(rows, "c long, text string, source string").coalesce(1)
+    q = spark.createDataFrame([(1, "engine engine pump"), (2, "word7"), (3, "the"), (4, None)], "q int, question string")
+    ask = lambda *more: retrieval.bm25_search(q, "q", "question", c, "c", F.col("text"), *more).withColumn("score", F.round("score", 6))
+    best = lambda s, k: sorted(map(tuple, retrieval.top_k(s, "q", "c", "score", k).collect()))
+    assert ask().count() > 390
+    few = ask(4)
+    assert few.count() < 150 and best(few, 4) == best(ask(), 4)
+    meta = c.select("c", "source")
+    per = lambda s: sorted(map(tuple, retrieval.search(s, meta, "q", "c", "source", 4, 1).select("q", "c", "rank").collect()))
+    assert per(ask(1, "source")) == per(ask())
+
+
+def test_few_questions_are_found_without_shuffling_runs(spark):
+    c = spark.createDataFrame([(1, "x a b c d e y"), (2, "a b c"), (3, None)], "c int, text string")
+    q = spark.createDataFrame([(1, "a b c d e"), (2, "b")], "q int, question string")
+    found = retrieval.anchored(q, "q", "question", c, "c", "text")
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (2, 2)]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
