@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +67,54 @@ def _solve(pdf: pd.DataFrame, asset: str) -> pd.DataFrame:
     return pd.DataFrame(served, columns=[asset, "service_day"])
 
 
+#: Rows that a task holds before it lets go of those that can't be among the best.
+HELD_ROWS = 200_000
+
+
+def _leading(options: DataFrame, group: str, asset: str, most: int) -> DataFrame:
+    """``options`` less rows that at least ``most`` others of their group and day come before, within the task.
+
+    A sort of a task's rows would take memory with their number; this holds HELD_ROWS beside what it keeps."""
+
+    def run(batches):
+        held, rows, limit = [], 0, HELD_ROWS
+
+        def best() -> pa.Table:
+            t = pa.Table.from_batches(held).sort_by([(group, "ascending"), ("day", "ascending"), ("saving", "descending"), (asset, "ascending")])
+            keys = [t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in (group, "day")]
+            new = np.ones(len(t), bool)
+            new[1:] = (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)
+            at = np.arange(len(t))
+            return t.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < most))
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= limit:
+                kept = best()
+                if len(kept) > rows // 2:  # little can be let go of here; the window decides
+                    yield from kept.to_batches()
+                    kept = kept.slice(0, 0)
+                held, rows = kept.to_batches(), len(kept)
+                limit = rows + HELD_ROWS
+        if rows:
+            yield from best().to_batches()
+
+    return options.mapInArrow(run, options.schema)
+
+
 def _plan(options: DataFrame, group: str, asset: str) -> DataFrame:
     """group, asset, service_day from options (group, asset, day, cost, skip_cost, slots), exact within each group.
 
     With K slots in a group, a machine is only worth looking at on days on which it is among the K that save most:
     if it were served on another day, one of the K better ones would be idle and could take its place. So a group's
-    task gets at most K machines a day, however many machines the group has; the ranking keeps K per task before its
-    shuffle."""
+    task gets at most K machines a day, however many machines the group has; tasks keep K of a group and day before they are ranked."""
     kinds = dict(options.dtypes)
     useful = options.withColumn("saving", F.col("skip_cost") - F.col("cost")).filter("saving > 0 and slots > 0")
     slots = useful.select(group, "day", "slots").distinct().groupBy(group).agg(F.sum("slots").alias("_k"))
     best = F.row_number().over(Window.partitionBy(group, "day").orderBy(F.desc("saving"), asset))
     most = slots.agg(F.max("_k")).first()[0] or 0
-    near = useful.withColumn("_rn", best).filter(F.col("_rn") <= most).join(slots, group).filter("_rn <= _k").select(group, asset, "day", "saving", "slots")
+    near = _leading(useful.select(group, asset, "day", "saving", "slots"), group, asset, most).withColumn("_rn", best).filter(F.col("_rn") <= most).join(slots, group).filter("_rn <= _k").select(group, asset, "day", "saving", "slots")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _solve(pdf, asset).assign(**{group: pdf[group].iloc[0]})[[group, asset, "service_day"]]

@@ -373,3 +373,23 @@ def test_forest_samples_are_the_least_hashes(spark):
         assert sorted(sample[sample["tree"] == tree]["_h"].nsmallest(64)) == sorted(want)
     few = detector.forest_samples(df.limit(10), ["x"], ["id"], 3, 64)
     assert few.count() == 30
+
+
+def test_plans_keep_the_best_machines_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(planning, "HELD_ROWS", 50)
+    rows = [(f"g{i % 3}" if i % 3 else None, i, d, float(i * 7 % 11), 2) for i in range(120) for d in (1, 2)]
+    options = spark.createDataFrame(rows, "g string, a int, day int, saving double, slots int").coalesce(1)
+    got = planning._leading(options, "g", "a", 4)
+    best = lambda rows: sorted((str(g), d, -s, a) for g, a, d, s, _ in rows)
+    want = [x for k in {(str(r[0]), r[2]) for r in rows} for x in [x for x in best(rows) if x[:2] == k][:4]]
+    assert best(got.collect()) == sorted(want)
+    few = spark.createDataFrame([(f"g{i}", i, 1, 1.0, 2) for i in range(200)], options.schema).coalesce(1)
+    assert planning._leading(few, "g", "a", 4).count() == 200
+
+
+def test_folds_are_dealt_once_for_all_steps_of_a_fit(spark):
+    from fleethealth.operators import learn
+
+    x = learn.group_kfold(spark.range(200).select((F.col("id") % 20).alias("m"), F.rand(1).alias("f"), (F.col("id") % 7).cast("double").alias("y")), "m", 2)
+    out = learn.out_of_fold(x, ["f"], "y", "ridge", classify=False)
+    assert out.count() == 200 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
