@@ -140,7 +140,7 @@ def m13_grade_components(spark, d):
 
 @query()
 def m15_feature_importance(spark, d):
-    x = labelled(spark, d)
+    x = labelled(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", *FEATURES, "rul")
     model = learn.fit_regressor(x, FEATURES, "rul", "ridge")
     lin = learn.linear_attribution(x, model, FEATURES).withColumn("kind", F.lit("linear"))
     perm = learn.permutation_importance(x, model.transform, FEATURES, ["l_orderkey", "l_linenumber", "l_partkey"], F.abs(F.col("predicted") - F.col("rul"))).withColumn("kind", F.lit("permutation"))
