@@ -295,3 +295,10 @@ def test_few_questions_are_found_without_shuffling_runs(spark):
     found = retrieval.anchored(q, "q", "question", c, "c", "text")
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (2, 2)]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_embeddings_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "pump leak pump leak"), (2, None), (3, "leak")], "_row long, t string")
+    found = retrieval._terms(rows, "t")
+    assert sorted(map(tuple, found.collect())) == [(1, "leak", 2), (1, "leak pump", 1), (1, "pump", 2), (1, "pump leak", 2), (3, "leak", 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
