@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,66 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(w.select(label, "weight")), label)
 
 
+#: Bins of a feature in boosted trees (MLlib's maxBins), steps of the quantiles between which they are cut, names of binned columns.
+BINS, ACCURACY, BIN = 32, 10_000, "_bin_"
+
+
+def _bins(df: DataFrame, features: list[str]) -> Bucketizer:
+    """Bins of each feature: its values, cut half way, if there are at most BINS of them, else ranges between quantiles of all rows."""
+    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in features}
+    shares = [k / BINS for k in range(1, BINS)]
+    seen = df.agg(*(f for i, v in enumerate(x.values()) for f in (F.approx_count_distinct(v).alias(f"n{i}"), F.percentile_approx(v, shares, ACCURACY).alias(f"q{i}")))).first()
+    few = [i for i in range(len(features)) if seen[f"n{i}"] <= 2 * BINS]
+    sets = df.agg(*(F.sort_array(F.collect_set(x[features[i]])).alias(f"v{i}") for i in few)).first() if few else None  # about 2 * BINS values each
+    cuts = []
+    for i in range(len(features)):
+        if i in few and len(sets[f"v{i}"]) <= BINS:
+            v = sets[f"v{i}"]
+            at = {a / 2 + b / 2 for a, b in zip(v, v[1:], strict=False)}
+        else:
+            at = {float(np.nextafter(q, np.inf)) for q in seen[f"q{i}"]}  # the quantile itself goes to the lower bin
+        at = sorted(a for a in at if np.isfinite(a)) or [0.0]
+        cuts.append([-float("inf"), *at, float("inf")])
+    return Bucketizer(inputCols=features, outputCols=[f"{BIN}{i}" for i in range(len(features))], splitsArray=cuts, handleInvalid="skip")
+
+
+def _numeric(df: DataFrame, features: list[str]) -> bool:
+    kinds = dict(df.dtypes)
+    return all(kinds[f].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) for f in features)
+
+
+def boosted_classifier(df: DataFrame, features: list[str], label: str, weight: str, stages: list) -> PipelineModel:
+    """A pipeline of ``stages`` (an indexer of the label, an assembler, boosted trees) fitted on cells of rows that trees can't tell apart.
+
+    Boosted trees only ever see bins, and rows of the same bins and label have the same margins and gradients in every round, so a cell
+    with the rows' weight stands for them exactly. A fit reads its rows hundreds of times; cells are at most as many as combinations of bins."""
+    bins = _bins(df, features)
+    cells = bins.transform(df).groupBy(*bins.getOutputCols(), label).agg(F.sum(weight).alias(weight))
+    return _on_cells(cells, bins, stages, 1)
+
+
+def boosted_regressor(df: DataFrame, features: list[str], target: str, assembler: VectorAssembler, trees: GBTRegressor) -> PipelineModel:
+    """The same for a number: squared errors differ between splits only by cells' means and counts."""
+    if not _numeric(df, features):
+        return Pipeline(stages=[assembler, trees]).fit(df)
+    bins = _bins(df, features)
+    mean = F.when(F.count(F.col(target)) == F.count("*"), F.avg(F.col(target).cast("double")))  # a missing target is refused, as in a fit on rows
+    cells = bins.transform(df).groupBy(*bins.getOutputCols()).agg(mean.alias(target), F.count("*").cast("double").alias("_n"))
+    return _on_cells(cells, bins, [assembler, trees.setWeightCol("_n")], 0)
+
+
+def _on_cells(cells: DataFrame, bins: Bucketizer, stages: list, at: int) -> PipelineModel:
+    """Bins go in as plain numbers: the bucketizer marks them as categories, which trees would split in any order."""
+    codes = bins.getOutputCols()
+    stages[at].setInputCols(codes)
+    fitted = Pipeline(stages=stages).fit(written(cells.withColumns({c: F.col(c).cast("int") for c in codes}), "cells")).stages
+    return PipelineModel(fitted[:at] + [bins] + fitted[at:])
+
+
+def without_bins(df: DataFrame) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.startswith(BIN)))
+
+
 def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "forest", seed: int = 0) -> PipelineModel:
     """String labels, balanced classes; gives ``predicted`` index, probabilities and label names.
 
@@ -35,6 +96,8 @@ def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "
     elif kind == "boosted":
         tree = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=20, maxDepth=4, stepSize=0.2, seed=seed).setRawPredictionCol("_raw")
         stages.append(OneVsRest(classifier=tree, featuresCol="_x", labelCol="_label", weightCol="weight", predictionCol="_predicted", rawPredictionCol="_raw", parallelism=2))
+        if _numeric(df, features):
+            return boosted_classifier(balanced_weights(df, label), features, label, "weight", stages)
     else:
         stages.append(RandomForestClassifier(featuresCol="_x", numTrees=60, maxDepth=8, seed=seed, **common))
     return Pipeline(stages=stages).fit(balanced_weights(df, label))
@@ -45,7 +108,7 @@ def fit_regressor(df: DataFrame, features: list[str], target: str, kind: str = "
     if kind == "ridge":
         stages += [StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True), LinearRegression(featuresCol="_scaled", labelCol=target, predictionCol="predicted", regParam=0.01, elasticNetParam=0.0)]
     else:
-        stages.append(GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", maxIter=40, maxDepth=4, stepSize=0.1, seed=seed))
+        return boosted_regressor(df, features, target, stages[0], GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", maxIter=40, maxDepth=4, stepSize=0.1, seed=seed))
     return Pipeline(stages=stages).fit(df)
 
 
@@ -56,7 +119,7 @@ def labels_of(model: PipelineModel) -> list[str]:
 def diagnose(df: DataFrame, model: PipelineModel) -> DataFrame:
     """diagnosis and diagnosis_confidence (three decimals)."""
     names = F.array(*(F.lit(x) for x in labels_of(model)))
-    out = model.transform(_with_label(df, model))
+    out = without_bins(model.transform(_with_label(df, model)))
     p = _probabilities(out)
     return out.withColumn("diagnosis", F.element_at(names, F.col("_predicted").cast("int") + 1)).withColumn("diagnosis_confidence", F.bround(F.array_max(p), 3)).drop("_label", "_x", "_scaled", "_raw", "_probability", "_predicted")
 
@@ -82,7 +145,7 @@ def grade_components(df: DataFrame, models: dict[str, PipelineModel], critical:
     out = df
     for c, model in models.items():
         names = labels_of(model)
-        out = model.transform(_with_label(out, model))
+        out = without_bins(model.transform(_with_label(out, model)))
         p = _probabilities(out)
         worst = sum((p[k] for k, n in enumerate(names) if n in critical[c]), F.lit(0.0))
         out = out.withColumn(f"condition_{c}", F.element_at(F.array(*(F.lit(n) for n in names)), F.col("_predicted").cast("int") + 1)).withColumn(f"p_critical_{c}", F.bround(worst, 3)).drop("_label", "_x", "_scaled", "_raw", "_probability", "_predicted")
@@ -91,7 +154,7 @@ def grade_components(df: DataFrame, models: dict[str, PipelineModel], critical:
 
 def predict_rul(df: DataFrame, model: PipelineModel, cap: float) -> DataFrame:
     """rul_pred within [0, cap], one decimal."""
-    return model.transform(df).withColumn("rul_pred", F.bround(F.least(F.greatest(F.col("predicted"), F.lit(0.0)), F.lit(cap)), 1)).drop("_x", "_scaled", "predicted")
+    return without_bins(model.transform(df)).withColumn("rul_pred", F.bround(F.least(F.greatest(F.col("predicted"), F.lit(0.0)), F.lit(cap)), 1)).drop("_x", "_scaled", "predicted")
 
 
 def severity_regressors(df: DataFrame, features: list[str], targets: list[str], faulty: str | None = None, kind: str = "ridge") -> dict[str, PipelineModel]:
@@ -136,7 +199,7 @@ def _out_of_fold(df: DataFrame, features: list[str], target: str, kind: str, fol
         if classify:
             part = diagnose(test, fit_classifier(train, features, target, kind)).withColumnRenamed("diagnosis", "oof")
         else:
-            part = fit_regressor(train, features, target, kind).transform(test).withColumnRenamed("predicted", "oof").drop("_x", "_scaled")
+            part = without_bins(fit_regressor(train, features, target, kind).transform(test)).withColumnRenamed("predicted", "oof").drop("_x", "_scaled")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -120,17 +120,20 @@ def rul_features(df: DataFrame, sensors: list[str], time: str) -> DataFrame:
 
 def fit_continuous(healthy: DataFrame, sensors: list[str], regime: list[str], trees: int = 40) -> dict:
     """Boosted trees of each sensor on the regime columns, as MLlib pipelines."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=regime, outputCol="_raw")
+    from fleethealth.operators.learn import boosted_regressor
+
+    assembler = lambda: VectorAssembler(inputCols=regime, outputCol="_raw")
     grown = lambda s: GBTRegressor(featuresCol="_raw", labelCol=s, predictionCol=f"_mean_{s}", maxIter=trees, maxDepth=4, stepSize=0.1, seed=0)
-    return {s: Pipeline(stages=[assembler, grown(s)]).fit(healthy.select(*regime, s).dropna()) for s in sensors}
+    return {s: boosted_regressor(healthy.select(*regime, s).dropna(), regime, s, assembler(), grown(s)) for s in sensors}
 
 
 def continuous_residuals(df: DataFrame, models: dict, sensors: list[str]) -> DataFrame:
+    from fleethealth.operators.learn import without_bins
+
     out = df
     for s in sensors:
-        out = models[s].transform(out).withColumn(f"r_{s}", F.col(s) - F.col(f"_mean_{s}")).drop("_raw", f"_mean_{s}")
+        out = without_bins(models[s].transform(out)).withColumn(f"r_{s}", F.col(s) - F.col(f"_mean_{s}")).drop("_raw", f"_mean_{s}")
     return out

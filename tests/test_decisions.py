@@ -300,6 +300,39 @@ def test_importance_over_all_rows_and_boosted_classes(spark, monkeypatch):
     assert out.filter("diagnosis = y").count() > 570 and out.filter("diagnosis_confidence > 1 or diagnosis_confidence < 0.33").count() == 0
 
 
+def test_boosted_trees_on_cells_are_those_on_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    few = lambda kind: lambda **x: kind(**(x | {"maxIter": 3}))
+    monkeypatch.setattr(learn, "GBTRegressor", few(GBTRegressor))
+    monkeypatch.setattr(learn, "GBTClassifier", few(GBTClassifier))
+    sizes = []
+    monkeypatch.setattr(learn, "written", lambda df, name: sizes.append(df.count()) or df)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 4000), "b": rng.integers(0, 5, 4000) / 4, "c": rng.normal(size=4000)})
+    pdf["r"], pdf["y"] = pdf["a"] * 2.0 + (pdf["b"] > 0.4) * 5 + rng.normal(size=4000), np.where(pdf["a"] > 5, "pump", "healthy")
+    df = spark.createDataFrame(pdf).coalesce(1).cache()
+    got = learn.fit_regressor(df, ["a", "b"], "r").transform(df).select("a", "b", "predicted").distinct().collect()
+    trees = GBTRegressor(featuresCol="_x", labelCol="r", predictionCol="predicted", maxIter=3, maxDepth=4, stepSize=0.1, seed=0)
+    rows = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="_x"), trees]).fit(df).transform(df).select("a", "b", "predicted").distinct().collect()
+    want = {(r.a, r.b): r.predicted for r in rows}
+    assert len(got) == 45 and all(r.predicted == pytest.approx(want[r.a, r.b], abs=1e-9) for r in got)
+    out = learn.diagnose(df, learn.fit_classifier(df, ["a", "b"], "y", "boosted"))
+    assert out.filter("diagnosis <> y").count() == 0 and not [c for c in out.columns if c.startswith("_")]
+    assert sizes == [45, 45]  # a fit saw cells, not rows
+    # quantiles cut a continuous feature into bins of like size; a constant one, a missing and an infinite value do no harm
+    odd = df.withColumn("k", F.lit(3)).unionByName(spark.createDataFrame([(1, 0.5, c, 1.0, "pump", 3) for c in (None, float("nan"), float("inf"))], "a long, b double, c double, r double, y string, k int"))
+    model = learn.fit_regressor(odd, ["c", "k"], "r")
+    per = model.stages[0].transform(odd).groupBy("_bin_0").count().toPandas()["count"]
+    assert len(per) == learn.BINS and per.min() > 100 and per.max() < 150
+    assert learn.predict_rul(odd, model, 60.0).count() == 4001
+    with pytest.raises(Exception, match="(?i)null|nan"):
+        learn.fit_regressor(df.withColumn("r", F.when(F.col("a") > 0, F.col("r"))), ["a", "b"], "r")
+
+
 def dense_twfe(pdf, y, d, weights=None):
     """Least squares with dummies: effect and error clustered by unit."""
     u, t = pd.get_dummies(pdf["u"]).to_numpy(float), pd.get_dummies(pdf["t"]).to_numpy(float)[:, 1:]
