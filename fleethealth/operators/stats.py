@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +30,39 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
 
 
+#: Draws that a task works out.
+PICKS = 1 << 20
+
+
+def _picks(numbered: DataFrame, total: int, draws: int, seed: int) -> DataFrame:
+    """draw, _at: the cluster that each replicate draws in each of its ``total`` slots, by the first 52 bits of a digest.
+
+    Slots are dealt to tasks by the number of draws: a table of clusters is small, and would be read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [b"%d" % x for x in batch.column(0).to_pylist()]
+            for draw in range(1, draws + 1):
+                start = f"{seed}|{draw}|".encode()
+                bits = np.frombuffer(b"".join([md5(start + x).digest() for x in slots]), ">u8")[::2] >> 12
+                at = np.floor(bits.astype(float) / float(1 << 52) * total).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), draw, np.int32)), pa.array(at)], names=["draw", "_at"])
+
+    return numbered.select(F.col("_at").cast("long")).repartition(max(1, -(-total * draws // PICKS))).mapInArrow(run, "draw int, _at long")
+
+
 def bootstrap_ci(df: DataFrame, cluster: str, value: str, draws: int = DRAWS, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """estimate, clusters, low, high of a mean, resampling whole clusters with replacement.
 
     Clusters are reduced to sums and counts first. A replicate draws as many clusters as there are, each by a hash
-    of the replicate and the draw; draws of a cluster are counted before its sums are joined."""
+    of the replicate and the draw. Draws are dealt once, to the clusters' sums, and added up by replicate there: nearly every pair of
+    replicate and cluster is drawn once or not at all, so counting them first would only shuffle them twice."""
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     sums = clean.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
     numbered = written(running(sums, [cluster], F.lit(1)).withColumn("_at", F.col("_before")).drop("_before"), "clusters")
     point = numbered.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("estimate"), F.count("*").alias("clusters"))
     total = numbered.count()
-    each = numbered.select(F.col("_at").alias("_slot")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.conv(F.substring(_digest(F.lit(seed), F.col("draw"), F.col("_slot")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    picks = each.select("draw", F.floor(u * total).alias("_at")).groupBy("draw", "_at").agg(F.count("*").alias("k"))
-    rep = picks.join(numbered, "_at").groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
+    rep = _picks(numbered, total, draws, seed).join(numbered.hint("shuffle_hash"), "_at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))  # draws are streamed, not sorted
     ci = rep.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))  # a row per draw
     return point.join(F.broadcast(ci))  # one row each
 

@@ -87,6 +87,23 @@ def test_cluster_interval_is_wider(spark):
     assert a.high - a.low > 3 * (b.high - b.low)
 
 
+def test_draws_are_spread_over_tasks_and_follow_digests(spark, monkeypatch):
+    from hashlib import md5
+
+    monkeypatch.setattr(stats, "PICKS", 100)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"m": np.arange(90) % 30, "x": rng.normal(size=90)})
+    df = spark.createDataFrame(pdf)
+    at = {d: [int(int(md5(f"7|{d}|{k}".encode()).hexdigest()[:13], 16) / 2.0**52 * 30) for k in range(30)] for d in range(1, 41)}
+    picks = stats._picks(spark.range(30).select(F.col("id").alias("_at")).coalesce(1), 30, 40, 7)
+    assert picks.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, picks.collect())) == sorted((d, k) for d, ks in at.items() for k in ks)
+    sums = pdf.groupby("m")["x"].agg(["sum", "count"]).to_numpy()
+    means = [sums[ks, 0].sum() / sums[ks, 1].sum() for ks in at.values()]
+    got = one(stats.bootstrap_ci(df, "m", "x", 40, seed=7))
+    assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
 def test_split_draws_are_whole_and_like_drawn_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(stats, "SPLIT", 16)
     counts = np.concatenate([stats._block_draws(150, b, 16, 3000, 4) for b in range(10)], axis=1)
