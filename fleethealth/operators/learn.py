@@ -85,6 +85,17 @@ def without_bins(df: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith(BIN)))
 
 
+#: Rows of a forest's task: each is held with a count per tree.
+TASK_ROWS = 250_000
+
+
+def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows in partitions of about TASK_ROWS rows: a forest keeps its rows in the partitions that they come in, however large."""
+    rows = df.select(*columns)
+    n = rows.count()
+    return rows if n <= TASK_ROWS else rows.repartition(-(-n // TASK_ROWS))
+
+
 def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "forest", seed: int = 0) -> PipelineModel:
     """String labels, balanced classes; gives ``predicted`` index, probabilities and label names.
 
@@ -100,6 +111,7 @@ def fit_classifier(df: DataFrame, features: list[str], label: str, kind: str = "
             return boosted_classifier(balanced_weights(df, label), features, label, "weight", stages)
     else:
         stages.append(RandomForestClassifier(featuresCol="_x", numTrees=60, maxDepth=8, seed=seed, **common))
+        return Pipeline(stages=stages).fit(_dealt(balanced_weights(df, label), [*features, label, "weight"]))
     return Pipeline(stages=stages).fit(balanced_weights(df, label))
 
 

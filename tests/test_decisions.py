@@ -350,6 +350,18 @@ def test_boosted_trees_on_cells_are_those_on_rows(spark, monkeypatch):
         learn.fit_regressor(df.withColumn("r", F.when(F.col("a") > 0, F.col("r"))), ["a", "b"], "r")
 
 
+def test_rows_of_a_forest_come_in_small_partitions(spark, monkeypatch):
+    monkeypatch.setattr(learn, "TASK_ROWS", 100)
+    df = spark.range(0, 1000, 1, 1).select("id", (F.col("id") % 7).alias("a"), F.lit("x").alias("y"))
+    dealt = learn._dealt(df, ["a", "y"])
+    assert dealt.columns == ["a", "y"] and dealt.rdd.glom().map(len).collect() == [100] * 10
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, df.select("a", "y").collect()))
+    seen = []
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()))
+    learn.fit_classifier(df, ["a"], "y", "forest")
+    assert seen == [10]
+
+
 def dense_twfe(pdf, y, d, weights=None):
     """Least squares with dummies: effect and error clustered by unit."""
     u, t = pd.get_dummies(pdf["u"]).to_numpy(float), pd.get_dummies(pdf["t"]).to_numpy(float)[:, 1:]
