@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleethealth.operators import learn
 from fleethealth.plans.registry import PERSISTENCE, SCORED, query, rounded, scored, sensors, table, z_table
 from fleethealth.sources import io
-from fleethealth.sources.scratch import folder
+from fleethealth.sources.scratch import folder, written
 from fleethealth.streaming import streams
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -268,8 +268,9 @@ def streamed(spark, df, stream, mode: str = "append", files: int = 4):
 def streamed_in_order(spark, df, stream, time: str, slices: int = 4, arrival=None):
     """The same with the rows arriving in time order, or in that of ``arrival``: a slice of time after the other, each a batch of many files.
 
-    State and watermark pass from batch to batch by the checkpoint."""
+    State and watermark pass from batch to batch by the checkpoint. Rows are written first, so that slices don't work them out again."""
     src, out, mark = (folder(spark, k) for k in ("source", "sink", "marks"))
+    df = written(df, "arrivals")
     when = F.unix_micros(time) if arrival is None else arrival
     at = F.coalesce(when, F.lit(-(1 << 63)))
     cuts = df.agg(F.percentile_approx(when, [k / slices for k in range(1, slices)]).alias("c")).first().c or []

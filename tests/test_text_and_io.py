@@ -205,6 +205,21 @@ def test_ties_in_time_count_at_once(spark, tmp_path):
     assert [r.alarm_confirmed for r in spark.table("ties").collect()].count(True) == 7 and spark.table("ties").count() == 8
 
 
+def test_slices_of_a_stream_work_rows_out_once(spark):
+    from fleethealth.plans.model_queries import streamed_in_order
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 200, 1, 2).mapInArrow(count, "id long").withColumn("ts", F.timestamp_seconds("id"))
+    got = streamed_in_order(spark, df, lambda s: s.select("id"), "ts")
+    assert sorted(r.id for r in got.collect()) == list(range(200)) and seen.value == 200
+
+
 def test_late_rows_find_their_place(spark, tmp_path, monkeypatch):
     """Shuffled rows with ties, in six batches, give what the batch form gives; rows beyond the delay are dropped."""
     import random
