@@ -269,6 +269,39 @@ def test_blocks_give_the_best_passages_with_fewer_postings(spark):
     assert sorted(map(tuple, some.select("q", "c", "rank").collect())) == sorted(map(tuple, by_source(every).select("q", "c", "rank").collect()))
 
 
+def test_blocks_read_texts_once_and_shuffle_no_postings(spark, monkeypatch):
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    rows = [(i, " ".join(words[(i * k * k + 3 * k) % (20 + i % 61)] for k in range(i % 23)), f"s{i % 3}") for i in range(700)] + [(900 + i, "wab waa wab rare wcc", "s1") for i in range(90)] + [(2000, None, "s2"), (2001, "", "s0")]
+    asked = [(0, "waa wab waa"), (1, "rare wcc"), (2, "unknown"), (3, None), (4, " ".join(words)), (5, "the")]
+    c, q = spark.createDataFrame(rows, "c long, text string, source string"), spark.createDataFrame(asked, "q int, question string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    watched, wanted = c.mapInArrow(count, c.schema), q.select(F.explode(text.tokenize(F.col("question"))).alias("term"))
+    pick = lambda s: retrieval.top_k(s, "q", "c", "score", 7)
+    every = retrieval.bm25_search(q, "q", "question", c, "c", F.col("text")).withColumn("score", F.round("score", 6))
+    want = sorted(map(tuple, pick(every).collect()))
+    index = retrieval.block_index(watched, "c", F.col("text"), wanted)
+    found = retrieval.BlockSearch(index, q, "q", "question", pick, 7, 6)
+    assert sorted(map(tuple, found.best.collect())) == want
+    assert seen.value == len(rows)
+    scores = retrieval.BlockSearch(index, q, "q", "question", lambda s: s.filter("score > -1e9"), 7, 6).best
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 300)  # wanted terms and queries in several slices
+    index = retrieval.block_index(c, "c", F.col("text"), wanted, size=5)
+    found = retrieval.BlockSearch(index, q, "q", "question", pick, 7, 6)
+    assert len(found.parts) > 1
+    assert sorted(map(tuple, found.best.collect())) == want
+    monkeypatch.undo()
+    for docs, asks in ((c.limit(0), q), (c, q.limit(0))):
+        index = retrieval.block_index(docs, "c", F.col("text"), wanted)
+        assert retrieval.BlockSearch(index, asks, "q", "question", pick, 7, 6).best.count() == 0
+
+
 def test_gold_needs_no_nested_loop(spark):
     texts = ["a b c d e f", "x b c d e y", "b c d", "abc", "", None, "zz b c d ezz", "b  c d e", "pre a b c d e f post a b c d e f"]
     asked = ["b c d e", "b c", "a", "", None, "c d", "b  c d e", "e f", "zz b c d ezz q", "bc"]
