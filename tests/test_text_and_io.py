@@ -302,6 +302,53 @@ def test_blocks_read_texts_once_and_shuffle_no_postings(spark, monkeypatch):
         assert retrieval.BlockSearch(index, asks, "q", "question", pick, 7, 6).best.count() == 0
 
 
+def test_tokens_of_a_batch_are_those_of_the_column(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng, signs = random.Random(3), "abzAZ09-/- \n\0é\u0130\u212a\u0307ñ世😀the of"
+    texts = [None, "", "-", "--/a b-/c -", "The THE oF ab a b1", "x" * 70, "/" * 70, "\u212a\u0130x \u0130 K\u212a"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.choice([1, 2, 9, 40]))) for _ in range(300)]
+    texts += ["".join(f"{chr(c)}a{chr(c)} " for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x20000, 4096)]  # every letter's lower case
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = [r.w or [] for r in df.select("i", text.tokenize(F.col("text")).alias("w")).orderBy("i").collect()]
+    for at_once in (1, 50, 1 << 21):
+        monkeypatch.setattr(text, "TEXT_AT_ONCE", at_once)
+        for batch in (pa.array(texts), pa.array(["ab", *texts]).slice(1), pa.array(texts, pa.large_string())):
+            names, row, at = text.tokens(batch)
+            got = [[] for _ in texts]
+            for i, term in zip(row, names.take(pa.array(at)).to_pylist(), strict=True):
+                got[i].append(term)
+            assert got == want and len(set(names.to_pylist())) == len(names)
+    for none in (pa.array([], pa.string()), pa.nulls(3, pa.string())):
+        assert [len(x) for x in text.tokens(none)] == [0, 0, 0]
+
+
+def test_index_passages_are_scored_once_and_a_hot_term_is_dealt_to_tasks(spark, monkeypatch):
+    rows = [(i, "hot warm " + " ".join(f"w{chr(97 + i % 7)}" for _ in range(i % 5)), "s") for i in range(900)] + [(2000 + i, f"w{chr(97 + i % 7)} cold cool", "s") for i in range(3000)]
+    c, q = spark.createDataFrame(rows, "c long, text string, source string"), spark.createDataFrame([(0, "hot wa"), (1, "wb we warm warm")], "q int, question string")
+    wanted, plans = q.select(F.explode(text.tokenize(F.col("question"))).alias("term")), {}
+    kept = retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and kept(df, name))
+    monkeypatch.setattr(retrieval, "LED", 100)
+    monkeypatch.setattr(retrieval, "TERMS_AT_ONCE", 5)  # counts are given in pieces
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = retrieval.block_index(c, "c", F.col("text"), wanted)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "regexp_extract_all" not in plans["counted"] and "RepartitionByExpression [_lead" in plans["blocks"] and "ASC" not in plans["blocks"].split("RepartitionByExpression")[1].splitlines()[0]
+    hot = index.blocks.select(F.shiftright("block", 33).alias("task"), F.explode("chunks").alias("c")).filter("c < 2000").groupBy("task").count().collect()
+    assert len(hot) > 1 and sum(r["count"] for r in hot) == 900
+    pick = lambda s: retrieval.top_k(s, "q", "c", "score", 7)
+    every = retrieval.bm25_search(q, "q", "question", c, "c", F.col("text")).withColumn("score", F.round("score", 6))
+    found = retrieval.BlockSearch(index, q, "q", "question", pick, 7, 6)
+    assert sorted(map(tuple, found.best.collect())) == sorted(map(tuple, pick(every).collect()))
+    whole = {(r.term, round(r.most, 9)) for r in index.tops.collect()}
+    assert whole == {(r.term, round(r.most, 9)) for r in index.postings.groupBy("term").agg(F.max("s").alias("most")).collect()}
+
+
 def test_gold_needs_no_nested_loop(spark):
     texts = ["a b c d e f", "x b c d e y", "b c d", "abc", "", None, "zz b c d ezz", "b  c d e", "pre a b c d e f post a b c d e f"]
     asked = ["b c d e", "b c", "a", "", None, "c d", "b  c d e", "e f", "zz b c d ezz q", "bc"]
