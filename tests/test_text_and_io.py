@@ -4,6 +4,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,55 @@ def test_terms_of_embeddings_are_counted_without_a_shuffle(spark):
     found = retrieval._terms(rows, "t")
     assert sorted(map(tuple, found.collect())) == [(1, "leak", 2), (1, "leak pump", 1), (1, "pump", 2), (1, "pump leak", 2), (3, "leak", 1)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_of_a_batch_are_those_of_spark(spark):
+    from fleethealth.functions.hashing import hashed
+
+    strings = ["".join("ab9-/ é"[(i * i + n) % 7] for i in range(n)) for n in range(100)]
+    got = spark.createDataFrame(list(enumerate(strings)), "i int, s string").select("i", F.xxhash64("s", F.lit(7)).alias("h")).collect()
+    assert [r.h for r in sorted(got)] == hashed(pa.array(strings)).view(np.int64).tolist() and not len(hashed(pa.array([], pa.string())))
+
+
+def test_fitting_embeddings_shuffles_texts_and_not_their_terms(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 100))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    monkeypatch.setattr(retrieval, "_products", lambda *_: np.eye(retrieval.LSA_COLUMNS))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    retrieval.lsa_embed(df, "t")
+    assert shuffled() - before < 4 * sum(len(t) for _, t in rows)
+
+
+def test_terms_counted_by_parts_are_those_of_all_rows(spark, monkeypatch):
+    from fleethealth.functions.hashing import hashed
+
+    texts = [" ".join(f"w{(i * 7 + k * k) % 23}" for k in range(i % 9)) for i in range(60)] + [None, "", "once here", "w1 w1 w1 w2", "w1 w1 w1 w2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    whole, _ = retrieval.lsa_embed(df, "t", 6)
+    monkeypatch.setattr(retrieval, "PART_BYTES", 500)
+    e, model = retrieval.lsa_embed(df, "t", 6, keep=["i"])
+    assert retrieval._size(df, "t")[1] > 5 and e.columns == ["i", "lsa"] and whole.columns == ["i", "t", "lsa"]
+
+    counted = Counter(x for t in texts if t for x in {*t.split(), *(" ".join(p) for p in itertools.pairwise(t.split()))} - {"once", "here", "once here"})
+    wanted = {x: k for x, k in counted.items() if k >= 2}
+    assert {r.term: r.df for r in model.vocabulary.collect()} == wanted
+    packed = retrieval._counts_of(model.counts.toArrow())
+    assert dict(zip(np.concatenate(packed[0]).tolist(), np.concatenate(packed[1]).tolist(), strict=True)) == dict(zip(hashed(pa.array(list(wanted))).tolist(), wanted.values(), strict=True))
+
+    v, one = ({r.i: np.array(r.lsa) for r in x.collect()} for x in (e, whole))
+    assert len(v) == len(texts) and (v[63] == v[64]).all() and not v[60].any() and not v[62].any()
+    assert all(v[i] @ v[j] == pytest.approx(one[i] @ one[j]) for i in range(65) for j in range(65))  # whatever the parts; signs of vectors are free
+    again = {r.i: np.array(r.lsa) for r in model.embed(df, "t").collect()}
+    assert all(again[i] == pytest.approx(v[i]) for i in v)
+
+
+def test_texts_without_a_term_have_no_embedding(spark):
+    e, model = retrieval.lsa_embed(spark.createDataFrame([(1, None), (2, ""), (3, "the of")], "i int, t string"), "t")
+    assert [any(r.lsa) for r in e.collect()] == [False] * 3 and not model.counts.count()
